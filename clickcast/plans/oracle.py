@@ -144,3 +144,90 @@ register("top_cart_products", _top("product_id", "add_to_cart_count", "event_typ
 register("top_purchased_products", _top("product_id", "purchase_count", "event_type = 'transaction'"))
 register("most_active_users", _top("user_id", "event_count", "user_id is not null"))
 register("most_active_visitors", _top("visitor_id", "event_count", "user_id is null"))
+
+# --- ingest ------------------------------------------------------------------------------
+KEYED_COLS = ("id, topic, session_id, visitor_id, user_id, event_time, event_type, product_id, "
+              "order_id_for_refund, is_recommended, event_date, customer_key, id_type")
+
+register("kafka_rows", q("""
+select topic,
+  '{"id":' || cast(id as varchar) || ',"topic":"' || topic || '"'
+  || case when session_id is not null then ',"session_id":"' || session_id || '"' else '' end
+  || case when visitor_id is not null then ',"visitor_id":"' || visitor_id || '"' else '' end
+  || case when user_id is not null then ',"user_id":"' || user_id || '"' else '' end
+  || ',"timestamp":"' || strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') || '"'
+  || ',"event_type":"' || event_type || '"'
+  || case when product_id is not null then ',"product_id":"' || product_id || '"' else '' end
+  || case when order_id_for_refund is not null then ',"order_id_for_refund":"' || order_id_for_refund || '"' else '' end
+  || ',"is_recommended":' || case when is_recommended then 'true' else 'false' end || '}' as value
+from se"""))
+register("decode_events", q(f"select {KEYED_COLS} from keyed"))
+register("event_time_date", q("select id, event_time, cast(event_time as date) as event_date from se"))
+register("customer_key", q("""
+select id,
+  case when user_id is not null and trim(user_id) <> '' then user_id else visitor_id end as customer_key,
+  case when user_id is not null and trim(user_id) <> '' then 'user' else 'visitor' end as id_type
+from se"""))
+register("drop_unkeyed", q("select id_type, count(*) as events from keyed group by id_type"))
+register("topic_split", q("select topic, count(*) as events from keyed group by topic"))
+register("validate_common", q(
+    "select id, topic, event_type from common where event_type in "
+    + _in(USER_EVENTS + REC_EVENTS + NOTIF_EVENTS)))
+register("validate_user_events", q(f"select {KEYED_COLS} from ue"))
+register("validate_recommendation_events", q(f"select {KEYED_COLS} from rec"))
+register("validate_notification_events", q(f"select {KEYED_COLS} from notif"))
+register("union_validated", q(f"select {KEYED_COLS} from allv"))
+register("reject_reasons", q(f"""
+select topic, reason, count(*) as rejected from (
+  select topic,
+    case when event_time is null then 'null_event_time'
+         when id is null then 'null_id'
+         when visitor_id is null then 'null_visitor_id'
+         when event_type is null then 'null_event_type'
+         when dup then 'duplicate_id'
+         when event_type not in {_in(USER_EVENTS + REC_EVENTS + NOTIF_EVENTS)} then 'unknown_event_type'
+         when not (case topic when 'user-events' then event_type in {_in(USER_EVENTS)}
+                              when 'recommendation-actions' then event_type in {_in(REC_EVENTS)}
+                              when 'notification-events' then event_type in {_in(NOTIF_EVENTS)}
+                              else false end) then 'type_not_on_topic'
+         when topic in ('user-events', 'recommendation-actions') and product_id is null then 'missing_product'
+         when topic in ('user-events', 'recommendation-actions')
+              and not coalesce(try_cast(product_id as bigint) > 0, false) then 'bad_product_id'
+         when topic = 'user-events' and event_type = 'refund_request' and order_id_for_refund is null
+              then 'refund_without_order'
+    end as reason
+  from (select *, case when ok then row_number() over (partition by ok, topic, id
+                        order by event_time, event_type, product_id) > 1 else false end as dup
+        from (select *, event_time is not null and id is not null and visitor_id is not null
+                        and event_type is not null as ok from keyed) a) b
+) c where reason is not null group by topic, reason"""))
+register("topic_type_match", q(f"""
+select topic, count(*) as events from keyed
+where (case when event_type in {_in(USER_EVENTS)} then 'user-events'
+            when event_type in {_in(REC_EVENTS)} then 'recommendation-actions'
+            when event_type in {_in(NOTIF_EVENTS)} then 'notification-events' end) = topic
+group by topic"""))
+register("enrich_with_products", q("""
+select a.id, a.topic, a.product_id, p.category as product_category, cast(p.price as double) as product_price
+from allv a left join sp p on a.product_id = cast(p.id as varchar)"""))
+
+# --- sources and sinks -------------------------------------------------------------------
+register("products_csv_scan", q(
+    "select cast(id as varchar) as product_id, category as product_category, price as product_price from sp"))
+register("parquet_scan", q(f"select {KEYED_COLS} from ue"))
+register("raw_events_sink", q(
+    "select event_date, count(*) as events from allv where id_type = 'user' "
+    "and event_date < date '2024-01-08' group by event_date"))
+register("scan_or_empty", q("select event_type, count(*) as event_count from notif group by event_type"))
+register("events_csv_scan", q(
+    "select user_id, nullif(visitor_id, '') as visitor_id, session_id, event_time, event_type, "
+    "product_id, is_recommended, order_id_for_refund from ue"))
+register("flat_event_export", q("select event_type, count(*) as event_count from ue group by event_type"))
+register("bucketed_compaction", q(
+    "select customer_key, id_type, count(*) as events from allv group by customer_key, id_type"))
+register("topic_dump_sink", q("""
+select 'user_events' as dump, count(*) as events from ue
+union all select 'recommendation_events', count(*) from rec
+union all select 'notification_events', count(*) from notif"""))
+register("seed_csv_load", q("select id, email, country from su where not is_deleted"))
+register("active_users_only", q("select id, email from su where not is_deleted"))

@@ -46,3 +46,195 @@ def _daily_summary(s, d):
     v = I.validated(s, d)
     from ..schema import NOTIF_TOPIC, REC_TOPIC, USER_TOPIC
     return A.daily_summary(v[USER_TOPIC], v[REC_TOPIC], v[NOTIF_TOPIC])
+
+
+# --- ingest: decode, key, validate -------------------------------------------------------
+import uuid  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import enrich as EN  # noqa: E402
+from ..operators import ingest as IG  # noqa: E402
+from ..operators import sinks as SK  # noqa: E402
+from ..schema import EVENT_SCHEMA, NOTIF_TOPIC, REC_TOPIC, USER_TOPIC  # noqa: E402
+from ..session import shared_dir  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources.tables import shop_events, shop_products, shop_users  # noqa: E402
+
+KEYED = IG.KEYED_COLUMNS
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint root for a written intermediate."""
+    return shared_dir(spark, f"scratch/{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("kafka_rows")
+def _kafka_rows(s, d):
+    return IG.to_kafka_rows(shop_events(s, d))
+
+
+@query("decode_events")
+def _decode_events(s, d):
+    return IG.key_events(IG.decode_events(IG.to_kafka_rows(shop_events(s, d)))).select(KEYED)
+
+
+@query("event_time_date")
+def _event_time_date(s, d):
+    dec = IG.decode_events(IG.to_kafka_rows(shop_events(s, d)))
+    return dec.select("id", IG.parse_event_time("timestamp").alias("event_time"),
+                      F.to_date(IG.parse_event_time("timestamp")).alias("event_date"))
+
+
+@query("customer_key")
+def _customer_key(s, d):
+    e = shop_events(s, d)
+    return e.select("id", IG.customer_key().alias("customer_key"), IG.id_type().alias("id_type"))
+
+
+@query("drop_unkeyed")
+def _drop_unkeyed(s, d):
+    return I.keyed_events(s, d).groupBy("id_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("topic_split")
+def _topic_split(s, d):
+    parts = IG.topic_split(I.keyed_events(s, d))
+    out = None
+    for t, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("events")).select(F.lit(t).alias("topic"), "events")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("validate_common")
+def _validate_common(s, d):
+    return IG.validate_common(I.keyed_events(s, d)).select("id", "topic", "event_type")
+
+
+@query("validate_user_events")
+def _vu(s, d):
+    return I.user_events(s, d).select(KEYED)
+
+
+@query("validate_recommendation_events")
+def _vr(s, d):
+    return I.recommendation_events(s, d).select(KEYED)
+
+
+@query("validate_notification_events")
+def _vn(s, d):
+    return I.notification_events(s, d).select(KEYED)
+
+
+@query("reject_reasons")
+def _reject_reasons(s, d):
+    return IG.reject_reasons(I.keyed_events(s, d))
+
+
+@query("topic_type_match")
+def _topic_type_match(s, d):
+    return IG.topic_type_match(I.keyed_events(s, d)).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+@query("union_validated")
+def _union_validated(s, d):
+    return I.all_validated(s, d).select(KEYED)
+
+
+@query("enrich_with_products")
+def _enrich(s, d):
+    return EN.enrich_with_products(I.all_validated(s, d), shop_products(s, d)).select(
+        "id", "topic", "product_id", "product_category", "product_price")
+
+
+# --- sources and sinks round trips -----------------------------------------------------------
+@query("products_csv_scan")
+def _products_csv(s, d):
+    path = scratch(s, "products_csv")
+    shop_products(s, d).write.option("header", True).csv(path)
+    return FS.read_products_csv(s, path)
+
+
+@query("parquet_scan")
+def _parquet_scan(s, d):
+    path = scratch(s, "raw_events")
+    SK.write_raw_events(I.user_events(s, d), path, mode="overwrite")
+    back = s.read.parquet(path)
+    return back.select(KEYED)
+
+
+@query("raw_events_sink")
+def _raw_events_sink(s, d):
+    path = scratch(s, "raw_events_pruned")
+    SK.write_raw_events(I.all_validated(s, d), path, mode="overwrite")
+    back = s.read.parquet(path)
+    # partition pruning: only the user folders of the first week are listed
+    return (back.filter((F.col("id_type") == "user") & (F.col("event_date") < F.lit("2024-01-08").cast("date")))
+                .groupBy("event_date").agg(F.count(F.lit(1)).alias("events")))
+
+
+@query("scan_or_empty")
+def _scan_or_empty(s, d):
+    present = scratch(s, "present")
+    I.notification_events(s, d).select(KEYED).write.parquet(present)
+    schema = s.read.parquet(present).schema
+    missing = SK.read_parquet_or_empty(s, scratch(s, "missing"), schema)
+    return SK.read_parquet_or_empty(s, present, schema).unionByName(missing).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("event_count"))
+
+
+@query("events_csv_scan")
+def _events_csv_scan(s, d):
+    path = scratch(s, "events_csv")
+    exp = I.user_events(s, d).withColumn(
+        "timestamp", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    SK.flat_event_export(exp, path)
+    return FS.read_events_csv(s, path)
+
+
+@query("flat_event_export")
+def _flat_event_export(s, d):
+    path = scratch(s, "export")
+    exp = I.user_events(s, d).withColumn(
+        "timestamp", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    SK.flat_event_export(exp, path)
+    return s.read.option("header", True).csv(path).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("event_count"))
+
+
+@query("bucketed_compaction")
+def _bucketed(s, d):
+    name = f"customer_events_bucketed_{uuid.uuid4().hex[:8]}"
+    t = SK.bucketed_compaction(s, I.all_validated(s, d).select(KEYED), name,
+                               path=scratch(s, name))
+    return t.groupBy("customer_key", "id_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("topic_dump_sink")
+def _topic_dump(s, d):
+    root = scratch(s, "dumps")
+    for t, name in [(USER_TOPIC, "user_events"), (REC_TOPIC, "recommendation_events"),
+                    (NOTIF_TOPIC, "notification_events")]:
+        I.validated(s, d)[t].select(KEYED).write.parquet(f"{root}/{name}")
+    out = None
+    for name in ["user_events", "recommendation_events", "notification_events"]:
+        one = s.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("events")).select(
+            F.lit(name).alias("dump"), "events")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("seed_csv_load")
+def _seed_csv(s, d):
+    path = scratch(s, "users_csv")
+    u = shop_users(s, d).select("id", "first_name", "email", "country", "region",
+                                F.when(F.col("is_deleted"), " true").otherwise(" false").alias("is_deleted"))
+    u.write.option("header", True).csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return FS.read_users_csv(s, path).filter(~F.col("is_deleted")).select("id", "email", "country")
+
+
+@query("active_users_only")
+def _active_users(s, d):
+    return shop_users(s, d).filter(~F.col("is_deleted")).select("id", "email")
