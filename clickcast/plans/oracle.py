@@ -231,3 +231,112 @@ union all select 'recommendation_events', count(*) from rec
 union all select 'notification_events', count(*) from notif"""))
 register("seed_csv_load", q("select id, email, country from su where not is_deleted"))
 register("active_users_only", q("select id, email from su where not is_deleted"))
+
+# --- sessions and customer value ----------------------------------------------------------
+SESSION_CTES = """,
+sev as (
+  select *, coalesce(case when user_id is not null and trim(user_id) <> '' then user_id end,
+                     nullif(regexp_extract(session_id, '^u([0-9]+)-', 1), ''), 'nan') as suser,
+         regexp_replace(coalesce(cast(product_id as varchar), ''), '\\.0$', '') as pid
+  from ue),
+sfirst as (
+  select session_id, suser, pid, min(event_time) as ft, min(id) filter (where true) as dummy,
+         arg_min(id, (event_time, id)) as fid
+  from sev where event_type in ('add_to_cart', 'transaction') and pid <> '' and pid <> 'nan'
+  group by session_id, suser, pid),
+sbask as (
+  select session_id, suser, string_agg(pid, ',' order by ft, fid) as cart_products, count(*) as n_items
+  from sfirst group by session_id, suser),
+sstat as (
+  select session_id, suser, bool_or(event_type = 'transaction') as has_transaction,
+         count(*) as total_session_events, min(event_time) as first_timestamp, max(event_time) as last_timestamp
+  from sev group by session_id, suser)
+"""
+register("session_basket", q("""
+select s.suser as user_id, s.session_id,
+  case when has_transaction then 'transaction' when coalesce(n_items, 0) > 0 then 'add_to_cart' else 'view' end as event_type,
+  has_transaction, coalesce(b.cart_products, '') as cart_products, cast(coalesce(n_items, 0) as bigint) as total_cart_items,
+  total_session_events, first_timestamp, last_timestamp
+from sstat s left join sbask b on s.session_id = b.session_id and s.suser = b.suser""", SESSION_CTES))
+register("logged_in_only", q(
+    "select user_id, count(*) as events from allv where user_id is not null and trim(user_id) <> '' group by user_id"))
+register("derive_session_id", q(
+    "select id, user_id || '_' || cast(cast(event_time as date) as varchar) as session_id from ue "
+    "where user_id is not null and trim(user_id) <> ''"))
+register("recover_user_from_session", q(
+    "select coalesce(nullif(regexp_extract(session_id, '^u([0-9]+)-', 1), ''), 'nan') as user_id, "
+    "count(*) as events from ue group by 1"))
+register("normalise_product_id", q(
+    "select id, regexp_replace(cast(cast(product_id as double) as varchar), '\\.0$', '') as product_id from ue"))
+register("parse_basket", q(
+    "select b.session_id, b.suser as user_id, b.cart_products as items from sbask b", SESSION_CTES))
+
+VALUE_CTES = """,
+li as (select * from allv where user_id is not null and trim(user_id) <> ''),
+snap as (select max(event_time) as snapshot from li),
+uagg as (
+  select user_id, count(*) as total_events,
+    count(*) filter (where event_type = 'view') as view_count,
+    count(*) filter (where event_type = 'add_to_cart') as add_count,
+    count(*) filter (where event_type = 'delete_from_cart') as remove_count,
+    count(*) filter (where event_type = 'transaction') as transaction_count,
+    count(*) filter (where event_type = 'refund_request') as refund_count,
+    count(*) filter (where event_type = 'recommendation_shown') as rec_shown,
+    count(*) filter (where event_type = 'recommendation_clicked') as rec_clicked,
+    min(event_time) as first_event_time, max(event_time) as last_event_time,
+    count(distinct session_id) as unique_sessions, count(distinct product_id) as unique_products,
+    max(case when event_type = 'transaction' then event_time end) as last_tx
+  from li group by user_id),
+usess as (
+  select user_id, session_id, bool_or(event_type = 'add_to_cart') as had_add,
+         bool_or(event_type = 'transaction') as had_tx
+  from li where event_type in ('add_to_cart', 'transaction') group by user_id, session_id),
+uab as (select user_id, count(*) as abandoned_cart_sessions from usess where had_add and not had_tx group by user_id),
+feat as (
+  select u.user_id, transaction_count, add_count, remove_count, view_count, refund_count,
+    unique_sessions, unique_products,
+    case when add_count > 0 then transaction_count / add_count else 0.0 end as conversion_rate,
+    case when add_count > 0 then remove_count / add_count else 0.0 end as removal_rate,
+    case when unique_sessions > 0 then coalesce(abandoned_cart_sessions, 0) / unique_sessions else 0.0 end as cart_abandon_rate,
+    case when rec_shown > 0 then rec_clicked / rec_shown else 0.0 end as recommendation_ctr,
+    cast(least(coalesce(floor((epoch_us(snapshot) - epoch_us(last_tx)) / 86400000000.0), 999), 999) as bigint) as days_since_last_tx,
+    total_events / (floor((epoch_us(last_event_time) - epoch_us(first_event_time)) / 86400000000.0) + 1) as events_per_day,
+    cast(floor((epoch_us(last_event_time) - epoch_us(first_event_time)) / 86400000000.0) + 1 as bigint) as active_days,
+    coalesce(abandoned_cart_sessions, 0) as abandoned_cart_sessions, total_events
+  from uagg u cross join snap left join uab a on u.user_id = a.user_id),
+scored as (
+  select *, round(transaction_count * 3.0 + conversion_rate * 2.0 + recommendation_ctr * 0.5
+    + removal_rate * -1.5 + cart_abandon_rate * -1.0 + (refund_count / (transaction_count + 1)) * -2.0
+    + ln(1 + cast(days_since_last_tx as double)) * -0.3, 9) as value_score
+  from feat),
+pct as (
+  select *, (rank() over (order by value_score) - 1 + (count(*) over (partition by value_score) + 1) / 2.0)
+            / count(*) over () as pct_rank
+  from scored),
+labeled as (
+  select *, case when pct_rank <= 0.33 then 0 when pct_rank <= 0.66 then 1 else 2 end as value_label from pct)
+"""
+register("customer_counts", q("""
+select u.user_id, total_events, view_count, add_count, remove_count, transaction_count, refund_count,
+  rec_shown, rec_clicked, first_event_time, last_event_time, unique_sessions, unique_products,
+  cast(coalesce(a.abandoned_cart_sessions, 0) as bigint) as abandoned_cart_sessions
+from uagg u left join uab a on u.user_id = a.user_id""", VALUE_CTES))
+register("abandoned_cart_sessions", q("select user_id, abandoned_cart_sessions from uab", VALUE_CTES))
+register("feature_left_merge", q(
+    "select user_id, cast(abandoned_cart_sessions as bigint) as abandoned_cart_sessions from feat", VALUE_CTES))
+register("last_tx_align", q("select user_id, days_since_last_tx from feat", VALUE_CTES))
+register("customer_value_features", q("""
+select user_id, transaction_count, add_count, remove_count, view_count, refund_count, unique_sessions,
+  unique_products, round(conversion_rate, 6) as conversion_rate, round(removal_rate, 6) as removal_rate,
+  round(cart_abandon_rate, 6) as cart_abandon_rate, round(recommendation_ctr, 6) as recommendation_ctr,
+  days_since_last_tx, round(events_per_day, 6) as events_per_day, active_days
+from feat""", VALUE_CTES))
+register("customer_value_score", q("select user_id, round(value_score, 6) as value_score from scored", VALUE_CTES))
+register("customer_value_label", q(
+    "select user_id, round(value_score, 6) as value_score, cast(value_label as integer) as value_label from labeled",
+    VALUE_CTES))
+register("pct_rank_average", q("select user_id, round(pct_rank, 6) as pct_rank from pct", VALUE_CTES))
+register("value_label_summary", q("""
+select cast(value_label as integer) as value_label, count(*) as customers,
+  round(min(value_score), 6) as min_score, round(max(value_score), 6) as max_score
+from labeled group by value_label""", VALUE_CTES))

@@ -238,3 +238,125 @@ def _seed_csv(s, d):
 @query("active_users_only")
 def _active_users(s, d):
     return shop_users(s, d).filter(~F.col("is_deleted")).select("id", "email")
+
+
+# --- sessions and customer value ------------------------------------------------------------
+from ..functions import exprs as X  # noqa: E402
+from ..operators import sessions as SS  # noqa: E402
+from ..operators import value as V  # noqa: E402
+
+
+def r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+@query("session_basket")
+def _session_basket(s, d):
+    b = SS.session_baskets(I.user_events(s, d))
+    return b.select("user_id", "session_id", "event_type", "has_transaction",
+                    F.array_join("cart_product_id_list", ",").alias("cart_products"),
+                    "total_cart_items", "total_session_events", "first_timestamp", "last_timestamp")
+
+
+@query("logged_in_only")
+def _logged_in_only(s, d):
+    return SS.logged_in_only(I.all_validated(s, d)).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+@query("derive_session_id")
+def _derive_session_id(s, d):
+    ev = SS.logged_in_only(I.user_events(s, d)).drop("session_id")
+    return SS.derive_session_id(ev).select("id", "session_id")
+
+
+@query("recover_user_from_session")
+def _recover_user(s, d):
+    # the CSV hop loses the user id of every row; it comes back from the session id
+    ev = I.user_events(s, d).withColumn("user_id", F.lit(None).cast("string"))
+    return SS.recover_user(ev).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("normalise_product_id")
+def _normalise_product_id(s, d):
+    # a float-typed product column (as pandas reads it) prints as '69.0'
+    ev = I.user_events(s, d).withColumn("product_id", F.col("product_id").cast("double").cast("string"))
+    return ev.select("id", X.normalise_product_id("product_id").alias("product_id"))
+
+
+@query("parse_basket")
+def _parse_basket(s, d):
+    b = SS.session_baskets(I.user_events(s, d)).filter(F.col("total_cart_items") > 0)
+    # half the baskets as JSON text, half in a loose python-list style
+    loose = F.concat(F.lit("["), F.array_join(F.transform("cart_product_id_list",
+                                                          lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
+                     F.lit("]"))
+    text = F.when(F.length("session_id") % 2 == 0, F.to_json("cart_product_id_list")).otherwise(loose)
+    parsed = b.select("session_id", "user_id", X.parse_basket(text).alias("items"))
+    return parsed.select("session_id", "user_id", F.array_join("items", ",").alias("items"))
+
+
+def _value_events(s, d):
+    return I.all_validated(s, d)
+
+
+@query("customer_counts")
+def _customer_counts(s, d):
+    return V.customer_counts(_value_events(s, d)).drop("last_transaction_time")
+
+
+@query("abandoned_cart_sessions")
+def _abandoned(s, d):
+    return V.abandoned_cart_sessions(_value_events(s, d))
+
+
+@query("feature_left_merge")
+def _feature_left_merge(s, d):
+    c = V.customer_counts(_value_events(s, d)).select("user_id", "total_events")
+    a = V.abandoned_cart_sessions(_value_events(s, d))
+    return (c.join(a, "user_id", "left")
+             .select("user_id", F.coalesce("abandoned_cart_sessions", F.lit(0).cast("bigint"))
+                     .alias("abandoned_cart_sessions")))
+
+
+@query("last_tx_align")
+def _last_tx_align(s, d):
+    return V.customer_value_features(_value_events(s, d)).select("user_id", "days_since_last_tx")
+
+
+_FEATURE_DOUBLES = ["conversion_rate", "removal_rate", "cart_abandon_rate", "recommendation_ctr",
+                    "events_per_day"]
+
+
+def _round_features(df):
+    return df.select(*[r6(c) if c in _FEATURE_DOUBLES + ["value_score"] else F.col(c) for c in df.columns])
+
+
+@query("customer_value_features")
+def _features(s, d):
+    return _round_features(V.customer_value_features(_value_events(s, d)))
+
+
+@query("customer_value_score")
+def _score(s, d):
+    return V.value_score(V.customer_value_features(_value_events(s, d))).select("user_id", r6("value_score"))
+
+
+@query("customer_value_label")
+def _label(s, d):
+    return V.customer_value(_value_events(s, d)).select("user_id", r6("value_score"), "value_label")
+
+
+@query("pct_rank_average")
+def _pct_rank(s, d):
+    sc = V.value_score(V.customer_value_features(_value_events(s, d))).select("user_id", "value_score")
+    return V.pct_rank_average(sc, "value_score", "pct_rank").select("user_id", r6("pct_rank"))
+
+
+@query("value_label_summary")
+def _label_summary(s, d):
+    lab = V.customer_value(_value_events(s, d))
+    return lab.groupBy("value_label").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.round(F.min("value_score"), 6).alias("min_score"),
+        F.round(F.max("value_score"), 6).alias("max_score"))
