@@ -6,6 +6,8 @@ Shared common table expressions rebuild the canonical views and the validation c
 
 from __future__ import annotations
 
+import re
+
 from ..schema import NOTIF_EVENTS, REC_EVENTS, USER_EVENTS
 
 
@@ -92,8 +94,12 @@ def q(body: str, extra: str = "") -> str:
 ORACLE: dict[str, str] = {}
 
 
+_ROUND6 = re.compile(r"round\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*?), 6\)")
+
+
 def register(name: str, sql: str) -> None:
-    ORACLE[name] = sql.strip()
+    # DuckDB's round() can return -0.0 where Spark returns 0.0; adding 0.0 normalises it
+    ORACLE[name] = _ROUND6.sub(lambda m: f"(round({m.group(1)}, 6) + 0.0)", sql.strip())
 
 
 # --- daily analytics ---------------------------------------------------------------
@@ -340,3 +346,107 @@ register("value_label_summary", q("""
 select cast(value_label as integer) as value_label, count(*) as customers,
   round(min(value_score), 6) as min_score, round(max(value_score), 6) as max_score
 from labeled group by value_label""", VALUE_CTES))
+
+# --- itemsets, rules, predictions ---------------------------------------------------------
+BRAND_CTES = """,
+bb as (
+  select l_orderkey as basket_id, list_sort(list(distinct p_brand)) as items
+  from lineitem join part on l_partkey = p_partkey group by l_orderkey)
+"""
+
+
+def _mining_ctes(src: str, min_support: float = 0.001) -> str:
+    """Frequent itemsets by full subset enumeration of each basket (exact support counts),
+    then rules by splitting each itemset with a bit mask."""
+    return f""",
+mb as (select basket_id, list_sort(list_distinct(items)) as items from {src} where len(items) > 0),
+nb as (select count(*) as n from mb),
+subsets as (
+  select basket_id, list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) as s
+  from (select basket_id, items, unnest(range(1, cast(pow(2, len(items)) as bigint))) as m from mb) t),
+fi as (
+  select s as items, len(s) as size, count(*) as freq, count(*) / (select n from nb) as support
+  from subsets group by s having count(*) >= ceil({min_support} * (select n from nb))),
+fik as (select array_to_string(items, ',') as k, support from fi),
+splits as (
+  select list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) as a,
+         list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 0) as c, support
+  from (select items, support, unnest(range(1, cast(pow(2, size) as bigint) - 1)) as m from fi where size >= 2) t),
+rl as (
+  select sp.a as antecedents, sp.c as consequents, fa.support as antecedent_support,
+    fc.support as consequent_support, sp.support, sp.support / fa.support as confidence
+  from splits sp join fik fa on array_to_string(sp.a, ',') = fa.k
+                 join fik fc on array_to_string(sp.c, ',') = fc.k
+  where sp.support / fa.support >= 0.1),
+rules as (
+  select *, confidence / consequent_support as lift,
+    support - antecedent_support * consequent_support as leverage,
+    case when confidence < 1 then (1 - consequent_support) / (1 - confidence) end as conviction
+  from rl)
+"""
+
+
+def _itemsets_sql(ctes):
+    return q("select array_to_string(items, ',') as items, cast(size as bigint) as size, freq, "
+             "round(support, 6) as support from fi", ctes)
+
+
+def _rules_sql(ctes):
+    return q("""
+select array_to_string(antecedents, ',') as antecedents, array_to_string(consequents, ',') as consequents,
+  round(antecedent_support, 6) as antecedent_support, round(consequent_support, 6) as consequent_support,
+  round(support, 6) as support, round(confidence, 6) as confidence, round(lift, 6) as lift,
+  round(leverage, 6) as leverage, round(conviction, 6) as conviction
+from rules""", ctes)
+
+
+BRAND_MINING = BRAND_CTES + _mining_ctes("bb")
+SESSION_MINING = SESSION_CTES + """,
+sbk as (select session_id || '|' || suser as basket_id, string_split(cart_products, ',') as items from sbask)
+""" + _mining_ctes("sbk")
+
+register("basket_split", q("""
+select case when cast(('0x' || substr(md5('42:' || cast(basket_id as varchar)), 1, 8)) as bigint) % 100 < 30
+            then 'test' else 'train' end as split, count(*) as baskets
+from bb group by 1""", BRAND_CTES))
+register("frequent_itemsets", _itemsets_sql(BRAND_MINING))
+register("association_rules", _rules_sql(BRAND_MINING))
+register("rules_sink", _rules_sql(BRAND_MINING))
+register("session_itemsets", _itemsets_sql(SESSION_MINING))
+register("session_rules", _rules_sql(SESSION_MINING))
+
+PREDICT_CTES = """,
+rk as (select *, row_number() over () as rule_id from rules),
+bitems as (select basket_id, items, unnest(items) as item from mb),
+matched as (
+  select b.basket_id, b.items, r.rule_id, r.consequents, r.lift, r.confidence
+  from bitems b join rk r on r.antecedents[1] = b.item
+  where list_has_all(b.items, r.antecedents)),
+cand as (
+  select basket_id, item, lift, confidence from (
+    select basket_id, items, lift, confidence, unnest(consequents) as item from matched) t
+  where not list_contains(items, item)),
+best as (
+  select basket_id, item, lift, confidence from cand
+  qualify row_number() over (partition by basket_id, item order by lift desc, confidence desc) = 1),
+pred as (
+  select basket_id, item, row_number() over (partition by basket_id order by lift desc, confidence desc, item) as rank
+  from best qualify rank <= 5)
+"""
+register("basket_predictions", q(
+    "select basket_id, string_agg(item, ',' order by rank) as predicted_items from pred group by basket_id",
+    SESSION_MINING + PREDICT_CTES))
+register("top_n_per_basket", q("select basket_id, item, cast(rank as bigint) as rank from pred",
+                               SESSION_MINING + PREDICT_CTES))
+register("rule_subset_join", q("select basket_id, count(*) as matched_rules from matched group by basket_id",
+                               SESSION_MINING + PREDICT_CTES))
+register("rule_summary", q("""
+select (select count(*) from fi) as frequent_itemsets_count, count(*) as association_rules_count,
+  round(avg(lift), 6) as avg_lift, round(avg(confidence), 6) as avg_confidence, round(avg(support), 6) as avg_support,
+  (select count(*) from bbs where split = 'train') as train_transactions,
+  (select count(*) from bbs where split = 'test') as test_transactions
+from rules""", BRAND_CTES + """,
+bbs as (select *, case when cast(('0x' || substr(md5('42:' || cast(basket_id as varchar)), 1, 8)) as bigint) % 100 < 30
+                       then 'test' else 'train' end as split from bb),
+bbt as (select * from bbs where split = 'train')
+""" + _mining_ctes("bbt")))

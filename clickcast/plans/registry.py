@@ -360,3 +360,98 @@ def _label_summary(s, d):
         F.count(F.lit(1)).alias("customers"),
         F.round(F.min("value_score"), 6).alias("min_score"),
         F.round(F.max("value_score"), 6).alias("max_score"))
+
+
+# --- itemsets, rules, predictions -------------------------------------------------------------
+from ..operators import rules as RU  # noqa: E402
+from ..sources.tables import brand_baskets  # noqa: E402
+
+
+def _join(c, out=None):
+    return F.array_join(c, ",").alias(out or c)
+
+
+def _itemsets_out(fi):
+    return fi.select(_join("items"), F.col("size").cast("bigint").alias("size"), "freq", r6("support"))
+
+
+def _rules_out(r):
+    return r.select(_join("antecedents"), _join("consequents"), r6("antecedent_support"),
+                    r6("consequent_support"), r6("support"), r6("confidence"), r6("lift"),
+                    r6("leverage"), r6("conviction"))
+
+
+def session_mining_baskets(s, d):
+    """Non-empty session baskets keyed by (session_id, user_id) -> basket_id text."""
+    b = SS.session_baskets(I.user_events(s, d)).filter(F.col("total_cart_items") > 0)
+    return b.select(F.concat_ws("|", "session_id", "user_id").alias("basket_id"),
+                    F.col("cart_product_id_list").alias("items"))
+
+
+@query("basket_split")
+def _basket_split(s, d):
+    return RU.basket_split(brand_baskets(s, d)).groupBy("split").agg(F.count(F.lit(1)).alias("baskets"))
+
+
+@query("frequent_itemsets")
+def _frequent_itemsets(s, d):
+    return _itemsets_out(RU.frequent_itemsets(brand_baskets(s, d)))
+
+
+@query("association_rules")
+def _association_rules(s, d):
+    return _rules_out(RU.association_rules(RU.frequent_itemsets(brand_baskets(s, d))))
+
+
+@query("session_itemsets")
+def _session_itemsets(s, d):
+    return _itemsets_out(RU.frequent_itemsets(session_mining_baskets(s, d)))
+
+
+@query("session_rules")
+def _session_rules(s, d):
+    return _rules_out(RU.association_rules(RU.frequent_itemsets(session_mining_baskets(s, d))))
+
+
+def _session_predictions(s, d):
+    b = session_mining_baskets(s, d)
+    fi = RU.frequent_itemsets(b)
+    return RU.basket_predictions(b, RU.association_rules(fi), fi)
+
+
+@query("basket_predictions")
+def _basket_predictions(s, d):
+    p = _session_predictions(s, d)
+    return p.groupBy("basket_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]), ",").alias("predicted_items"))
+
+
+@query("top_n_per_basket")
+def _top_n(s, d):
+    return _session_predictions(s, d).select("basket_id", "item", "rank")
+
+
+@query("rule_subset_join")
+def _rule_subset_join(s, d):
+    b = session_mining_baskets(s, d)
+    fi = RU.frequent_itemsets(b)
+    m = RU.matching_rules(b, RU.rule_keys(RU.association_rules(fi), fi))
+    return m.groupBy("basket_id").agg(F.count(F.lit(1)).alias("matched_rules"))
+
+
+@query("rule_summary")
+def _rule_summary(s, d):
+    sp = RU.basket_split(brand_baskets(s, d))
+    train = sp.filter(F.col("split") == "train")
+    fi = RU.frequent_itemsets(train)
+    rs = RU.rule_summary(fi, RU.association_rules(fi), sp)
+    return rs.select("frequent_itemsets_count", "association_rules_count", r6("avg_lift"),
+                     r6("avg_confidence"), r6("avg_support"), "train_transactions", "test_transactions")
+
+
+@query("rules_sink")
+def _rules_sink(s, d):
+    path = scratch(s, "rules")
+    rules = RU.association_rules(RU.frequent_itemsets(brand_baskets(s, d)))
+    rules.orderBy(F.desc("lift")).write.parquet(path)
+    return _rules_out(s.read.parquet(path))
