@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, elapsed_days, is_present, safe_ratio
 from ..schema import LABEL_CUTS, NO_TX_DAYS, SCORE_WEIGHTS
-from .enrich import maybe_broadcast
 
 RANK_BUCKETS = 256
 FEATURE_COLUMNS = [
@@ -81,8 +80,7 @@ def customer_value_features(events: DataFrame) -> DataFrame:
     """The 14 model features per user. The snapshot is the latest event time of the input
     (a one-row scalar aggregate, cross joined)."""
     c = customer_counts(events)
-    snap = _logged_in(events).agg(F.max("event_time").alias("snapshot"))
-    c = c.crossJoin(snap)
+    c = c.withColumn("snapshot", _logged_in(events).agg(F.max("event_time")).scalar())
     days = F.least(F.coalesce(elapsed_days(F.col("snapshot"), F.col("last_transaction_time")),
                               F.lit(NO_TX_DAYS)), F.lit(NO_TX_DAYS)).cast("bigint")
     active = (elapsed_days(F.col("last_event_time"), F.col("first_event_time")) + 1).cast("bigint")
@@ -126,8 +124,8 @@ def pct_rank_average(df: DataFrame, col: str, out: str = "pct_rank",
     v = F.col(col)
     dist = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = dist.agg(F.percentile_approx("_v", qs, 10000).alias("_b"))
-    dist = dist.crossJoin(bounds).withColumn(
+    bounds = dist.agg(F.percentile_approx("_v", qs, 10000)).scalar()
+    dist = dist.withColumn("_b", bounds).withColumn(
         "_k", F.size(F.filter("_b", lambda x: x < F.col("_v")))).drop("_b")
     per_bucket = dist.groupBy("_k").agg(F.sum("_c").alias("_bc"))
     offsets = per_bucket.select(
@@ -139,7 +137,9 @@ def pct_rank_average(df: DataFrame, col: str, out: str = "pct_rank",
     ranked = (dist.join(F.broadcast(offsets), "_k")
               .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
               .select(F.col("_v"), ((F.col("_less") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out)))
-    return df.join(maybe_broadcast(ranked), df[col] == ranked["_v"], "left").drop("_v")
+    # one row per distinct value: AQE turns this into a broadcast join at runtime when the
+    # measured size is small, and splits a hot value's partition otherwise
+    return df.join(ranked, df[col] == ranked["_v"], "left").drop("_v")
 
 
 def value_label(scored: DataFrame) -> DataFrame:

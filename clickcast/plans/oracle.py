@@ -450,3 +450,66 @@ bbs as (select *, case when cast(('0x' || substr(md5('42:' || cast(basket_id as
                        then 'test' else 'train' end as split from bb),
 bbt as (select * from bbs where split = 'train')
 """ + _mining_ctes("bbt")))
+
+# --- recommendations ----------------------------------------------------------------------
+RECO_CTES = SESSION_MINING + """,
+seeds as (
+  select customer_key as actor, id_type, product_id,
+    row_number() over (partition by customer_key, id_type order by event_time desc, id desc) as pos
+  from ue where product_id is not null qualify pos <= 10),
+actors as (select distinct actor, id_type from seeds),
+sb as (select actor, id_type, actor || chr(1) || id_type as basket_id, list_sort(list(distinct product_id)) as items
+       from seeds group by actor, id_type),
+rk2 as (select *, row_number() over () as rule_id from rules),
+sbi as (select basket_id, items, unnest(items) as item from sb),
+m2 as (select b.basket_id, b.items, r.consequents, r.lift, r.confidence
+       from sbi b join rk2 r on r.antecedents[1] = b.item where list_has_all(b.items, r.antecedents)),
+c2 as (select basket_id, item, lift, confidence
+       from (select basket_id, items, lift, confidence, unnest(consequents) as item from m2) t
+       where not list_contains(items, item)),
+b2 as (select * from c2 qualify row_number() over (partition by basket_id, item order by lift desc, confidence desc) = 1),
+p2 as (select basket_id, item, row_number() over (partition by basket_id order by lift desc, confidence desc, item) as rnk
+       from b2 qualify rnk <= 5),
+st0 as (select sb.actor, sb.id_type, p2.item as product_id, 0 as stage, p2.rnk as pos
+        from p2 join sb on p2.basket_id = sb.basket_id
+        where p2.item in (select cast(id as varchar) from sp)),
+scat as (select distinct s.actor, s.id_type, p.category from seeds s join sp p on s.product_id = cast(p.id as varchar)
+         where p.category is not null),
+st2 as (
+  select c.actor, c.id_type, cast(p.id as varchar) as product_id, 2 as stage,
+    row_number() over (partition by c.actor, c.id_type
+                       order by p.reviews desc nulls first, p.stars desc nulls first, p.id) as pos
+  from scat c join sp p on p.category = c.category
+  where not exists (select 1 from seeds s where s.actor = c.actor and s.id_type = c.id_type
+                    and s.product_id = cast(p.id as varchar))),
+st3 as (
+  select a.actor, a.id_type, cast(p.id as varchar) as product_id, 3 as stage,
+    row_number() over (partition by a.actor, a.id_type
+                       order by p.is_best_seller desc, p.reviews desc nulls first, p.stars desc nulls first, p.id) as pos
+  from actors a cross join sp p
+  where not exists (select 1 from seeds s where s.actor = a.actor and s.id_type = a.id_type
+                    and s.product_id = cast(p.id as varchar))),
+allst as (select * from st0 union all select * from st2 union all select * from st3),
+firsts as (select * from allst qualify row_number() over (partition by actor, id_type, product_id order by stage, pos) = 1),
+recs as (select actor, id_type, product_id, stage,
+           row_number() over (partition by actor, id_type order by stage, pos) as rnk from firsts qualify rnk <= 8)
+"""
+register("recent_interactions", q("select actor, id_type, product_id, pos from seeds", RECO_CTES))
+register("recommend_for_users", q(
+    "select actor, id_type, product_id, cast(stage as bigint) as stage, rnk as rank from recs", RECO_CTES))
+register("rule_stage_recommendations", q("select actor, id_type, product_id, pos from st0", RECO_CTES))
+register("category_popularity", q("select actor, id_type, product_id, pos from st2 where pos <= 8", RECO_CTES))
+register("global_popularity", q("select actor, id_type, product_id, pos from st3 where pos <= 8", RECO_CTES))
+register("exclude_seen_anti", q("""
+select actor, id_type, product_id, row_number() over (partition by actor, id_type order by pos) as pos
+from st2 where not exists (select 1 from st0 where st0.actor = st2.actor and st0.id_type = st2.id_type
+                           and st0.product_id = st2.product_id)
+qualify pos <= 8""", RECO_CTES))
+register("exclude_current_product", q("""
+select c.actor, c.id_type, cast(p.id as varchar) as product_id,
+  row_number() over (partition by c.actor, c.id_type order by p.reviews desc nulls first, p.stars desc nulls first, p.id) as pos
+from (select s.actor, s.id_type, s.product_id, p0.category from seeds s join sp p0 on s.product_id = cast(p0.id as varchar)
+      where s.pos = 1 and p0.category is not null) c
+join sp p on p.category = c.category
+where cast(p.id as varchar) <> c.product_id
+qualify pos <= 8""", RECO_CTES))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from ..operators import analytics as A
 from . import inputs as I
@@ -455,3 +455,78 @@ def _rules_sink(s, d):
     rules = RU.association_rules(RU.frequent_itemsets(brand_baskets(s, d)))
     rules.orderBy(F.desc("lift")).write.parquet(path)
     return _rules_out(s.read.parquet(path))
+
+
+# --- recommendations ----------------------------------------------------------------------------
+from ..operators import recommend as RC  # noqa: E402
+from ..schema import RECENT_INTERACTIONS, RECOMMEND_LIMIT  # noqa: E402
+
+
+def _session_rules(s, d):
+    fi = RU.frequent_itemsets(session_mining_baskets(s, d))
+    return RU.association_rules(fi), fi
+
+
+def _seeds(s, d):
+    return RC.recent_interactions(I.user_events(s, d))
+
+
+@query("recent_interactions")
+def _recent(s, d):
+    return _seeds(s, d)
+
+
+@query("recommend_for_users")
+def _recommend(s, d):
+    rules, fi = _session_rules(s, d)
+    r = RC.recommend_for_all(I.user_events(s, d), shop_products(s, d), rules, fi)
+    return r.select("actor", "id_type", "product_id", F.col("stage").cast("bigint").alias("stage"), "rank")
+
+
+@query("rule_stage_recommendations")
+def _rule_stage(s, d):
+    rules, fi = _session_rules(s, d)
+    r = RC.rule_stage(_seeds(s, d), rules, fi, shop_products(s, d))
+    return r.select("actor", "id_type", "product_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+_DEPTH = RECOMMEND_LIMIT + RECENT_INTERACTIONS + RECOMMEND_LIMIT
+
+
+@query("category_popularity")
+def _category_popularity(s, d):
+    st = RC.category_stage(_seeds(s, d), shop_products(s, d), _DEPTH)
+    return st.filter(F.col("pos") <= RECOMMEND_LIMIT).select(
+        "actor", "id_type", "product_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("global_popularity")
+def _global_popularity(s, d):
+    seeds = _seeds(s, d)
+    st = RC.global_stage(seeds.select("actor", "id_type").distinct(), seeds, shop_products(s, d), _DEPTH)
+    return st.filter(F.col("pos") <= RECOMMEND_LIMIT).select(
+        "actor", "id_type", "product_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("exclude_seen_anti")
+def _exclude_seen(s, d):
+    """Category suggestions without the actor's seeds and without products an earlier
+    (rule) stage already chose, re-ranked, first ``limit``."""
+    seeds = _seeds(s, d)
+    rules, fi = _session_rules(s, d)
+    chosen = RC.rule_stage(seeds, rules, fi, shop_products(s, d))
+    st = RC.category_stage(seeds, shop_products(s, d), _DEPTH)
+    st = st.join(chosen.select("actor", "id_type", "product_id"), ["actor", "id_type", "product_id"], "left_anti")
+    w = Window.partitionBy("actor", "id_type").orderBy("pos")
+    return (st.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= RECOMMEND_LIMIT)
+              .select("actor", "id_type", "product_id", F.col("pos").cast("bigint").alias("pos")))
+
+
+@query("exclude_current_product")
+def _exclude_current(s, d):
+    """Same-category suggestions next to the product an actor is looking at (its most
+    recent one), without that product itself."""
+    cur = _seeds(s, d).filter(F.col("pos") == 1).select("actor", "id_type", "product_id")
+    sug = RC.category_stage(cur, shop_products(s, d), RECOMMEND_LIMIT + 1)
+    return (RC.exclude_current_product(sug, cur).filter(F.col("pos") <= RECOMMEND_LIMIT)
+              .select("actor", "id_type", "product_id", F.col("pos").cast("bigint").alias("pos")))
