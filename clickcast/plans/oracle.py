@@ -513,3 +513,145 @@ from (select s.actor, s.id_type, s.product_id, p0.category from seeds s join sp
 join sp p on p.category = c.category
 where cast(p.id as varchar) <> c.product_id
 qualify pos <= 8""", RECO_CTES))
+
+# --- daily report, carts and offers, catalogue, champion, activity --------------------------
+REPORT_CTES = """,
+rpt as (
+  select event_date as date,
+    coalesce(sum(case when event_type = 'transaction' then p.price end), 0.0) as total_revenue,
+    count(*) filter (where event_type = 'transaction') as total_orders,
+    coalesce(sum(case when event_type = 'transaction' and is_recommended then p.price end), 0.0) as recommended_revenue,
+    count(*) filter (where event_type = 'view' and is_recommended) as impressions,
+    count(*) filter (where event_type = 'add_to_cart' and is_recommended) as clicks,
+    count(*) filter (where event_type = 'transaction' and is_recommended) as conversions
+  from ue left join sp p on ue.product_id = cast(p.id as varchar)
+  group by event_date),
+report as (
+  select date, total_revenue, total_orders, recommended_revenue,
+    case when impressions > 0 then clicks / impressions * 100 else 0.0 end as recommender_ctr,
+    case when clicks > 0 then conversions / clicks * 100 else 0.0 end as recommender_conversion
+  from rpt)
+"""
+_REPORT_SELECT = ("select date, round(total_revenue, 6) as total_revenue, round(recommended_revenue, 6) as "
+                  "recommended_revenue, round(recommender_ctr, 6) as recommender_ctr, "
+                  "round(recommender_conversion, 6) as recommender_conversion, total_orders from report")
+register("daily_report", q(_REPORT_SELECT, REPORT_CTES))
+register("recent_reports", q(_REPORT_SELECT + " order by date desc limit 30", REPORT_CTES))
+register("insert_if_absent", q(_REPORT_SELECT, REPORT_CTES))
+register("revenue_join", q(
+    "select ue.id, ue.product_id, p.price from ue join sp p on ue.product_id = cast(p.id as varchar) "
+    "where event_type = 'transaction'"))
+
+CART_CTES = VALUE_CTES + """,
+cu as (select user_id, id, event_time, event_type, product_id from ue
+       where user_id is not null and trim(user_id) <> ''),
+snapc as (select max(event_time) as snap from cu),
+c1 as (
+  select *,
+    sum(case when event_type = 'transaction' then 1 else 0 end)
+      over (partition by user_id order by event_time, id rows between unbounded preceding and current row) as epoch,
+    sum(case when (event_type = 'add_to_cart' and product_id is not null and trim(product_id) <> '')
+                  or event_type = 'transaction' then 1 else 0 end)
+      over (partition by user_id order by event_time, id rows between unbounded preceding and current row) as episode,
+    sum(case when event_type = 'transaction' then 1 else 0 end) over (partition by user_id) as last_epoch,
+    lead(event_time) over (partition by user_id order by event_time, id) as next_t,
+    event_type in ('add_to_cart', 'delete_from_cart') and product_id is not null and trim(product_id) <> '' as ad
+  from cu),
+c2 as (select *, case when ad then lag(event_type) over (partition by user_id, epoch, product_id, ad
+                                                            order by event_time, id) end as prev from c1),
+c3 as (
+  select *, sum(case when ad and event_type = 'add_to_cart' and coalesce(prev, '') <> 'add_to_cart' then 1
+                     when ad and event_type = 'delete_from_cart' and prev = 'add_to_cart' then -1 else 0 end)
+              over (partition by user_id, epoch order by event_time, id
+                    rows between unbounded preceding and current row) as cart_size
+  from c2),
+ab as (
+  select user_id, cast(episode as bigint) as episode, event_time as last_activity,
+    event_time + interval 15 minute as notify_at, cast(cart_size as bigint) as cart_size
+  from c3 cross join snapc
+  where cart_size > 0 and coalesce(next_t, snap) > event_time + interval 15 minute
+  qualify row_number() over (partition by user_id, episode order by event_time, id) = 1),
+cartl as (
+  select user_id, product_id, event_type from c1
+  where epoch = last_epoch and ad
+  qualify row_number() over (partition by user_id, product_id order by event_time desc, id desc) = 1),
+cart as (select user_id, product_id from cartl where event_type = 'add_to_cart'),
+cartp as (select c.user_id, c.product_id, p.title, cast(p.price as double) as price, cast(1 as bigint) as quantity
+          from cart c left join sp p on c.product_id = cast(p.id as varchar)),
+offers as (
+  select a.user_id, a.episode, a.notify_at, l.value_label,
+    cast(case l.value_label when 2 then 3 when 1 then 8 when 0 then 15 else 5 end as bigint) as discount,
+    case l.value_label when 2 then 'High' when 1 then 'Medium' when 0 then 'Low' else 'Unknown' end as tier,
+    coalesce(u.email, 'user_' || a.user_id || '@unknown.com') as email,
+    'SAVE' || cast(case l.value_label when 2 then 3 when 1 then 8 when 0 then 15 else 5 end as varchar) || '-'
+      || (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789',
+                 cast(floor(h / pow(36, i)) % 36 + 1 as integer), 1), '' order by i)
+          from (select cast(('0x' || substr(md5(a.user_id || ':' || cast(a.episode as varchar)), 1, 12)) as bigint) as h) hh,
+               range(0, 6) r(i)) as coupon
+  from ab a
+  left join (select user_id, cast(value_label as integer) as value_label from labeled) l on a.user_id = l.user_id
+  left join (select cast(id as varchar) as user_id, email from su where not is_deleted) u on a.user_id = u.user_id)
+"""
+register("abandoned_carts_batch", q("select * from ab", CART_CTES))
+register("cart_contents", q("select user_id, product_id from cart", CART_CTES))
+register("cart_product_join", q("select * from cartp", CART_CTES))
+register("cart_totals", q(
+    "select user_id, cast(sum(quantity) as bigint) as items, round(sum(coalesce(price, 0.0) * quantity), 2) as total "
+    "from cartp group by user_id", CART_CTES))
+register("score_lookup", q("select user_id, episode, value_label from offers", CART_CTES))
+register("email_lookup", q("select distinct user_id, email from offers", CART_CTES))
+register("discount_offers", q("select * from offers", CART_CTES))
+register("notifier_counters", q("""
+select (select count(*) from cu) as events_processed, (select count(*) from ab) as cart_abandonments,
+  (select count(*) from ab) as notifications_sent, (select count(distinct user_id) from cart) as active_carts""",
+                                CART_CTES))
+
+register("product_search", q("""
+select id, title, category, price, (select count(*) from sp where title ilike '%green%') as total,
+  cast(ceil((select count(*) from sp where title ilike '%green%') / 20) as bigint) as pages
+from sp where title ilike '%green%' order by id limit 20 offset 20"""))
+register("products_in_category", q("""
+select id, title, category, price, (select count(*) from sp where category = (select category from sp order by id limit 1)) as total,
+  cast(ceil((select count(*) from sp where category = (select category from sp order by id limit 1)) / 20) as bigint) as pages
+from sp where category = (select category from sp order by id limit 1) order by id limit 20"""))
+register("categories_sorted", q(
+    "select cast(dense_rank() over (order by category) as bigint) as id, category as category_name "
+    "from (select distinct category from sp where category is not null) c"))
+register("product_category_join", q("""
+select p.id, p.title, c.id as category_id, c.category_name from sp p left join
+  (select cast(dense_rank() over (order by category) as bigint) as id, category as category_name
+   from (select distinct category from sp where category is not null) x) c on p.category = c.category_name"""))
+
+CHAMP_CTES = REPORT_CTES + """,
+runs as (
+  select model_name, cast(date as varchar) as run_id, date as run_time, metric from (
+    select date, 'total_revenue' as model_name, total_revenue as metric from report
+    union all select date, 'recommender_ctr', recommender_ctr from report
+    union all select date, 'recommender_conversion', recommender_conversion from report) u),
+hist as (
+  select *, metric is not null and (best is null or metric > best) as promoted from (
+    select *, max(metric) over (partition by model_name order by run_time, run_id
+                                rows between unbounded preceding and 1 preceding) as best from runs) t),
+hist2 as (
+  select *, last(case when promoted then run_id end ignore nulls) over (
+    partition by model_name order by run_time, run_id rows between unbounded preceding and current row) as champion_run
+  from hist)
+"""
+register("champion_history", q(
+    "select model_name, run_id, round(metric, 6) as metric, promoted, champion_run from hist2", CHAMP_CTES))
+register("champion_selection", q(
+    "select model_name, arg_max(run_id, run_time) as champion_run from hist2 where promoted group by model_name",
+    CHAMP_CTES))
+register("customer_activity_batch", q("""
+select time_bucket(interval 10 minute, event_time) as window_start,
+  time_bucket(interval 10 minute, event_time) + interval 10 minute as window_end,
+  customer_key, id_type, count(*) as event_count,
+  count(*) filter (where event_type = 'view') as views,
+  count(*) filter (where event_type = 'add_to_cart') as add_to_carts,
+  count(*) filter (where event_type = 'delete_from_cart') as cart_removals,
+  count(*) filter (where event_type = 'transaction') as transactions,
+  count(*) filter (where event_type = 'refund_request') as refund_requests,
+  count(*) filter (where event_type = 'recommendation_clicked') as recs_clicked,
+  count(*) filter (where is_recommended) as recommended_events,
+  count(distinct product_id) as distinct_products_touched
+from allv group by 1, 2, customer_key, id_type"""))

@@ -530,3 +530,151 @@ def _exclude_current(s, d):
     sug = RC.category_stage(cur, shop_products(s, d), RECOMMEND_LIMIT + 1)
     return (RC.exclude_current_product(sug, cur).filter(F.col("pos") <= RECOMMEND_LIMIT)
               .select("actor", "id_type", "product_id", F.col("pos").cast("bigint").alias("pos")))
+
+
+# --- daily report, carts and offers, catalogue, champion, activity -----------------------------
+from ..operators import activity as AC  # noqa: E402
+from ..operators import carts as CT  # noqa: E402
+from ..operators import catalog as CG  # noqa: E402
+from ..operators import champion as CH  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+from ..sources.tables import shop_categories  # noqa: E402
+
+_REPORT_DOUBLES = ["total_revenue", "recommended_revenue", "recommender_ctr", "recommender_conversion"]
+
+
+def _report(s, d):
+    return RP.daily_report(I.user_events(s, d), shop_products(s, d))
+
+
+def _report_out(r):
+    return r.select("date", *[r6(c) for c in _REPORT_DOUBLES], "total_orders")
+
+
+@query("daily_report")
+def _daily_report(s, d):
+    return _report_out(_report(s, d))
+
+
+@query("recent_reports")
+def _recent_reports(s, d):
+    return _report_out(RP.recent_reports(_report(s, d), 30))
+
+
+@query("insert_if_absent")
+def _insert_if_absent(s, d):
+    """A report table first built two weeks into the data, then topped up from all events:
+    only dates not yet present are appended."""
+    ue = I.user_events(s, d)
+    cutoff = F.date_add(ue.agg(F.min("event_date")).scalar(), 14)
+    path = scratch(s, "daily_reports")
+    RP.daily_report(ue.filter(F.col("event_date") <= cutoff), shop_products(s, d)).write.parquet(path)
+    existing = s.read.parquet(path)
+    SK.insert_if_absent(_report(s, d), existing, "date").write.mode("append").parquet(path)
+    return _report_out(s.read.parquet(path))
+
+
+@query("revenue_join")
+def _revenue_join(s, d):
+    tx = I.user_events(s, d).filter(F.col("event_type") == "transaction").select("id", "product_id")
+    p = shop_products(s, d).select(F.col("id").cast("string").alias("product_id"), "price")
+    return tx.join(EN.maybe_broadcast(p), "product_id").select("id", "product_id", "price")
+
+
+def _abandoned(s, d):
+    return CT.abandoned_carts(I.user_events(s, d))
+
+
+@query("abandoned_carts_batch")
+def _abandoned_carts(s, d):
+    return _abandoned(s, d)
+
+
+@query("cart_contents")
+def _cart_contents(s, d):
+    return CT.cart_contents(I.user_events(s, d))
+
+
+@query("cart_product_join")
+def _cart_product_join(s, d):
+    return CT.cart_with_products(CT.cart_contents(I.user_events(s, d)), shop_products(s, d)).select(
+        "user_id", "product_id", "title", "price", "quantity")
+
+
+@query("cart_totals")
+def _cart_totals(s, d):
+    return CT.cart_totals(CT.cart_with_products(CT.cart_contents(I.user_events(s, d)), shop_products(s, d)))
+
+
+def _labels(s, d):
+    return V.customer_value(I.all_validated(s, d)).select("user_id", "value_label")
+
+
+@query("score_lookup")
+def _score_lookup(s, d):
+    return _abandoned(s, d).join(_labels(s, d), "user_id", "left").select("user_id", "episode", "value_label")
+
+
+@query("email_lookup")
+def _email_lookup(s, d):
+    o = CT.discount_offers(_abandoned(s, d), _labels(s, d), shop_users(s, d))
+    return o.select("user_id", "email").distinct()
+
+
+@query("discount_offers")
+def _discount_offers(s, d):
+    return CT.discount_offers(_abandoned(s, d), _labels(s, d), shop_users(s, d))
+
+
+@query("notifier_counters")
+def _notifier_counters(s, d):
+    ue = I.user_events(s, d)
+    return CT.notifier_counters(ue, CT.abandoned_carts(ue), CT.cart_contents(ue))
+
+
+@query("product_search")
+def _product_search(s, d):
+    return CG.product_search(shop_products(s, d), "green", page=2, limit=20).select(
+        "id", "title", "category", "price", "total", "pages")
+
+
+@query("products_in_category")
+def _products_in_category(s, d):
+    p = shop_products(s, d)
+    first_cat = p.orderBy("id").limit(1).select("category").scalar()
+    return CG.products_in_category(p, first_cat, page=1, limit=20).select(
+        "id", "title", "category", "price", "total", "pages")
+
+
+@query("categories_sorted")
+def _categories_sorted(s, d):
+    return CG.categories_sorted(shop_categories(s, d))
+
+
+@query("product_category_join")
+def _product_category_join(s, d):
+    return EN.product_with_category(shop_products(s, d), shop_categories(s, d)).select(
+        "id", "title", "category_id", "category_name")
+
+
+def _runs(s, d):
+    r = _report(s, d)
+    return r.unpivot(["date"], ["total_revenue", "recommender_ctr", "recommender_conversion"],
+                     "model_name", "metric").select(
+        "model_name", F.col("date").cast("string").alias("run_id"), F.col("date").alias("run_time"), "metric")
+
+
+@query("champion_history")
+def _champion_history(s, d):
+    h = CH.champion_history(_runs(s, d))
+    return h.select("model_name", "run_id", r6("metric"), "promoted", "champion_run")
+
+
+@query("champion_selection")
+def _champion_selection(s, d):
+    return CH.current_champions(CH.champion_history(_runs(s, d)))
+
+
+@query("customer_activity_batch")
+def _activity(s, d):
+    return AC.customer_activity(I.all_validated(s, d))
