@@ -607,9 +607,9 @@ select (select count(*) from cu) as events_processed, (select count(*) from ab)
                                 CART_CTES))
 
 register("product_search", q("""
-select id, title, category, price, (select count(*) from sp where title ilike '%green%') as total,
-  cast(ceil((select count(*) from sp where title ilike '%green%') / 20) as bigint) as pages
-from sp where title ilike '%green%' order by id limit 20 offset 20"""))
+select id, title, category, price, (select count(*) from sp where title ilike '%RED%') as total,
+  cast(ceil((select count(*) from sp where title ilike '%RED%') / 20) as bigint) as pages
+from sp where title ilike '%RED%' order by id limit 20 offset 20"""))
 register("products_in_category", q("""
 select id, title, category, price, (select count(*) from sp where category = (select category from sp order by id limit 1)) as total,
   cast(ceil((select count(*) from sp where category = (select category from sp order by id limit 1)) / 20) as bigint) as pages

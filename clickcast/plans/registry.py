@@ -634,7 +634,7 @@ def _notifier_counters(s, d):
 
 @query("product_search")
 def _product_search(s, d):
-    return CG.product_search(shop_products(s, d), "green", page=2, limit=20).select(
+    return CG.product_search(shop_products(s, d), "RED", page=2, limit=20).select(
         "id", "title", "category", "price", "total", "pages")
 
 
