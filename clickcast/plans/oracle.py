@@ -655,3 +655,49 @@ select time_bucket(interval 10 minute, event_time) as window_start,
   count(*) filter (where is_recommended) as recommended_events,
   count(distinct product_id) as distinct_products_touched
 from allv group by 1, 2, customer_key, id_type"""))
+
+# --- streaming --------------------------------------------------------------------------------
+register("abandoned_carts_stream", q("select * from ab", CART_CTES))
+register("stream_dedupe", q(f"select {KEYED_COLS} from allv"))
+register("topic_dump_stream", q("""
+select 'user_events' as dump, count(*) as events from ue
+union all select 'recommendation_events', count(*) from rec
+union all select 'notification_events', count(*) from notif"""))
+register("customer_activity_stream", q("""
+select * from (
+select time_bucket(interval 10 minute, event_time) as window_start,
+  time_bucket(interval 10 minute, event_time) + interval 10 minute as window_end,
+  customer_key, id_type, count(*) as event_count,
+  count(*) filter (where event_type = 'view') as views,
+  count(*) filter (where event_type = 'add_to_cart') as add_to_carts,
+  count(*) filter (where event_type = 'delete_from_cart') as cart_removals,
+  count(*) filter (where event_type = 'transaction') as transactions,
+  count(*) filter (where event_type = 'refund_request') as refund_requests,
+  count(*) filter (where event_type = 'recommendation_clicked') as recs_clicked,
+  count(*) filter (where is_recommended) as recommended_events,
+  count(distinct product_id) as distinct_products_touched
+from allv group by 1, 2, customer_key, id_type) w
+where window_end <= (select max(event_time) from allv) - interval 10 minute"""))
+
+_TOPIC_CTE = {"user-events": "ue", "recommendation-actions": "rec", "notification-events": "notif"}
+
+
+def _metric_sql(m) -> str:
+    src = _TOPIC_CTE[m.topic]
+    where = f" where event_type = '{m.event_type}'" if m.event_type else ""
+    if m.group == "total":
+        return q(f"select count(*) as {m.column} from {src}{where}")
+    if m.group == "minute":
+        return q(f"select time_bucket(interval 1 minute, event_time) as window_start, "
+                 f"time_bucket(interval 1 minute, event_time) + interval 1 minute as window_end, "
+                 f"count(*) as {m.column} from {src}{where} group by 1, 2")
+    return q(f"select {m.group}, count(*) as {m.column} from {src}{where} group by {m.group}")
+
+
+def _register_metrics():
+    from ..streaming.metrics import METRICS
+    for m in METRICS:
+        register(m.name, _metric_sql(m))
+
+
+_register_metrics()

@@ -678,3 +678,81 @@ def _champion_selection(s, d):
 @query("customer_activity_batch")
 def _activity(s, d):
     return AC.customer_activity(I.all_validated(s, d))
+
+
+# --- streaming -----------------------------------------------------------------------------------
+from ..sources.files import read_message_files  # noqa: E402
+from ..streaming import carts as SCT  # noqa: E402
+from ..streaming import ingest as SI  # noqa: E402
+from ..streaming import metrics as SM  # noqa: E402
+
+FILES_PER_TRIGGER = 6
+
+
+def _message_stream(s, d):
+    root = scratch(s, "stream")
+    SI.write_message_files(shop_events(s, d), f"{root}/messages")
+    return root, read_message_files(s, f"{root}/messages", max_files_per_trigger=FILES_PER_TRIGGER)
+
+
+def _run(df, root, name, mode="append"):
+    q = (df.writeStream.format("parquet").option("path", f"{root}/{name}")
+         .option("checkpointLocation", f"{root}/_ck_{name}").outputMode(mode)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+@query("abandoned_carts_stream")
+def _abandoned_stream(s, d):
+    root, raw = _message_stream(s, d)
+    br = SI.validated_streams(SI.watermarked_events(raw, "0 seconds"))
+    _run(SCT.with_ntz(SCT.abandoned_carts_stream(br[USER_TOPIC])), root, "abandoned")
+    return s.read.parquet(f"{root}/abandoned")
+
+
+@query("stream_dedupe")
+def _stream_dedupe(s, d):
+    root, raw = _message_stream(s, d)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True)
+    for q in SI.start_ingest(s, raw, cfg):
+        q.awaitTermination()
+    return s.read.parquet(f"{root}/raw").select(KEYED)
+
+
+@query("topic_dump_stream")
+def _topic_dump_stream(s, d):
+    root, raw = _message_stream(s, d)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True,
+                          dump_path=f"{root}/dumps")
+    for q in SI.start_ingest(s, raw, cfg):
+        q.awaitTermination()
+    out = None
+    for name in ["user_events", "recommendation_events", "notification_events"]:
+        one = s.read.parquet(f"{root}/dumps/{name}").agg(F.count(F.lit(1)).alias("events")).select(
+            F.lit(name).alias("dump"), "events")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("customer_activity_stream")
+def _activity_stream(s, d):
+    """Append mode: only windows closed by the watermark (10 minutes) are emitted."""
+    root, raw = _message_stream(s, d)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True,
+                          activity_path=f"{root}/activity")
+    for q in SI.start_ingest(s, raw, cfg):
+        q.awaitTermination()
+    return s.read.parquet(f"{root}/activity")
+
+
+def _metric_query(m):
+    def run(s, d):
+        df = I.validated(s, d)[m.topic]
+        out = SM.metric_frame(df, m)
+        return out.select(*[F.col(c).cast("bigint").alias(c) if c == m.column else F.col(c) for c in out.columns])
+    return run
+
+
+for _m in SM.METRICS:
+    QUERIES[_m.name] = _metric_query(_m)

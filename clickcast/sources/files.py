@@ -89,4 +89,4 @@ def read_message_files(spark: SparkSession, path: str, max_files_per_trigger: in
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path)
+    return r.option("recursiveFileLookup", True).parquet(path)
