@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RECENT_INTERACTIONS, RECOMMEND_LIMIT
+from ..session import materialize
 from . import rules as RU
 
 
@@ -102,7 +103,7 @@ def global_stage(actors: DataFrame, seeds: DataFrame, products: DataFrame, depth
 def recommend_for_all(events: DataFrame, products: DataFrame, rules: DataFrame, itemsets: DataFrame,
                       limit: int = RECOMMEND_LIMIT, n_seeds: int = RECENT_INTERACTIONS) -> DataFrame:
     """(actor, id_type, product_id, stage, rank) for every actor with a product event."""
-    seeds = recent_interactions(events, n_seeds)
+    seeds = materialize(recent_interactions(events, n_seeds))  # read by every stage
     actors = seeds.select("actor", "id_type").distinct()
     depth = limit + n_seeds + limit
     parts = (rule_stage(seeds, rules, itemsets, products)

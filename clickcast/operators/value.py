@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, elapsed_days, is_present, safe_ratio
 from ..schema import LABEL_CUTS, NO_TX_DAYS, SCORE_WEIGHTS
+from ..session import materialize
 
 RANK_BUCKETS = 256
 FEATURE_COLUMNS = [
@@ -79,8 +80,9 @@ def abandoned_cart_sessions(events: DataFrame) -> DataFrame:
 def customer_value_features(events: DataFrame) -> DataFrame:
     """The 14 model features per user. The snapshot is the latest event time of the input
     (a one-row scalar aggregate, cross joined)."""
-    c = customer_counts(events)
-    c = c.withColumn("snapshot", _logged_in(events).agg(F.max("event_time")).scalar())
+    # per-user rows, read twice (features and the snapshot): one pass over the events
+    c = materialize(customer_counts(events))
+    c = c.withColumn("snapshot", c.agg(F.max("last_event_time")).scalar())
     days = F.least(F.coalesce(elapsed_days(F.col("snapshot"), F.col("last_transaction_time")),
                               F.lit(NO_TX_DAYS)), F.lit(NO_TX_DAYS)).cast("bigint")
     active = (elapsed_days(F.col("last_event_time"), F.col("first_event_time")) + 1).cast("bigint")
@@ -121,6 +123,8 @@ def pct_rank_average(df: DataFrame, col: str, out: str = "pct_rank",
     then range-bucketed by approximate quantiles; cumulative counts come from a window per
     bucket plus the running total of <= ``buckets`` bucket sums (a bounded, broadcast table).
     """
+    # the input is read twice (distinct values, join back): materialise it once
+    df = materialize(df)
     v = F.col(col)
     dist = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     qs = [i / buckets for i in range(1, buckets)]

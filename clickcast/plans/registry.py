@@ -756,3 +756,41 @@ def _metric_query(m):
 
 for _m in SM.METRICS:
     QUERIES[_m.name] = _metric_query(_m)
+
+
+# --- value model (rows-only checks: MLlib forests are not reproducible in SQL) ----------------
+from ..operators import value_model as VM  # noqa: E402
+
+
+def _labeled(s, d):
+    return V.customer_value(I.all_validated(s, d))
+
+
+@query("value_model_train")
+def _vm_train(s, d):
+    _, pred = VM.train_value_model(_labeled(s, d))
+    return pred.select("user_id", "value_label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("value_model_metrics")
+def _vm_metrics(s, d):
+    _, pred = VM.train_value_model(_labeled(s, d))
+    return VM.classification_metrics(pred)
+
+
+@query("value_model_cv")
+def _vm_cv(s, d):
+    return VM.cross_validate(_labeled(s, d))
+
+
+@query("feature_importance")
+def _vm_importance(s, d):
+    model, _ = VM.train_value_model(_labeled(s, d))
+    return VM.feature_importance(model)
+
+
+@query("value_score_batch")
+def _vm_score(s, d):
+    lab = _labeled(s, d)
+    model, _ = VM.train_value_model(lab)
+    return VM.score_unlabeled(model, shop_users(s, d), lab, CT.cart_contents(I.user_events(s, d)))

@@ -27,6 +27,9 @@ def get_session(master: str | None = None, app: str = "clickcast",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if master and master.startswith("local"):
+        # local mode runs everything in the driver JVM
+        conf["spark.driver.memory"] = os.environ.get("CLICKCAST_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -57,3 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint root for written intermediate tables."""
     return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared checkpoint folder: cuts the lineage of an
+    intermediate that is read several times (and survives executor loss, unlike a cache)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
