@@ -196,7 +196,8 @@ select topic, reason, count(*) as rejected from (
                               when 'recommendation-actions' then event_type in {_in(REC_EVENTS)}
                               when 'notification-events' then event_type in {_in(NOTIF_EVENTS)}
                               else false end) then 'type_not_on_topic'
-         when topic in ('user-events', 'recommendation-actions') and product_id is null then 'missing_product'
+         when topic in ('user-events', 'recommendation-actions') and (product_id is null or trim(product_id) = '')
+              then 'missing_product'
          when topic in ('user-events', 'recommendation-actions')
               and not coalesce(try_cast(product_id as bigint) > 0, false) then 'bad_product_id'
          when topic = 'user-events' and event_type = 'refund_request' and order_id_for_refund is null
