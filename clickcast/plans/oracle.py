@@ -702,3 +702,8 @@ def _register_metrics():
 
 
 _register_metrics()
+register("kafka_source", q("select topic, count(*) as messages from se group by topic"))
+register("metric_csv_sink", _metric_sql(__import__("clickcast.streaming.metrics", fromlist=["BY_NAME"]).BY_NAME["views_per_minute"]))
+register("feature_csv_sink", q("""
+select s.suser as user_id, s.session_id, coalesce(b.cart_products, '') as cart_products
+from sstat s left join sbask b on s.session_id = b.session_id and s.suser = b.suser""", SESSION_CTES))

@@ -43,9 +43,7 @@ QUERIES["notification_counts"] = lambda s, d: A.notification_counts(I.notificati
 
 @query("daily_summary")
 def _daily_summary(s, d):
-    v = I.validated(s, d)
-    from ..schema import NOTIF_TOPIC, REC_TOPIC, USER_TOPIC
-    return A.daily_summary(v[USER_TOPIC], v[REC_TOPIC], v[NOTIF_TOPIC])
+    return A.daily_summary_one_scan(I.all_validated(s, d))
 
 
 # --- ingest: decode, key, validate -------------------------------------------------------
@@ -794,3 +792,37 @@ def _vm_score(s, d):
     lab = _labeled(s, d)
     model, _ = VM.train_value_model(lab)
     return VM.score_unlabeled(model, shop_users(s, d), lab, CT.cart_contents(I.user_events(s, d)))
+
+
+@query("kafka_source")
+def _kafka_source(s, d):
+    """The message source as a stream (a file stand-in for the broker: same (topic, value)
+    rows), decoded and landed, then counted per topic."""
+    root, raw = _message_stream(s, d)
+    _run(IG.decode_events(raw), root, "decoded")
+    return s.read.parquet(f"{root}/decoded").groupBy("topic").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query("metric_csv_sink")
+def _metric_csv_sink(s, d):
+    """An update-mode metric through the single-file CSV sink: every batch is merged by
+    window into the file, so the last version holds all windows."""
+    root, raw = _message_stream(s, d)
+    m = SM.BY_NAME["views_per_minute"]
+    br = SI.validated_streams(SI.watermarked_events(raw, "10 minutes"))
+    q = SM.start_metric(SI.ntz_output(br[m.topic]), m, sink="csv", metrics_path=f"{root}/metrics",
+                        checkpoint_dir=f"{root}/_ck", available_now=True)
+    q.awaitTermination()
+    schema = SM.metric_frame(I.validated(s, d)[m.topic], m).schema
+    out = SM.read_metric_csv(s, f"{root}/metrics/{m.name}", schema)
+    return out.select("window_start", "window_end", F.col(m.column).cast("bigint").alias(m.column))
+
+
+@query("feature_csv_sink")
+def _feature_csv_sink(s, d):
+    """Session baskets through CSV (the basket list as JSON text) and back."""
+    path = scratch(s, "baskets_csv")
+    SK.write_csv(SS.session_baskets(I.user_events(s, d)), path)
+    back = s.read.option("header", True).csv(path)
+    return back.select("user_id", "session_id",
+                       F.array_join(X.parse_basket(F.col("cart_product_id_list")), ",").alias("cart_products"))
