@@ -707,3 +707,6 @@ register("metric_csv_sink", _metric_sql(__import__("clickcast.streaming.metrics"
 register("feature_csv_sink", q("""
 select s.suser as user_id, s.session_id, coalesce(b.cart_products, '') as cart_products
 from sstat s left join sbask b on s.session_id = b.session_id and s.suser = b.suser""", SESSION_CTES))
+register("json_report_sink", q(
+    "select product_id, count(*) as view_count, cast((select max(event_date) from ue) as varchar) as run_date "
+    "from ue where event_type = 'view' group by product_id order by view_count desc, product_id limit 10"))

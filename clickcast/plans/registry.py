@@ -727,7 +727,7 @@ def _topic_dump_stream(s, d):
         q.awaitTermination()
     out = None
     for name in ["user_events", "recommendation_events", "notification_events"]:
-        one = s.read.parquet(f"{root}/dumps/{name}").agg(F.count(F.lit(1)).alias("events")).select(
+        one = s.read.parquet(f"{root}/dumps/{name}").drop("batch").agg(F.count(F.lit(1)).alias("events")).select(
             F.lit(name).alias("dump"), "events")
         out = one if out is None else out.unionByName(one)
     return out
@@ -826,3 +826,15 @@ def _feature_csv_sink(s, d):
     back = s.read.option("header", True).csv(path)
     return back.select("user_id", "session_id",
                        F.array_join(X.parse_basket(F.col("cart_product_id_list")), ",").alias("cart_products"))
+
+
+@query("json_report_sink")
+def _json_report_sink(s, d):
+    """The report job's JSON outputs, read back: the product rankings with their run date."""
+    from . import daily as DL
+    v = I.validated(s, d)
+    out = scratch(s, "report")
+    rd = DL.generate_report(v[USER_TOPIC], v[REC_TOPIC], v[NOTIF_TOPIC], out)
+    back = s.read.json(f"{out}/top_viewed_products/run_date={rd}")
+    return back.select("product_id", F.col("view_count").cast("bigint").alias("view_count"),
+                       F.col("run_date").cast("string").alias("run_date"))

@@ -76,19 +76,42 @@ def _trigger(w, cfg: StreamConfig):
     return w
 
 
+def validated_stream(wm: DataFrame, within_watermark: bool = False) -> DataFrame:
+    """All topics validated with one dedupe state over (topic, id) (``validate_all`` for a
+    stream)."""
+    ok = wm.filter(IG._common_ok())
+    dd = (ok.dropDuplicatesWithinWatermark(["id", "topic"]) if within_watermark
+          else ok.dropDuplicates(["id", "topic"]))
+    return IG.topic_rules(dd.filter(F.col("event_type").isin(IG.ALL_EVENTS)))
+
+
+def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig") -> None:
+    """One micro-batch of validated events: raw events (partitioned, clustered) and, when
+    configured, the per-topic dumps, each under ``batch=<id>`` (a replay overwrites its own
+    output, so the sink is idempotent)."""
+    batch = batch.persist()
+    try:
+        SK.write_raw_batch(batch, batch_id, cfg.raw_events_path)
+        if cfg.dump_path:
+            for topic, name in DUMP_NAMES.items():
+                (batch.filter(F.col("topic") == topic).write.mode("overwrite")
+                      .parquet(f"{cfg.dump_path}/{name}/batch={batch_id}"))
+    finally:
+        batch.unpersist()
+
+
 def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
                  products: DataFrame | None = None) -> list[StreamingQuery]:
-    """Start the raw-events sink (idempotent foreachBatch), and optionally the activity
-    and per-topic dump sinks. Returns the started queries."""
+    """One ingest query (one source read, one dedupe state) landing raw events and topic
+    dumps per micro-batch; optionally the windowed activity query. Returns the queries."""
     wm = watermarked_events(raw, cfg.watermark_delay)
-    branches = validated_streams(wm, cfg.within_watermark)
-    validated = branches[USER_TOPIC].unionByName(branches[REC_TOPIC]).unionByName(branches[NOTIF_TOPIC])
+    validated = validated_stream(wm, cfg.within_watermark)
     if products is not None:
         validated = EN.enrich_with_products(validated, products)
     queries = []
     raw_w = (ntz_output(validated).writeStream
-             .foreachBatch(lambda b, i: SK.write_raw_batch(b, i, cfg.raw_events_path))
-             .option("checkpointLocation", f"{cfg.checkpoint_dir}/raw_events").outputMode("append"))
+             .foreachBatch(lambda b, i: write_ingest_batch(b, i, cfg))
+             .option("checkpointLocation", f"{cfg.checkpoint_dir}/ingest").outputMode("append"))
     queries.append(_trigger(raw_w, cfg).start())
     if cfg.activity_path:
         act = AC.customer_activity(validated, cfg.window_duration)
@@ -97,12 +120,6 @@ def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
                  .writeStream.format("parquet").option("path", cfg.activity_path)
                  .option("checkpointLocation", f"{cfg.checkpoint_dir}/customer_activity").outputMode("append"))
         queries.append(_trigger(aw, cfg).start())
-    if cfg.dump_path:
-        for topic, df in branches.items():
-            name = DUMP_NAMES[topic]
-            dw = (ntz_output(df).writeStream.format("parquet").option("path", f"{cfg.dump_path}/{name}")
-                  .option("checkpointLocation", f"{cfg.checkpoint_dir}/dump_{name}").outputMode("append"))
-            queries.append(_trigger(dw, cfg).start())
     return queries
 
 
