@@ -28,33 +28,50 @@ def recover_user(events: DataFrame) -> DataFrame:
         F.lit(ANON_USER)))
 
 
+def _prepared(events: DataFrame) -> DataFrame:
+    if "session_id" not in events.columns:
+        events = derive_session_id(events)
+    return recover_user(events).withColumn("product_id", normalise_product_id("product_id"))
+
+
+def _cart_product():
+    return F.when(F.col("event_type").isin("add_to_cart", "transaction")
+                  & (F.col("product_id") != "") & (F.col("product_id") != ANON_USER), F.col("product_id"))
+
+
+def _ordered_products(first_col: str = "first", product_col: str = "cp"):
+    """array of products ordered by their first (time, id); NULL products skipped."""
+    s = F.array_sort(F.collect_list(F.when(F.col(product_col).isNotNull(), F.struct(
+        F.col(f"{first_col}.event_time").alias("t"), F.col(f"{first_col}.id").alias("i"),
+        F.col(product_col).alias("p")))))
+    return F.transform(s, lambda x: x["p"])
+
+
 def session_baskets(events: DataFrame) -> DataFrame:
     """One row per (session_id, user_id): event_type (transaction > add_to_cart when the
     basket is non-empty > view), has_transaction, cart_product_id_list (distinct, in order
     of first add/purchase), total_cart_items, total_session_events, first/last timestamp.
 
-    Products are first reduced to one row per (session, user, product) with the time of
-    first occurrence, so the collected list is bounded by distinct products, not events."""
-    if "session_id" not in events.columns:
-        events = derive_session_id(events)
-    ev = recover_user(events).withColumn("product_id", normalise_product_id("product_id"))
+    One scan, two stacked aggregations, no join: first per (session, user, cart product or
+    NULL) - which collapses repeated events on a product and keeps each product's first
+    occurrence - then per session, where the collected list is bounded by the session's
+    distinct cart products."""
     keys = ["session_id", "user_id"]
-    stats = ev.groupBy(*keys).agg(
-        F.bool_or(F.col("event_type") == "transaction").alias("has_transaction"),
-        F.count(F.lit(1)).cast("bigint").alias("total_session_events"),
-        F.min("event_time").alias("first_timestamp"),
-        F.max("event_time").alias("last_timestamp"),
+    ev = _prepared(events)
+    lvl1 = ev.groupBy(*keys, _cart_product().alias("cp")).agg(
+        F.bool_or(F.col("event_type") == "transaction").alias("tx"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("event_time").alias("t0"),
+        F.max("event_time").alias("t1"),
+        F.min(F.struct("event_time", "id")).alias("first"),
+    )
+    out = lvl1.groupBy(*keys).agg(
+        F.bool_or("tx").alias("has_transaction"),
+        F.sum("n").cast("bigint").alias("total_session_events"),
+        F.min("t0").alias("first_timestamp"),
+        F.max("t1").alias("last_timestamp"),
+        _ordered_products().alias("cart_product_id_list"),
     )
-    cart = (ev.filter(F.col("event_type").isin("add_to_cart", "transaction")
-                      & (F.col("product_id") != "") & (F.col("product_id") != ANON_USER))
-              .groupBy(*keys, "product_id")
-              .agg(F.min(F.struct("event_time", "id")).alias("first")))
-    lists = cart.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("first.event_time").alias("t"), F.col("first.id").alias("i"),
-                 F.col("product_id").alias("p")))).alias("s"))
-    lists = lists.select(*keys, F.transform("s", lambda x: x["p"]).alias("cart_product_id_list"))
-    out = stats.join(lists, keys, "left").withColumn(
-        "cart_product_id_list", F.coalesce("cart_product_id_list", F.array().cast("array<string>")))
     n = F.size("cart_product_id_list")
     return out.select(
         "user_id", "session_id",
@@ -63,3 +80,12 @@ def session_baskets(events: DataFrame) -> DataFrame:
         "has_transaction", "cart_product_id_list",
         n.cast("bigint").alias("total_cart_items"),
         "total_session_events", "first_timestamp", "last_timestamp")
+
+
+def session_cart_lists(events: DataFrame) -> DataFrame:
+    """Only the non-empty cart lists (what itemset mining needs): (session_id, user_id,
+    cart_product_id_list), reading only cart events."""
+    keys = ["session_id", "user_id"]
+    ev = _prepared(events).withColumn("cp", _cart_product()).filter(F.col("cp").isNotNull())
+    lvl1 = ev.groupBy(*keys, "cp").agg(F.min(F.struct("event_time", "id")).alias("first"))
+    return lvl1.groupBy(*keys).agg(_ordered_products().alias("cart_product_id_list"))

@@ -381,7 +381,7 @@ def _rules_out(r):
 
 def session_mining_baskets(s, d):
     """Non-empty session baskets keyed by (session_id, user_id) -> basket_id text."""
-    b = SS.session_baskets(I.user_events(s, d)).filter(F.col("total_cart_items") > 0)
+    b = SS.session_cart_lists(I.user_events(s, d))
     return b.select(F.concat_ws("|", "session_id", "user_id").alias("basket_id"),
                     F.col("cart_product_id_list").alias("items"))
 
