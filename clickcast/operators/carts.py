@@ -54,32 +54,80 @@ def cart_totals(lines: DataFrame) -> DataFrame:
         F.round(F.sum(F.coalesce(F.col("price"), F.lit(0.0)) * F.col("quantity")), 2).alias("total"))
 
 
-def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=None) -> DataFrame:
+def _running(partition, order, col, offset=None):
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = F.sum(col).over(w)
+    return r if offset is None else F.col(offset) + r
+
+
+def _chunk_offsets(chunks: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """For per-(keys, chunk) sums, the total of all earlier chunks of the same keys (a
+    window over chunk summaries only: one row per chunk, never per event)."""
+    w = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.select(*keys, "chunk", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"off_{c}") for c in cols])
+
+
+def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=None,
+                    chunk: str = "1 hour") -> DataFrame:
     """One row per abandonment: user_id, episode, last_activity, notify_at, cart_size.
 
     epoch = transactions so far (the cart empties), episode = adds + transactions so far
     (the notification re-arms); a product's membership flips only when its previous
-    add/delete in the epoch says so; the cart is idle when the next event of the user (or
-    the snapshot, default the latest event time) is more than ``minutes`` later."""
+    add/delete in the epoch says so; the cart is idle when the user's next event (or the
+    snapshot, default the latest event time) is more than ``minutes`` later.
+
+    Skew-safe: a user's timeline is cut into time chunks. Running counts are prefix sums
+    computed inside each (user, chunk) plus the totals of earlier chunks, which come from
+    a window over chunk summaries; the next event time and a product's previous
+    add/delete cross chunk borders the same way. No window ever orders all events of one
+    user, so a user with a third of the events is spread over many tasks."""
     ev = _user_events(events)
     if snapshot is None:
         snapshot = ev.agg(F.max("event_time")).scalar()
     t = F.col("event_type")
     is_add = (t == "add_to_cart") & is_present("product_id")
     is_del = (t == "delete_from_cart") & is_present("product_id")
-    wu = Window.partitionBy("user_id").orderBy("event_time", "id")
-    run = wu.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = (ev.withColumn("epoch", F.sum(F.when(t == "transaction", 1).otherwise(0)).over(run))
-            .withColumn("episode", F.sum(F.when(is_add | (t == "transaction"), 1).otherwise(0)).over(run))
-            .withColumn("next_t", F.lead("event_time").over(wu))
-            .withColumn("ad", is_add | is_del))
-    wp = Window.partitionBy("user_id", "epoch", "product_id", "ad").orderBy("event_time", "id")
-    ev = ev.withColumn("prev", F.when(F.col("ad"), F.lag("event_type").over(wp)))
+    ev = ev.select(
+        "user_id", "id", "event_time", "event_type", "product_id",
+        F.window("event_time", chunk)["start"].alias("chunk"),
+        F.when(t == "transaction", 1).otherwise(0).alias("tx"),
+        F.when(is_add | (t == "transaction"), 1).otherwise(0).alias("ep"),
+        (is_add | is_del).alias("ad"))
+    order = ["event_time", "id"]
+    u, uc = ["user_id"], ["user_id", "chunk"]
+
+    # epoch, episode and the next event time
+    cs = ev.groupBy(*uc).agg(F.sum("tx").alias("tx"), F.sum("ep").alias("ep"),
+                             F.min("event_time").alias("first_t"))
+    offs = _chunk_offsets(cs, u, ["tx", "ep"]).join(
+        cs.select(*uc, F.lead("first_t").over(Window.partitionBy(*u).orderBy("chunk")).alias("next_chunk_t")), uc)
+    ev = ev.join(offs, uc)
+    wc = Window.partitionBy(*uc).orderBy(*order)
+    ev = (ev.withColumn("epoch", _running(uc, order, "tx", "off_tx"))
+            .withColumn("episode", _running(uc, order, "ep", "off_ep"))
+            .withColumn("next_t", F.coalesce(F.lead("event_time").over(wc), F.col("next_chunk_t"))))
+
+    # previous add/delete of the same product in the same epoch
+    k = ["user_id", "epoch", "product_id"]
+    ad = ev.filter("ad")
+    last_in_chunk = ad.groupBy(*k, "chunk").agg(F.max(F.struct("event_time", "id", "event_type")).alias("l"))
+    prev_chunk = last_in_chunk.select(
+        *k, "chunk", F.lag("l.event_type").over(Window.partitionBy(*k).orderBy("chunk")).alias("prev_chunk_type"))
+    ad = ad.join(prev_chunk, k + ["chunk"]).withColumn(
+        "prev", F.coalesce(F.lag("event_type").over(Window.partitionBy(*k, "chunk").orderBy(*order)),
+                           F.col("prev_chunk_type")))
+    ev = ev.join(ad.select("user_id", "id", "prev"), ["user_id", "id"], "left")
     delta = (F.when(is_add & (F.coalesce(F.col("prev"), F.lit("")) != "add_to_cart"), 1)
               .when(is_del & (F.col("prev") == "add_to_cart"), -1).otherwise(0))
-    we = Window.partitionBy("user_id", "epoch").orderBy("event_time", "id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ev = ev.withColumn("cart_size", F.sum(delta).over(we))
+    ev = ev.withColumn("d", delta)
+
+    # cart size = running sum of deltas since the epoch began (the transaction row)
+    ds = ev.groupBy(*uc).agg(F.sum("d").alias("d"))
+    ev = ev.join(_chunk_offsets(ds, u, ["d"]), uc).withColumn("s", _running(uc, order, "d", "off_d"))
+    starts = ev.filter(F.col("tx") == 1).select("user_id", "epoch", F.col("s").alias("s0"))
+    ev = ev.join(starts, ["user_id", "epoch"], "left").withColumn(
+        "cart_size", F.col("s") - F.coalesce(F.col("s0"), F.lit(0)))
+
     idle_until = F.coalesce(F.col("next_t"), snapshot)
     fired = ev.filter((F.col("cart_size") > 0)
                       & (idle_until > F.col("event_time") + F.expr(f"INTERVAL {int(minutes)} MINUTES")))

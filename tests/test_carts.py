@@ -40,8 +40,10 @@ def test_abandonment_and_contents_match_sequential_fold(spark):
     ue = I.user_events(spark, SF_SMALL)
     rows = ue.filter("user_id is not null").select("user_id", "id", "event_time", "event_type", "product_id").collect()
     fired, carts = _fold(rows)
-    got = {(r.user_id, r.episode, r.last_activity, r.cart_size) for r in CT.abandoned_carts(ue).collect()}
-    assert got == fired and len(got) > 0
+    for chunk in ["1 hour", "7 minutes", "1 day"]:  # chunk borders must not change the result
+        got = {(r.user_id, r.episode, r.last_activity, r.cart_size)
+               for r in CT.abandoned_carts(ue, chunk=chunk).collect()}
+        assert got == fired and len(got) > 0, chunk
     cc = {}
     for r in CT.cart_contents(ue).collect():
         cc.setdefault(r.user_id, set()).add(r.product_id)
