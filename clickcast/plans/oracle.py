@@ -710,3 +710,8 @@ from sstat s left join sbask b on s.session_id = b.session_id and s.suser = b.su
 register("json_report_sink", q(
     "select product_id, count(*) as view_count, cast((select max(event_date) from ue) as varchar) as run_date "
     "from ue where event_type = 'view' group by product_id order by view_count desc, product_id limit 10"))
+register("live_metrics_job", q("""
+select 'top_viewed_products' as metric, product_id as k, count(*) as value from ue where event_type = 'view' group by product_id
+union all
+select 'events_per_minute', strftime(time_bucket(interval 1 minute, event_time), '%Y-%m-%d %H:%M:%S'), count(*)
+from ue group by time_bucket(interval 1 minute, event_time)"""))

@@ -838,3 +838,19 @@ def _json_report_sink(s, d):
     back = s.read.json(f"{out}/top_viewed_products/run_date={rd}")
     return back.select("product_id", F.col("view_count").cast("bigint").alias("view_count"),
                        F.col("run_date").cast("string").alias("run_date"))
+
+
+@query("live_metrics_job")
+def _live_metrics_job(s, d):
+    """Every live metric maintained by one streaming query; read back: the per-product
+    view counts and the per-minute event counts as (metric, key, value) rows."""
+    root, raw = _message_stream(s, d)
+    v = SI.ntz_output(SI.validated_stream(SI.watermarked_events(raw, "10 minutes")))
+    SM.start_metrics_job(v, f"{root}/metrics", f"{root}/_ck", available_now=True).awaitTermination()
+    views = SM.read_live_metric(s, f"{root}/metrics", SM.BY_NAME["top_viewed_products_live"]).select(
+        F.lit("top_viewed_products").alias("metric"), F.col("product_id").alias("k"),
+        F.col("top_viewed_products").alias("value"))
+    per_min = SM.read_live_metric(s, f"{root}/metrics", SM.BY_NAME["events_per_minute"]).select(
+        F.lit("events_per_minute").alias("metric"), F.col("window_start").cast("string").alias("k"),
+        F.col("events_per_minute").alias("value"))
+    return views.unionByName(per_min)

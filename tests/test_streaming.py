@@ -65,3 +65,15 @@ def test_activity_append_emits_closed_windows_only(spark):
     exp = customer_activity(allv).filter(F.col("window_end") <= F.lit(cutoff) - F.expr("INTERVAL 10 MINUTES"))
     assert got.select(exp.columns).exceptAll(exp).count() == 0
     assert exp.exceptAll(got.select(exp.columns)).count() == 0
+
+
+def test_single_query_metrics_job_equals_batch(spark):
+    root, raw = _stream(spark)
+    v = SI.ntz_output(SI.validated_stream(SI.watermarked_events(raw, "10 minutes")))
+    SM.start_metrics_job(v, f"{root}/metrics", f"{root}/ck", available_now=True).awaitTermination()
+    val = I.validated(spark, SF_SMALL)
+    for m in SM.METRICS:
+        batch = SM.metric_frame(val[m.topic], m)
+        batch = batch.select(*[F.col(c).cast("bigint").alias(c) if c == m.column else F.col(c) for c in batch.columns])
+        live = SM.read_live_metric(spark, f"{root}/metrics", m).select(batch.columns)
+        assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0, m.name
