@@ -79,5 +79,5 @@ def parse_basket(text: str | Column) -> Column:
 
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """Whole elapsed 24-hour days between two timestamps (floor), like a timedelta's .days."""
-    secs = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return F.floor(secs / F.lit(86_400_000_000)).cast("bigint")
+    micros = F.timestamp_diff("MICROSECOND", earlier, later)  # wall-clock, no time zone involved
+    return F.floor(micros / F.lit(86_400_000_000)).cast("bigint")

@@ -26,6 +26,8 @@ def get_session(master: str | None = None, app: str = "clickcast",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # reliable checkpoints are removed once their DataFrame is garbage collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         # local mode runs everything in the driver JVM
