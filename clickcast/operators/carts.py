@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_present
+from ..session import materialize
 from ..schema import (ABANDON_MINUTES, COUPON_ALPHABET, COUPON_LENGTH, DEFAULT_DISCOUNT,
                       DEFAULT_TIER, DISCOUNT_BY_LABEL, TIER_BY_LABEL, UNKNOWN_EMAIL)
 
@@ -60,15 +61,34 @@ def _running(partition, order, col, offset=None):
     return r if offset is None else F.col(offset) + r
 
 
-def _chunk_offsets(chunks: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """For per-(keys, chunk) sums, the total of all earlier chunks of the same keys (a
-    window over chunk summaries only: one row per chunk, never per event)."""
-    w = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.select(*keys, "chunk", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"off_{c}") for c in cols])
+def _chunk_offsets(chunks: DataFrame, keys: list[str], cols: list[str], lead: dict | None = None) -> DataFrame:
+    """For per-(keys, chunk) sums, the total of all earlier chunks of the same keys, and
+    optionally a value of the next chunk (one window over chunk summaries: one row per
+    chunk, never per event)."""
+    order = Window.partitionBy(*keys).orderBy("chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    nxt = [F.lead(c).over(order).alias(a) for c, a in (lead or {}).items()]
+    return chunks.select(*keys, "chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"off_{c}")
+                                           for c in cols], *nxt)
 
 
-def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=None,
-                    chunk: str = "1 hour") -> DataFrame:
+def _fired(ev: DataFrame, minutes: int, snapshot) -> DataFrame:
+    """First row per (user, episode) whose non-empty cart then stays idle too long."""
+    idle_until = F.coalesce(F.col("next_t"), snapshot)
+    fired = ev.filter((F.col("cart_size") > 0)
+                      & (idle_until > F.col("event_time") + F.expr(f"INTERVAL {int(minutes)} MINUTES")))
+    first = fired.groupBy("user_id", "episode").agg(
+        F.min(F.struct("event_time", "id", "cart_size")).alias("f"))
+    return first.select(
+        "user_id", F.col("episode").cast("bigint").alias("episode"),
+        F.col("f.event_time").alias("last_activity"),
+        (F.col("f.event_time") + F.expr(f"INTERVAL {int(minutes)} MINUTES")).alias("notify_at"),
+        F.col("f.cart_size").cast("bigint").alias("cart_size"))
+
+
+
+
+def _abandoned_chunked(ev: DataFrame, minutes: int, snapshot, chunk: str = "1 hour") -> DataFrame:
     """One row per abandonment: user_id, episode, last_activity, notify_at, cart_size.
 
     epoch = transactions so far (the cart empties), episode = adds + transactions so far
@@ -81,9 +101,6 @@ def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=
     a window over chunk summaries; the next event time and a product's previous
     add/delete cross chunk borders the same way. No window ever orders all events of one
     user, so a user with a third of the events is spread over many tasks."""
-    ev = _user_events(events)
-    if snapshot is None:
-        snapshot = ev.agg(F.max("event_time")).scalar()
     t = F.col("event_type")
     is_add = (t == "add_to_cart") & is_present("product_id")
     is_del = (t == "delete_from_cart") & is_present("product_id")
@@ -99,13 +116,12 @@ def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=
     # epoch, episode and the next event time
     cs = ev.groupBy(*uc).agg(F.sum("tx").alias("tx"), F.sum("ep").alias("ep"),
                              F.min("event_time").alias("first_t"))
-    offs = _chunk_offsets(cs, u, ["tx", "ep"]).join(
-        cs.select(*uc, F.lead("first_t").over(Window.partitionBy(*u).orderBy("chunk")).alias("next_chunk_t")), uc)
+    offs = _chunk_offsets(cs, u, ["tx", "ep"], lead={"first_t": "next_chunk_t"})
     ev = ev.join(offs, uc)
     wc = Window.partitionBy(*uc).orderBy(*order)
-    ev = (ev.withColumn("epoch", _running(uc, order, "tx", "off_tx"))
-            .withColumn("episode", _running(uc, order, "ep", "off_ep"))
-            .withColumn("next_t", F.coalesce(F.lead("event_time").over(wc), F.col("next_chunk_t"))))
+    ev = materialize(ev.withColumn("epoch", _running(uc, order, "tx", "off_tx"))
+                       .withColumn("episode", _running(uc, order, "ep", "off_ep"))
+                       .withColumn("next_t", F.coalesce(F.lead("event_time").over(wc), F.col("next_chunk_t"))))
 
     # previous add/delete of the same product in the same epoch
     k = ["user_id", "epoch", "product_id"]
@@ -119,7 +135,7 @@ def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=
     ev = ev.join(ad.select("user_id", "id", "prev"), ["user_id", "id"], "left")
     delta = (F.when(is_add & (F.coalesce(F.col("prev"), F.lit("")) != "add_to_cart"), 1)
               .when(is_del & (F.col("prev") == "add_to_cart"), -1).otherwise(0))
-    ev = ev.withColumn("d", delta)
+    ev = materialize(ev.withColumn("d", delta))
 
     # cart size = running sum of deltas since the epoch began (the transaction row)
     ds = ev.groupBy(*uc).agg(F.sum("d").alias("d"))
@@ -128,16 +144,56 @@ def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=
     ev = ev.join(starts, ["user_id", "epoch"], "left").withColumn(
         "cart_size", F.col("s") - F.coalesce(F.col("s0"), F.lit(0)))
 
-    idle_until = F.coalesce(F.col("next_t"), snapshot)
-    fired = ev.filter((F.col("cart_size") > 0)
-                      & (idle_until > F.col("event_time") + F.expr(f"INTERVAL {int(minutes)} MINUTES")))
-    first = fired.groupBy("user_id", "episode").agg(
-        F.min(F.struct("event_time", "id", "cart_size")).alias("f"))
-    return first.select(
-        "user_id", F.col("episode").cast("bigint").alias("episode"),
-        F.col("f.event_time").alias("last_activity"),
-        (F.col("f.event_time") + F.expr(f"INTERVAL {int(minutes)} MINUTES")).alias("notify_at"),
-        F.col("f.cart_size").cast("bigint").alias("cart_size"))
+    return _fired(ev, minutes, snapshot)
+
+
+def _abandoned_windows(ev: DataFrame, minutes: int, snapshot) -> DataFrame:
+    """The fold as per-user windows: one shuffle by user, one sort per user (used for users
+    whose event count is under the hot-user bound)."""
+    t = F.col("event_type")
+    is_add = (t == "add_to_cart") & is_present("product_id")
+    is_del = (t == "delete_from_cart") & is_present("product_id")
+    wu = Window.partitionBy("user_id").orderBy("event_time", "id")
+    run = wu.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = (ev.withColumn("epoch", F.sum(F.when(t == "transaction", 1).otherwise(0)).over(run))
+            .withColumn("episode", F.sum(F.when(is_add | (t == "transaction"), 1).otherwise(0)).over(run))
+            .withColumn("next_t", F.lead("event_time").over(wu))
+            .withColumn("ad", is_add | is_del))
+    wp = Window.partitionBy("user_id", "epoch", "product_id", "ad").orderBy("event_time", "id")
+    ev = ev.withColumn("prev", F.when(F.col("ad"), F.lag("event_type").over(wp)))
+    delta = (F.when(is_add & (F.coalesce(F.col("prev"), F.lit("")) != "add_to_cart"), 1)
+              .when(is_del & (F.col("prev") == "add_to_cart"), -1).otherwise(0))
+    we = Window.partitionBy("user_id", "epoch").orderBy("event_time", "id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return _fired(ev.withColumn("cart_size", F.sum(delta).over(we)), minutes, snapshot)
+
+
+HOT_USER_EVENTS = 5_000_000
+
+
+def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=None,
+                    hot_user_events: int = HOT_USER_EVENTS, chunk: str = "1 hour") -> DataFrame:
+    """One row per abandonment: user_id, episode, last_activity, notify_at, cart_size.
+
+    epoch = transactions so far (the cart empties), episode = adds + transactions so far
+    (the notification re-arms); a product's membership flips only when its previous
+    add/delete in the epoch says so; the cart is idle when the user's next event (or the
+    snapshot, default the latest event time) is more than ``minutes`` later.
+
+    Skew split: a per-user count (a map-side combined aggregate) finds the users with more
+    than ``hot_user_events`` events - at most total / hot_user_events of them, so the list
+    is bounded. Other users run the per-user window fold (each sort bounded by the
+    threshold); hot users run the time-chunked fold, spread over many tasks."""
+    ev = _user_events(events)
+    if snapshot is None:
+        snapshot = ev.agg(F.max("event_time")).scalar()
+    hot = [r[0] for r in ev.groupBy("user_id").count().filter(F.col("count") > hot_user_events)
+                             .select("user_id").collect()]
+    if not hot:
+        return _abandoned_windows(ev, minutes, snapshot)
+    cold = _abandoned_windows(ev.filter(~F.col("user_id").isin(hot)), minutes, snapshot)
+    heavy = materialize(ev.filter(F.col("user_id").isin(hot)))
+    return cold.unionByName(_abandoned_chunked(heavy, minutes, snapshot, chunk))
 
 
 def coupon_suffix(*keys) -> F.Column:

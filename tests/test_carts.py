@@ -40,10 +40,18 @@ def test_abandonment_and_contents_match_sequential_fold(spark):
     ue = I.user_events(spark, SF_SMALL)
     rows = ue.filter("user_id is not null").select("user_id", "id", "event_time", "event_type", "product_id").collect()
     fired, carts = _fold(rows)
-    for chunk in ["1 hour", "7 minutes", "1 day"]:  # chunk borders must not change the result
+    # default: every user is under the hot bound (per-user windows)
+    got = {(r.user_id, r.episode, r.last_activity, r.cart_size) for r in CT.abandoned_carts(ue).collect()}
+    assert got == fired and len(got) > 0
+    # a low bound sends the busier users through the time-chunked fold; chunk borders
+    # must not change the result
+    counts = sorted(r[1] for r in ue.filter("user_id is not null").groupBy("user_id").count().collect())
+    bound = counts[len(counts) // 2]  # about half the users are "hot"
+    assert counts[0] <= bound < counts[-1]
+    for chunk in ["1 hour", "7 minutes", "1 day"]:
         got = {(r.user_id, r.episode, r.last_activity, r.cart_size)
-               for r in CT.abandoned_carts(ue, chunk=chunk).collect()}
-        assert got == fired and len(got) > 0, chunk
+               for r in CT.abandoned_carts(ue, hot_user_events=bound, chunk=chunk).collect()}
+        assert got == fired, chunk
     cc = {}
     for r in CT.cart_contents(ue).collect():
         cc.setdefault(r.user_id, set()).add(r.product_id)
