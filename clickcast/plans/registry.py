@@ -6,11 +6,35 @@ operator's result over the whole input; column names match the DuckDB oracle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+from ..operators import activity as AC
 from ..operators import analytics as A
+from ..operators import carts as CT
+from ..operators import catalog as CG
+from ..operators import champion as CH
+from ..operators import enrich as EN
+from ..operators import ingest as IG
+from ..operators import recommend as RC
+from ..operators import report as RP
+from ..operators import rules as RU
+from ..operators import sessions as SS
+from ..operators import sinks as SK
+from ..operators import value as V
+from ..operators import value_model as VM
+from ..schema import NOTIF_TOPIC, REC_TOPIC, RECENT_INTERACTIONS, RECOMMEND_LIMIT, USER_TOPIC
+from ..session import shared_dir
+from ..sources import files as FS
+from ..sources.files import read_message_files
+from ..sources.tables import brand_baskets, shop_categories, shop_events, shop_products, shop_users
+from ..streaming import carts as SCT
+from ..streaming import ingest as SI
+from ..streaming import metrics as SM
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,17 +71,7 @@ def _daily_summary(s, d):
 
 
 # --- ingest: decode, key, validate -------------------------------------------------------
-import uuid  # noqa: E402
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from ..operators import enrich as EN  # noqa: E402
-from ..operators import ingest as IG  # noqa: E402
-from ..operators import sinks as SK  # noqa: E402
-from ..schema import EVENT_SCHEMA, NOTIF_TOPIC, REC_TOPIC, USER_TOPIC  # noqa: E402
-from ..session import shared_dir  # noqa: E402
-from ..sources import files as FS  # noqa: E402
-from ..sources.tables import shop_events, shop_products, shop_users  # noqa: E402
 
 KEYED = IG.KEYED_COLUMNS
 
@@ -239,9 +253,6 @@ def _active_users(s, d):
 
 
 # --- sessions and customer value ------------------------------------------------------------
-from ..functions import exprs as X  # noqa: E402
-from ..operators import sessions as SS  # noqa: E402
-from ..operators import value as V  # noqa: E402
 
 
 def r6(c):
@@ -361,8 +372,6 @@ def _label_summary(s, d):
 
 
 # --- itemsets, rules, predictions -------------------------------------------------------------
-from ..operators import rules as RU  # noqa: E402
-from ..sources.tables import brand_baskets  # noqa: E402
 
 
 def _join(c, out=None):
@@ -456,8 +465,6 @@ def _rules_sink(s, d):
 
 
 # --- recommendations ----------------------------------------------------------------------------
-from ..operators import recommend as RC  # noqa: E402
-from ..schema import RECENT_INTERACTIONS, RECOMMEND_LIMIT  # noqa: E402
 
 
 def _session_rules(s, d):
@@ -531,12 +538,6 @@ def _exclude_current(s, d):
 
 
 # --- daily report, carts and offers, catalogue, champion, activity -----------------------------
-from ..operators import activity as AC  # noqa: E402
-from ..operators import carts as CT  # noqa: E402
-from ..operators import catalog as CG  # noqa: E402
-from ..operators import champion as CH  # noqa: E402
-from ..operators import report as RP  # noqa: E402
-from ..sources.tables import shop_categories  # noqa: E402
 
 _REPORT_DOUBLES = ["total_revenue", "recommended_revenue", "recommender_ctr", "recommender_conversion"]
 
@@ -679,10 +680,6 @@ def _activity(s, d):
 
 
 # --- streaming -----------------------------------------------------------------------------------
-from ..sources.files import read_message_files  # noqa: E402
-from ..streaming import carts as SCT  # noqa: E402
-from ..streaming import ingest as SI  # noqa: E402
-from ..streaming import metrics as SM  # noqa: E402
 
 FILES_PER_TRIGGER = 6
 
@@ -757,7 +754,6 @@ for _m in SM.METRICS:
 
 
 # --- value model (rows-only checks: MLlib forests are not reproducible in SQL) ----------------
-from ..operators import value_model as VM  # noqa: E402
 
 
 def _labeled(s, d):
