@@ -120,3 +120,35 @@ def exclude_current_product(recs: DataFrame, current: DataFrame) -> DataFrame:
     """Drop the product the actor is looking at from its recommendations."""
     return recs.join(current.select("actor", "id_type", "product_id"), ["actor", "id_type", "product_id"],
                      "left_anti")
+
+
+MAX_REQUESTS = 10_000
+
+
+def co_occurrence_for_requests(events: DataFrame, requests: DataFrame, limit: int = RECOMMEND_LIMIT,
+                               n_seeds: int = RECENT_INTERACTIONS,
+                               max_requests: int = MAX_REQUESTS) -> DataFrame:
+    """The co-occurrence stage for a bounded set of requesting actors (the reference runs it
+    per request): peers are all actors with an event on one of the requester's recent
+    products (users and visitors alike); their events on other products are counted, most
+    frequent first (ties by product id), first ``limit``.
+
+    ``requests`` (actor, id_type) is size-checked, so the seed table broadcast is bounded
+    by ``max_requests * n_seeds`` rows and the (requester, peer) pairs by
+    ``max_requests * actors``: linear in the data, unlike the same stage for every actor."""
+    from .enrich import fits_broadcast
+    req = requests.select("actor", "id_type").distinct()
+    if not fits_broadcast(req, max_requests):
+        raise ValueError(f"more than {max_requests} requesting actors")
+    seeds = recent_interactions(events, n_seeds).join(F.broadcast(req), ["actor", "id_type"], "left_semi")
+    seeds = materialize(seeds.select("actor", "id_type", "product_id").distinct())
+    acts = events.filter(F.col("product_id").isNotNull()).select(
+        F.col("customer_key").alias("peer"), F.col("id_type").alias("peer_type"), "product_id")
+    pairs = (acts.join(F.broadcast(seeds), "product_id")
+                 .select("actor", "id_type", "peer", "peer_type").distinct())
+    co = (acts.join(pairs, ["peer", "peer_type"])
+              .join(seeds, ["actor", "id_type", "product_id"], "left_anti")
+              .groupBy("actor", "id_type", "product_id").agg(F.count(F.lit(1)).alias("co_count")))
+    w = Window.partitionBy("actor", "id_type").orderBy(F.desc("co_count"), F.asc("product_id"))
+    return (co.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
+              .select("actor", "id_type", "product_id", "co_count", F.col("pos").cast("bigint").alias("pos")))
