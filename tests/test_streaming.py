@@ -77,3 +77,30 @@ def test_single_query_metrics_job_equals_batch(spark):
         batch = batch.select(*[F.col(c).cast("bigint").alias(c) if c == m.column else F.col(c) for c in batch.columns])
         live = SM.read_live_metric(spark, f"{root}/metrics", m).select(batch.columns)
         assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0, m.name
+
+
+def test_late_file_is_dropped_by_the_watermark(spark):
+    """A file of events older than the watermark arrives after newer data: windowed
+    activity ignores it (append mode), like a batch over the on-time events. Spark filters
+    late rows with the previous batch's watermark, so the late file comes two batches
+    after the newer data."""
+    from clickcast.operators.activity import customer_activity
+    from clickcast.operators import ingest as IG
+    root = tempfile.mkdtemp(prefix="cc-late-", dir="/tmp")
+    ev = shop_events(spark, SF_SMALL)
+    day = lambda d: ev.filter(F.to_date("event_time") == F.lit(d).cast("date"))
+    IG.to_kafka_rows(day("2024-01-02")).coalesce(1).write.parquet(f"{root}/m/00000")
+    IG.to_kafka_rows(day("2024-01-03")).coalesce(1).write.parquet(f"{root}/m/00001")
+    IG.to_kafka_rows(day("2024-01-01")).coalesce(1).write.parquet(f"{root}/m/00002")   # late
+    raw = read_message_files(spark, f"{root}/m", max_files_per_trigger=1)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/ck", available_now=True,
+                          activity_path=f"{root}/act")
+    for q in SI.start_ingest(spark, raw, cfg):
+        q.awaitTermination()
+    got = spark.read.parquet(f"{root}/act")
+    on_time = IG.union_validated(IG.key_events(day("2024-01-02").unionByName(day("2024-01-03"))))
+    cutoff = on_time.agg(F.max("event_time")).first()[0]
+    exp = customer_activity(on_time).filter(F.col("window_end") <= F.lit(cutoff) - F.expr("INTERVAL 10 MINUTES"))
+    assert got.filter(F.to_date("window_start") == F.lit("2024-01-01").cast("date")).count() == 0
+    assert got.select(exp.columns).exceptAll(exp).count() == 0
+    assert exp.exceptAll(got.select(exp.columns)).count() == 0
