@@ -16,7 +16,9 @@ from ..operators.sinks import write_json_report
 from ..session import materialize
 
 
-def build_report(ue: DataFrame, rec: DataFrame, notif: DataFrame, run_date=None) -> dict[str, DataFrame]:
+def build_report(ue: DataFrame, rec: DataFrame, notif: DataFrame, run_date=None,
+                 as_of_date=None) -> dict[str, DataFrame]:
+    ue, rec, notif = (A.as_of(x, as_of_date) for x in (ue, rec, notif))
     roll = materialize(A.customer_rollup(ue))
     tpc = materialize(A.type_product_counts(ue))
     if run_date is None:
@@ -54,8 +56,9 @@ def build_report(ue: DataFrame, rec: DataFrame, notif: DataFrame, run_date=None)
     }
 
 
-def generate_report(ue: DataFrame, rec: DataFrame, notif: DataFrame, out: str, run_date=None) -> str:
-    parts = build_report(ue, rec, notif, run_date)
+def generate_report(ue: DataFrame, rec: DataFrame, notif: DataFrame, out: str, run_date=None,
+                    as_of_date=None) -> str:
+    parts = build_report(ue, rec, notif, run_date, as_of_date)
     rd = parts.pop("_run_date")
     for name, df in parts.items():
         if name == "summary":

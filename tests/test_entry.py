@@ -43,3 +43,15 @@ def test_oracle_matches_on_smallest_scale(spark):
         idx = [names.index(c) for c in cols]
         exp = sorted(tuple(_norm(r[i]) for i in idx) for r in cur.fetchall())
         assert got == exp, k
+
+
+def test_as_of_restricts_history(spark):
+    from pyspark.sql import functions as F
+    from clickcast.operators import analytics as A
+    from clickcast.plans import inputs as I
+    allv = I.all_validated(spark, SF_SMALL)
+    full = A.daily_summary_one_scan(allv).first()
+    cut = A.daily_summary_one_scan(allv, as_of_date="2024-01-10").first()
+    n = allv.filter((F.col("topic") == "user-events") & (F.col("event_date") <= F.lit("2024-01-10").cast("date"))).count()
+    assert cut.total_events == n < full.total_events
+    assert str(cut.run_date) <= "2024-01-10"
