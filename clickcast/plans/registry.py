@@ -681,7 +681,7 @@ def _activity(s, d):
 
 # --- streaming -----------------------------------------------------------------------------------
 
-FILES_PER_TRIGGER = 6
+FILES_PER_TRIGGER = 10
 
 
 def _message_stream(s, d):
