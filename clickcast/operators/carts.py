@@ -185,10 +185,12 @@ def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=
     is bounded. Other users run the per-user window fold (each sort bounded by the
     threshold); hot users run the time-chunked fold, spread over many tasks."""
     ev = _user_events(events)
+    # one per-user probe (count, last event time) gives both the hot list and the snapshot
+    probe = materialize(ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.max("event_time").alias("last_t")))
     if snapshot is None:
-        snapshot = ev.agg(F.max("event_time")).scalar()
-    hot = [r[0] for r in ev.groupBy("user_id").count().filter(F.col("count") > hot_user_events)
-                             .select("user_id").collect()]
+        snapshot = probe.agg(F.max("last_t")).scalar()
+    hot = [r[0] for r in probe.filter(F.col("n") > hot_user_events).select("user_id").collect()]
     if not hot:
         return _abandoned_windows(ev, minutes, snapshot)
     cold = _abandoned_windows(ev.filter(~F.col("user_id").isin(hot)), minutes, snapshot)
