@@ -55,3 +55,20 @@ def test_as_of_restricts_history(spark):
     n = allv.filter((F.col("topic") == "user-events") & (F.col("event_date") <= F.lit("2024-01-10").cast("date"))).count()
     assert cut.total_events == n < full.total_events
     assert str(cut.run_date) <= "2024-01-10"
+
+
+def test_insert_if_absent_is_idempotent(spark):
+    import uuid
+
+    from clickcast.operators import report as RP
+    from clickcast.operators import sinks as SK
+    from clickcast.plans import inputs as I
+    from clickcast.session import shared_dir
+    from clickcast.sources.tables import shop_products
+    rep = RP.daily_report(I.user_events(spark, SF_SMALL), shop_products(spark, SF_SMALL))
+    path = shared_dir(spark, f"test-reports-{uuid.uuid4().hex[:8]}")
+    rep.filter("date <= date'2024-01-05'").write.parquet(path)
+    for _ in range(2):  # a re-run appends nothing new
+        SK.insert_if_absent(rep, spark.read.parquet(path), "date").write.mode("append").parquet(path)
+    back = spark.read.parquet(path)
+    assert back.count() == rep.count() == back.select("date").distinct().count()
