@@ -50,3 +50,23 @@ select doc_id, size, b.source_size, target,
     (size * (whole + case when d.h < th or (d.h = th and eq) then 1 else 0 end))::bigint as taken
 from d join b on d.source is not distinct from b.source left join cut on d.source is not distinct from cut.source
 """
+
+# The verdict in terms of windows: words in repeats of 10 words are the words in 10-word windows found
+# twice, and a repeat longer than 100 words is a 101-word window found twice.
+ORACLE["op10_quality_rules"] = rf"""
+with d as (select row_number() over () as n, doc_id, coalesce(text, '') as text, {WORDS} as ws from documents),
+win as (select n, k, p, md5(array_to_string(list_slice(ws, p, p + k - 1), ' ')) as h
+    from (select n, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as p from d, (values (5), (10), (101)) as t(k) where len(ws) >= k)),
+twice as (select n, k, unnest(ps) as p from (select n, k, h, list(p) as ps from win group by n, k, h having count(*) > 1)),
+cov as (select n, k, count(distinct q) as c from (select n, k, unnest(generate_series(p, p + k - 1)) as q from twice) group by n, k),
+lines as (select n, sum(c - 1)::bigint as dup from (select n, line, count(*) as c
+    from (select n, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by n, line) group by n),
+base as (select doc_id, n, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines,
+    coalesce((select c from cov where cov.n = d.n and k = 5), 0)::bigint as n_repeat_words,
+    coalesce((select c from cov where cov.n = d.n and k = 10), 0) as c10,
+    coalesce((select c from cov where cov.n = d.n and k = 101), 0) as c101 from d left join lines using (n))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and c10 <= 0.2 * n_words and c101 = 0 as kept from base
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickcast.llm import mixing, url_filter
+from clickcast.llm import fingerprints, mixing, quality_rules, simhash, url_filter
 from clickcast.llm.common import table
 
 
@@ -10,11 +10,27 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op2_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
