@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickcast.llm import fingerprints, mixing, quality_rules, simhash, url_filter
+from clickcast.llm import fingerprints, mixing, packing, quality_rules, simhash, toxicity, url_filter
 from clickcast.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_packing": op5_packing,
+    "op8_toxicity": op8_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
