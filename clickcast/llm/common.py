@@ -40,11 +40,11 @@ def landed(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Add ``row_id``, unique per row even among equal rows. A scan deals its rows out the same
+def with_row_id(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
+    """Add a row id, unique per row even among equal rows. A scan deals its rows out the same
     way each time it is read, so there the generated id is stable; behind a shuffle it is not,
     so such a table is landed with its ids first."""
-    out = df.withColumn("row_id", F.monotonically_increasing_id())
+    out = df.withColumn(column, F.monotonically_increasing_id())
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return landed(out, name)
     return out

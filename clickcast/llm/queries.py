@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickcast.llm import fingerprints, mixing, packing, quality_rules, simhash, toxicity, url_filter
+from clickcast.llm import fingerprints, mixing, packing, quality_rules, simhash, substring, toxicity, url_filter
 from clickcast.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_packing(spark, sf_dir):
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_packing": op5_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_mixing": op9_mixing,

@@ -212,9 +212,9 @@ def train_model(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -
     return Model(lexicon, fit_curve(got[:, :-1], got[:, -1]))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, others) -> all its columns and ``score``. No shuffle."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` (doc_id, text, others) -> all its columns and a score in ``column``. No shuffle."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     names = docs.columns
 
     def run(batches):
@@ -223,7 +223,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             texts = rb.column("text").to_pylist()
             x = np.array([features(t, weight) for t in texts]).reshape(len(texts), N_FEATURES)
             z = model.curve[0] + x @ model.curve[1:]
-            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*names, column])
 
     return docs.mapInArrow(run, schema)
 
