@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,19 @@ def with_row_id(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return landed(out, name)
     return out
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of a batch of texts: a code per word, the number of words per text (null: 0), and the
+    distinct words by code. Arrow's split cuts at the same six ASCII blanks and leaves empty strings
+    between neighbouring ones, which are taken out."""
+    texts = texts.cast(pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = parts.flatten().dictionary_encode()
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    blank = pc.index(flat.dictionary, "").as_py()
+    if blank >= 0:
+        there = codes != blank
+        codes, owner = codes[there], owner[there]
+    return codes, np.bincount(owner, minlength=len(texts)), flat.dictionary

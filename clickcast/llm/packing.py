@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickcast.llm.common import landed, words
-from clickcast.llm.tokens import default_tokenizer, encoder
+from clickcast.llm.common import coded_words, landed
+from clickcast.llm.tokens import default_tokenizer, encoder, gathered
 
 LENGTH = 2048
 END_ID = 1
+END = np.array([END_ID], np.uint16).tobytes()
+ROWS_AT_ONCE = 3000
 BUCKETS, DIMS, BITS, REACH = 256, 3, 10, 4.0
 
 
@@ -74,17 +77,19 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         enc, n = encoder(tokenizer), 0
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        end = np.array([END_ID], np.uint16).tobytes()
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                p = pdf[at:at + 1000]
-                got = [b"".join(w) + end for w in enc.encode_words([words(t) for t in p["text"]])]
-                keys = curve_keys([np.frombuffer(x, np.uint16)[:-1] for x in got])
-                order = np.arange(n, n + len(p)) * 2654435761 % (1 << 32) * (1 << 20) + part
-                n += len(p)
-                yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "ids": got, "key": keys, "tie": order})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, key long, tie long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                rb = whole.slice(at, ROWS_AT_ONCE)
+                codes, sizes, distinct = coded_words(rb.column("text"))
+                ids, _, counts = gathered(enc.encode_words(distinct.to_pylist()), codes, sizes)
+                own = np.split(ids, np.cumsum(counts)[:-1])
+                order = np.arange(n, n + len(own)) * 2654435761 % (1 << 32) * (1 << 20) + part
+                n += len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("doc_id"), pa.array([x.tobytes() + END for x in own], pa.binary()), pa.array(curve_keys(own)), pa.array(order)],
+                    ["doc_id", "ids", "key", "tie"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, key long, tie long")
 
 
 def cut(stream: Iterator[tuple], length: int = LENGTH) -> Iterator[tuple]:

@@ -1,9 +1,9 @@
 """Subword ids of whole texts from a public tokenizer file.
 
-The tokenizer drops white space and never joins pieces across it, so a text's ids are its words' ids
-in a row. Words recur, so a worker keeps the ids of words and of their pieces (runs of letters, single
-digits, runs of other characters); unseen pieces are encoded many at a time. Words with characters
-beyond Latin letters and ASCII go through the whole tokenizer.
+The tokenizer drops white space and never joins pieces across it, so a text's ids are the ids of its
+pieces (runs of letters, single digits, runs of other characters) in a row. Pieces recur, so a worker
+keeps their ids; unseen ones are encoded many at a time. Texts with characters beyond Latin letters
+and ASCII go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import re
 
 import numpy as np
 
-CACHE_WORDS, CACHE_PIECES = 300_000, 400_000
+CACHE_PIECES = 600_000
 #: The alphabet on which lower-casing and composing are plain: no other normal form exists for it.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]+")
-#: Fixed value: the pieces of a word, as the tokenizer file cuts them.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
+PLAIN = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-įı-ſ]*")
+#: Fixed value: the pieces of a word, as the tokenizer file cuts them, on that alphabet.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~]+")
+PIECE_OR_LINE = re.compile(PIECE.pattern + r"|\n")
 
 
 def default_tokenizer() -> str:
@@ -27,8 +28,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Words -> uint16 ids (as bytes), as ``encode(text, add_special_tokens=False)`` gives them."""
+class PieceEncoder:
+    """Texts or words -> uint16 ids (as bytes), as ``encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,8 +40,8 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec["added_tokens"]]
         vocab = spec["model"]["vocab"]
-        if max(vocab.values()) >= 1 << 16 or spec["model"].get("end_of_word_suffix") != "</w>":
-            raise ValueError("needs a vocabulary below 65536 ids with word-end pieces")
+        if max(vocab.values()) >= 0xFFFF or spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError("needs a vocabulary below 65535 ids with word-end pieces")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         spec["normalizer"], spec["added_tokens"] = None, []
@@ -48,12 +49,9 @@ class WordEncoder:
             {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False},
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.known: dict[bytes, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.known_pieces) + len(new) > CACHE_PIECES:
-            self.known_pieces.clear()
         for at in range(0, len(new), 1 << 15):
             part = new[at:at + (1 << 15)]
             lines = ["\n".join(part[k:k + 512]) for k in range(0, len(part), 512)]
@@ -64,44 +62,54 @@ class WordEncoder:
                 if len(cuts) != len(own):
                     raise ValueError("a piece without a word end")
                 bounds = [0, *(2 * cuts).tolist()]
-                self.known_pieces.update((p, raw[a:b]) for p, a, b in zip(own, bounds, bounds[1:]))
-
-    def learn(self, new: list[bytes]) -> None:
-        cut, odd = [], []
-        for w in new:
-            t = w.decode("utf-8", "surrogatepass")
-            if PLAIN.fullmatch(t) and not ("<" in t and any(s in t for s in self.special)):
-                cut.append((w, PIECE.findall(t.lower())))
-            else:
-                odd.append((w, t))
-        for at in range(0, len(cut), 1 << 16):
-            part = cut[at:at + (1 << 16)]
-            pieces = list({p for _, ps in part for p in ps if p not in self.known_pieces})
-            if len(pieces) + len(self.known_pieces) > CACHE_PIECES:
-                pieces = list({p for _, ps in part for p in ps})
-            self._learn_pieces(pieces)
-            get = self.known_pieces.__getitem__
-            self.known.update((w, b"".join(map(get, ps))) for w, ps in part)
-        for (w, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint16).tobytes()
-
-    def encode_words(self, batch: list[list[bytes]]) -> list[list[bytes]]:
-        """The ids of each word of each text; a batch's new words are encoded together."""
-        known = self.known
-        new = list({w for ws in batch for w in ws if w not in known})
-        if len(new) + len(known) > CACHE_WORDS:
-            new = list({w for ws in batch for w in ws})
-            known.clear()
-        if new:
-            self.learn(new)
-        return [[known[w] for w in ws] for ws in batch]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+                self.known.update((p, raw[a:b]) for p, a, b in zip(own, bounds, bounds[1:]))
+
+    def _look_up(self, pieces: list[list[str]]) -> None:
+        new = {p for ps in pieces for p in ps if p not in self.known and p != "\n"}
+        if len(new) + len(self.known) > CACHE_PIECES:
+            new = {p for ps in pieces for p in ps if p != "\n"}
+            self.known.clear()
+        self._learn_pieces(list(new))
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not ("<" in text and any(s in text for s in self.special))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of single words (without blanks), in order."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1 << 16):
+            part = words[at:at + (1 << 16)]
+            odd = {k: t for k, t in enumerate(part) if not self.plain(t)}
+            pieces = PIECE_OR_LINE.findall("\n".join("" if k in odd else t for k, t in enumerate(part)).lower())
+            self._look_up([pieces])
+            get = self.known.get
+            ids = b"".join(get(p, b"\xff\xff") for p in pieces)  # a line end becomes id 65535
+            lines = np.frombuffer(ids, np.uint16)
+            ends = (2 * np.flatnonzero(lines == 0xFFFF)).tolist()
+            found = [ids[a:b] for a, b in zip([0, *(e + 2 for e in ends)], [*ends, len(ids)])]
+            for (k, _), e in zip(odd.items(), self.whole.encode_batch_fast(list(odd.values()), add_special_tokens=False)):
+                found[k] = np.array(e.ids, np.uint16).tobytes()
+            out += found
+        return out
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
     """The worker's encoder of this file: later tasks of the same worker find its words known."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
+
+
+def gathered(word_ids: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of coded words laid end to end: (ids, ids per word, ids per text)."""
+    lengths = np.fromiter((len(x) // 2 for x in word_ids), np.int64, len(word_ids))
+    flat = np.frombuffer(b"".join(word_ids), np.uint16)
+    first = np.cumsum(lengths) - lengths
+    per_word = lengths[codes]
+    upto = np.cumsum(per_word)
+    ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[codes] - upto + per_word, per_word)]
+    ends = np.concatenate(([0], upto))[np.cumsum(sizes)]
+    return ids, per_word, np.diff(ends, prepend=0)
