@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickcast.llm import fingerprints, mixing, packing, quality_rules, simhash, substring, toxicity, url_filter
+from clickcast.llm import fingerprints, lm, mixing, packing, quality_rules, simhash, substring, toxicity, url_filter
 from clickcast.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -42,6 +46,7 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,
