@@ -31,13 +31,13 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def landed(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost
     executors, and fixes generated row ids. The folder goes when the driver's JVM ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.option("compression", "zstd").partitionBy(*keep).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickcast.llm import fingerprints, lm, mixing, packing, quality_rules, simhash, substring, toxicity, url_filter
+from clickcast.llm import fingerprints, kneser_ney, lm, mixing, packing, quality_rules, simhash, substring, toxicity, url_filter
 from clickcast.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_lm_scoring(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return kneser_ney.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_toxicity": op8_toxicity,

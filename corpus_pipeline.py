@@ -1,14 +1,64 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that the stage before it kept;
+its result is written as Parquet and read again as the next stage's documents. All stages but the
+last return the columns of ``documents``; the last returns one row per piece of a training sequence.
+"""
 
 from __future__ import annotations
 
-#: DuckDB SQL for run()'s rows: SimHash and the tokenizer cannot be written in SQL.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clickcast.llm import mixing, packing, simhash, substring, toxicity
+from clickcast.llm.common import landed, table
+
+#: SimHash, the toxicity model and the tokenizer cannot be written in SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pattern grammar, fitted to the labels, does not reject (score below 0.5)."""
+    model = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model, "__score").filter("__score < 0.5").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return simhash.distinct_documents(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 35-word windows that occur elsewhere too; a text of which nothing is
+    left goes, one that had no words stays. ``n_chars`` follows the text."""
+    out = substring.deduplicated(docs).filter("n_removed__ = 0 or n_removed__ < n_words__")
+    changed = F.when(F.col("n_removed__") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences: pieces of documents with their ids."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the tables between them are in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = landed(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
