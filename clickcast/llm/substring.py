@@ -6,28 +6,31 @@ places, so a window whose anchor occurs once in the corpus cannot repeat, and on
 go on. A node where several different edges leave or enter branches; between branches (and the ends
 of a document's repeated run) consecutive edges compact into one path. Paths found twice are
 verified whole by the digests of the words between their anchors, one row per path and document.
-Only windows that lie inside no such path are compared one by one, against each other and against
-the windows of one representative of each verified path. So every repeated window is found, and a
-group of copies costs a few rows per document, not one per window.
+Stretches of windows that lie inside no such path are likewise compared whole first; windows of
+stretches that occur once are compared one by one, with each other and with those of one
+representative of each path and stretch. So every repeated window is found, and a group of copies
+costs a few rows per document, not one per window.
 """
 
 from __future__ import annotations
 
+import itertools
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickcast.llm.common import landed, with_row_id, words
+from clickcast.llm.common import coded_words, landed, with_row_id, words
 
 WINDOW = 35               # words of a repeated window
 KMER = 16                 # words of a node; WINDOW - KMER + 1 k-mers begin in a window
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BATCH_WORDS = 400_000
+ROWS_AT_ONCE = 1000        # documents that are hashed together
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -36,26 +39,16 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def word_hashes(batch: list[list[bytes]]) -> np.ndarray:
-    flat = np.empty(sum(map(len, batch)), dtype=object)
-    flat[:] = [w for ws in batch for w in ws]
-    code, unique = pd.factorize(flat)
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in unique), np.uint64, len(unique))[code]
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
-def kmer_hashes(h: np.ndarray, k: int = KMER) -> np.ndarray:
-    """Hash of each k words, from running sums of h[j] * BASE**-j (modulo 2**64)."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    sums = np.concatenate(([np.uint64(0)], np.add.accumulate(h * powers(BASE_INVERSE, len(h)))))
-    return mixed((sums[k:] - sums[:-k]) * powers(BASE, n))
+def running_sums(h: np.ndarray) -> np.ndarray:
+    """Sums of h[j] * BASE**-j before each word, modulo 2**64: the difference of two, times BASE**start,
+    is a polynomial hash of the words between."""
+    return np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(h * powers(BASE_INVERSE, len(h)))))
 
 
 def least_positions(h: np.ndarray, width: int) -> np.ndarray:
@@ -69,76 +62,70 @@ def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchors_of(batch: list[list[bytes]], window: int = WINDOW, k: int = KMER):
-    """For each document of a batch: (positions, hashes, first window, last window) of its anchors.
-    Windows of neighbouring documents are computed together and then left out."""
-    sizes = np.array([len(w) for w in batch])
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    h = word_hashes(batch)
-    if len(h) < window:
-        return [(np.empty(0, int),) * 4 for _ in batch], h
-    km = kmer_hashes(h, k)
-    least = least_positions(km, window - k + 1)
-    out = []
-    for s, n in zip(starts, sizes):
-        if n < window:
-            out.append((np.empty(0, int),) * 4)
-            continue
-        own = least[s:s + n - window + 1] - s
-        new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out.append((own[new], km[own[new] + s], new, np.append(new[1:], len(own)) - 1))
-    return out, h
-
-
-def _batches(texts):
-    """Index ranges of about BATCH_WORDS words, with their words."""
-    batch, first, total = [], 0, 0
-    for i, t in enumerate(texts):
-        batch.append(words(t))
-        total += len(batch[-1])
-        if total >= BATCH_WORDS:
-            yield first, batch
-            batch, first, total = [], i + 1, 0
-    if batch:
-        yield first, batch
+class Anchors(NamedTuple):
+    doc: np.ndarray      # which text of the batch
+    index: np.ndarray    # of the anchor in its text
+    place: np.ndarray    # first word, in its text
+    h: np.ndarray        # hash of its k-mer
+    first: np.ndarray    # first window whose anchor it is
+    count: np.ndarray    # windows whose anchor it is
+    edge: np.ndarray     # digest of the words from it through the next anchor; 0 at a text's last
+
+
+def anchors_of(texts: pa.Array, window: int = WINDOW, k: int = KMER) -> Anchors:
+    """The anchors of a batch of texts. All texts are hashed in one run of words; windows that cross
+    from one text to the next are left out."""
+    codes, sizes, distinct = coded_words(texts)
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))[codes]
+    n = len(h) - window + 1
+    if n <= 0:
+        return Anchors(*(np.empty(0, t) for t in (int, int, int, np.uint64, int, int, np.uint64)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.cumsum(sizes) - sizes
+    sums = running_sums(h)
+    km = mixed((sums[k:] - sums[:-k]) * powers(BASE, len(h) - k + 1))
+    at = np.flatnonzero(owner[:n] == owner[window - 1:])  # windows inside one text
+    if not len(at):
+        return Anchors(*(np.empty(0, t) for t in (int, int, int, np.uint64, int, int, np.uint64)))
+    q = least_positions(km, window - k + 1)[at]
+    new = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (owner[at[1:]] != owner[at[:-1]])))
+    count = np.diff(np.append(new, len(at)))
+    q, lo = q[new], at[new]
+    doc = owner[lo]
+    last = np.append(doc[1:] != doc[:-1], True)
+    stop = np.where(last, q, np.append(q[1:], 0)) + k
+    edge = mixed((sums[stop] - sums[q]) * powers(BASE, len(h) + 1)[q] + (stop - q).astype(np.uint64))
+    begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    index = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return Anchors(doc, index, q - start[doc], km[q], lo - start[doc], count, np.where(last, 0, edge).astype(np.uint64))
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """(h): anchors that occur at two or more places. Counts are summed per batch before the shuffle."""
 
     def count(batches):
-        for pdf in batches:
-            for _, batch in _batches(pdf["text"]):
-                found, _ = anchors_of(batch)
-                h, n = np.unique(np.concatenate([f[1].astype(np.uint64) for f in found]), return_counts=True)
-                yield pd.DataFrame({"h": h.view(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
+        for rb in batches:
+            for at in range(0, rb.num_rows, ROWS_AT_ONCE):
+                h, n = np.unique(anchors_of(rb.column("text").slice(at, ROWS_AT_ONCE)).h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
-    return docs.select("text").mapInPandas(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    return docs.select("text").mapInArrow(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every anchor with its coordinates: row_id, h, place (index << 32 | position), windows (first << 32
-    | count), and the digest of the words from it through the next anchor (0 at the last one)."""
+    """Every anchor with its coordinates: row_id, h, place (index << 32 | first word), windows (first << 32
+    | count), edge."""
 
     def run(batches):
-        for pdf in batches:
-            ids = pdf["row_id"].to_numpy()
-            for first, batch in _batches(pdf["text"]):
-                found, _ = anchors_of(batch)
-                frames = []
-                for k, (ws, (q, h, lo, hi)) in enumerate(zip(batch, found)):
-                    if not len(q):
-                        continue
-                    line = b" ".join(ws)
-                    at = np.concatenate(([0], np.cumsum([len(w) + 1 for w in ws]))).tolist()
-                    pos = q.tolist()
-                    e = np.array([xxhash.xxh64_intdigest(line[at[a]:at[b + KMER] - 1]) for a, b in zip(pos, pos[1:])] + [0], np.uint64)
-                    frames.append((np.full(len(q), ids[first + k]), h.astype(np.uint64).view(np.int64), (np.arange(len(q)) << 32) | q,
-                                   (lo << 32) | (hi - lo + 1), e.view(np.int64)))
-                if frames:
-                    yield pd.DataFrame(dict(zip(("row_id", "h", "place", "windows", "edge"), map(np.concatenate, zip(*frames)))))
-
-    return docs.select("row_id", "text").mapInPandas(run, "row_id long, h long, place long, windows long, edge long")
+        for rb in batches:
+            ids = rb.column("row_id").to_numpy()
+            for at in range(0, rb.num_rows, ROWS_AT_ONCE):
+                x = anchors_of(rb.column("text").slice(at, ROWS_AT_ONCE))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at:][x.doc]), pa.array(x.h.view(np.int64)), pa.array((x.index << 32) | x.place),
+                     pa.array((x.first << 32) | x.count), pa.array(x.edge.view(np.int64))], ["row_id", "h", "place", "windows", "edge"])
+
+    return docs.select("row_id", "text").mapInArrow(run, "row_id long, h long, place long, windows long, edge long")
 
 
 def compact_paths(occ: DataFrame) -> DataFrame:
@@ -163,15 +150,52 @@ def compact_paths(occ: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", F.transform("items", lambda x: x["edge"].cast("string"))), 256).alias("digest"))
 
 
-def window_digests(ws: list[bytes], starts: np.ndarray, window: int = WINDOW) -> list[bytes]:
-    line = b" ".join(ws)
-    at = np.concatenate(([0], np.cumsum([len(w) + 1 for w in ws]))).tolist()
-    return [xxhash.xxh128_digest(line[at[p]:at[p + window] - 1]) for p in starts.tolist()]
+def window_digests(line: bytes, at: list[int], first: int, stop: int, window: int = WINDOW) -> list[bytes]:
+    """Digests of the windows that begin at the words ``first`` to ``stop`` - 1; ``at``: where in the
+    line each word begins."""
+    return [xxhash.xxh128_digest(line[a:b - 1]) for a, b in zip(at[first:stop], at[first + window:stop + window])]
+
+
+def spelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(row_id, start, stop, digest, windows, kind) of the documents that have repeated anchors. Kind 0:
+    a verified path's span. Kind 1: a stretch of neighbouring windows in no verified path, the digest
+    of its words, and those of its windows. Kind 2: the windows of a path that its representative shows."""
+
+    def run(batches):
+        for rb in batches:
+            out = []
+            lists = {c: (rb.column(c).values.to_numpy(zero_copy_only=False), rb.column(c).offsets.to_numpy()) for c in ("place", "windows", "n_edges", "chosen")}
+            for k, (row, text) in enumerate(zip(rb.column("row_id").to_pylist(), rb.column("text").to_pylist())):
+                place, wins, edges, chosen = (v[o[k]:o[k + 1]] for v, o in lists.values())
+                ws = words(text)
+                line = b" ".join(ws)
+                at = np.concatenate(([0], np.cumsum([len(w) + 1 for w in ws]))).tolist()
+                node = edges == 0
+                where = dict(zip((place[node] >> 32).tolist(), (place[node] & 0xFFFFFFFF).tolist()))
+                delta = np.zeros(len(ws) + 1, np.int64)
+                np.add.at(delta, wins[node] >> 32, 1)
+                np.add.at(delta, (wins[node] >> 32) + (wins[node] & 0xFFFFFFFF), -1)
+                open_ = np.cumsum(delta) > 0
+                for i, n, shown in zip((place[~node] >> 32).tolist(), edges[~node].tolist(), chosen[~node].tolist()):
+                    a, b = where[i], where[i + n] + KMER
+                    if b - a >= WINDOW:
+                        open_[a:b - WINDOW + 1] = False
+                        out.append((row, a, b, None, window_digests(line, at, a, b - WINDOW + 1) if shown else None, 2 if shown else 0))
+                turns = np.flatnonzero(np.diff(open_.astype(np.int8), prepend=0, append=0))
+                for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):
+                    stop = b - 1 + WINDOW
+                    out.append((row, a, stop, xxhash.xxh128_digest(line[at[a]:at[stop] - 1]), window_digests(line, at, a, b), 1))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_id", "start", "stop", "digest", "windows", "kind"])
+
+    return docs.select("row_id", "text").join(known, "row_id").mapInArrow(
+        run, "row_id long, start int, stop int, digest binary, windows array<binary>, kind int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (row_id, text) -> (row_id, spans): sorted word spans [start, stop) that some repeated
-    window covers, one row per document that has any."""
+    """``docs`` (row_id, text) -> (row_id, starts, stops): word spans that some repeated window covers,
+    one row per document that has any."""
     nodes = landed(repeated_anchors(docs), "graph-nodes")
     occ = landed(occurrences(docs).join(nodes, "h"), "graph-places")
     paths = landed(compact_paths(occ), "graph-paths")
@@ -183,52 +207,33 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # what is known of each document: its repeated anchors, and the verified paths among them
     marks = occ.select("row_id", "place", "windows", F.lit(0).alias("n_edges"), F.lit(False).alias("chosen")).unionByName(
         verified.select("row_id", F.shiftleft(F.col("first_anchor").cast("long"), 32).alias("place"), F.lit(0).cast("long").alias("windows"), "n_edges", "chosen"))
-    known = marks.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("place", "windows", "n_edges", "chosen"))).alias("marks"))
-
-    def spell(batches):
-        """Windows to compare (weight 1), windows that stand for a verified path (2, no row) and the
-        verified spans themselves (no digest)."""
-        for pdf in batches:
-            out = []
-            for row, text, marks in zip(pdf["row_id"], pdf["text"], pdf["marks"]):
-                ws = words(text)
-                anchor = {m["place"] >> 32: (m["place"] & 0xFFFFFFFF, m["windows"]) for m in marks if not m["n_edges"]}
-                open_ = np.zeros(len(ws), bool)
-                for _, w in anchor.values():
-                    lo = w >> 32
-                    open_[lo:lo + (w & 0xFFFFFFFF)] = True
-                shown = np.zeros(len(ws), bool)
-                for m in marks:
-                    if m["n_edges"]:
-                        first = m["place"] >> 32
-                        a, b = anchor[first][0], anchor[first + m["n_edges"]][0] + KMER
-                        if b - a >= WINDOW:
-                            open_[a:b - WINDOW + 1] = False
-                            out.append((row, a, b, None, 0))
-                            if m["chosen"]:
-                                shown[a:b - WINDOW + 1] = True
-                for flags, weight in ((open_, 1), (shown & ~open_, 2)):
-                    at = np.flatnonzero(flags)
-                    out += ((row, p, p + WINDOW, d, weight) for p, d in zip(at.tolist(), window_digests(ws, at)))
-            yield pd.DataFrame(out, columns=["row_id", "start", "stop", "digest", "weight"])
-
-    spelled = landed(docs.select("row_id", "text").join(known, "row_id").mapInPandas(
-        spell, "row_id long, start int, stop int, digest binary, weight int"), "graph-windows")
-    windows = spelled.filter("digest is not null")
-    again = windows.groupBy("digest").agg(F.sum("weight").alias("n")).filter("n > 1").select("digest")
-    hits = windows.filter("weight = 1").join(again, "digest", "left_semi").select("row_id", "start", "stop")
-    spans = hits.union(spelled.filter("digest is null").select("row_id", "start", "stop"))
-    return spans.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-
-
-def kept_words(ws: list[bytes], spans) -> list[bytes]:
-    if spans is None or not len(spans):
-        return ws
+    known = marks.groupBy("row_id").agg(F.collect_list(F.struct("place", "windows", "n_edges", "chosen")).alias("m")).select(
+        "row_id", "m.place", "m.windows", "m.n_edges", "m.chosen")
+    spelled = landed(spelled_windows(docs, known), "graph-windows")
+
+    # stretches with equal words repeat as a whole; the others are compared window by window, with each
+    # other, with one of each group of equal stretches, and with the shown paths
+    stretches = spelled.filter("kind = 1")
+    alike = stretches.groupBy("digest").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
+    alike = landed(alike, "graph-stretches")
+    whole = stretches.select("row_id", "start", "stop", "digest").join(alike.filter("n > 1").select("digest"), "digest", "left_semi")
+    single = stretches.join(alike.filter("n = 1").select("digest"), "digest", "left_semi")
+    windows = alike.select(F.explode("windows").alias("w"), F.least("n", F.lit(2)).alias("weight")).union(
+        spelled.filter("kind = 2").select(F.explode("windows").alias("w"), F.lit(2).alias("weight")))
+    again = windows.groupBy("w").agg(F.sum("weight").alias("n")).filter("n > 1").select("w")
+    hits = single.select("row_id", "start", F.posexplode("windows").alias("k", "w")).join(again, "w", "left_semi").select(
+        "row_id", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + WINDOW).alias("stop"))
+    spans = hits.union(whole.select("row_id", "start", "stop")).union(spelled.filter("kind <> 1").select("row_id", "start", "stop"))
+    return spans.groupBy("row_id").agg(F.collect_list(F.struct("start", "stop")).alias("s")).select(
+        "row_id", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
+
+
+def kept_words(ws: list[bytes], starts, stops) -> list[bytes]:
+    """The words outside the spans [start, stop)."""
     delta = np.zeros(len(ws) + 1, np.int64)
-    np.add.at(delta, [s["start"] for s in spans], 1)
-    np.add.at(delta, [s["stop"] for s in spans], -1)
-    gone = np.cumsum(delta[:-1]) > 0
-    return [w for w, g in zip(ws, gone) if not g]
+    np.add.at(delta, starts, 1)
+    np.add.at(delta, stops, -1)
+    return list(itertools.compress(ws, (np.cumsum(delta[:-1]) == 0).tolist()))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -239,20 +244,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     so both lose their windows. Ids may be null or repeat; an empty table gives no rows."""
     ids = with_row_id(docs, "substring-rows", "__row")
     spans = repeated_spans(ids.select(F.col("__row").alias("row_id"), "text"))
-    joined = ids.join(spans.select(F.col("row_id").alias("__row"), F.col("spans").alias("__spans")), "__row", "left").drop("__row")
+    joined = ids.join(spans.select(F.col("row_id").alias("__row"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "__row", "left").drop("__row")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words__", T.LongType()), T.StructField("n_removed__", T.LongType())])
 
     def strip(batches):
         for rb in batches:
             texts, n, gone = rb.column("text").to_pylist(), [], []
-            for k, spans in enumerate(rb.column("__spans").to_pylist()):
+            starts, stops = rb.column("__starts"), rb.column("__stops")
+            for k, some in enumerate(starts.is_valid().to_pylist()):
                 ws = words(texts[k])
-                left = kept_words(ws, spans)
                 n.append(len(ws))
-                gone.append(len(ws) - len(left))
-                if gone[-1]:
-                    texts[k] = b" ".join(left).decode("utf-8", "surrogatepass")
+                gone.append(0)
+                if some:
+                    left = kept_words(ws, starts[k].values.to_numpy(), stops[k].values.to_numpy())
+                    gone[-1] = len(ws) - len(left)
+                    texts[k] = b" ".join(left).decode("utf-8", "surrogatepass") if gone[-1] else texts[k]
             cols = [pa.array(texts, pa.string()) if c == "text" else rb.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words__", "n_removed__"])
 
