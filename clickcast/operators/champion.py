@@ -10,10 +10,11 @@ def champion_history(runs: DataFrame, model: str = "model_name", run: str = "run
                      order: str = "run_time", metric: str = "metric",
                      higher_is_better: bool = True) -> DataFrame:
     """A run becomes champion iff its metric is strictly better than the reigning
-    champion's (or there is none yet); a run without the metric is never promoted.
+    champion's (or there is none yet); a run without the metric, or with NaN, is never promoted.
 
     The reigning champion's metric is the best metric of all earlier runs (a running
     max/min over the rows before the current one), so promotions need no iteration."""
+    runs = runs.withColumn(metric, F.when(~F.isnan(metric), F.col(metric)))
     w = Window.partitionBy(model).orderBy(order, run).rowsBetween(Window.unboundedPreceding, -1)
     best_before = F.max(metric).over(w) if higher_is_better else F.min(metric).over(w)
     better = (F.col(metric) > F.col("_best")) if higher_is_better else (F.col(metric) < F.col("_best"))

@@ -1,28 +1,13 @@
 """Dimension lookups: product enrichment and category names.
 
-A dimension is broadcast only after a bounded row-count probe says it is small; past the
-bound the join is left to Spark (sort-merge, AQE may still pick broadcast at runtime)."""
+No join carries a hint: Spark broadcasts a dimension whose size in bytes is below its
+threshold, and AQE decides again from the sizes at run time."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. The probe stops after max_rows+1 rows
-    (a limit job), so its cost is bounded even for a huge input."""
-    if df.isStreaming:
-        return False
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def product_dimension(products: DataFrame) -> DataFrame:
     """(product_id text, product_category, product_price) - the enrichment columns."""
     return products.select(F.col("id").cast("string").alias("product_id"),
@@ -30,15 +15,13 @@ def product_dimension(products: DataFrame) -> DataFrame:
                            F.col("price").cast("double").alias("product_price"))
 
 
-def enrich_with_products(events: DataFrame, products: DataFrame,
-                         max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def enrich_with_products(events: DataFrame, products: DataFrame) -> DataFrame:
     """Left join: every event kept, category/price attached when the product is known.
     Works for a streaming ``events`` frame too (stream-static join)."""
-    dim = maybe_broadcast(product_dimension(products), max_rows)
-    return events.join(dim, on="product_id", how="left")
+    return events.join(product_dimension(products), on="product_id", how="left")
 
 
 def product_with_category(products: DataFrame, categories: DataFrame) -> DataFrame:
     """Products with their category id and name (left lookup; unknown category -> NULL)."""
-    cats = maybe_broadcast(categories.select(F.col("id").alias("category_id"), "category_name"))
+    cats = categories.select(F.col("id").alias("category_id"), "category_name")
     return products.join(cats, products.category == cats.category_name, "left").drop("category")

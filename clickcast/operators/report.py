@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if
-from .enrich import maybe_broadcast
 
 
 def daily_report(events: DataFrame, products: DataFrame, date=None) -> DataFrame:
@@ -19,7 +18,7 @@ def daily_report(events: DataFrame, products: DataFrame, date=None) -> DataFrame
     price = products.select(F.col("id").cast("string").alias("product_id"),
                             F.col("price").cast("double").alias("price"))
     ev = ev.select("event_date", "event_type", "product_id", "is_recommended").join(
-        maybe_broadcast(price), "product_id", "left")
+        price, "product_id", "left")
     t, rec = F.col("event_type"), F.col("is_recommended") == F.lit(True)
     agg = ev.groupBy(F.col("event_date").alias("date")).agg(
         F.coalesce(F.sum(F.when(t == "transaction", F.col("price"))), F.lit(0.0)).alias("total_revenue"),

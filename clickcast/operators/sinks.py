@@ -21,11 +21,12 @@ def write_raw_events(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_raw_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """foreachBatch body that survives replays: each micro-batch lands in its own
-    ``batch=<id>`` folder, overwritten if the batch is re-run after a failure."""
-    (batch.sortWithinPartitions("customer_key")
-          .write.partitionBy("id_type", "event_date").mode("overwrite")
-          .parquet(f"{path.rstrip('/')}/batch={batch_id}"))
+    """foreachBatch body that survives replays: within each ``id_type``/``event_date`` folder a
+    micro-batch owns one ``batch=<id>`` folder, overwritten if the batch is run again. A filter on
+    the date lists that date's folders only; ``bucketed_compaction`` merges the small files."""
+    (batch.withColumn("batch", F.lit(batch_id)).sortWithinPartitions("customer_key")
+          .write.partitionBy("id_type", "event_date", "batch").mode("overwrite")
+          .option("partitionOverwriteMode", "dynamic").parquet(path.rstrip("/")))
 
 
 def bucketed_compaction(spark: SparkSession, raw: DataFrame, table: str,
@@ -40,10 +41,12 @@ def bucketed_compaction(spark: SparkSession, raw: DataFrame, table: str,
 
 
 def read_parquet_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Missing input -> an empty frame with the expected schema instead of a failure."""
+    """Missing input -> an empty frame with the expected schema; any other failure is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

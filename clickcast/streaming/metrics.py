@@ -65,31 +65,23 @@ def metric_frame(df: DataFrame, m: Metric) -> DataFrame:
     return out.orderBy(F.desc(m.column)) if m.mode == "complete" and m.group == "product_id" else out
 
 
-def csv_merge_writer(path: str, key_cols: list[str]):
-    """foreachBatch body for a single-CSV metric file, written as ``batch=<id>`` versions
-    (a replayed batch overwrites only its own version; readers take the highest).
-    Update-mode batches carry only the windows they touched, so they are merged with the
-    previous version by key (latest wins); complete-mode batches (no key) replace it."""
+def csv_version_writer(path: str):
+    """foreachBatch body for a metric file: each batch is written as its own ``batch=<id>``
+    version and nothing is read back. A replay overwrites only its own version, and a failed
+    write fails the batch, so no earlier version can be lost."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        out = batch
-        if key_cols:
-            try:
-                versions = spark.read.option("header", True).schema(batch.schema).csv(path)
-                prev = versions.filter(F.col("batch") < batch_id)
-                last = prev.agg(F.max("batch")).scalar()
-                old = prev.filter(F.col("batch") == last).drop("batch")
-                out = old.join(batch.select(*key_cols), key_cols, "left_anti").unionByName(batch)
-            except Exception:  # noqa: BLE001 - first batch: nothing written yet
-                out = batch
-        out.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").option("header", True).csv(f"{path}/batch={batch_id}")
     return write
 
 
-def read_metric_csv(spark, path: str, schema) -> DataFrame:
-    """The latest version of a metric file."""
+def read_metric_csv(spark, path: str, schema, keys: list[str]) -> DataFrame:
+    """A metric from its versions: update mode (``keys``) takes each key's value from the newest
+    version that has it, complete mode the newest version."""
     v = spark.read.option("header", True).schema(schema).csv(path)
-    return v.filter(F.col("batch") == v.agg(F.max("batch")).scalar()).drop("batch")
+    if not keys:
+        return v.filter(F.col("batch") == v.agg(F.max("batch")).scalar()).drop("batch")
+    values = [c for c in schema.names if c not in keys]
+    return v.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values]).select(schema.names)
 
 
 def start_metric(df: DataFrame, m: Metric, sink: str = "console", metrics_path: str | None = None,
@@ -102,8 +94,7 @@ def start_metric(df: DataFrame, m: Metric, sink: str = "console", metrics_path:
     elif sink == "memory":
         w = w.format("memory")
     else:
-        keys = ["window_start", "window_end"] if m.group == "minute" else []
-        w = (w.foreachBatch(csv_merge_writer(f"{metrics_path}/{m.name}", keys))
+        w = (w.foreachBatch(csv_version_writer(f"{metrics_path}/{m.name}"))
               .option("checkpointLocation", f"{checkpoint_dir}/metrics_{m.name}"))
     if available_now:
         w = w.trigger(availableNow=True)
@@ -116,19 +107,6 @@ def metric_keys(m: Metric) -> list[str]:
     return {"total": [], "minute": ["window_start", "window_end"]}.get(m.group, [m.group])
 
 
-def latest_version(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest ``batch=<id>`` version of a metric table (optionally older than
-    ``before``); None when nothing is written yet."""
-    try:
-        v = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - path absent
-        return None
-    if before is not None:
-        v = v.filter(F.col("batch") < before)
-    last = v.agg(F.max("batch")).first()[0]
-    return None if last is None else v.filter(F.col("batch") == last).drop("batch")
-
-
 def _bases(df: DataFrame) -> dict[str, DataFrame]:
     """The two count tables every metric rolls up from: per (topic, type, product) and per
     (topic, type, minute window). Both are bounded by their key domains."""
@@ -152,25 +130,27 @@ def metric_from_bases(by_product: DataFrame, by_minute: DataFrame, m: Metric) ->
 
 
 def all_metrics_writer(path: str):
-    """foreachBatch body maintaining the running count tables: the batch's counts are
-    added to the previous version and written as version ``batch=<id>`` (a replayed batch
-    rewrites only its own version). One source read, no streaming state, two small writes
-    per micro-batch for all 23 metrics."""
+    """foreachBatch body of the count tables: the batch's own counts are appended as
+    ``batch=<id>``. Nothing is read or merged, so work and files grow with the input alone, a
+    replay rewrites its own folder, and a failure cannot drop earlier counts. Readers add up."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         for name, part in _bases(batch).items():
-            keys = [c for c in part.columns if c != "n"]
-            prev = latest_version(spark, f"{path}/{name}", before=batch_id)
-            both = part if prev is None else prev.select(part.columns).unionByName(part)
-            merged = both.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n"))
-            merged.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            part.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
     return write
 
 
 def read_live_metric(spark, path: str, m: Metric) -> DataFrame:
-    """A metric's current value from the latest versions of the count tables."""
-    return metric_from_bases(latest_version(spark, f"{path}/by_product"),
-                             latest_version(spark, f"{path}/by_minute"), m)
+    """A metric's current value: the sum over the batches' counts."""
+    return metric_from_bases(spark.read.parquet(f"{path}/by_product"), spark.read.parquet(f"{path}/by_minute"), m)
+
+
+def compact_counts(spark, path: str, out: str) -> None:
+    """Write the count tables summed up as one batch of a new table (between two runs of the
+    metrics query, or to keep a closed period): the same sums in one folder."""
+    for name in ("by_product", "by_minute"):
+        t = spark.read.parquet(f"{path}/{name}")
+        keys = [c for c in t.columns if c not in ("n", "batch")]
+        t.groupBy(*keys).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/{name}/batch=0")
 
 
 def start_metrics_job(validated: DataFrame, path: str, checkpoint_dir: str,
