@@ -86,9 +86,7 @@ def _fired(ev: DataFrame, minutes: int, snapshot) -> DataFrame:
         F.col("f.cart_size").cast("bigint").alias("cart_size"))
 
 
-
-
-def _abandoned_chunked(ev: DataFrame, minutes: int, snapshot, chunk: str = "1 hour") -> DataFrame:
+def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=None, chunk: str = "1 day") -> DataFrame:
     """One row per abandonment: user_id, episode, last_activity, notify_at, cart_size.
 
     epoch = transactions so far (the cart empties), episode = adds + transactions so far
@@ -101,6 +99,9 @@ def _abandoned_chunked(ev: DataFrame, minutes: int, snapshot, chunk: str = "1 ho
     a window over chunk summaries; the next event time and a product's previous
     add/delete cross chunk borders the same way. No window ever orders all events of one
     user, so a user with a third of the events is spread over many tasks."""
+    ev = _user_events(events)
+    if snapshot is None:
+        snapshot = ev.agg(F.max("event_time")).scalar()
     t = F.col("event_type")
     is_add = (t == "add_to_cart") & is_present("product_id")
     is_del = (t == "delete_from_cart") & is_present("product_id")
@@ -147,57 +148,6 @@ def _abandoned_chunked(ev: DataFrame, minutes: int, snapshot, chunk: str = "1 ho
     return _fired(ev, minutes, snapshot)
 
 
-def _abandoned_windows(ev: DataFrame, minutes: int, snapshot) -> DataFrame:
-    """The fold as per-user windows: one shuffle by user, one sort per user (used for users
-    whose event count is under the hot-user bound)."""
-    t = F.col("event_type")
-    is_add = (t == "add_to_cart") & is_present("product_id")
-    is_del = (t == "delete_from_cart") & is_present("product_id")
-    wu = Window.partitionBy("user_id").orderBy("event_time", "id")
-    run = wu.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ev = (ev.withColumn("epoch", F.sum(F.when(t == "transaction", 1).otherwise(0)).over(run))
-            .withColumn("episode", F.sum(F.when(is_add | (t == "transaction"), 1).otherwise(0)).over(run))
-            .withColumn("next_t", F.lead("event_time").over(wu))
-            .withColumn("ad", is_add | is_del))
-    wp = Window.partitionBy("user_id", "epoch", "product_id", "ad").orderBy("event_time", "id")
-    ev = ev.withColumn("prev", F.when(F.col("ad"), F.lag("event_type").over(wp)))
-    delta = (F.when(is_add & (F.coalesce(F.col("prev"), F.lit("")) != "add_to_cart"), 1)
-              .when(is_del & (F.col("prev") == "add_to_cart"), -1).otherwise(0))
-    we = Window.partitionBy("user_id", "epoch").orderBy("event_time", "id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return _fired(ev.withColumn("cart_size", F.sum(delta).over(we)), minutes, snapshot)
-
-
-HOT_USER_EVENTS = 5_000_000
-
-
-def abandoned_carts(events: DataFrame, minutes: int = ABANDON_MINUTES, snapshot=None,
-                    hot_user_events: int = HOT_USER_EVENTS, chunk: str = "1 hour") -> DataFrame:
-    """One row per abandonment: user_id, episode, last_activity, notify_at, cart_size.
-
-    epoch = transactions so far (the cart empties), episode = adds + transactions so far
-    (the notification re-arms); a product's membership flips only when its previous
-    add/delete in the epoch says so; the cart is idle when the user's next event (or the
-    snapshot, default the latest event time) is more than ``minutes`` later.
-
-    Skew split: a per-user count (a map-side combined aggregate) finds the users with more
-    than ``hot_user_events`` events - at most total / hot_user_events of them, so the list
-    is bounded. Other users run the per-user window fold (each sort bounded by the
-    threshold); hot users run the time-chunked fold, spread over many tasks."""
-    ev = _user_events(events)
-    # one per-user probe (count, last event time) gives both the hot list and the snapshot
-    probe = materialize(ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.max("event_time").alias("last_t")))
-    if snapshot is None:
-        snapshot = probe.agg(F.max("last_t")).scalar()
-    hot = [r[0] for r in probe.filter(F.col("n") > hot_user_events).select("user_id").collect()]
-    if not hot:
-        return _abandoned_windows(ev, minutes, snapshot)
-    cold = _abandoned_windows(ev.filter(~F.col("user_id").isin(hot)), minutes, snapshot)
-    heavy = materialize(ev.filter(F.col("user_id").isin(hot)))
-    return cold.unionByName(_abandoned_chunked(heavy, minutes, snapshot, chunk))
-
-
 def coupon_suffix(*keys) -> F.Column:
     """Deterministic ``COUPON_LENGTH`` characters from the alphabet, from an md5 of the keys
     (replaces a random draw so reruns give the same coupon)."""
@@ -215,19 +165,24 @@ def _lookup(mapping: dict, c, default):
     return expr.otherwise(F.lit(default))
 
 
+def with_email(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """``rows`` (user_id, ...) with the email of the active user, else user_<id>@unknown.com."""
+    known = users.filter(~F.col("is_deleted")).select(F.col("id").cast("string").alias("user_id"), "email")
+    unknown = F.format_string(UNKNOWN_EMAIL.replace("{}", "%s"), F.col("user_id"))
+    return rows.join(known, "user_id", "left").withColumn("email", F.coalesce("email", unknown))
+
+
 def discount_offers(abandoned: DataFrame, labels: DataFrame, users: DataFrame) -> DataFrame:
     """Offer per abandonment: value label (left lookup), discount by label, tier name,
     email of an active user (else user_<id>@unknown.com) and a coupon code."""
     lab = labels.select("user_id", "value_label")
-    em = (users.filter(~F.col("is_deleted"))
-               .select(F.col("id").cast("string").alias("user_id"), "email"))
-    j = abandoned.join(lab, "user_id", "left").join(em, "user_id", "left")
+    j = with_email(abandoned.join(lab, "user_id", "left"), users)
     disc = _lookup(DISCOUNT_BY_LABEL, F.col("value_label"), DEFAULT_DISCOUNT)
     return j.select(
         "user_id", "episode", "notify_at", "value_label",
         disc.cast("bigint").alias("discount"),
         _lookup(TIER_BY_LABEL, F.col("value_label"), DEFAULT_TIER).alias("tier"),
-        F.coalesce(F.col("email"), F.format_string(UNKNOWN_EMAIL.replace("{}", "%s"), F.col("user_id"))).alias("email"),
+        "email",
         F.concat(F.lit("SAVE"), disc.cast("string"), F.lit("-"),
                  coupon_suffix(F.col("user_id"), F.col("episode"))).alias("coupon"))
 

@@ -6,17 +6,20 @@ a batch DataFrame and on a streaming one.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (blank_to_null, customer_key, id_type, is_present,
                                parse_event_time, positive_long)
-from ..schema import (ALL_EVENTS, EVENT_SCHEMA, EVENT_TYPE_TOPIC, NOTIF_EVENTS, NOTIF_TOPIC,
-                      REC_EVENTS, REC_TOPIC, USER_EVENTS, USER_TOPIC)
+from ..schema import (ALL_EVENTS, EVENT_SCHEMA, EVENT_TYPE_TOPIC, NOTIF_TOPIC, REC_TOPIC,
+                      USER_TOPIC)
 
 KEYED_COLUMNS = ["id", "topic", "session_id", "visitor_id", "user_id", "event_time",
                  "event_type", "product_id", "order_id_for_refund", "is_recommended",
-                 "event_date", "customer_key", "id_type"]
+                 "recommendation_view", "event_date", "customer_key", "id_type"]
 
 
 def to_kafka_rows(events: DataFrame) -> DataFrame:
@@ -26,6 +29,7 @@ def to_kafka_rows(events: DataFrame) -> DataFrame:
         "id", "topic", "session_id", "visitor_id", "user_id",
         F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         "event_type", "product_id", "order_id_for_refund", "is_recommended",
+        "recommendation_view",
     )
     return events.select(F.col("topic"), F.to_json(body).alias("value"))
 
@@ -52,63 +56,51 @@ def key_events(df: DataFrame) -> DataFrame:
     return keyed.filter(is_present("customer_key"))
 
 
-def _common_ok():
-    return (F.col("event_time").isNotNull() & F.col("id").isNotNull()
-            & F.col("visitor_id").isNotNull() & F.col("event_type").isNotNull())
-
+#: What every event must carry.
+REQUIRED = ["event_time", "id", "visitor_id", "event_type"]
+#: Order of the copies of an id: the earliest first, then by every other column, so that the
+#: choice never depends on how the rows were dealt out (NULLs first).
+COPY_ORDER = ["event_time", "event_type", "product_id", "user_id", "visitor_id", "session_id",
+              "order_id_for_refund", "is_recommended", "recommendation_view"]
 
-def dedupe_by_id(df: DataFrame, streaming: bool = False) -> DataFrame:
-    """First row per (topic, id). In batch "first" is the earliest event time (then the
-    lexicographically smallest row), so the result is deterministic; a stream keeps the
-    first arrival."""
-    if streaming or df.isStreaming:
-        return df.dropDuplicates(["topic", "id"])
-    w = Window.partitionBy("topic", "id").orderBy("event_time", "event_type", "product_id")
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
+def complete():
+    """Every required column is there."""
+    return reduce(and_, (F.col(c).isNotNull() for c in REQUIRED))
 
-def validate_common(df: DataFrame) -> DataFrame:
-    """Non-null time/id/visitor/type, dedupe by id, then known type. The dedupe precedes
-    the type filter: a later-rejected row still consumes its id."""
-    return dedupe_by_id(df.filter(_common_ok())).filter(F.col("event_type").isin(ALL_EVENTS))
 
+def type_on_topic():
+    """The event type is one of its topic's (NULL counts as no)."""
+    home = F.create_map(*[F.lit(x) for pair in EVENT_TYPE_TOPIC.items() for x in pair])
+    return F.coalesce(home[F.col("event_type")] == F.col("topic"), F.lit(False))
 
-def validate_user_events(df: DataFrame) -> DataFrame:
-    return (validate_common(df)
-            .filter(F.col("event_type").isin(USER_EVENTS))
-            .filter(F.col("product_id").isNotNull() & positive_long("product_id"))
-            .filter(~((F.col("event_type") == "refund_request")
-                      & F.col("order_id_for_refund").isNull())))
 
+def accepted():
+    """The one rule predicate behind every validated branch: a type of the topic; a positive
+    product id except on the notification topic; an order id on a refund."""
+    with_product = F.col("topic") != NOTIF_TOPIC
+    refund = F.col("event_type") == "refund_request"
+    return (type_on_topic() & (~with_product | F.coalesce(positive_long("product_id"), F.lit(False)))
+            & (~refund | F.col("order_id_for_refund").isNotNull()))
 
-def validate_recommendation_events(df: DataFrame) -> DataFrame:
-    return (validate_common(df)
-            .filter(F.col("event_type").isin(REC_EVENTS))
-            .filter(F.col("product_id").isNotNull() & positive_long("product_id")))
 
-
-def validate_notification_events(df: DataFrame) -> DataFrame:
-    return validate_common(df).filter(F.col("event_type").isin(NOTIF_EVENTS))
+def first_copies(df: DataFrame) -> DataFrame:
+    """One row per (topic, id): the first by ``COPY_ORDER``; a stream keeps the first arrival."""
+    if df.isStreaming:
+        return df.dropDuplicates(["topic", "id"])
+    w = Window.partitionBy("topic", "id").orderBy(*COPY_ORDER)
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def topic_rules(df: DataFrame) -> DataFrame:
-    """The topic-specific rules as one row predicate: type belongs to the topic, a positive
-    product id on the user and recommendation topics, refunds carry an order id."""
-    t, et = F.col("topic"), F.col("event_type")
-    type_ok = (F.when(t == USER_TOPIC, et.isin(USER_EVENTS))
-               .when(t == REC_TOPIC, et.isin(REC_EVENTS))
-               .when(t == NOTIF_TOPIC, et.isin(NOTIF_EVENTS))
-               .otherwise(F.lit(False)))
-    product_ok = F.when(t.isin(USER_TOPIC, REC_TOPIC),
-                        F.col("product_id").isNotNull() & positive_long("product_id")).otherwise(F.lit(True))
-    refund_ok = ~((t == USER_TOPIC) & (et == "refund_request") & F.col("order_id_for_refund").isNull())
-    return df.filter(type_ok & product_ok & refund_ok)
+def known_events(df: DataFrame) -> DataFrame:
+    """Complete events, one per id, of a known type. An id is used up by its first copy, even if
+    that copy is rejected later."""
+    return first_copies(df.filter(complete())).filter(F.col("event_type").isin(ALL_EVENTS))
 
 
 def validate_all(keyed: DataFrame) -> DataFrame:
-    """All three topic validations in one pass: one dedupe over (topic, id), then the
-    topic rules. Same rows as the union of the branches, with a single scan and shuffle."""
-    return topic_rules(validate_common(keyed))
+    """All accepted events: one dedupe over (topic, id), then the rule predicate."""
+    return first_copies(keyed.filter(complete())).filter(accepted())
 
 
 def topic_split(keyed: DataFrame) -> dict[str, DataFrame]:
@@ -116,16 +108,11 @@ def topic_split(keyed: DataFrame) -> dict[str, DataFrame]:
 
 
 def validated_branches(keyed: DataFrame) -> dict[str, DataFrame]:
-    parts = topic_split(keyed)
-    return {
-        USER_TOPIC: validate_user_events(parts[USER_TOPIC]),
-        REC_TOPIC: validate_recommendation_events(parts[REC_TOPIC]),
-        NOTIF_TOPIC: validate_notification_events(parts[NOTIF_TOPIC]),
-    }
+    """The accepted events of each topic."""
+    return topic_split(validate_all(keyed))
 
 
 def union_validated(keyed: DataFrame) -> DataFrame:
-    """The three validated branches together (one scan: ``validate_all``)."""
     return validate_all(keyed)
 
 
@@ -133,10 +120,6 @@ def reject_reason(with_dup_flag: bool = True):
     """First failing rule per row (NULL = accepted), in rule order."""
     t = F.col("topic")
     needs_product = t.isin(USER_TOPIC, REC_TOPIC)
-    allowed = (F.when(t == USER_TOPIC, F.col("event_type").isin(USER_EVENTS))
-               .when(t == REC_TOPIC, F.col("event_type").isin(REC_EVENTS))
-               .when(t == NOTIF_TOPIC, F.col("event_type").isin(NOTIF_EVENTS))
-               .otherwise(F.lit(False)))
     r = (F.when(F.col("event_time").isNull(), "null_event_time")
          .when(F.col("id").isNull(), "null_id")
          .when(F.col("visitor_id").isNull(), "null_visitor_id")
@@ -144,7 +127,7 @@ def reject_reason(with_dup_flag: bool = True):
     if with_dup_flag:
         r = r.when(F.col("_dup"), "duplicate_id")
     return (r.when(~F.col("event_type").isin(ALL_EVENTS), "unknown_event_type")
-             .when(~allowed, "type_not_on_topic")
+             .when(~type_on_topic(), "type_not_on_topic")
              .when(needs_product & ~is_present("product_id"), "missing_product")
              .when(needs_product & ~positive_long("product_id"), "bad_product_id")
              .when((t == USER_TOPIC) & (F.col("event_type") == "refund_request")
@@ -153,8 +136,8 @@ def reject_reason(with_dup_flag: bool = True):
 
 def reject_reasons(keyed: DataFrame) -> DataFrame:
     """Counts of rows failing validation, by topic and first failing rule."""
-    ok = _common_ok()
-    w = Window.partitionBy("topic", "id").orderBy("event_time", "event_type", "product_id")
+    ok = complete()
+    w = Window.orderBy(*COPY_ORDER)
     flagged = keyed.withColumn(
         "_dup", F.when(ok, F.row_number().over(w.partitionBy(ok, "topic", "id")) > 1).otherwise(False))
     return (flagged.select("topic", reject_reason().alias("reason"))
@@ -164,5 +147,4 @@ def reject_reasons(keyed: DataFrame) -> DataFrame:
 
 def topic_type_match(df: DataFrame) -> DataFrame:
     """Rows whose event type belongs to the topic they travelled on."""
-    pairs = [F.lit(x) for kv in EVENT_TYPE_TOPIC.items() for x in kv]
-    return df.filter(F.create_map(*pairs)[F.col("event_type")] == F.col("topic"))
+    return df.filter(type_on_topic())

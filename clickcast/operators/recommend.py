@@ -2,6 +2,7 @@
 
 Cascade, earlier stages win, no repeats, at most ``limit`` products per actor:
   0. association-rule predictions for the actor's recent products (the seed basket);
+  1. products that actors of the same recent products touch most (for given requests only);
   2. most reviewed / best rated products in the seeds' categories;
   3. global popularity (best seller, reviews, stars).
 Seeds (the actor's 10 most recent products) are never recommended.
@@ -9,7 +10,8 @@ Seeds (the actor's 10 most recent products) are never recommended.
 Stages 2 and 3 only ever need the top ``limit + seeds + limit`` products of a category (or
 globally): an actor excludes at most that many, so pre-ranking each category once and
 joining actors to those short lists is exact and keeps the join linear in actors.
-The co-occurrence stage of the reference is not built (see README).
+For all actors at once stage 1 would be all pairs of actors that share a product, so
+``recommend_for_all`` leaves it out; ``recommend_for_requests`` runs it for a request table.
 """
 
 from __future__ import annotations
@@ -104,11 +106,19 @@ def recommend_for_all(events: DataFrame, products: DataFrame, rules: DataFrame,
                       limit: int = RECOMMEND_LIMIT, n_seeds: int = RECENT_INTERACTIONS) -> DataFrame:
     """(actor, id_type, product_id, stage, rank) for every actor with a product event."""
     seeds = materialize(recent_interactions(events, n_seeds))  # read by every stage
+    return _cascade(seeds, products, rules, itemsets, limit, n_seeds, [])
+
+
+def _cascade(seeds: DataFrame, products: DataFrame, rules: DataFrame, itemsets: DataFrame, limit: int,
+             n_seeds: int, more: list[DataFrame]) -> DataFrame:
+    """The stages for the actors of ``seeds``: earlier stages win, the first ``limit`` stay."""
     actors = seeds.select("actor", "id_type").distinct()
     depth = limit + n_seeds + limit
     parts = (rule_stage(seeds, rules, itemsets, products)
              .unionByName(category_stage(seeds, products, depth))
              .unionByName(global_stage(actors, seeds, products, depth)))
+    for stage in more:
+        parts = parts.unionByName(stage)
     first = parts.groupBy("actor", "id_type", "product_id").agg(F.min(F.struct("stage", "pos")).alias("b"))
     w = Window.partitionBy("actor", "id_type").orderBy("b.stage", "b.pos")
     return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
@@ -122,33 +132,36 @@ def exclude_current_product(recs: DataFrame, current: DataFrame) -> DataFrame:
                      "left_anti")
 
 
-MAX_REQUESTS = 10_000
-
+def co_occurrence(events: DataFrame, requests: DataFrame, limit: int = RECOMMEND_LIMIT,
+                  n_seeds: int = RECENT_INTERACTIONS) -> DataFrame:
+    """Stage 1 for requesting actors ``requests`` (actor, id_type), as the reference runs it per
+    request: peers are all actors with an event on one of the requester's recent products; their
+    events on other products are counted, most frequent first (ties by product id), first ``limit``.
 
-def co_occurrence_for_requests(events: DataFrame, requests: DataFrame, limit: int = RECOMMEND_LIMIT,
-                               n_seeds: int = RECENT_INTERACTIONS,
-                               max_requests: int = MAX_REQUESTS) -> DataFrame:
-    """The co-occurrence stage for a bounded set of requesting actors (the reference runs it
-    per request): peers are all actors with an event on one of the requester's recent
-    products (users and visitors alike); their events on other products are counted, most
-    frequent first (ties by product id), first ``limit``.
-
-    ``requests`` (actor, id_type) is size-checked, so the seed table broadcast is bounded
-    by ``max_requests * n_seeds`` rows and the (requester, peer) pairs by
-    ``max_requests * actors``: linear in the data, unlike the same stage for every actor."""
-    from .enrich import fits_broadcast
+    The work is requests x peers x their products, so the request table is the parameter that sets
+    the cost; it is not meant for all actors at once. Peers' events are counted per (peer, product)
+    before they meet the requests, so a peer's thousandth view of a product adds no row."""
     req = requests.select("actor", "id_type").distinct()
-    if not fits_broadcast(req, max_requests):
-        raise ValueError(f"more than {max_requests} requesting actors")
-    seeds = recent_interactions(events, n_seeds).join(F.broadcast(req), ["actor", "id_type"], "left_semi")
+    seeds = recent_interactions(events, n_seeds).join(req, ["actor", "id_type"], "left_semi")
     seeds = materialize(seeds.select("actor", "id_type", "product_id").distinct())
-    acts = events.filter(F.col("product_id").isNotNull()).select(
-        F.col("customer_key").alias("peer"), F.col("id_type").alias("peer_type"), "product_id")
-    pairs = (acts.join(F.broadcast(seeds), "product_id")
-                 .select("actor", "id_type", "peer", "peer_type").distinct())
+    acts = events.filter(F.col("product_id").isNotNull()).groupBy(
+        F.col("customer_key").alias("peer"), F.col("id_type").alias("peer_type"), "product_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = acts.join(seeds, "product_id").select("actor", "id_type", "peer", "peer_type").distinct()
     co = (acts.join(pairs, ["peer", "peer_type"])
               .join(seeds, ["actor", "id_type", "product_id"], "left_anti")
-              .groupBy("actor", "id_type", "product_id").agg(F.count(F.lit(1)).alias("co_count")))
+              .groupBy("actor", "id_type", "product_id").agg(F.sum("n").alias("co_count")))
     w = Window.partitionBy("actor", "id_type").orderBy(F.desc("co_count"), F.asc("product_id"))
     return (co.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
               .select("actor", "id_type", "product_id", "co_count", F.col("pos").cast("bigint").alias("pos")))
+
+
+def recommend_for_requests(events: DataFrame, requests: DataFrame, products: DataFrame, rules: DataFrame,
+                           itemsets: DataFrame, limit: int = RECOMMEND_LIMIT, n_seeds: int = RECENT_INTERACTIONS) -> DataFrame:
+    """(actor, id_type, product_id, stage, rank) for the requesting actors: all four stages. A
+    co-occurring product is suggested if it exists."""
+    seeds = materialize(recent_interactions(events, n_seeds).join(
+        requests.select("actor", "id_type").distinct(), ["actor", "id_type"], "left_semi"))
+    known = products.select(F.col("id").cast("string").alias("product_id"))
+    peers = co_occurrence(events, requests, limit, n_seeds).join(known, "product_id", "left_semi").select(
+        "actor", "id_type", "product_id", F.lit(1).alias("stage"), F.col("pos").cast("int").alias("pos"))
+    return _cascade(seeds, products, rules, itemsets, limit, n_seeds, [peers])

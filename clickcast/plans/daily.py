@@ -16,6 +16,10 @@ from ..operators.sinks import write_json_report
 from ..session import materialize
 
 
+REPORTS = ["summary", "events_by_type", "top_viewed_products", "top_cart_products", "top_purchased_products",
+           "most_active_users", "most_active_visitors", "recommendation_event_counts", "notification_counts"]
+
+
 def build_report(ue: DataFrame, rec: DataFrame, notif: DataFrame, run_date=None,
                  as_of_date=None) -> dict[str, DataFrame]:
     ue, rec, notif = (A.as_of(x, as_of_date) for x in (ue, rec, notif))

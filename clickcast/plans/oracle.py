@@ -26,7 +26,8 @@ select id,
   case when anon then cast(null as string) else cast(uid as string) end as user_id,
   event_time, event_type, product_id,
   case when event_type = 'refund_request' and id % 3 <> 0 then 'ORD-' || cast(id as string) end as order_id_for_refund,
-  id % 7 = 0 as is_recommended
+  id % 7 = 0 as is_recommended,
+  case when id % 7 = 0 then (['home', 'product_detail', 'final_cart', 'notification'])[id % 4 + 1] else '' end as recommendation_view
 from (
   select event_id as id, user_id as uid, user_id % 5 = 0 as anon, ts as event_time,
     regexp_extract(props, '([0-9]+)', 1) as product_id,
@@ -51,6 +52,11 @@ select c_custkey as id, c_name as first_name, lower(replace(c_name, '#', '')) ||
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 """
 
+# copies of an id: every column decides, NULLs first
+COPIES = ", ".join(f"{c} nulls first" for c in (
+    "event_time", "event_type", "product_id", "user_id", "visitor_id", "session_id", "order_id_for_refund",
+    "is_recommended", "recommendation_view"))
+
 BASE = f"""
 with se as ({SHOP_EVENTS}),
 sp as ({SHOP_PRODUCTS}),
@@ -60,7 +66,7 @@ norm as (
     case when trim(user_id) = '' then null else user_id end as user_id,
     event_time, event_type, product_id,
     case when trim(order_id_for_refund) = '' then null else order_id_for_refund end as order_id_for_refund,
-    is_recommended
+    is_recommended, recommendation_view
   from se),
 keyed as (
   select *, cast(event_time as date) as event_date,
@@ -72,7 +78,7 @@ keyed as (
 common as (
   select * from keyed
   where event_time is not null and id is not null and visitor_id is not null and event_type is not null
-  qualify row_number() over (partition by topic, id order by event_time, event_type, product_id) = 1),
+  qualify row_number() over (partition by topic, id order by {COPIES}) = 1),
 ue as (
   select * from common where topic = 'user-events' and event_type in {_in(USER_EVENTS)}
     and product_id is not null and coalesce(try_cast(product_id as bigint) > 0, false)
@@ -86,6 +92,26 @@ allv as (select * from ue union all by name select * from rec union all by name
 """
 
 
+UNCLEAN = """
+select * from se0
+union all by name select * replace (product_id || '7' as product_id) from se0 where id % 50 = 0
+union all by name select * replace ('notification-events' as topic) from se0 where id % 50 = 1
+union all by name select * replace (id + 2000000000 as id, 'recommendation-actions' as topic, 'view' as event_type) from se0 where id % 50 = 2
+union all by name select * replace (id + 3000000000 as id, 'teleport' as event_type) from se0 where id % 50 = 3
+union all by name select * replace (null::bigint as id) from se0 where id % 50 = 4
+union all by name select * replace (id + 5000000000 as id, null::timestamp as event_time) from se0 where id % 50 = 5
+union all by name select * replace (id + 6000000000 as id, null::varchar as visitor_id, '77' as user_id) from se0 where id % 50 = 6
+union all by name select * replace (id + 7000000000 as id, null::varchar as event_type) from se0 where id % 50 = 7
+union all by name select * replace (id + 8000000000 as id, 'user-events' as topic, 'view' as event_type, '' as product_id) from se0 where id % 50 = 8
+union all by name select * replace (id + 9000000000 as id, 'user-events' as topic, 'view' as event_type, '-1' as product_id) from se0 where id % 50 = 9
+"""
+
+
+def unclean(sql: str) -> str:
+    """The same query over events with every fault."""
+    return sql.replace(f"with se as ({SHOP_EVENTS})", f"with se0 as ({SHOP_EVENTS}),\nse as ({UNCLEAN})")
+
+
 def q(body: str, extra: str = "") -> str:
     """BASE CTEs, optional extra CTEs (text starting with a comma), then the final select."""
     return BASE + extra + "\n" + body
@@ -153,7 +179,7 @@ register("most_active_visitors", _top("visitor_id", "event_count", "user_id is n
 
 # --- ingest ------------------------------------------------------------------------------
 KEYED_COLS = ("id, topic, session_id, visitor_id, user_id, event_time, event_type, product_id, "
-              "order_id_for_refund, is_recommended, event_date, customer_key, id_type")
+              "order_id_for_refund, is_recommended, recommendation_view, event_date, customer_key, id_type")
 
 register("kafka_rows", q("""
 select topic,
@@ -165,7 +191,8 @@ select topic,
   || ',"event_type":"' || event_type || '"'
   || case when product_id is not null then ',"product_id":"' || product_id || '"' else '' end
   || case when order_id_for_refund is not null then ',"order_id_for_refund":"' || order_id_for_refund || '"' else '' end
-  || ',"is_recommended":' || case when is_recommended then 'true' else 'false' end || '}' as value
+  || ',"is_recommended":' || case when is_recommended then 'true' else 'false' end
+  || ',"recommendation_view":"' || recommendation_view || '"}' as value
 from se"""))
 register("decode_events", q(f"select {KEYED_COLS} from keyed"))
 register("event_time_date", q("select id, event_time, cast(event_time as date) as event_date from se"))
@@ -174,16 +201,19 @@ select id,
   case when user_id is not null and trim(user_id) <> '' then user_id else visitor_id end as customer_key,
   case when user_id is not null and trim(user_id) <> '' then 'user' else 'visitor' end as id_type
 from se"""))
-register("drop_unkeyed", q("select id_type, count(*) as events from keyed group by id_type"))
-register("topic_split", q("select topic, count(*) as events from keyed group by topic"))
-register("validate_common", q(
-    "select id, topic, event_type from common where event_type in "
-    + _in(USER_EVENTS + REC_EVENTS + NOTIF_EVENTS)))
+register("drop_unkeyed", unclean(q(f"select {KEYED_COLS} from keyed")))
+register("topic_split", q("select *, topic as part from keyed"))
+register("validate_common", unclean(q(
+    f"select {KEYED_COLS} from common where event_type in "
+    + _in(USER_EVENTS + REC_EVENTS + NOTIF_EVENTS))))
+register("unclean_validated", unclean(q(f"select {KEYED_COLS} from allv")))
+register("malformed_messages", unclean(q(f"select {KEYED_COLS} from allv")))
+register("unclean_stream", unclean(q("select id, topic, event_type from allv")))
 register("validate_user_events", q(f"select {KEYED_COLS} from ue"))
 register("validate_recommendation_events", q(f"select {KEYED_COLS} from rec"))
 register("validate_notification_events", q(f"select {KEYED_COLS} from notif"))
 register("union_validated", q(f"select {KEYED_COLS} from allv"))
-register("reject_reasons", q(f"""
+register("reject_reasons", unclean(q(f"""
 select topic, reason, count(*) as rejected from (
   select topic,
     case when event_time is null then 'null_event_time'
@@ -204,16 +234,15 @@ select topic, reason, count(*) as rejected from (
               then 'refund_without_order'
     end as reason
   from (select *, case when ok then row_number() over (partition by ok, topic, id
-                        order by event_time, event_type, product_id) > 1 else false end as dup
+                        order by {COPIES}) > 1 else false end as dup
         from (select *, event_time is not null and id is not null and visitor_id is not null
                         and event_type is not null as ok from keyed) a) b
-) c where reason is not null group by topic, reason"""))
-register("topic_type_match", q(f"""
-select topic, count(*) as events from keyed
+) c where reason is not null group by topic, reason""")))
+register("topic_type_match", unclean(q(f"""
+select {KEYED_COLS} from keyed
 where (case when event_type in {_in(USER_EVENTS)} then 'user-events'
             when event_type in {_in(REC_EVENTS)} then 'recommendation-actions'
-            when event_type in {_in(NOTIF_EVENTS)} then 'notification-events' end) = topic
-group by topic"""))
+            when event_type in {_in(NOTIF_EVENTS)} then 'notification-events' end) = topic""")))
 register("enrich_with_products", q("""
 select a.id, a.topic, a.product_id, p.category as product_category, cast(p.price as double) as product_price
 from allv a left join sp p on a.product_id = cast(p.id as varchar)"""))
@@ -222,20 +251,23 @@ from allv a left join sp p on a.product_id = cast(p.id as varchar)"""))
 register("products_csv_scan", q(
     "select cast(id as varchar) as product_id, category as product_category, price as product_price from sp"))
 register("parquet_scan", q(f"select {KEYED_COLS} from ue"))
-register("raw_events_sink", q(
-    "select event_date, count(*) as events from allv where id_type = 'user' "
-    "and event_date < date '2024-01-08' group by event_date"))
-register("scan_or_empty", q("select event_type, count(*) as event_count from notif group by event_type"))
+register("raw_events_sink", q(f"select {KEYED_COLS} from allv"))
+register("scan_or_empty", q(f"select {KEYED_COLS} from notif"))
+register("seed_events_scan", q(
+    "select id, nullif(user_id, '') as user_id, nullif(visitor_id, '') as visitor_id, event_time, event_type, "
+    "nullif(product_id, '') as product_id, is_recommended, order_id_for_refund from se"))
 register("events_csv_scan", q(
     "select user_id, nullif(visitor_id, '') as visitor_id, session_id, event_time, event_type, "
     "product_id, is_recommended, order_id_for_refund from ue"))
-register("flat_event_export", q("select event_type, count(*) as event_count from ue group by event_type"))
-register("bucketed_compaction", q(
-    "select customer_key, id_type, count(*) as events from allv group by customer_key, id_type"))
-register("topic_dump_sink", q("""
-select 'user_events' as dump, count(*) as events from ue
-union all select 'recommendation_events', count(*) from rec
-union all select 'notification_events', count(*) from notif"""))
+register("flat_event_export", q(
+    "select user_id, nullif(visitor_id, '') as visitor_id, session_id, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') as timestamp, event_type, "
+    "product_id, is_recommended::varchar as is_recommended, order_id_for_refund from ue"))
+register("bucketed_compaction", q(f"select {KEYED_COLS} from allv"))
+DUMPS = q(f"""
+select {KEYED_COLS}, 'user_events' as dump from ue
+union all select {KEYED_COLS}, 'recommendation_events' from rec
+union all select {KEYED_COLS}, 'notification_events' from notif""")
+register("topic_dump_sink", DUMPS)
 register("seed_csv_load", q("select id, email, country from su where not is_deleted"))
 register("active_users_only", q("select id, email from su where not is_deleted"))
 
@@ -495,6 +527,22 @@ firsts as (select * from allst qualify row_number() over (partition by actor, id
 recs as (select actor, id_type, product_id, stage,
            row_number() over (partition by actor, id_type order by stage, pos) as rnk from firsts qualify rnk <= 8)
 """
+REQUEST_CTES = RECO_CTES.replace("actors as (select distinct actor, id_type from seeds)", """allseeds as (select * from seeds),
+req as (select distinct actor, id_type from allseeds where try_cast(regexp_extract(actor, '[0-9]+$') as bigint) % 20 < 2),
+actors as (select * from req)""").replace("from seeds", "from rseeds").replace("allseeds as (select * from rseeds),", "allseeds as (select * from seeds),").replace(
+    "actors as (select * from req)", """actors as (select * from req),
+rseeds as (select s.* from allseeds s join req using (actor, id_type)),
+rs as (select distinct actor, id_type, product_id from rseeds),
+peers as (select distinct r.actor, r.id_type, e.customer_key as peer, e.id_type as peer_type from ue e join rs r on e.product_id = r.product_id),
+co as (select p.actor, p.id_type, e.product_id, count(*) as co_count from peers p join ue e on e.customer_key = p.peer and e.id_type = p.peer_type
+  where e.product_id is not null and not exists (select 1 from rs where rs.actor = p.actor and rs.id_type = p.id_type and rs.product_id = e.product_id)
+  group by all),
+co8 as (select *, row_number() over (partition by actor, id_type order by co_count desc, product_id) as pos from co qualify pos <= 8),
+st1 as (select actor, id_type, product_id, 1 as stage, pos from co8 where product_id in (select cast(id as varchar) from sp))""").replace(
+    "select * from st0 union all select * from st2", "select * from st0 union all select * from st1 union all select * from st2")
+register("co_occurrence", q("select actor, id_type, product_id, co_count, pos from co8", REQUEST_CTES))
+register("recommend_for_requests", q(
+    "select actor, id_type, product_id, cast(stage as bigint) as stage, rnk as rank from recs", REQUEST_CTES))
 register("recent_interactions", q("select actor, id_type, product_id, pos from seeds", RECO_CTES))
 register("recommend_for_users", q(
     "select actor, id_type, product_id, cast(stage as bigint) as stage, rnk as rank from recs", RECO_CTES))
@@ -658,12 +706,14 @@ select time_bucket(interval 10 minute, event_time) as window_start,
 from allv group by 1, 2, customer_key, id_type"""))
 
 # --- streaming --------------------------------------------------------------------------------
-register("abandoned_carts_stream", q("select * from ab", CART_CTES))
+LAST_WATERMARK = "((select date_trunc('milliseconds', max(event_time)) from keyed) - interval 3 day)"
+register("abandoned_carts_stream", q("select * from ab", CART_CTES.replace(
+    "where user_id is not null and trim(user_id) <> ''),\nsnapc as (select max(event_time) as snap from cu)",
+    f"where user_id is not null and trim(user_id) <> '' and event_time <= {LAST_WATERMARK}),\n"
+    f"snapc as (select {LAST_WATERMARK} as snap)")))
 register("stream_dedupe", q(f"select {KEYED_COLS} from allv"))
-register("topic_dump_stream", q("""
-select 'user_events' as dump, count(*) as events from ue
-union all select 'recommendation_events', count(*) from rec
-union all select 'notification_events', count(*) from notif"""))
+register("topic_dump_stream", DUMPS)
+register("enriched_stream", ORACLE["enrich_with_products"])
 register("customer_activity_stream", q("""
 select * from (
 select time_bucket(interval 10 minute, event_time) as window_start,
@@ -702,16 +752,58 @@ def _register_metrics():
 
 
 _register_metrics()
-register("kafka_source", q("select topic, count(*) as messages from se group by topic"))
+register("kafka_source", q(f"select {KEYED_COLS} from keyed"))
 register("metric_csv_sink", _metric_sql(__import__("clickcast.streaming.metrics", fromlist=["BY_NAME"]).BY_NAME["views_per_minute"]))
 register("feature_csv_sink", q("""
 select s.suser as user_id, s.session_id, coalesce(b.cart_products, '') as cart_products
 from sstat s left join sbask b on s.session_id = b.session_id and s.suser = b.suser""", SESSION_CTES))
-register("json_report_sink", q(
-    "select product_id, count(*) as view_count, cast((select max(event_date) from ue) as varchar) as run_date "
-    "from ue where event_type = 'view' group by product_id order by view_count desc, product_id limit 10"))
-register("live_metrics_job", q("""
-select 'top_viewed_products' as metric, product_id as k, count(*) as value from ue where event_type = 'view' group by product_id
-union all
-select 'events_per_minute', strftime(time_bucket(interval 1 minute, event_time), '%Y-%m-%d %H:%M:%S'), count(*)
-from ue group by time_bucket(interval 1 minute, event_time)"""))
+
+
+def _report_rows() -> str:
+    def row(name, columns, source):
+        text = " || ';' || ".join(f"'{c}=' || coalesce(({c})::varchar, 'null')" for c in sorted(columns))
+        return f"select '{name}' as report, {text} as row from ({source}) r_{name}"
+
+    top = "select {k}, count(*) as {n} from ue where {w} group by {k} order by {n} desc, {k} limit 10"
+    summary = {
+        "total_registered_customers": "count(distinct user_id)", "total_events": "count(*)",
+        "total_anonymous_visitors": "count(distinct case when user_id is null then visitor_id end)",
+        "total_customers": "count(distinct coalesce(user_id, visitor_id))",
+        "total_views": "count(*) filter (where event_type = 'view')",
+        "total_add_to_cart": "count(*) filter (where event_type = 'add_to_cart')",
+        "total_purchases": "count(*) filter (where event_type = 'transaction')",
+        "total_refunds": "count(*) filter (where event_type = 'refund_request')",
+        "recommendations_generated": "(select count(*) from rec)",
+        "notifications_generated": "(select count(*) from notif)"}
+    by_type = "select event_type, count(*) as event_count from {t} group by event_type"
+    parts = [
+        row("summary", summary, "select " + ", ".join(f"{v} as {k}" for k, v in summary.items()) + " from ue"),
+        row("events_by_type", ["event_type", "event_count"], by_type.format(t="ue")),
+        row("top_viewed_products", ["product_id", "view_count"], top.format(k="product_id", n="view_count", w="event_type = 'view'")),
+        row("top_cart_products", ["product_id", "add_to_cart_count"], top.format(k="product_id", n="add_to_cart_count", w="event_type = 'add_to_cart'")),
+        row("top_purchased_products", ["product_id", "purchase_count"], top.format(k="product_id", n="purchase_count", w="event_type = 'transaction'")),
+        row("most_active_users", ["user_id", "event_count"], top.format(k="user_id", n="event_count", w="user_id is not null")),
+        row("most_active_visitors", ["visitor_id", "event_count"], top.format(k="visitor_id", n="event_count", w="user_id is null")),
+        row("recommendation_event_counts", ["event_type", "event_count"], by_type.format(t="rec")),
+        row("notification_counts", ["event_type", "event_count"], by_type.format(t="notif")),
+    ]
+    return "\nunion all ".join(parts)
+
+
+register("json_report_sink", q(f"select report, row, (select max(event_date) from ue)::varchar as run_date from ({_report_rows()}) x"))
+
+
+def _live_rows() -> str:
+    from ..streaming.metrics import METRICS
+
+    key = {"total": "'all'", "minute": "strftime(time_bucket(interval 1 minute, event_time), '%Y-%m-%d %H:%M:%S')"}
+    out = []
+    for m in METRICS:
+        where = f" where event_type = '{m.event_type}'" if m.event_type else ""
+        k = key.get(m.group, m.group)
+        group = "" if m.group == "total" else f" group by {k}"
+        out.append(f"select '{m.name}' as metric, {k} as k, count(*) as value from {_TOPIC_CTE[m.topic]}{where}{group}")
+    return "\nunion all ".join(out)
+
+
+register("live_metrics_job", q(_live_rows()))

@@ -27,11 +27,11 @@ from ..operators import sessions as SS
 from ..operators import sinks as SK
 from ..operators import value as V
 from ..operators import value_model as VM
-from ..schema import NOTIF_TOPIC, REC_TOPIC, RECENT_INTERACTIONS, RECOMMEND_LIMIT, USER_TOPIC
+from ..schema import RECENT_INTERACTIONS, RECOMMEND_LIMIT, TOPICS, USER_TOPIC
 from ..session import shared_dir
 from ..sources import files as FS
 from ..sources.files import read_message_files
-from ..sources.tables import brand_baskets, shop_categories, shop_events, shop_products, shop_users
+from ..sources.tables import brand_baskets, shop_categories, shop_events, shop_products, shop_users, unclean_events
 from ..streaming import carts as SCT
 from ..streaming import ingest as SI
 from ..streaming import metrics as SM
@@ -81,6 +81,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"scratch/{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _stacked(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """The parts one below the other, with their keys in column ``name``."""
+    frames = [df.select(*[c for c in df.columns if c != "batch"], F.lit(k).alias(name)) for k, df in parts.items()]
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 @query("kafka_rows")
 def _kafka_rows(s, d):
     return IG.to_kafka_rows(shop_events(s, d))
@@ -106,22 +115,17 @@ def _customer_key(s, d):
 
 @query("drop_unkeyed")
 def _drop_unkeyed(s, d):
-    return I.keyed_events(s, d).groupBy("id_type").agg(F.count(F.lit(1)).alias("events"))
+    return IG.key_events(unclean_events(s, d)).select(KEYED)
 
 
 @query("topic_split")
 def _topic_split(s, d):
-    parts = IG.topic_split(I.keyed_events(s, d))
-    out = None
-    for t, df in parts.items():
-        one = df.agg(F.count(F.lit(1)).alias("events")).select(F.lit(t).alias("topic"), "events")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _stacked(IG.topic_split(I.keyed_events(s, d)), "part")
 
 
 @query("validate_common")
 def _validate_common(s, d):
-    return IG.validate_common(I.keyed_events(s, d)).select("id", "topic", "event_type")
+    return IG.known_events(IG.key_events(unclean_events(s, d))).select(KEYED)
 
 
 @query("validate_user_events")
@@ -141,13 +145,12 @@ def _vn(s, d):
 
 @query("reject_reasons")
 def _reject_reasons(s, d):
-    return IG.reject_reasons(I.keyed_events(s, d))
+    return IG.reject_reasons(IG.key_events(unclean_events(s, d)))
 
 
 @query("topic_type_match")
 def _topic_type_match(s, d):
-    return IG.topic_type_match(I.keyed_events(s, d)).groupBy("topic").agg(
-        F.count(F.lit(1)).alias("events"))
+    return IG.topic_type_match(IG.key_events(unclean_events(s, d))).select(KEYED)
 
 
 @query("union_validated")
@@ -155,6 +158,20 @@ def _union_validated(s, d):
     return I.all_validated(s, d).select(KEYED)
 
 
+@query("unclean_validated")
+def _unclean_validated(s, d):
+    """Validation over events with every fault: rows that must go do go."""
+    return IG.validate_all(IG.key_events(unclean_events(s, d))).select(KEYED)
+
+
+@query("malformed_messages")
+def _malformed_messages(s, d):
+    """Messages of unclean events, a share of them cut short: those decode to no event."""
+    m = IG.to_kafka_rows(unclean_events(s, d).filter("id is not null"))
+    broken = IG.to_kafka_rows(shop_events(s, d).filter("id % 10 = 3")).select("topic", F.expr("left(value, 30)").alias("value"))
+    return IG.validate_all(IG.key_events(IG.decode_events(m.unionByName(broken)))).select(KEYED)
+
+
 @query("enrich_with_products")
 def _enrich(s, d):
     return EN.enrich_with_products(I.all_validated(s, d), shop_products(s, d)).select(
@@ -165,7 +182,9 @@ def _enrich(s, d):
 @query("products_csv_scan")
 def _products_csv(s, d):
     path = scratch(s, "products_csv")
-    shop_products(s, d).write.option("header", True).csv(path)
+    p = shop_products(s, d)
+    given = {"id": F.col("id"), "name": F.col("title"), "category": F.col("category"), "price": F.col("price")}
+    p.select(*[given.get(c, F.lit(f"{c}, text")).alias(c) for c in FS.GENERATED_PRODUCTS]).write.option("header", True).csv(path)
     return FS.read_products_csv(s, path)
 
 
@@ -182,9 +201,7 @@ def _raw_events_sink(s, d):
     path = scratch(s, "raw_events_pruned")
     SK.write_raw_events(I.all_validated(s, d), path, mode="overwrite")
     back = s.read.parquet(path)
-    # partition pruning: only the user folders of the first week are listed
-    return (back.filter((F.col("id_type") == "user") & (F.col("event_date") < F.lit("2024-01-08").cast("date")))
-                .groupBy("event_date").agg(F.count(F.lit(1)).alias("events")))
+    return back.select(KEYED)
 
 
 @query("scan_or_empty")
@@ -193,8 +210,7 @@ def _scan_or_empty(s, d):
     I.notification_events(s, d).select(KEYED).write.parquet(present)
     schema = s.read.parquet(present).schema
     missing = SK.read_parquet_or_empty(s, scratch(s, "missing"), schema)
-    return SK.read_parquet_or_empty(s, present, schema).unionByName(missing).groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("event_count"))
+    return SK.read_parquet_or_empty(s, present, schema).unionByName(missing).select(KEYED)
 
 
 @query("events_csv_scan")
@@ -212,41 +228,46 @@ def _flat_event_export(s, d):
     exp = I.user_events(s, d).withColumn(
         "timestamp", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     SK.flat_event_export(exp, path)
-    return s.read.option("header", True).csv(path).groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("event_count"))
+    return s.read.option("header", True).csv(path)
 
 
 @query("bucketed_compaction")
 def _bucketed(s, d):
     name = f"customer_events_bucketed_{uuid.uuid4().hex[:8]}"
-    t = SK.bucketed_compaction(s, I.all_validated(s, d).select(KEYED), name,
-                               path=scratch(s, name))
-    return t.groupBy("customer_key", "id_type").agg(F.count(F.lit(1)).alias("events"))
+    path = scratch(s, name)
+    SK.bucketed_compaction(s, I.all_validated(s, d).select(KEYED), name, path=path)
+    s.sql(f"drop table {name}")  # an external table: its files stay
+    return s.read.parquet(path).select(KEYED)
 
 
 @query("topic_dump_sink")
 def _topic_dump(s, d):
     root = scratch(s, "dumps")
-    for t, name in [(USER_TOPIC, "user_events"), (REC_TOPIC, "recommendation_events"),
-                    (NOTIF_TOPIC, "notification_events")]:
-        I.validated(s, d)[t].select(KEYED).write.parquet(f"{root}/{name}")
-    out = None
-    for name in ["user_events", "recommendation_events", "notification_events"]:
-        one = s.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("events")).select(
-            F.lit(name).alias("dump"), "events")
-        out = one if out is None else out.unionByName(one)
-    return out
+    for t, df in I.landed_branches(s, d).items():
+        df.select(KEYED).write.parquet(f"{root}/{SI.DUMP_NAMES[t]}")
+    return _stacked({n: s.read.parquet(f"{root}/{n}") for n in SI.DUMP_NAMES.values()}, "dump")
 
 
 @query("seed_csv_load")
 def _seed_csv(s, d):
     path = scratch(s, "users_csv")
-    u = shop_users(s, d).select("id", "first_name", "email", "country", "region",
-                                F.when(F.col("is_deleted"), " true").otherwise(" false").alias("is_deleted"))
+    given = {"is_deleted": F.when(F.col("is_deleted"), " true").otherwise(" false")}
+    given |= {c: F.col(c) for c in ("id", "first_name", "email", "region", "country")}
+    u = shop_users(s, d).select(*[given.get(c, F.lit(f"a {c}")).alias(c) for c in FS.SEED_USERS])
     u.write.option("header", True).csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return FS.read_users_csv(s, path).filter(~F.col("is_deleted")).select("id", "email", "country")
 
 
+@query("seed_events_scan")
+def _seed_events(s, d):
+    """The event seed's own layout: ids, no sessions, yes/no flags."""
+    path = scratch(s, "seed_events")
+    e = shop_events(s, d).withColumn("timestamp", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).withColumn(
+        "is_recommended", F.when(F.col("is_recommended"), "yes").otherwise("no"))
+    e.select(FS.SEED_EVENTS).write.option("header", True).csv(path)
+    return FS.read_seed_events(s, path).drop("session_id")
+
+
 @query("active_users_only")
 def _active_users(s, d):
     return shop_users(s, d).filter(~F.col("is_deleted")).select("id", "email")
@@ -306,7 +327,7 @@ def _parse_basket(s, d):
 
 
 def _value_events(s, d):
-    return I.all_validated(s, d)
+    return I.landed(s, d)
 
 
 @query("customer_counts")
@@ -315,14 +336,15 @@ def _customer_counts(s, d):
 
 
 @query("abandoned_cart_sessions")
-def _abandoned(s, d):
+def _abandoned_sessions(s, d):
     return V.abandoned_cart_sessions(_value_events(s, d))
 
 
 @query("feature_left_merge")
 def _feature_left_merge(s, d):
-    c = V.customer_counts(_value_events(s, d)).select("user_id", "total_events")
-    a = V.abandoned_cart_sessions(_value_events(s, d))
+    ev = _value_events(s, d)
+    c = V.customer_counts(ev).select("user_id", "total_events")
+    a = V.abandoned_cart_sessions(ev)
     return (c.join(a, "user_id", "left")
              .select("user_id", F.coalesce("abandoned_cart_sessions", F.lit(0).cast("bigint"))
                      .alias("abandoned_cart_sessions")))
@@ -390,7 +412,11 @@ def _rules_out(r):
 
 def session_mining_baskets(s, d):
     """Non-empty session baskets keyed by (session_id, user_id) -> basket_id text."""
-    b = SS.session_cart_lists(I.user_events(s, d))
+    return _mining_baskets(I.user_events(s, d))
+
+
+def _mining_baskets(ue):
+    b = SS.session_cart_lists(ue)
     return b.select(F.concat_ws("|", "session_id", "user_id").alias("basket_id"),
                     F.col("cart_product_id_list").alias("items"))
 
@@ -416,7 +442,7 @@ def _session_itemsets(s, d):
 
 
 @query("session_rules")
-def _session_rules(s, d):
+def _session_rules_query(s, d):
     return _rules_out(RU.association_rules(RU.frequent_itemsets(session_mining_baskets(s, d))))
 
 
@@ -488,6 +514,26 @@ def _recommend(s, d):
     return r.select("actor", "id_type", "product_id", F.col("stage").cast("bigint").alias("stage"), "rank")
 
 
+def _requests(ue):
+    """The request table of the registered queries: actors whose number modulo 20 is 0 (visitors) or
+    1 (users)."""
+    return ue.filter("try_cast(regexp_extract(customer_key, '[0-9]+$', 0) as bigint) % 20 < 2").select(F.col("customer_key").alias("actor"), "id_type").distinct()
+
+
+@query("co_occurrence")
+def _co_occurrence(s, d):
+    ue = I.landed_branches(s, d)[USER_TOPIC]
+    return RC.co_occurrence(ue, _requests(ue))
+
+
+@query("recommend_for_requests")
+def _recommend_requests(s, d):
+    ue = I.landed_branches(s, d)[USER_TOPIC]
+    fi = RU.frequent_itemsets(_mining_baskets(ue))
+    r = RC.recommend_for_requests(ue, _requests(ue), shop_products(s, d), RU.association_rules(fi), fi)
+    return r.select("actor", "id_type", "product_id", F.col("stage").cast("bigint").alias("stage"), "rank")
+
+
 @query("rule_stage_recommendations")
 def _rule_stage(s, d):
     rules, fi = _session_rules(s, d)
@@ -577,57 +623,57 @@ def _insert_if_absent(s, d):
 def _revenue_join(s, d):
     tx = I.user_events(s, d).filter(F.col("event_type") == "transaction").select("id", "product_id")
     p = shop_products(s, d).select(F.col("id").cast("string").alias("product_id"), "price")
-    return tx.join(EN.maybe_broadcast(p), "product_id").select("id", "product_id", "price")
-
-
-def _abandoned(s, d):
-    return CT.abandoned_carts(I.user_events(s, d))
+    return tx.join(p, "product_id").select("id", "product_id", "price")
 
 
 @query("abandoned_carts_batch")
 def _abandoned_carts(s, d):
-    return _abandoned(s, d)
+    return CT.abandoned_carts(I.landed_branches(s, d)[USER_TOPIC])
+
+
+def _abandoned_and_labels(s, d):
+    """Both sides of an offer from one validated table."""
+    ev = I.landed(s, d)
+    return CT.abandoned_carts(IG.topic_split(ev)[USER_TOPIC]), V.customer_value(ev).select("user_id", "value_label")
 
 
 @query("cart_contents")
 def _cart_contents(s, d):
-    return CT.cart_contents(I.user_events(s, d))
+    return CT.cart_contents(I.landed_branches(s, d)[USER_TOPIC])
 
 
 @query("cart_product_join")
 def _cart_product_join(s, d):
-    return CT.cart_with_products(CT.cart_contents(I.user_events(s, d)), shop_products(s, d)).select(
+    return CT.cart_with_products(_cart_contents(s, d), shop_products(s, d)).select(
         "user_id", "product_id", "title", "price", "quantity")
 
 
 @query("cart_totals")
 def _cart_totals(s, d):
-    return CT.cart_totals(CT.cart_with_products(CT.cart_contents(I.user_events(s, d)), shop_products(s, d)))
-
-
-def _labels(s, d):
-    return V.customer_value(I.all_validated(s, d)).select("user_id", "value_label")
+    return CT.cart_totals(CT.cart_with_products(_cart_contents(s, d), shop_products(s, d)))
 
 
 @query("score_lookup")
 def _score_lookup(s, d):
-    return _abandoned(s, d).join(_labels(s, d), "user_id", "left").select("user_id", "episode", "value_label")
+    abandoned, labels = _abandoned_and_labels(s, d)
+    return abandoned.join(labels, "user_id", "left").select("user_id", "episode", "value_label")
 
 
 @query("email_lookup")
 def _email_lookup(s, d):
-    o = CT.discount_offers(_abandoned(s, d), _labels(s, d), shop_users(s, d))
-    return o.select("user_id", "email").distinct()
+    ids = CT.abandoned_carts(I.landed_branches(s, d)[USER_TOPIC]).select("user_id").distinct()
+    return CT.with_email(ids, shop_users(s, d))
 
 
 @query("discount_offers")
 def _discount_offers(s, d):
-    return CT.discount_offers(_abandoned(s, d), _labels(s, d), shop_users(s, d))
+    abandoned, labels = _abandoned_and_labels(s, d)
+    return CT.discount_offers(abandoned, labels, shop_users(s, d))
 
 
 @query("notifier_counters")
 def _notifier_counters(s, d):
-    ue = I.user_events(s, d)
+    ue = I.landed_branches(s, d)[USER_TOPIC]
     return CT.notifier_counters(ue, CT.abandoned_carts(ue), CT.cart_contents(ue))
 
 
@@ -682,6 +728,7 @@ def _activity(s, d):
 # --- streaming -----------------------------------------------------------------------------------
 
 FILES_PER_TRIGGER = 10
+CART_WATERMARK = "3 days"
 
 
 def _message_stream(s, d):
@@ -700,8 +747,12 @@ def _run(df, root, name, mode="append"):
 
 @query("abandoned_carts_stream")
 def _abandoned_stream(s, d):
-    root, raw = _message_stream(s, d)
-    br = SI.validated_streams(SI.watermarked_events(raw, "0 seconds"))
+    """Files whose events overlap in time, in shuffled order, under a watermark that covers the
+    disorder: the abandonments known when the last watermark is reached."""
+    root = scratch(s, "stream")
+    SI.write_message_files(shop_events(s, d), f"{root}/messages", shuffled=True)
+    raw = read_message_files(s, f"{root}/messages", max_files_per_trigger=3)
+    br = SI.validated_streams(SI.watermarked_events(raw, CART_WATERMARK))
     _run(SCT.with_ntz(SCT.abandoned_carts_stream(br[USER_TOPIC])), root, "abandoned")
     return s.read.parquet(f"{root}/abandoned")
 
@@ -715,6 +766,29 @@ def _stream_dedupe(s, d):
     return s.read.parquet(f"{root}/raw").select(KEYED)
 
 
+@query("unclean_stream")
+def _unclean_stream(s, d):
+    """The ingest stream over unclean events: what survives, by key (of copies that differ a stream
+    keeps the first to arrive)."""
+    root = scratch(s, "stream")
+    SI.write_message_files(unclean_events(s, d).filter("event_time is not null"), f"{root}/messages")
+    raw = read_message_files(s, f"{root}/messages", max_files_per_trigger=FILES_PER_TRIGGER)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True)
+    for q in SI.start_ingest(s, raw, cfg):
+        q.awaitTermination()
+    return s.read.parquet(f"{root}/raw").select("id", "topic", "event_type")
+
+
+@query("enriched_stream")
+def _enriched_stream(s, d):
+    """Stream-static join: the ingest stream with product category and price."""
+    root, raw = _message_stream(s, d)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True)
+    for q in SI.start_ingest(s, raw, cfg, products=shop_products(s, d)):
+        q.awaitTermination()
+    return s.read.parquet(f"{root}/raw").select("id", "topic", "product_id", "product_category", "product_price")
+
+
 @query("topic_dump_stream")
 def _topic_dump_stream(s, d):
     root, raw = _message_stream(s, d)
@@ -722,12 +796,7 @@ def _topic_dump_stream(s, d):
                           dump_path=f"{root}/dumps")
     for q in SI.start_ingest(s, raw, cfg):
         q.awaitTermination()
-    out = None
-    for name in ["user_events", "recommendation_events", "notification_events"]:
-        one = s.read.parquet(f"{root}/dumps/{name}").drop("batch").agg(F.count(F.lit(1)).alias("events")).select(
-            F.lit(name).alias("dump"), "events")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _stacked({n: s.read.parquet(f"{root}/dumps/{n}") for n in SI.DUMP_NAMES.values()}, "dump")
 
 
 @query("customer_activity_stream")
@@ -796,13 +865,13 @@ def _kafka_source(s, d):
     rows), decoded and landed, then counted per topic."""
     root, raw = _message_stream(s, d)
     _run(IG.decode_events(raw), root, "decoded")
-    return s.read.parquet(f"{root}/decoded").groupBy("topic").agg(F.count(F.lit(1)).alias("messages"))
+    return IG.key_events(s.read.parquet(f"{root}/decoded")).select(KEYED)
 
 
 @query("metric_csv_sink")
 def _metric_csv_sink(s, d):
-    """An update-mode metric through the single-file CSV sink: every batch is merged by
-    window into the file, so the last version holds all windows."""
+    """An update-mode metric through the CSV sink: each batch writes the windows it touched, and
+    the newest value of each window is read."""
     root, raw = _message_stream(s, d)
     m = SM.BY_NAME["views_per_minute"]
     br = SI.validated_streams(SI.watermarked_events(raw, "10 minutes"))
@@ -810,7 +879,7 @@ def _metric_csv_sink(s, d):
                         checkpoint_dir=f"{root}/_ck", available_now=True)
     q.awaitTermination()
     schema = SM.metric_frame(I.validated(s, d)[m.topic], m).schema
-    out = SM.read_metric_csv(s, f"{root}/metrics/{m.name}", schema)
+    out = SM.read_metric_csv(s, f"{root}/metrics/{m.name}", schema, SM.metric_keys(m))
     return out.select("window_start", "window_end", F.col(m.column).cast("bigint").alias(m.column))
 
 
@@ -826,27 +895,28 @@ def _feature_csv_sink(s, d):
 
 @query("json_report_sink")
 def _json_report_sink(s, d):
-    """The report job's JSON outputs, read back: the product rankings with their run date."""
+    """The report job's JSON outputs, all read back as (report, run_date, row) with the row as JSON."""
     from . import daily as DL
-    v = I.validated(s, d)
+    v = I.landed_branches(s, d)
     out = scratch(s, "report")
-    rd = DL.generate_report(v[USER_TOPIC], v[REC_TOPIC], v[NOTIF_TOPIC], out)
-    back = s.read.json(f"{out}/top_viewed_products/run_date={rd}")
-    return back.select("product_id", F.col("view_count").cast("bigint").alias("view_count"),
-                       F.col("run_date").cast("string").alias("run_date"))
+    rd = DL.generate_report(*(v[t] for t in TOPICS), out)
+    parts = {}
+    for name in DL.REPORTS:
+        back = s.read.json(f"{out}/{name}/run_date={rd}").drop("run_date")
+        text = F.concat_ws(";", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(back.columns)])
+        parts[name] = back.select(F.lit(str(rd)).alias("run_date"), text.alias("row"))
+    return _stacked(parts, "report")
 
 
 @query("live_metrics_job")
 def _live_metrics_job(s, d):
-    """Every live metric maintained by one streaming query; read back: the per-product
-    view counts and the per-minute event counts as (metric, key, value) rows."""
+    """Every live metric from one streaming query, read back as (metric, key, value) rows."""
     root, raw = _message_stream(s, d)
     v = SI.ntz_output(SI.validated_stream(SI.watermarked_events(raw, "10 minutes")))
     SM.start_metrics_job(v, f"{root}/metrics", f"{root}/_ck", available_now=True).awaitTermination()
-    views = SM.read_live_metric(s, f"{root}/metrics", SM.BY_NAME["top_viewed_products_live"]).select(
-        F.lit("top_viewed_products").alias("metric"), F.col("product_id").alias("k"),
-        F.col("top_viewed_products").alias("value"))
-    per_min = SM.read_live_metric(s, f"{root}/metrics", SM.BY_NAME["events_per_minute"]).select(
-        F.lit("events_per_minute").alias("metric"), F.col("window_start").cast("string").alias("k"),
-        F.col("events_per_minute").alias("value"))
-    return views.unionByName(per_min)
+    parts = {}
+    for m in SM.METRICS:
+        keys = SM.metric_keys(m)
+        key = F.col(keys[0]).cast("string") if keys else F.lit("all")
+        parts[m.name] = SM.read_live_metric(s, f"{root}/metrics", m).select(key.alias("k"), F.col(m.column).alias("value"))
+    return _stacked(parts, "metric")

@@ -6,55 +6,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import blank_to_null
+from ..schema import EXPORT_COLUMNS
 
-PRODUCTS_CSV_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
-    T.StructField("category", T.StringType()), T.StructField("price", T.DoubleType()),
-    T.StructField("reviews", T.IntegerType()), T.StructField("stars", T.DoubleType()),
-    T.StructField("is_best_seller", T.BooleanType()),
-])
+# --- fixed values: the headers of the seed and export files, in file order ---
+SEED_USERS = ["id", "first_name", "last_name", "email", "phone_number", "region", "country",
+              "hashed_password", "is_deleted"]
+SEED_EVENTS = ["id", "visitor_id", "user_id", "timestamp", "event_type", "product_id",
+               "order_id_for_refund", "is_recommended"]
+SEED_CATEGORIES = ["id", "category_name"]
+SEED_PRODUCTS = ["asin", "title", "img_url", "product_url", "stars", "reviews", "price",
+                 "list_price", "category_id", "is_best_seller", "bought_in_last_month"]
+GENERATED_PRODUCTS = ["id", "name", "short_description", "long_description", "features", "category",
+                      "image_url", "price", "created_on", "updated_on"]
+# --- end of fixed values ---
 
-EVENTS_CSV_SCHEMA = T.StructType([
-    T.StructField("user_id", T.StringType()), T.StructField("visitor_id", T.StringType()),
-    T.StructField("session_id", T.StringType()), T.StructField("timestamp", T.StringType()),
-    T.StructField("event_type", T.StringType()), T.StructField("product_id", T.StringType()),
-    T.StructField("is_recommended", T.StringType()), T.StructField("order_id_for_refund", T.StringType()),
-])
 
-USERS_CSV_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("first_name", T.StringType()),
-    T.StructField("email", T.StringType()), T.StructField("country", T.StringType()),
-    T.StructField("region", T.StringType()), T.StructField("is_deleted", T.StringType()),
-])
+def read_with_header(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
+    """Text columns of a CSV file whose header line must be ``header``: another header fails
+    instead of shifting columns. Fields are trimmed; empty ones are NULL."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+           .option("multiLine", True).option("escape", '"').csv(path))
+    return raw.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in header])
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first of the paths that exists; none: an error."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return path
+    raise FileNotFoundError(f"none of these exists: {', '.join(paths)}")
+
+
+def _flag(c: str):
+    return F.expr(f"try_cast({c} as boolean)").alias(c)
 
 
 def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Product dimension from CSV: product_id as text, category, price."""
-    p = spark.read.schema(PRODUCTS_CSV_SCHEMA).option("header", True).csv(path)
-    return p.select(F.col("id").cast("string").alias("product_id"),
-                    F.col("category").alias("product_category"),
-                    F.col("price").alias("product_price"))
+    """Product dimension from a generated product file: product_id as text, category, price."""
+    p = read_with_header(spark, path, GENERATED_PRODUCTS)
+    return p.select(F.col("id").alias("product_id"), F.col("category").alias("product_category"),
+                    F.expr("try_cast(price as double)").alias("product_price"))
+
+
+def read_seed_products(spark: SparkSession, path: str) -> DataFrame | None:
+    """The product seed; None if the file is not there (the seed then goes on without products)."""
+    try:
+        path = first_existing(spark, path)
+    except FileNotFoundError:
+        return None
+    p = read_with_header(spark, path, SEED_PRODUCTS)
+    number = lambda c, t: F.expr(f"try_cast({c} as {t})").alias(c)
+    return p.select("asin", "title", "img_url", "product_url", number("stars", "double"), number("reviews", "bigint"),
+                    number("price", "double"), number("list_price", "double"), number("category_id", "bigint"),
+                    _flag("is_best_seller"), number("bought_in_last_month", "bigint"))
+
+
+def read_seed_categories(spark: SparkSession, path: str) -> DataFrame:
+    return read_with_header(spark, path, SEED_CATEGORIES).select(F.expr("try_cast(id as bigint)").alias("id"), "category_name")
+
+
+def _event_columns(e: DataFrame) -> list:
+    return [F.col("user_id"), F.col("visitor_id"),
+            F.col("session_id") if "session_id" in e.columns else F.lit(None).cast("string").alias("session_id"),
+            F.try_to_timestamp("timestamp").cast("timestamp_ntz").alias("event_time"),
+            F.col("event_type"), F.col("product_id"), _flag("is_recommended"), F.col("order_id_for_refund")]
+
+
+def read_events_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """The flat event export (the first of ``paths`` that exists): yes/no/true/false flags become
+    booleans, timestamps are parsed (unparsable -> NULL)."""
+    e = read_with_header(spark, first_existing(spark, *paths), EXPORT_COLUMNS)
+    return e.select(*_event_columns(e))
 
 
-def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Flat event CSV: text columns; yes/no/true/false flags become booleans, timestamps
-    are parsed (unparsable -> NULL)."""
-    e = spark.read.schema(EVENTS_CSV_SCHEMA).option("header", True).csv(path)
-    return e.select(
-        blank_to_null("user_id").alias("user_id"), "visitor_id", "session_id",
-        F.try_to_timestamp("timestamp").cast("timestamp_ntz").alias("event_time"),
-        "event_type", blank_to_null("product_id").alias("product_id"),
-        F.expr("try_cast(trim(is_recommended) as boolean)").alias("is_recommended"),
-        blank_to_null("order_id_for_refund").alias("order_id_for_refund"))
+def read_seed_events(spark: SparkSession, path: str) -> DataFrame:
+    """The event seed (with ids, without sessions), typed as ``read_events_csv``."""
+    e = read_with_header(spark, path, SEED_EVENTS)
+    return e.select(F.expr("try_cast(id as bigint)").alias("id"), *_event_columns(e))
 
 
 def read_users_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Seed users: fields trimmed (' false' -> false), empty -> NULL."""
-    u = (spark.read.schema(USERS_CSV_SCHEMA).option("header", True)
-         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-         .option("nullValue", "").csv(path))
-    return u.withColumn("is_deleted", F.expr("try_cast(trim(is_deleted) as boolean)"))
+    """The user seed (' false' -> false)."""
+    u = read_with_header(spark, path, SEED_USERS)
+    return u.select(F.expr("try_cast(id as bigint)").alias("id"), *SEED_USERS[1:-1], _flag("is_deleted"))
+
+
+def load_once(rows: DataFrame, spark: SparkSession, path: str) -> bool:
+    """Write a seed table unless it is there already; says if it was written."""
+    try:
+        first_existing(spark, path)
+    except FileNotFoundError:
+        rows.write.parquet(path)
+        return True
+    return False
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, props: dict | None = None,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import NOTIF_TOPIC, REC_TOPIC, USER_TOPIC
+from ..schema import NOTIF_TOPIC, REC_TOPIC, RECOMMENDATION_VIEWS, USER_TOPIC
 
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -49,7 +49,8 @@ def topic_of(event_type: Column) -> Column:
 
 def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shop event per ``events`` row: id, topic, session_id, visitor_id, user_id,
-    event_time (timestamp_ntz), event_type, product_id, order_id_for_refund, is_recommended."""
+    event_time (timestamp_ntz), event_type, product_id, order_id_for_refund, is_recommended,
+    recommendation_view."""
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "props")
     uid = F.col("user_id").cast("string")
     anon = F.col("user_id") % 5 == 0
@@ -75,6 +76,8 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("event_type") == "refund_request") & (F.col("id") % 3 != 0),
                F.concat(F.lit("ORD-"), F.col("id").cast("string"))).alias("order_id_for_refund"),
         (F.col("id") % 7 == 0).alias("is_recommended"),
+        F.when(F.col("id") % 7 == 0, F.element_at(F.array(*map(F.lit, RECOMMENDATION_VIEWS)), (F.col("id") % 4 + 1).cast("int")))
+         .otherwise("").alias("recommendation_view"),
     )
 
 
@@ -133,3 +136,27 @@ def brand_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("l_orderkey").alias("basket_id"), F.col("p_brand").alias("item")).distinct()
     return pairs.groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def unclean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shop_events`` with everything that validation must catch, each derived from a share of the
+    rows: copies of an id with another product at the same time, copies on another topic, missing
+    required columns, unknown and misplaced types, and missing or bad product ids."""
+    e = shop_events(spark, sf_dir)
+    part = lambda k: e.filter(F.col("id") % 50 == k)
+    fresh = lambda k: part(k).withColumn("id", F.col("id") + k * 1_000_000_000)
+    faults = [
+        part(0).withColumn("product_id", F.concat("product_id", F.lit("7"))),
+        part(1).withColumn("topic", F.lit(NOTIF_TOPIC)),
+        fresh(2).withColumn("topic", F.lit(REC_TOPIC)).withColumn("event_type", F.lit("view")),
+        fresh(3).withColumn("event_type", F.lit("teleport")),
+        fresh(4).withColumn("id", F.lit(None).cast("bigint")),
+        fresh(5).withColumn("event_time", F.lit(None).cast("timestamp_ntz")),
+        fresh(6).withColumn("visitor_id", F.lit(None).cast("string")).withColumn("user_id", F.lit("77")),
+        fresh(7).withColumn("event_type", F.lit(None).cast("string")),
+        fresh(8).withColumn("topic", F.lit(USER_TOPIC)).withColumn("event_type", F.lit("view")).withColumn("product_id", F.lit("")),
+        fresh(9).withColumn("topic", F.lit(USER_TOPIC)).withColumn("event_type", F.lit("view")).withColumn("product_id", F.lit("-1")),
+    ]
+    for f in faults:
+        e = e.unionByName(f)
+    return e

@@ -1,13 +1,15 @@
-"""Cart abandonment as keyed streaming state (one state per logged-in user).
+"""Cart abandonment as keyed streaming state (one state per logged-in user), in event order.
 
-State: cart items, last activity (event time), notified flag, episode counter. Within a
-micro-batch a user's events are folded in (event_time, id) order; a gap of more than the
-threshold between two events fires once per episode, and an event-time timeout at
-last_activity + threshold fires when the watermark passes it. The batch equivalent is
-``operators.carts.abandoned_carts``."""
+Events may arrive in any order inside the watermark. Each user's state buffers them until the
+watermark has passed their time, and only then replays them by (event_time, id): the cart sees
+the same sequence whatever the arrival, so a late file cannot move its clock back. An idle
+deadline fires once the watermark is past it. The state is the cart plus the events of the
+watermark's reach. The batch equivalent is ``operators.carts.abandoned_carts`` over the events up
+to the last watermark."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,60 +22,80 @@ from ..schema import ABANDON_MINUTES
 
 OUTPUT_SCHEMA = ("user_id string, episode long, last_activity timestamp, notify_at timestamp, "
                  "cart_size long")
-STATE_SCHEMA = "items string, last_activity timestamp, notified boolean, episode long"
+STATE_SCHEMA = "cart string, waiting string"
+
+
+class Cart:
+    """What is known of one user at a moment of event time (microseconds)."""
+
+    def __init__(self, products=(), seen_at=None, told=False, episode=0):
+        self.products, self.seen_at, self.told, self.episode = set(products), seen_at, told, episode
+
+    def saved(self) -> str:
+        return json.dumps([sorted(self.products), self.seen_at, self.told, self.episode])
+
+    def deadline(self, gap: int) -> int | None:
+        """When the cart counts as abandoned, if nothing happens; None: never."""
+        return self.seen_at + gap if self.products and not self.told else None
+
+    def abandoned_by(self, now: int, gap: int) -> tuple | None:
+        """The abandonment that time ``now`` brings about, once per episode."""
+        due = self.deadline(gap)
+        if due is None or now <= due:
+            return None
+        self.told = True
+        return self.episode, self.seen_at, due, len(self.products)
+
+    def take(self, at: int, kind: str, product: str | None) -> None:
+        self.seen_at = at
+        if kind == "transaction":
+            self.products.clear()
+        elif not product or kind not in ("add_to_cart", "delete_from_cart"):
+            return
+        elif kind == "delete_from_cart":
+            self.products.discard(product)
+            return
+        else:
+            self.products.add(product)
+        self.told, self.episode = False, self.episode + 1  # a new episode may be told again
 
 
-def _fold(minutes: int):
-    gap = pd.Timedelta(minutes=minutes)
+def replay(cart: Cart, events: list, until: int, gap: int) -> tuple[list[tuple], list]:
+    """Feed the events up to time ``until`` in order, then let time reach ``until``; returns the
+    abandonments and the events still to come."""
+    events = sorted(events)
+    found = []
+    ripe = [e for e in events if e[0] <= until]
+    for at, _, kind, product in ripe:
+        found.append(cart.abandoned_by(at, gap))
+        cart.take(at, kind, product)
+    if cart.seen_at is not None:
+        found.append(cart.abandoned_by(until, gap))
+    return [f for f in found if f], events[len(ripe):]
 
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user = key[0]
-        if state.exists:
-            items_s, last, notified, episode = state.get
-            items = set(filter(None, (items_s or "").split("\u0001")))
-        else:
-            items, last, notified, episode = set(), None, False, 0
-        out = []
 
-        def fire(at):
-            out.append((user, episode, at, at + gap, len(items)))
+def _keyed_state(minutes: int):
+    gap = minutes * 60_000_000
 
-        if state.hasTimedOut:
-            if items and not notified and last is not None:
-                fire(pd.Timestamp(last))
-                notified = True
-        else:
-            ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["event_time", "id"], kind="stable")
-            for t, et, pid in zip(ev["event_time"], ev["event_type"], ev["product_id"]):
-                t = pd.Timestamp(t)
-                if items and not notified and last is not None and t > pd.Timestamp(last) + gap:
-                    fire(pd.Timestamp(last))
-                    notified = True
-                last = t
-                has_pid = isinstance(pid, str) and pid.strip() != ""
-                if et == "add_to_cart" and has_pid:
-                    items.add(pid)
-                    notified = False
-                    episode += 1
-                elif et == "delete_from_cart" and has_pid:
-                    items.discard(pid)
-                elif et == "transaction":
-                    items.clear()
-                    notified = False
-                    episode += 1
-        state.update(("\u0001".join(sorted(items)), None if last is None else pd.Timestamp(last).to_pydatetime(),
-                      notified, episode))
-        if items and not notified and last is not None:
-            due = int((pd.Timestamp(last) + gap).timestamp() * 1000)
-            if due < state.getCurrentWatermarkMs():
-                # the watermark already passed the idle deadline: fire now
-                fire(pd.Timestamp(last))
-                state.update(("\u0001".join(sorted(items)), pd.Timestamp(last).to_pydatetime(), True, episode))
-            else:
-                state.setTimeoutTimestamp(due)
-        frame = pd.DataFrame(out, columns=["user_id", "episode", "last_activity", "notify_at", "cart_size"])
-        yield frame.astype({"user_id": "object", "episode": "int64", "last_activity": "datetime64[us]",
-                            "notify_at": "datetime64[us]", "cart_size": "int64"})
+    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cart, waiting = Cart(), []
+        if state.exists:
+            saved, later = state.get
+            cart, waiting = Cart(*json.loads(saved)), [tuple(e) for e in json.loads(later)]
+        for pdf in pdfs if not state.hasTimedOut else ():
+            at = pdf["event_time"].astype("datetime64[us]").astype("int64")
+            text = [p.strip() or None if isinstance(p, str) else None for p in pdf["product_id"]]
+            waiting += zip(at.tolist(), pdf["id"].tolist(), pdf["event_type"], text)
+        now_ms = state.getCurrentWatermarkMs()
+        found, waiting = replay(cart, waiting, now_ms * 1000, gap)
+        state.update((cart.saved(), json.dumps(waiting)))
+        next_at = [t for t in (waiting[0][0] if waiting else None, cart.deadline(gap)) if t is not None]
+        if next_at:
+            state.setTimeoutTimestamp(max(min(next_at) // 1000, now_ms + 1))
+        frame = pd.DataFrame([(key[0], *f) for f in found], columns=["user_id", "episode", "last_activity", "notify_at", "cart_size"])
+        for c in ("last_activity", "notify_at"):
+            frame[c] = frame[c].astype("int64").astype("datetime64[us]")
+        yield frame.astype({"user_id": "object", "episode": "int64", "cart_size": "int64"})
 
     return fn
 
@@ -83,7 +105,7 @@ def abandoned_carts_stream(user_events: DataFrame, minutes: int = ABANDON_MINUTE
     ev = user_events.filter(is_present("user_id")).select(
         "user_id", "id", "event_time", "event_type", "product_id")
     return ev.groupBy("user_id").applyInPandasWithState(
-        _fold(minutes), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        _keyed_state(minutes), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_ntz(df: DataFrame) -> DataFrame:

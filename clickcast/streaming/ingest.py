@@ -29,26 +29,9 @@ def watermarked_events(raw: DataFrame, delay: str = WATERMARK_DELAY) -> DataFram
         "event_time", delay)
 
 
-def validated_streams(wm: DataFrame, within_watermark: bool = False) -> dict[str, DataFrame]:
-    """Per-topic validation. Dedupe by id keeps state forever by default (as the reference);
-    ``within_watermark`` bounds the state with dropDuplicatesWithinWatermark."""
-    parts = IG.topic_split(wm)
-    out = {}
-    for topic, df in parts.items():
-        ok = df.filter(IG._common_ok())
-        dd = ok.dropDuplicatesWithinWatermark(["id"]) if within_watermark else ok.dropDuplicates(["id", "topic"])
-        v = dd.filter(F.col("event_type").isin(IG.ALL_EVENTS))
-        if topic == USER_TOPIC:
-            v = (v.filter(F.col("event_type").isin(IG.USER_EVENTS))
-                  .filter(F.col("product_id").isNotNull() & IG.positive_long("product_id"))
-                  .filter(~((F.col("event_type") == "refund_request") & F.col("order_id_for_refund").isNull())))
-        elif topic == REC_TOPIC:
-            v = (v.filter(F.col("event_type").isin(IG.REC_EVENTS))
-                  .filter(F.col("product_id").isNotNull() & IG.positive_long("product_id")))
-        else:
-            v = v.filter(F.col("event_type").isin(IG.NOTIF_EVENTS))
-        out[topic] = v
-    return out
+def validated_streams(wm: DataFrame, within_watermark: bool = True) -> dict[str, DataFrame]:
+    """The accepted events of each topic, from one dedupe state."""
+    return IG.topic_split(validated_stream(wm, within_watermark))
 
 
 def ntz_output(df: DataFrame) -> DataFrame:
@@ -65,7 +48,7 @@ class StreamConfig:
     window_duration: str = ACTIVITY_WINDOW
     activity_path: str | None = None
     dump_path: str | None = None
-    within_watermark: bool = False
+    within_watermark: bool = True
 
 
 def _trigger(w, cfg: StreamConfig):
@@ -76,13 +59,12 @@ def _trigger(w, cfg: StreamConfig):
     return w
 
 
-def validated_stream(wm: DataFrame, within_watermark: bool = False) -> DataFrame:
-    """All topics validated with one dedupe state over (topic, id) (``validate_all`` for a
-    stream)."""
-    ok = wm.filter(IG._common_ok())
-    dd = (ok.dropDuplicatesWithinWatermark(["id", "topic"]) if within_watermark
-          else ok.dropDuplicates(["id", "topic"]))
-    return IG.topic_rules(dd.filter(F.col("event_type").isin(IG.ALL_EVENTS)))
+def validated_stream(wm: DataFrame, within_watermark: bool = True) -> DataFrame:
+    """All accepted events with one dedupe state over (topic, id). The state holds the ids of the
+    watermark's reach; ``within_watermark=False`` keeps every id for ever, as the reference does."""
+    whole = wm.filter(IG.complete())
+    once = whole.dropDuplicatesWithinWatermark(["id", "topic"]) if within_watermark else IG.first_copies(whole)
+    return once.filter(IG.accepted())
 
 
 def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig") -> None:
@@ -103,7 +85,8 @@ def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig") ->
 def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
                  products: DataFrame | None = None) -> list[StreamingQuery]:
     """One ingest query (one source read, one dedupe state) landing raw events and topic
-    dumps per micro-batch; optionally the windowed activity query. Returns the queries."""
+    dumps per micro-batch; the windowed activity, if asked for, is a second query with its own
+    source read and dedupe state. Returns the queries."""
     wm = watermarked_events(raw, cfg.watermark_delay)
     validated = validated_stream(wm, cfg.within_watermark)
     if products is not None:
@@ -123,13 +106,20 @@ def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
     return queries
 
 
-def write_message_files(events: DataFrame, path: str) -> int:
-    """Kafka-shaped (topic, value) rows, one parquet folder per event date written in date
-    order (a file stand-in for the broker: a file stream then replays them in time order).
-    Returns the number of folders."""
-    dates = [r[0] for r in events.select("event_date" if "event_date" in events.columns
-                                         else F.to_date("event_time").alias("d")).distinct().orderBy(1).collect()]
-    for i, dte in enumerate(dates):
-        part = events.filter(F.to_date("event_time") == F.lit(dte))
-        IG.to_kafka_rows(part).coalesce(1).write.mode("overwrite").parquet(f"{path}/{i:05d}")
-    return len(dates)
+def write_message_files(events: DataFrame, path: str, files: int = 28, shuffled: bool = False) -> int:
+    """Kafka-shaped (topic, value) rows as about ``files`` parquet files in one write (a file
+    stand-in for the broker): events are range-partitioned by time, and the files' times are set in
+    that order, so a file stream replays them in time order. ``shuffled`` swaps neighbouring ranges, so that files hold
+    events older than those of the file before. Returns the number of folders (one)."""
+    ranged = events.repartitionByRange(files, "event_time").withColumn("_part", F.spark_partition_id())
+    if shuffled:
+        ranged = ranged.withColumn("_part", F.when(F.col("_part") % 2 == 0, F.col("_part") + 1).otherwise(F.col("_part") - 1))
+        ranged = ranged.repartitionByRange(files, "_part")
+    IG.to_kafka_rows(ranged.sortWithinPartitions("_part")).write.mode("overwrite").parquet(f"{path}/00000")
+    spark = events.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in fs.listStatus(path_of(f"{path}/00000")) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(names):  # at most ``files`` of them
+        fs.setTimes(path_of(name), 1_600_000_000_000 + 1000 * i, -1)
+    return 1

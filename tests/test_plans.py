@@ -52,3 +52,14 @@ def test_recent_interactions_limits_before_shuffle(spark):
     df = RC.recent_interactions(I.user_events(spark, SF_SMALL))
     p = df._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in p
+
+
+def test_landed_jobs_scan_the_raw_events_once(spark):
+    """Validation is one scan and one dedupe; jobs that need the events several times read what was landed."""
+    import __spark_entry__ as E
+    for name in ["total_customers", "union_validated", "raw_events_sink"]:
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("events.parquet") <= 1, name
+    for name in ["customer_value_features", "discount_offers", "notifier_counters"]:
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("events.parquet") == 0, name

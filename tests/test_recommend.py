@@ -30,7 +30,7 @@ def test_co_occurrence_for_requests_brute_force(spark):
     seeds = RC.recent_interactions(ue).toPandas()
     reqs = sorted(set(zip(seeds.actor, seeds.id_type)))[:5]
     req_df = spark.createDataFrame(reqs, "actor string, id_type string")
-    got = RC.co_occurrence_for_requests(ue, req_df).toPandas()
+    got = RC.co_occurrence(ue, req_df).toPandas()
     ev = ue.select("customer_key", "id_type", "product_id").toPandas()
     for a, t in reqs:
         s = set(seeds[(seeds.actor == a) & (seeds.id_type == t)].product_id)

@@ -1,3 +1,4 @@
+import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -12,20 +13,25 @@ from clickcast.streaming import metrics as SM
 from conftest import SF_SMALL
 
 
-def _stream(spark):
+def _stream(spark, shuffled=False):
     root = tempfile.mkdtemp(prefix="cc-stream-", dir="/tmp")
-    SI.write_message_files(shop_events(spark, SF_SMALL), f"{root}/messages")
+    SI.write_message_files(shop_events(spark, SF_SMALL), f"{root}/messages", shuffled=shuffled)
     return root, read_message_files(spark, f"{root}/messages", max_files_per_trigger=5)
 
 
 def test_stream_abandonment_equals_batch(spark):
-    root, raw = _stream(spark)
-    br = SI.validated_streams(SI.watermarked_events(raw, "0 seconds"))
+    """Overlapping files in shuffled order: the result is the batch result at the last watermark."""
+    root, raw = _stream(spark, shuffled=True)
+    br = SI.validated_streams(SI.watermarked_events(raw, "3 days"))
     q = (SCT.with_ntz(SCT.abandoned_carts_stream(br["user-events"])).writeStream.format("parquet")
          .option("path", f"{root}/ab").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.read.parquet(f"{root}/ab")
-    exp = CT.abandoned_carts(I.user_events(spark, SF_SMALL))
+    last = I.keyed_events(spark, SF_SMALL).agg(F.max("event_time")).first()[0]
+    mark = last.replace(microsecond=last.microsecond // 1000 * 1000) - dt.timedelta(days=3)
+    seen = I.user_events(spark, SF_SMALL).filter(F.col("event_time") <= F.lit(mark).cast("timestamp_ntz"))
+    exp = CT.abandoned_carts(seen, snapshot=F.lit(mark).cast("timestamp_ntz"))
+    assert exp.count() > 10
     cols = ["user_id", "episode", "last_activity", "notify_at", "cart_size"]
     assert got.select(cols).exceptAll(exp.select(cols)).count() == 0
     assert exp.select(cols).exceptAll(got.select(cols)).count() == 0
@@ -48,7 +54,7 @@ def test_stream_ingest_and_metrics_equal_batch(spark):
                             checkpoint_dir=f"{root2}/ck", available_now=True)
         q.awaitTermination()
         batch = SM.metric_frame(I.validated(spark, SF_SMALL)[m.topic], m)
-        stream = SM.read_metric_csv(spark, f"{root2}/m/{name}", batch.schema)
+        stream = SM.read_metric_csv(spark, f"{root2}/m/{name}", batch.schema, SM.metric_keys(m))
         assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
 
 
