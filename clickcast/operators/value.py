@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if, elapsed_days, is_present, safe_ratio
+from ..functions.ranking import running_total
 from ..schema import LABEL_CUTS, NO_TX_DAYS, SCORE_WEIGHTS
 from ..session import materialize
 
-RANK_BUCKETS = 256
 FEATURE_COLUMNS = [
     "user_id", "transaction_count", "add_count", "remove_count", "view_count",
     "refund_count", "unique_sessions", "unique_products", "conversion_rate",
@@ -114,35 +114,17 @@ def value_score(f: DataFrame) -> DataFrame:
     return f.withColumn("value_score", F.round(F.when(finite, raw).otherwise(F.lit(0.0)), 9))
 
 
-def pct_rank_average(df: DataFrame, col: str, out: str = "pct_rank",
-                     buckets: int = RANK_BUCKETS) -> DataFrame:
+def pct_rank_average(df: DataFrame, col: str, out: str = "pct_rank") -> DataFrame:
     """Percentile rank with average ties (pandas ``rank(pct=True, method='average')``):
-    (#smaller + (#equal + 1) / 2) / n.
-
-    Distributed: values are first collapsed to (value, count) - hot values become one row -
-    then range-bucketed by approximate quantiles; cumulative counts come from a window per
-    bucket plus the running total of <= ``buckets`` bucket sums (a bounded, broadcast table).
-    """
-    # the input is read twice (distinct values, join back): materialise it once
-    df = materialize(df)
-    v = F.col(col)
-    dist = df.filter(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = dist.agg(F.percentile_approx("_v", qs, 10000)).scalar()
-    dist = dist.withColumn("_b", bounds).withColumn(
-        "_k", F.size(F.filter("_b", lambda x: x < F.col("_v")))).drop("_b")
-    per_bucket = dist.groupBy("_k").agg(F.sum("_c").alias("_bc"))
-    offsets = per_bucket.select(
-        "_k",
-        F.coalesce(F.sum("_bc").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_bc").over(Window.partitionBy()).alias("_n"))
-    w = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (dist.join(F.broadcast(offsets), "_k")
-              .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
-              .select(F.col("_v"), ((F.col("_less") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias(out)))
-    # one row per distinct value: AQE turns this into a broadcast join at runtime when the
-    # measured size is small, and splits a hot value's partition otherwise
+    (#smaller + (#equal + 1) / 2) / n; NULL values get NULL.
+
+    Equal values are collapsed to (value, count) first, so a hot value is one row; the number of
+    smaller ones is a running total over value ranges, as many as the session has partitions."""
+    df = materialize(df)  # read twice: the distinct values, and the join back
+    dist = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_total(dist, ["_v"], "_c", "_less")
+    n = df.agg(F.count(col)).scalar()
+    ranked = ranked.select("_v", ((F.col("_less") + (F.col("_c") + 1) / 2.0) / n).alias(out))
     return df.join(ranked, df[col] == ranked["_v"], "left").drop("_v")
 
 

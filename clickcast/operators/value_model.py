@@ -1,5 +1,5 @@
 """Customer-value classifier on MLlib: scaler + class-balanced random forest over the 14
-features, hash-stratified hold-out, metrics from (label, prediction) aggregates, k-fold CV."""
+features, hold-out stratified exactly by label, metrics from (label, prediction) aggregates, k-fold CV."""
 
 from __future__ import annotations
 
@@ -8,17 +8,26 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CV_FOLDS, MAX_DEPTH, N_TREES, SPLIT_SEED, TRAIN_FRACTION, VALUE_FEATURES
-from .rules import split_bucket
+from ..functions.ranking import running_total
+from ..session import materialize
 
 
-def with_fold(labeled: DataFrame, key: str = "user_id", seed: int = SPLIT_SEED) -> DataFrame:
-    """0..99 hash bucket per row. Hashing is independent of the label, so every label gets
-    the same expected share of each bucket range (stratified in expectation, no window)."""
-    return labeled.withColumn("_bucket", split_bucket(F.col(key), seed))
+def with_rank(labeled: DataFrame, key: str = "user_id", label: str = "value_label", seed: int = SPLIT_SEED) -> DataFrame:
+    """Each row's place ``_rank`` (from 0) among those of its label, in the order of a keyed hash, and
+    their number ``_n``: any cut of the places is a split stratified exactly by label."""
+    h = labeled.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))).withColumn("_one", F.lit(1))
+    ranked = running_total(h, ["_h", key], "_one", "_rank", [label]).drop("_h", "_one")
+    sizes = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(sizes, label)
+
+
+def held_out(fraction: float = 1 - TRAIN_FRACTION):
+    """The first ``fraction`` of each label's places, rounded, is the test set."""
+    return F.col("_rank") < F.round(F.col("_n") * fraction)
 
 
 def class_weights(train: DataFrame, label: str = "value_label") -> DataFrame:
@@ -45,12 +54,10 @@ def _prepare(df: DataFrame) -> DataFrame:
 def train_value_model(labeled: DataFrame, train_fraction: float = TRAIN_FRACTION,
                       num_trees: int = N_TREES, max_depth: int = MAX_DEPTH):
     """Returns (fitted PipelineModel, test predictions DataFrame)."""
-    # the forest makes one pass per tree level: materialise the features once (a reliable
-    # checkpoint in spark.checkpoint.dir also cuts the long feature lineage)
-    d = with_fold(_prepare(labeled)).checkpoint(eager=True)
-    cut = int(round(train_fraction * 100))
-    train = class_weights(d.filter(F.col("_bucket") < cut))
-    test = d.filter(F.col("_bucket") >= cut)
+    # the forest makes one pass per tree level: materialise the features once
+    d = materialize(with_rank(_prepare(labeled)).withColumn("_test", held_out(1 - train_fraction)))
+    train = class_weights(d.filter("not _test"))
+    test = d.filter("_test")
     model = build_pipeline(num_trees, max_depth).fit(train)
     return model, model.transform(test)
 
@@ -59,32 +66,29 @@ def classification_metrics(pred: DataFrame, label: str = "value_label",
                            prediction: str = "prediction") -> DataFrame:
     """Per label: precision, recall, F1, support; plus accuracy, macro F1 and weighted F1 on
     every row. Pure aggregations over (label, prediction)."""
-    p = pred.select(F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("p"))
-    labels = p.select(F.col("y").alias("c")).union(p.select(F.col("p").alias("c"))).distinct()
-    tp = p.filter(F.col("y") == F.col("p")).groupBy(F.col("y").alias("c")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = p.groupBy(F.col("y").alias("c")).agg(F.count(F.lit(1)).alias("support"))
-    npred = p.groupBy(F.col("p").alias("c")).agg(F.count(F.lit(1)).alias("npred"))
-    m = (labels.join(tp, "c", "left").join(sup, "c", "left").join(npred, "c", "left")
-               .na.fill(0, ["tp", "support", "npred"]))
-    prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    m = m.select(F.col("c").alias("label"), prec.alias("precision"), rec.alias("recall"), "support", "tp")
-    m = m.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                  2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                     .otherwise(0.0))
-    n = p.agg(F.count(F.lit(1))).scalar()
-    acc = m.agg(F.sum("tp")).scalar() / n
-    macro = m.agg(F.avg("f1")).scalar()
-    weighted = m.agg(F.sum(F.col("f1") * F.col("support"))).scalar() / n
-    return m.select("label", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support"),
-                    acc.alias("accuracy"), macro.alias("macro_f1"), weighted.alias("weighted_f1"))
+    pairs = pred.select(F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("p"))
+    # the only pass over the predictions: one row per (label, prediction)
+    seen = materialize(pairs.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")))
+    sides = seen.select(F.explode(F.array(
+        F.struct(F.col("y").alias("label"), F.col("n").alias("is"), F.lit(0).cast("bigint").alias("said"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("both")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("bigint").alias("is"), F.col("n").alias("said"), F.lit(0).cast("bigint").alias("both")))).alias("s")).select("s.*")
+    m = sides.groupBy("label").agg(F.sum("is").alias("support"), F.sum("said").alias("said"), F.sum("both").alias("both"))
+    share = lambda of: F.when(F.col(of) > 0, F.col("both") / F.col(of)).otherwise(0.0)
+    m = m.withColumn("precision", share("said")).withColumn("recall", share("support"))
+    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
+    m = m.withColumn("f1", F.when(F.col("both") > 0, f1).otherwise(0.0))
+    every = Window.partitionBy()  # one row per label
+    return m.select(
+        "label", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support"),
+        (F.sum("both").over(every) / F.sum("support").over(every)).alias("accuracy"), F.avg("f1").over(every).alias("macro_f1"),
+        (F.sum(F.col("f1") * F.col("support")).over(every) / F.sum("support").over(every)).alias("weighted_f1"))
 
 
 def cross_validate(labeled: DataFrame, folds: int = CV_FOLDS, num_trees: int = N_TREES,
                    max_depth: int = MAX_DEPTH) -> DataFrame:
-    """k hash folds; one fit per fold (a distributed fit each); macro F1 per fold, then mean
+    """k stratified folds; one fit per fold (a distributed fit each); macro F1 per fold, then mean
     and population std (ddof 0) as one row."""
-    d = with_fold(_prepare(labeled)).withColumn("_fold", F.col("_bucket") % folds).checkpoint(eager=True)
+    d = materialize(with_rank(_prepare(labeled)).withColumn("_fold", F.col("_rank") % folds))
     scores = []
     for k in range(folds):
         train = class_weights(d.filter(F.col("_fold") != k))

@@ -807,3 +807,22 @@ def _live_rows() -> str:
 
 
 register("live_metrics_job", q(_live_rows()))
+
+
+register("value_model_split", q("""
+select user_id, cast(value_label as integer) as value_label,
+  row_number() over (partition by value_label order by md5('42:' || user_id), user_id) - 1
+    < round(count(*) over (partition by value_label) * 0.2) as is_test
+from labeled""", VALUE_CTES))
+register("prediction_metrics", q("""
+select label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support,
+  round(sum(tp) over () / sum(support) over (), 6) as accuracy, round(avg(f1) over (), 6) as macro_f1,
+  round(sum(f1 * support) over () / sum(support) over (), 6) as weighted_f1
+from (select *, case when tp > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as f1
+  from (select *, case when said > 0 then tp / said else 0.0 end as precision, case when support > 0 then tp / support else 0.0 end as recall
+    from (select label, count(*) filter (where y = label) as support, count(*) filter (where p = label) as said,
+            count(*) filter (where y = label and p = label) as tp
+          from (select unnest([0, 1, 2])::integer as label) c cross join (
+            select cast(value_label as integer) as y,
+              case when transaction_count >= 19 then 2 when transaction_count >= 15 then 1 else 0 end as p from labeled) x
+          group by label) a where support + said > 0) b) d""", VALUE_CTES))

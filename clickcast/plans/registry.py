@@ -835,6 +835,20 @@ def _vm_train(s, d):
     return pred.select("user_id", "value_label", F.col("prediction").cast("int").alias("prediction"))
 
 
+@query("value_model_split")
+def _vm_split(s, d):
+    ranked = VM.with_rank(_labeled(s, d).select("user_id", "value_label"))
+    return ranked.select("user_id", "value_label", VM.held_out().alias("is_test"))
+
+
+@query("prediction_metrics")
+def _prediction_metrics(s, d):
+    """The metrics over predictions that SQL can rebuild: a label guessed from the transactions."""
+    guess = F.when(F.col("transaction_count") >= 19, 2).when(F.col("transaction_count") >= 15, 1).otherwise(0)
+    m = VM.classification_metrics(_labeled(s, d).withColumn("prediction", guess))
+    return m.select(*[r6(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
 @query("value_model_metrics")
 def _vm_metrics(s, d):
     _, pred = VM.train_value_model(_labeled(s, d))
