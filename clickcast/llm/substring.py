@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,8 @@ WINDOW = 35               # words of a repeated window
 KMER = 16                 # words of a node; WINDOW - KMER + 1 k-mers begin in a window
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-ROWS_AT_ONCE = 1000        # documents that are hashed together
+SIEVE_BITS = 26             # 8 MB bitmaps
+ROWS_AT_ONCE = 600         # documents that are hashed together
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -62,6 +64,34 @@ def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def sieve(keys: DataFrame, key: str, log2_bits: int = SIEVE_BITS) -> Broadcast:
+    """A bitmap of a fixed size (2**log2_bits bits) with the hash of each key's bit set, for all workers.
+    It only spares shuffles: a key that fell on a set bit by chance goes out in the join that follows,
+    and however many keys there are, the bitmap does not grow; it just lets more through."""
+
+    def fold(batches):
+        for rb in batches:
+            at = sieve_places(rb.column(0).to_numpy(), log2_bits)
+            word, inverse = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    got = keys.select(key).mapInArrow(fold, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (log2_bits - 6), np.int64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def sieve_places(keys: np.ndarray, log2_bits: int) -> np.ndarray:
+    return (mixed(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - log2_bits)).astype(np.int64)
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = sieve_places(keys, len(bitmap).bit_length() - 1 + 6)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+
 class Anchors(NamedTuple):
     doc: np.ndarray      # which text of the batch
     index: np.ndarray    # of the anchor in its text
@@ -112,8 +142,8 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Every anchor with its coordinates: row_id, h, place (index << 32 | first word), windows (first << 32
+def occurrences(docs: DataFrame, repeated: Broadcast) -> DataFrame:
+    """The anchors that the sieve lets through, with their coordinates: row_id, h, place (index << 32 | first word), windows (first << 32
     | count), edge."""
 
     def run(batches):
@@ -121,6 +151,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             ids = rb.column("row_id").to_numpy()
             for at in range(0, rb.num_rows, ROWS_AT_ONCE):
                 x = anchors_of(rb.column("text").slice(at, ROWS_AT_ONCE))
+                x = Anchors(*(v[passes(repeated.value, x.h.view(np.int64))] for v in x))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at:][x.doc]), pa.array(x.h.view(np.int64)), pa.array((x.index << 32) | x.place),
                      pa.array((x.first << 32) | x.count), pa.array(x.edge.view(np.int64))], ["row_id", "h", "place", "windows", "edge"])
@@ -156,13 +187,23 @@ def window_digests(line: bytes, at: list[int], first: int, stop: int, window: in
     return [xxhash.xxh128_digest(line[a:b - 1]) for a, b in zip(at[first:stop], at[first + window:stop + window])]
 
 
+def sifted(docs: DataFrame, rows: Broadcast, column: str, inside: bool) -> DataFrame:
+    """The documents whose row ids pass the sieve, or the others."""
+
+    def run(batches):
+        for rb in batches:
+            yield rb.filter(pa.array(passes(rows.value, rb.column(column).to_numpy()) == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(row_id, start, stop, digest, windows, kind) of the documents that have repeated anchors. Kind 0:
     a verified path's span. Kind 1: a stretch of neighbouring windows in no verified path, the digest
     of its words, and those of its windows. Kind 2: the windows of a path that its representative shows."""
 
     def run(batches):
-        for rb in batches:
+        for rb in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             out = []
             lists = {c: (rb.column(c).values.to_numpy(zero_copy_only=False), rb.column(c).offsets.to_numpy()) for c in ("place", "windows", "n_edges", "chosen")}
             for k, (row, text) in enumerate(zip(rb.column("row_id").to_pylist(), rb.column("text").to_pylist())):
@@ -193,11 +234,11 @@ def spelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
         run, "row_id long, start int, stop int, digest binary, windows array<binary>, kind int")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
     """``docs`` (row_id, text) -> (row_id, starts, stops): word spans that some repeated window covers,
-    one row per document that has any."""
+    one row per document that has any; and a sieve of the row ids that can have some."""
     nodes = landed(repeated_anchors(docs), "graph-nodes")
-    occ = landed(occurrences(docs).join(nodes, "h"), "graph-places")
+    occ = landed(occurrences(docs, sieve(nodes, "h")).join(nodes, "h"), "graph-places")
     paths = landed(compact_paths(occ), "graph-paths")
     twice = paths.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "first_anchor")).alias("least")).filter("n > 1")
     verified = paths.join(twice, "digest").select(
@@ -209,7 +250,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         verified.select("row_id", F.shiftleft(F.col("first_anchor").cast("long"), 32).alias("place"), F.lit(0).cast("long").alias("windows"), "n_edges", "chosen"))
     known = marks.groupBy("row_id").agg(F.collect_list(F.struct("place", "windows", "n_edges", "chosen")).alias("m")).select(
         "row_id", "m.place", "m.windows", "m.n_edges", "m.chosen")
-    spelled = landed(spelled_windows(docs, known), "graph-windows")
+    rows = sieve(occ.select("row_id").distinct(), "row_id")
+    spelled = landed(spelled_windows(sifted(docs.select("row_id", "text"), rows, "row_id", True), known), "graph-windows")
 
     # stretches with equal words repeat as a whole; the others are compared window by window, with each
     # other, with one of each group of equal stretches, and with the shown paths
@@ -225,7 +267,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "row_id", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + WINDOW).alias("stop"))
     spans = hits.union(whole.select("row_id", "start", "stop")).union(spelled.filter("kind <> 1").select("row_id", "start", "stop"))
     return spans.groupBy("row_id").agg(F.collect_list(F.struct("start", "stop")).alias("s")).select(
-        "row_id", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
+        "row_id", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops")), rows
 
 
 def kept_words(ws: list[bytes], starts, stops) -> list[bytes]:
@@ -243,27 +285,36 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Null, empty and short texts have no window and stay. Repeated rows count as further occurrences,
     so both lose their windows. Ids may be null or repeat; an empty table gives no rows."""
     ids = with_row_id(docs, "substring-rows", "__row")
-    spans = repeated_spans(ids.select(F.col("__row").alias("row_id"), "text"))
-    joined = ids.join(spans.select(F.col("row_id").alias("__row"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "__row", "left").drop("__row")
+    spans, rows = repeated_spans(ids.select(F.col("__row").alias("row_id"), "text"))
+    joined = sifted(ids, rows, "__row", True).join(spans.select(F.col("row_id").alias("__row"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "__row", "left").drop("__row")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words__", T.LongType()), T.StructField("n_removed__", T.LongType())])
 
     def strip(batches):
+        yield from (out for rb in batches for at in range(0, rb.num_rows, ROWS_AT_ONCE) for out in stripped(rb.slice(at, ROWS_AT_ONCE)))
+
+    def outside(batches):
+        """Documents that the sieve holds back have no repeated window."""
         for rb in batches:
-            texts, n, gone = rb.column("text").to_pylist(), [], []
-            starts, stops = rb.column("__starts"), rb.column("__stops")
-            for k, some in enumerate(starts.is_valid().to_pylist()):
-                ws = words(texts[k])
-                n.append(len(ws))
-                gone.append(0)
-                if some:
-                    left = kept_words(ws, starts[k].values.to_numpy(), stops[k].values.to_numpy())
-                    gone[-1] = len(ws) - len(left)
-                    texts[k] = b" ".join(left).decode("utf-8", "surrogatepass") if gone[-1] else texts[k]
-            cols = [pa.array(texts, pa.string()) if c == "text" else rb.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words__", "n_removed__"])
-
-    return joined.mapInArrow(strip, schema)
+            for at in range(0, rb.num_rows, ROWS_AT_ONCE):
+                part = rb.slice(at, ROWS_AT_ONCE)
+                yield from stripped(part.filter(pa.array(~passes(rows.value, part.column("__row").to_numpy()))))
+
+    def stripped(rb):
+        texts, n, gone = rb.column("text").to_pylist(), [], []
+        starts, stops = (rb.column(c) if c in rb.schema.names else None for c in ("__starts", "__stops"))
+        for k, some in enumerate(starts.is_valid().to_pylist() if starts is not None else [False] * len(texts)):
+            ws = words(texts[k])
+            n.append(len(ws))
+            gone.append(0)
+            if some:
+                left = kept_words(ws, starts[k].values.to_numpy(), stops[k].values.to_numpy())
+                gone[-1] = len(ws) - len(left)
+                texts[k] = b" ".join(left).decode("utf-8", "surrogatepass") if gone[-1] else texts[k]
+        cols = [pa.array(texts, pa.string()) if c == "text" else rb.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words__", "n_removed__"])
+
+    return joined.mapInArrow(strip, schema).unionByName(ids.mapInArrow(outside, schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:
