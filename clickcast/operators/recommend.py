@@ -109,21 +109,46 @@ def recommend_for_all(events: DataFrame, products: DataFrame, rules: DataFrame,
     return _cascade(seeds, products, rules, itemsets, limit, n_seeds, [])
 
 
+def category_lists(products: DataFrame, depth: int) -> DataFrame:
+    """(category, best): each category's first ``depth`` products as one sorted array. NULL reviews and
+    stars come first, as in ``_pop_order``; the array's order is that order."""
+    w = Window.partitionBy("category").orderBy(*_pop_order())
+    top = products.filter(F.col("category").isNotNull()).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth)
+    place = F.struct((-F.col("reviews")).alias("a"), (-F.col("stars")).alias("b"), F.col("id").alias("c"),
+                     F.col("id").cast("string").alias("product_id"))
+    return top.groupBy("category").agg(F.sort_array(F.collect_list(place)).alias("best"))
+
+
 def _cascade(seeds: DataFrame, products: DataFrame, rules: DataFrame, itemsets: DataFrame, limit: int,
              n_seeds: int, more: list[DataFrame]) -> DataFrame:
-    """The stages for the actors of ``seeds``: earlier stages win, the first ``limit`` stay."""
-    actors = seeds.select("actor", "id_type").distinct()
-    depth = limit + n_seeds + limit
-    parts = (rule_stage(seeds, rules, itemsets, products)
-             .unionByName(category_stage(seeds, products, depth))
-             .unionByName(global_stage(actors, seeds, products, depth)))
-    for stage in more:
-        parts = parts.unionByName(stage)
-    first = parts.groupBy("actor", "id_type", "product_id").agg(F.min(F.struct("stage", "pos")).alias("b"))
-    w = Window.partitionBy("actor", "id_type").orderBy("b.stage", "b.pos")
-    return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-                 .select("actor", "id_type", "product_id", F.col("b.stage").alias("stage"),
-                         F.col("rank").cast("bigint").alias("rank")))
+    """The stages for the actors of ``seeds``: earlier stages win, the first ``limit`` stay.
+
+    One row per actor carries its seeds and one array per stage; an actor meets a category as that
+    category's short array, so nothing is blown up to one row per candidate."""
+    key = ["actor", "id_type"]
+    category = products.select(F.col("id").cast("string").alias("product_id"), "category")
+    own = seeds.join(category, "product_id", "left").groupBy(*key).agg(
+        F.collect_set("product_id").alias("seen"), F.collect_set("category").alias("categories"))
+    # an actor leaves out its seeds and what earlier stages chose
+    lists = category_lists(products, limit + n_seeds + limit)
+    rows = own.select(*key, "seen", F.explode_outer("categories").alias("category")).join(lists, "category", "left").groupBy(*key).agg(
+        F.any_value("seen").alias("seen"), F.sort_array(F.flatten(F.collect_list("best"))).alias("best"))
+    everywhere = F.array(*map(F.lit, global_candidates(products, limit + n_seeds + limit))).cast("array<string>")
+    rows = rows.withColumn("s2", F.col("best.product_id")).withColumn("s3", everywhere).drop("best")
+    for k, stage in [(0, rule_stage(seeds, rules, itemsets, products)), *((1, m) for m in more)]:
+        chosen = stage.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "product_id"))).alias("l"))
+        rows = rows.join(chosen.select(*key, F.col("l.product_id").alias(f"s{k}")), key, "left")
+    stages = [k for k in range(4) if f"s{k}" in rows.columns]
+
+    def new_with(stage: int):
+        return lambda x: F.when(~F.array_contains("seen", x), F.struct(x.alias("product_id"), F.lit(stage).alias("stage")))
+
+    none = F.array().cast("array<string>")
+    tagged = F.array_compact(F.flatten(F.array(*[F.transform(F.coalesce(F.col(f"s{k}"), none), new_with(k)) for k in stages])))
+    rows = rows.withColumn("all", tagged).withColumn("ids", F.slice(F.array_distinct(F.col("all.product_id")), 1, limit))
+    out = rows.select(*key, "all", F.posexplode("ids").alias("k", "product_id"))
+    first = F.element_at(F.filter("all", lambda x: x["product_id"] == F.col("product_id")), 1)["stage"]
+    return out.select(*key, "product_id", first.alias("stage"), (F.col("k") + 1).cast("bigint").alias("rank"))
 
 
 def exclude_current_product(recs: DataFrame, current: DataFrame) -> DataFrame:
