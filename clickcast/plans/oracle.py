@@ -484,6 +484,16 @@ bbs as (select *, case when cast(('0x' || substr(md5('42:' || cast(basket_id as
 bbt as (select * from bbs where split = 'train')
 """ + _mining_ctes("bbt")))
 
+TRAIN_MINING = BRAND_CTES + """,
+bbs as (select *, case when cast(('0x' || substr(md5('42:' || cast(basket_id as varchar)), 1, 8)) as bigint) % 100 < 30
+                       then 'test' else 'train' end as split from bb),
+bbt as (select * from bbs where split = 'train'),
+tb as (select basket_id, list_sort(list_distinct(items)) as items from bbs where split = 'test')
+""" + _mining_ctes("bbt", 0.005)
+register("train_split_rules", _rules_sql(TRAIN_MINING))
+register("heldout_predictions", q("select basket_id, item, cast(rank as bigint) as rank from pred",
+                                  TRAIN_MINING + PREDICT_CTES.replace("from mb)", "from tb)")))
+
 # --- recommendations ----------------------------------------------------------------------
 RECO_CTES = SESSION_MINING + """,
 seeds as (

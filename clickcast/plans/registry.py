@@ -482,6 +482,28 @@ def _rule_summary(s, d):
                      r6("avg_confidence"), r6("avg_support"), "train_transactions", "test_transactions")
 
 
+HELD_OUT_SUPPORT = 0.005  # keeps some of the brand triples
+
+
+def _train_rules(s, d):
+    """Rules of the training baskets at a selective floor, their itemsets, and the other baskets."""
+    sp = RU.basket_split(brand_baskets(s, d))
+    fi = RU.frequent_itemsets(sp.filter("split = 'train'"), min_support=HELD_OUT_SUPPORT)
+    return RU.association_rules(fi), fi, sp.filter("split = 'test'")
+
+
+@query("train_split_rules")
+def _train_split_rules(s, d):
+    return _rules_out(_train_rules(s, d)[0])
+
+
+@query("heldout_predictions")
+def _heldout_predictions(s, d):
+    """Predictions for baskets that the rules were not made from."""
+    rules, fi, test = _train_rules(s, d)
+    return RU.basket_predictions(test, rules, fi).select("basket_id", "item", "rank")
+
+
 @query("rules_sink")
 def _rules_sink(s, d):
     path = scratch(s, "rules")
