@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from clickcast.session import ensure_checkpoint_dir, shared_dir
 
 #: A word: a run of characters that are neither a space nor one of TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
+SIEVE_BITS = 26             # 8 MB bitmaps
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,6 +35,30 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def tidy(run):
+    """A mapInArrow or mapInPandas function that gives its memory back to the system when its
+    partition is done. Spark keeps Python workers for later tasks; without this each holds on to the
+    most that any earlier stage took."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return tidied
+
+
+def few_rows_at_once(spark: SparkSession, rows: int = 1500) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows: a Python worker then holds that many texts,
+    whatever their partition's size. Only ever lowers the setting; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost
     executors, and fixes generated row ids. The folder goes when the driver's JVM ends."""
@@ -67,3 +95,47 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         there = codes != blank
         codes, owner = codes[there], owner[there]
     return codes, np.bincount(owner, minlength=len(texts)), flat.dictionary
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sieve(keys: DataFrame, key: str, log2_bits: int = SIEVE_BITS) -> Broadcast:
+    """A bitmap of a fixed size (2**log2_bits bits) with the hash of each key's bit set, for all workers.
+    It only spares shuffles: a key that fell on a set bit by chance goes out in the join that follows,
+    and however many keys there are, the bitmap does not grow; it just lets more through."""
+
+    def fold(batches):
+        for rb in batches:
+            at = sieve_places(rb.column(0).to_numpy(), log2_bits)
+            word, inverse = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    got = keys.select(key).mapInArrow(tidy(fold), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (log2_bits - 6), np.int64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def sieve_places(keys: np.ndarray, log2_bits: int) -> np.ndarray:
+    return (mixed(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - log2_bits)).astype(np.int64)
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = sieve_places(keys, len(bitmap).bit_length() - 1 + 6)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def sifted(docs: DataFrame, rows: Broadcast, column: str, inside: bool) -> DataFrame:
+    """The documents whose row ids pass the sieve, or the others."""
+
+    def run(batches):
+        for rb in batches:
+            yield rb.filter(pa.array(passes(rows.value, rb.column(column).to_numpy()) == inside))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,15 +11,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES, CACHE_WORDS = 250_000, 200_000
 #: The alphabet on which lower-casing and composing are plain: no other normal form exists for it.
 PLAIN = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-įı-ſ]*")
 #: Fixed value: the pieces of a word, as the tokenizer file cuts them, on that alphabet.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~]+")
 PIECE_OR_LINE = re.compile(PIECE.pattern + r"|\n")
+LINE = {"\n": b"\xff\xff"}  # a line end between words becomes id 65535
 
 
 def default_tokenizer() -> str:
@@ -37,7 +39,7 @@ class PieceEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t["content"] for t in spec["added_tokens"]]
         vocab = spec["model"]["vocab"]
         if max(vocab.values()) >= 0xFFFF or spec["model"].get("end_of_word_suffix") != "</w>":
@@ -49,7 +51,19 @@ class PieceEncoder:
             {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False},
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(LINE)
+        self.words: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Give the caches' memory back, for other work of the same worker."""
+        self.known, self.words = dict(LINE), {}
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is; most workers meet no text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _learn_pieces(self, new: list[str]) -> None:
         for at in range(0, len(new), 1 << 15):
@@ -64,30 +78,40 @@ class PieceEncoder:
                 bounds = [0, *(2 * cuts).tolist()]
                 self.known.update((p, raw[a:b]) for p, a, b in zip(own, bounds, bounds[1:]))
 
-    def _look_up(self, pieces: list[list[str]]) -> None:
-        new = {p for ps in pieces for p in ps if p not in self.known and p != "\n"}
-        if len(new) + len(self.known) > CACHE_PIECES:
-            new = {p for ps in pieces for p in ps if p != "\n"}
-            self.known.clear()
+    def _look_up(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.known)
+        if len(new) + len(self.known) > CACHE_PIECES:  # this call's pieces stay
+            self.known = dict(LINE) | {p: self.known[p] for p in pieces - new}
         self._learn_pieces(list(new))
 
     def plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not ("<" in text and any(s in text for s in self.special))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of single words (without blanks), in order."""
+        """The ids of single words (without blanks), in order. Words of the calls before are kept, up to
+        a number at which those of this call alone stay."""
+        new = [w for w in words if w not in self.words]
+        self.words.update(zip(new, self._encode_words(new)))
+        out = [self.words[w] for w in words]
+        if len(self.words) > CACHE_WORDS:
+            self.words = dict(zip(words, out))
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(words), 1 << 16):
             part = words[at:at + (1 << 16)]
-            odd = {k: t for k, t in enumerate(part) if not self.plain(t)}
-            pieces = PIECE_OR_LINE.findall("\n".join("" if k in odd else t for k, t in enumerate(part)).lower())
-            self._look_up([pieces])
-            get = self.known.get
-            ids = b"".join(get(p, b"\xff\xff") for p in pieces)  # a line end becomes id 65535
+            line, odd = "\n".join(part), {}
+            if not self.plain(line):
+                odd = {k: t for k, t in enumerate(part) if not self.plain(t)}
+                line = "\n".join("" if k in odd else t for k, t in enumerate(part))
+            pieces = PIECE_OR_LINE.findall(line.lower())
+            self._look_up(set(pieces))
+            ids = b"".join(map(self.known.__getitem__, pieces))
             lines = np.frombuffer(ids, np.uint16)
             ends = (2 * np.flatnonzero(lines == 0xFFFF)).tolist()
             found = [ids[a:b] for a, b in zip([0, *(e + 2 for e in ends)], [*ends, len(ids)])]
-            for (k, _), e in zip(odd.items(), self.whole.encode_batch_fast(list(odd.values()), add_special_tokens=False)):
+            for k, e in zip(odd, self.whole.encode_batch_fast(list(odd.values()), add_special_tokens=False) if odd else ()):
                 found[k] = np.array(e.ids, np.uint16).tobytes()
             out += found
         return out
