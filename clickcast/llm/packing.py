@@ -18,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickcast.llm.common import coded_words, landed
+from clickcast.llm.common import coded_words, few_rows_at_once, landed, tidy
 from clickcast.llm.tokens import default_tokenizer, encoder, gathered
 
 LENGTH = 2048
 END_ID = 1
 END = np.array([END_ID], np.uint16).tobytes()
-ROWS_AT_ONCE = 3000
+ROWS_AT_ONCE = 1500
 BUCKETS, DIMS, BITS, REACH = 256, 3, 10, 4.0
 
 
@@ -88,8 +88,9 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [rb.column("doc_id"), pa.array([x.tobytes() + END for x in own], pa.binary()), pa.array(curve_keys(own)), pa.array(order)],
                     ["doc_id", "ids", "key", "tie"])
+        enc.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, key long, tie long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids binary, key long, tie long")
 
 
 def cut(stream: Iterator[tuple], length: int = LENGTH) -> Iterator[tuple]:
@@ -127,6 +128,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     A null or empty text is the end id alone. Repeated rows are packed each; null ids stay null. An
     empty table gives no rows. ``tokenizer`` is the path of a tokenizer file, the same on all workers.
     """
+    few_rows_at_once(docs.sparkSession)
     ids = landed(encoded(docs, tokenizer or default_tokenizer()), "pack-ids")
     placed = ids.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
 
@@ -139,13 +141,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             i = None if i is None or i != i else int(i)
             out.append((i, start, len(piece), piece.astype("<u4").tobytes(), total, (part << 40) + seq, offset))
             held += len(piece)
-            if held > 1 << 21:
+            if held > 1 << 20:
                 yield frame().astype({"doc_id": "Int64"})
                 out, held = [], 0
         if out:
             yield frame().astype({"doc_id": "Int64"})
 
-    return placed.select("doc_id", "ids").mapInPandas(run, PIECES)
+    return placed.select("doc_id", "ids").mapInPandas(tidy(run), PIECES)
 
 
 def pieces_digest(pieces: DataFrame) -> DataFrame:

@@ -20,11 +20,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickcast.llm.common import landed, with_row_id, words
+from clickcast.llm.common import few_rows_at_once, landed, sieve, sifted, tidy, with_row_id, words
 
 SEED = 42
 TILE = 8192                # rows of a bucket that one task compares with as many others
@@ -189,10 +190,14 @@ def within(planes, sig, query, block, lanes, radius: int):
     return left, alive
 
 
-def forest(sig: np.ndarray, start: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int) -> np.ndarray:
+def forest(sig: np.ndarray, start: np.ndarray, side: np.ndarray, cross: np.ndarray, radius: int,
+           doubtful: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Root row of each row, for the links among the rows of a bucket (rows sorted by bucket;
-    ``start``: first row of a row's bucket; ``cross``: link only rows of different ``side``)."""
+    ``start``: first row of a row's bucket; ``cross``: link only rows of different ``side``). Pairs
+    beyond ``radius`` but within ``doubtful`` bits link nothing; of those between two roots the closest
+    comes back, as rows (a, b)."""
     n = len(sig)
+    unsure = np.empty((0, 3), np.int64)
     root = np.arange(n)
     row = np.arange(n)
     n_blocks = row // 64 - start // 64 + 1
@@ -214,11 +219,16 @@ def forest(sig: np.ndarray, start: np.ndarray, side: np.ndarray, cross: np.ndarr
             other = np.where(side[q], ~side_bits[block], side_bits[block])
             lanes &= np.where(cross[q], other, FULL)
             on = lanes != 0
-            got, alive = within(planes, sig, q[on], block[on], lanes[on], radius)
+            got, alive = within(planes, sig, q[on], block[on], lanes[on], radius if doubtful is None else doubtful)
             if len(got):
                 bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 k, lane = np.nonzero(bits)
-                a, b = root[q[on][got[k]]], root[block[on][got[k]] * 64 + lane]
+                i, j = q[on][got[k]], block[on][got[k]] * 64 + lane
+                if doubtful is not None:
+                    far = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64)
+                    unsure = closest(np.concatenate([unsure, np.stack([i, j, far], 1)[far > radius]]), root)
+                    i, j = i[far <= radius], j[far <= radius]
+                a, b = root[i], root[j]
                 new = a != b
                 if new.any():
                     pairs = np.unique(np.stack([np.minimum(a[new], b[new]), np.maximum(a[new], b[new])], 1), axis=0)
@@ -239,11 +249,23 @@ def forest(sig: np.ndarray, start: np.ndarray, side: np.ndarray, cross: np.ndarr
                     place = np.minimum(np.searchsorted(moved, root), len(moved) - 1)
                     root = np.where(moved[place] == root, to[place], root)
         first = last
-    return root
+    return root, closest(unsure, root)[:, :2]
 
 
-def _links(batches, radius: int, n_words: int):
-    """Sorted rows (key, a, b, node, side, sig) -> edges (node, node) of a spanning forest."""
+def closest(pairs: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b, distance) of different roots the closest for each two roots."""
+    a, b = root[pairs[:, 0]], root[pairs[:, 1]]
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((pairs[:, 2], hi, lo))
+    order = order[(a != b)[order]]
+    lo, hi = lo[order], hi[order]
+    new = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) if len(order) else np.empty(0, bool)
+    return pairs[order[new]]
+
+
+def _links(batches, radius: int, n_words: int, doubtful: int | None):
+    """Sorted rows (key, a, b, node, side, sig) -> edges (node, node, sure) of a spanning forest, and
+    doubtful pairs between its trees."""
     held = []
 
     def edges(pdf):
@@ -260,13 +282,12 @@ def _links(batches, radius: int, n_words: int):
         start = np.maximum.accumulate(np.where(new, np.arange(len(pdf)), 0))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(-1, n_words)
         node = pdf["node"].to_numpy()
-        root = forest(sig, start, pdf["side"].to_numpy(), (pdf["a"] != pdf["b"]).to_numpy(), radius)
-        linked = root != np.arange(len(root))
-        if not linked.any():
-            return None
-        x, y = node[linked], node[root[linked]]
-        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
-        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
+        root, unsure = forest(sig, start, pdf["side"].to_numpy(), (pdf["a"] != pdf["b"]).to_numpy(), radius, doubtful)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        x, y = node[np.append(linked, unsure[:, 0])], node[np.append(root[linked], unsure[:, 1])]
+        sure = np.arange(len(x)) < len(linked)
+        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y), sure], 1), axis=0)
+        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "sure": both[:, 2] > 0})
 
     for pdf in batches:
         if not len(pdf):
@@ -311,9 +332,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- operator
 
-def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.ndarray, distinct: bool) -> DataFrame:
+def shingle_similarity(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of classes whose texts' sets of ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. A bitmap keeps the texts of other classes out of the shuffle."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = landed(classes.join(nodes, "node", "left_semi").select("node", F.col("least_row").alias("__row")), "near-dup-doubt")
+
+    def hashed(batches):
+        for rb in batches:
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in rb.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rb.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = sifted(docs.select("__row", "text"), sieve(wanted, "__row"), "__row", True).join(wanted, "__row").select("node", "text")
+    sets = landed(texts.mapInArrow(tidy(hashed), "node long, shingles binary"), "near-dup-shingles")
+
+    def alike(batches):
+        for rb in batches:
+            keep = []
+            for a, b in zip(rb.column("a").to_pylist(), rb.column("b").to_pylist()):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common))
+            yield rb.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(tidy(alike), "u long, v long")
+
+
+def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.ndarray, distinct: bool,
+             doubtful: int | None = None, similarity: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, others) -> (doc_id, others, sig, root, component_id): the class that stands
-    for the row's component, and the component's smallest doc_id."""
+    for the row's component, and the component's smallest doc_id. With ``doubtful``, pairs between the
+    two radii are linked if their shingle sets have the ``similarity`` (``docs`` then has ``__row``)."""
+    few_rows_at_once(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + ", sig binary"
 
@@ -330,10 +382,11 @@ def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.n
                 keys = bucket_keys(sig, masks).view(np.int64)
                 yield pd.DataFrame({"key": keys.ravel(), "node": np.tile(p["node"].to_numpy(), len(masks)), "sig": np.tile(p["sig"].to_numpy(), len(masks))})
 
-    signed = landed(docs.mapInPandas(sign, schema), "simhash")
-    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
+    signed = landed(docs.mapInPandas(tidy(sign), schema), "simhash")
+    more = [F.min("__row").alias("least_row")] if "__row" in rest else []
+    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("least_id"), *more)
     classes = landed(classes.withColumn("node", F.monotonically_increasing_id()), "simhash-classes")
-    keyed = classes.select("node", "sig").mapInPandas(tables, "key long, node long, sig binary")
+    keyed = classes.select("node", "sig").mapInPandas(tidy(tables), "key long, node long, sig binary")
     crowded = landed(keyed.groupBy("key").count().filter(F.col("count") > TILE)
                      .select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-crowded")
     n_crowded = crowded.count()
@@ -344,7 +397,11 @@ def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.n
     dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
                          "node", (F.col("own") > F.col("other")).alias("side"), "sig")
     placed = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    edges = placed.mapInPandas(lambda it: _links(it, radius, n_words), "u long, v long")
+    edges = placed.mapInPandas(tidy(lambda it: _links(it, radius, n_words, doubtful)), "u long, v long, sure boolean")
+    if doubtful is not None:
+        edges = landed(edges.distinct(), "near-dup-pairs")
+        unsure = edges.filter("not sure").select("u", "v").join(edges.filter("sure").select("u", "v"), ["u", "v"], "left_anti")
+        edges = edges.filter("sure").select("u", "v").union(shingle_similarity(docs, classes, unsure, width, similarity))
     roots = components(edges)
     rooted = classes.join(roots, "node", "left").select("sig", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -376,18 +433,19 @@ def jaccard_radius(similarity: float, n_bits: int, margin: float = 0.0) -> int:
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: int = 4,
-                       key_bits: int = 16, tables: int = 48, margin: float = 1.0) -> DataFrame:
+                       key_bits: int = 16, tables: int = 48, sure: float = -3.0, doubt: float = 3.0) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest doc_id stays (nulls last;
     of equal ids, one row).
 
-    Links are pairs whose ``64 * n_words``-bit SimHashes over distinct ``width``-word shingles differ in no
-    more bits than a Jaccard similarity of ``similarity`` makes likely, plus ``margin`` standard
-    deviations. Pairs meet if they agree on one of ``tables`` samples of ``key_bits`` bits: at 0.8 that
-    misses 3 %, at 0.9 none in ten thousand. All columns come back. An empty table gives no rows."""
+    Pairs meet if their ``64 * n_words``-bit SimHashes over distinct ``width``-word shingles agree on one of
+    ``tables`` samples of ``key_bits`` bits: at a Jaccard similarity of 0.8 that misses 3 %, at 0.9 none in
+    ten thousand. A pair links if it differs in clearly fewer bits than ``similarity`` makes likely
+    (``sure`` standard deviations); up to ``doubt`` deviations the shingle sets themselves decide, for the
+    closest pair of each two groups. All columns come back. An empty table gives no rows."""
     ids = with_row_id(docs, "near-dup-rows", "__row")
-    masks = sample_masks(n_words, key_bits, tables)
-    radius = jaccard_radius(similarity, 64 * n_words, margin)
-    found = clusters(ids.select("doc_id", "__row", "text"), width, n_words, radius, masks, distinct=True)
+    near, far = (jaccard_radius(similarity, 64 * n_words, m) for m in (sure, doubt))
+    found = clusters(ids.select("doc_id", "__row", "text"), width, n_words, near, sample_masks(n_words, key_bits, tables),
+                     distinct=True, doubtful=far, similarity=similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
     stays = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
     return ids.join(stays, "__row", "left_semi").select(*docs.columns)

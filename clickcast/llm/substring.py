@@ -25,22 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickcast.llm.common import coded_words, landed, with_row_id, words
+from clickcast.llm.common import coded_words, few_rows_at_once, landed, mixed, passes, sieve, sifted, tidy, with_row_id, words
 
 WINDOW = 35               # words of a repeated window
 KMER = 16                 # words of a node; WINDOW - KMER + 1 k-mers begin in a window
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SIEVE_BITS = 26             # 8 MB bitmaps
 ROWS_AT_ONCE = 600         # documents that are hashed together
 
 
-def mixed(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -64,34 +57,6 @@ def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def sieve(keys: DataFrame, key: str, log2_bits: int = SIEVE_BITS) -> Broadcast:
-    """A bitmap of a fixed size (2**log2_bits bits) with the hash of each key's bit set, for all workers.
-    It only spares shuffles: a key that fell on a set bit by chance goes out in the join that follows,
-    and however many keys there are, the bitmap does not grow; it just lets more through."""
-
-    def fold(batches):
-        for rb in batches:
-            at = sieve_places(rb.column(0).to_numpy(), log2_bits)
-            word, inverse = np.unique(at >> 6, return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    got = keys.select(key).mapInArrow(fold, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (log2_bits - 6), np.int64)
-    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(bitmap)
-
-
-def sieve_places(keys: np.ndarray, log2_bits: int) -> np.ndarray:
-    return (mixed(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - log2_bits)).astype(np.int64)
-
-
-def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = sieve_places(keys, len(bitmap).bit_length() - 1 + 6)
-    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
-
-
 class Anchors(NamedTuple):
     doc: np.ndarray      # which text of the batch
     index: np.ndarray    # of the anchor in its text
@@ -139,7 +104,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 h, n = np.unique(anchors_of(rb.column("text").slice(at, ROWS_AT_ONCE)).h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
-    return docs.select("text").mapInArrow(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    return docs.select("text").mapInArrow(tidy(count), "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
 def occurrences(docs: DataFrame, repeated: Broadcast) -> DataFrame:
@@ -156,7 +121,7 @@ def occurrences(docs: DataFrame, repeated: Broadcast) -> DataFrame:
                     [pa.array(ids[at:][x.doc]), pa.array(x.h.view(np.int64)), pa.array((x.index << 32) | x.place),
                      pa.array((x.first << 32) | x.count), pa.array(x.edge.view(np.int64))], ["row_id", "h", "place", "windows", "edge"])
 
-    return docs.select("row_id", "text").mapInArrow(run, "row_id long, h long, place long, windows long, edge long")
+    return docs.select("row_id", "text").mapInArrow(tidy(run), "row_id long, h long, place long, windows long, edge long")
 
 
 def compact_paths(occ: DataFrame) -> DataFrame:
@@ -187,16 +152,6 @@ def window_digests(line: bytes, at: list[int], first: int, stop: int, window: in
     return [xxhash.xxh128_digest(line[a:b - 1]) for a, b in zip(at[first:stop], at[first + window:stop + window])]
 
 
-def sifted(docs: DataFrame, rows: Broadcast, column: str, inside: bool) -> DataFrame:
-    """The documents whose row ids pass the sieve, or the others."""
-
-    def run(batches):
-        for rb in batches:
-            yield rb.filter(pa.array(passes(rows.value, rb.column(column).to_numpy()) == inside))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def spelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(row_id, start, stop, digest, windows, kind) of the documents that have repeated anchors. Kind 0:
     a verified path's span. Kind 1: a stretch of neighbouring windows in no verified path, the digest
@@ -231,7 +186,7 @@ def spelled_windows(docs: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_id", "start", "stop", "digest", "windows", "kind"])
 
     return docs.select("row_id", "text").join(known, "row_id").mapInArrow(
-        run, "row_id long, start int, stop int, digest binary, windows array<binary>, kind int")
+        tidy(run), "row_id long, start int, stop int, digest binary, windows array<binary>, kind int")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, Broadcast]:
@@ -284,6 +239,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Null, empty and short texts have no window and stay. Repeated rows count as further occurrences,
     so both lose their windows. Ids may be null or repeat; an empty table gives no rows."""
+    few_rows_at_once(docs.sparkSession)
     ids = with_row_id(docs, "substring-rows", "__row")
     spans, rows = repeated_spans(ids.select(F.col("__row").alias("row_id"), "text"))
     joined = sifted(ids, rows, "__row", True).join(spans.select(F.col("row_id").alias("__row"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "__row", "left").drop("__row")
@@ -314,7 +270,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         cols = [pa.array(texts, pa.string()) if c == "text" else rb.column(c) for c in names]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words__", "n_removed__"])
 
-    return joined.mapInArrow(strip, schema).unionByName(ids.mapInArrow(outside, schema))
+    return joined.mapInArrow(tidy(strip), schema).unionByName(ids.mapInArrow(tidy(outside), schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickcast.llm.common import landed
+from clickcast.llm.common import few_rows_at_once, landed, tidy
 
 MAX_LABELLED = 20_000     # labelled training rows that the lexicon and the curve are fitted to, at most
 MAX_TERMS = 2_000         # terms of the lexicon, at most
@@ -145,7 +145,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
                     seen.setdefault(t, [0, 0])[int(toxic > 0)] += 1
             yield pd.DataFrame([(t, a, b) for t, (a, b) in seen.items()], columns=["term", "clean", "toxic"])
 
-    sums = train.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(
+    sums = train.mapInPandas(tidy(count), "term string, clean long, toxic long").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     precise = sums.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
     share = train.agg(F.avg((F.col("toxic") > 0).cast("int")).alias("p"))
@@ -196,6 +196,7 @@ class Model(NamedTuple):
 
 
 def train_model(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
+    few_rows_at_once(docs.sparkSession)
     # copies of one text are one observation; the bounded table is read several times
     rows = landed(labelled(docs, labels, limit).dropDuplicates(), "toxic-train")
     lexicon = learn_lexicon(rows)
@@ -208,7 +209,7 @@ def train_model(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -
 
     schema = ", ".join(f"f{k} double" for k in range(N_FEATURES)) + ", y double"
     # bounded: a few numbers for each text of at most MAX_LABELLED ids
-    got = np.array([tuple(r) for r in rows.mapInPandas(measure, schema).collect()], float).reshape(-1, N_FEATURES + 1)
+    got = np.array([tuple(r) for r in rows.mapInPandas(tidy(measure), schema).collect()], float).reshape(-1, N_FEATURES + 1)
     return Model(lexicon, fit_curve(got[:, :-1], got[:, -1]))
 
 
@@ -225,7 +226,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
             z = model.curve[0] + x @ model.curve[1:]
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

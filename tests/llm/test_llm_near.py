@@ -76,9 +76,18 @@ def test_bit_sliced_forest_against_brute_force():
         group = np.sort(rng.integers(0, 6, n))
         start = np.searchsorted(group, group)
         side, cross = rng.random(n) < 0.5, group % 2 == 1
-        root = simhash.forest(sig, start, side, cross, radius)
+        root, unsure = simhash.forest(sig, start, side, cross, radius)
+        assert not len(unsure)
         want = brute_roots(sig, group, side, cross, radius)
         assert len({*zip(root.tolist(), want)}) == len(set(root.tolist())) == len(set(want))
+        same, unsure = simhash.forest(sig, start, side, cross, radius, radius + 6)
+        assert (same == root).all()
+        wider = brute_roots(sig, group, side, cross, radius + 6)
+        for a, b in unsure.tolist():  # doubtful pairs join different trees, and with them all wider links are covered
+            assert same[a] != same[b] and radius < int(np.bitwise_count(sig[a] ^ sig[b]).sum()) <= radius + 6
+            x, y = sorted((root[a], root[b]))
+            root = np.where(root == y, x, root)
+        assert len({*zip(root.tolist(), wider)}) == len(set(wider))
 
 
 def test_oversized_buckets_are_tiled_without_losing_links(spark, monkeypatch):
