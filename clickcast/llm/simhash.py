@@ -401,7 +401,13 @@ def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.n
     if doubtful is not None:
         edges = landed(edges.distinct(), "near-dup-pairs")
         unsure = edges.filter("not sure").select("u", "v").join(edges.filter("sure").select("u", "v"), ["u", "v"], "left_anti")
-        edges = edges.filter("sure").select("u", "v").union(shingle_similarity(docs, classes, unsure, width, similarity))
+        # a doubt between two classes that clear links already join, in whatever table, is settled
+        clear = edges.filter("sure").select("u", "v")
+        trees = landed(components(clear), "near-dup-trees")
+        unsure = unsure.join(trees.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(
+            trees.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").filter(
+            F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+        edges = clear.union(shingle_similarity(docs, classes, unsure, width, similarity))
     roots = components(edges)
     rooted = classes.join(roots, "node", "left").select("sig", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -433,7 +439,7 @@ def jaccard_radius(similarity: float, n_bits: int, margin: float = 0.0) -> int:
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: int = 4,
-                       key_bits: int = 16, tables: int = 48, sure: float = -3.0, doubt: float = 3.0) -> DataFrame:
+                       key_bits: int = 16, tables: int = 48, sure: float = -2.0, doubt: float = 3.0) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest doc_id stays (nulls last;
     of equal ids, one row).
 
