@@ -29,6 +29,8 @@ from clickcast.llm.common import few_rows_at_once, landed, sieve, sifted, tidy,
 
 SEED = 42
 TILE = 8192                # rows of a bucket that one task compares with as many others
+GROUP_ROWS = 1024          # texts of a group of near copies that one task compares with as many others,
+GROUP_CHARS = 1 << 23      # and their characters
 SHINGLES_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE = 1 << 15
 BROADCAST_ROWS = 200_000   # oversized buckets: at most (rows / TILE) of them, 16 bytes each
@@ -263,9 +265,8 @@ def closest(pairs: np.ndarray, root: np.ndarray) -> np.ndarray:
     return pairs[order[new]]
 
 
-def _links(batches, radius: int, n_words: int, doubtful: int | None):
-    """Sorted rows (key, a, b, node, side, sig) -> edges (node, node, sure) of a spanning forest, and
-    doubtful pairs between its trees."""
+def _links(batches, radius: int, n_words: int):
+    """Sorted rows (key, a, b, node, side, sig) -> edges (node, node) of a spanning forest."""
     held = []
 
     def edges(pdf):
@@ -282,12 +283,11 @@ def _links(batches, radius: int, n_words: int, doubtful: int | None):
         start = np.maximum.accumulate(np.where(new, np.arange(len(pdf)), 0))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(-1, n_words)
         node = pdf["node"].to_numpy()
-        root, unsure = forest(sig, start, pdf["side"].to_numpy(), (pdf["a"] != pdf["b"]).to_numpy(), radius, doubtful)
+        root, _ = forest(sig, start, pdf["side"].to_numpy(), (pdf["a"] != pdf["b"]).to_numpy(), radius)
         linked = np.flatnonzero(root != np.arange(len(root)))
-        x, y = node[np.append(linked, unsure[:, 0])], node[np.append(root[linked], unsure[:, 1])]
-        sure = np.arange(len(x)) < len(linked)
-        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y), sure], 1), axis=0)
-        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "sure": both[:, 2] > 0})
+        x, y = node[linked], node[root[linked]]
+        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
+        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
 
     for pdf in batches:
         if not len(pdf):
@@ -332,39 +332,95 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- operator
 
-def shingle_similarity(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of classes whose texts' sets of ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more. A bitmap keeps the texts of other classes out of the shuffle."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = landed(classes.join(nodes, "node", "left_semi").select("node", F.col("least_row").alias("__row")), "near-dup-doubt")
-
-    def hashed(batches):
-        for rb in batches:
-            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in rb.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    texts = sifted(docs.select("__row", "text"), sieve(wanted, "__row"), "__row", True).join(wanted, "__row").select("node", "text")
-    sets = landed(texts.mapInArrow(tidy(hashed), "node long, shingles binary"), "near-dup-shingles")
-
-    def alike(batches):
-        for rb in batches:
-            keep = []
-            for a, b in zip(rb.column("a").to_pylist(), rb.column("b").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common))
-            yield rb.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
-
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(tidy(alike), "u long, v long")
+def similar(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, cross: bool, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Rows (i, j) of a spanning forest of the links among the rows of a tile: pairs within ``radius`` bits
+    (``cross``: of different ``side``) whose sets have a Jaccard similarity of ``similarity`` or more.
+    Every such pair is compared, unless links found before join its rows already."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(distinct), bool)
+    root = np.arange(len(sig))
+    links = []
+
+    def test(i, j):
+        """Links row ``i`` to the rows ``j`` that are similar."""
+        n = sizes[j]
+        first = np.cumsum(n) - n
+        common = np.add.reduceat(own[code[np.repeat(starts[j] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        for k in j[common >= similarity * (n + sizes[i] - common)].tolist():
+            if root[k] != root[i]:
+                links.append((i, k))
+                root[root == root[k]] = root[i]
+
+    for i in range(1, len(sig)):
+        far = np.bitwise_count(sig[:i] ^ sig[i]).sum(1, dtype=np.int64)
+        j = np.flatnonzero((far <= radius) & (np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])) & (sizes[:i] > 0))
+        if cross:
+            j = j[side[j] != side[i]]
+        if not len(j):
+            continue
+        mine = code[starts[i]:starts[i] + sizes[i]]
+        own[mine] = True
+        j = j[np.argsort(far[j], kind="stable")]
+        closest_of_trees = np.unique(root[j], return_index=True)[1]  # mostly decides about the others
+        test(i, j[closest_of_trees])
+        j = np.delete(j, closest_of_trees)
+        j = j[root[j] != root[i]]
+        if len(j):
+            test(i, j)
+        own[mine] = False
+    return links
+
+
+def _similar(batches, width: int, radius: int, similarity: float):
+    """Sorted rows (group, a, b, node, side, sig, text) -> edges (node, node) of a spanning forest."""
+    rows = (row for rb in batches for row in zip(*(rb.column(c).to_pylist() for c in ("group", "a", "b", "node", "side", "sig", "text"))))
+    edges = []
+    for (_, a, b), tile in itertools.groupby(rows, lambda row: row[:3]):
+        own = [(node, side, sig, np.unique(shingle_hashes(text, width))) for *_, node, side, sig, text in tile]
+        if len(own) > 1:
+            node, side, sig, sets = zip(*own)
+            sig = np.frombuffer(b"".join(sig), np.uint64).reshape(len(own), -1)
+            edges += [(node[i], node[j]) for i, j in similar(sig, sets, np.array(side), a != b, radius, similarity)]
+        if len(edges) >= TILE:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["u", "v"])
+            edges = []
+    if edges:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["u", "v"])
+
+
+def tiled(rows: DataFrame, key: str, crowded: DataFrame, own) -> DataFrame:
+    """``rows`` with the tiles (a, b) that each meets others in, and its ``side`` there; ``crowded`` (key,
+    tiles) are the keys with more than one tile, ``own`` a hash that deals rows out to them."""
+    n_crowded = crowded.count()
+    side = crowded if n_crowded > BROADCAST_ROWS else F.broadcast(crowded)
+    dealt = rows.join(side, key, "left") if n_crowded else rows.withColumn("tiles", F.lit(None).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(own, F.coalesce("tiles", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    dealt = dealt.select(key, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                         (F.col("own") > F.col("other")).alias("side"), *(c for c in rows.columns if c != key))
+    return dealt.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that join the classes of each group (node, root) whose texts' sets of ``width``-word
+    shingles have a Jaccard similarity of ``similarity`` or more, among pairs within ``radius`` bits. A
+    group's texts meet in tiles. A bitmap keeps the texts of other classes out of the shuffle."""
+    wanted = landed(classes.join(groups, "node").select("node", F.col("root").alias("group"), "sig", F.col("least_row").alias("__row")), "near-dup-groups")
+    texts = sifted(docs.select("__row", "text"), sieve(wanted, "__row"), "__row", True).join(wanted, "__row")
+    texts = landed(texts.select("group", "node", "sig", "text"), "near-dup-texts")
+    tiles = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum(F.length("text")) / GROUP_CHARS)).cast("int")
+    crowded = landed(texts.groupBy("group").agg(tiles.alias("tiles")).filter("tiles > 1"), "near-dup-crowded")
+    placed = tiled(texts, "group", crowded, F.xxhash64("node"))
+    return placed.mapInArrow(tidy(lambda it: _similar(it, width, radius, similarity)), "u long, v long")
 
 
 def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.ndarray, distinct: bool,
-             doubtful: int | None = None, similarity: float | None = None) -> DataFrame:
+             similarity: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, others) -> (doc_id, others, sig, root, component_id): the class that stands
-    for the row's component, and the component's smallest doc_id. With ``doubtful``, pairs between the
-    two radii are linked if their shingle sets have the ``similarity`` (``docs`` then has ``__row``)."""
+    for the row's component, and the component's smallest doc_id. With ``similarity``, links by bits only
+    say which classes are compared; those link whose shingle sets have it (``docs`` then has ``__row``)."""
     few_rows_at_once(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + ", sig binary"
@@ -389,25 +445,10 @@ def clusters(docs: DataFrame, width: int, n_words: int, radius: int, masks: np.n
     keyed = classes.select("node", "sig").mapInPandas(tidy(tables), "key long, node long, sig binary")
     crowded = landed(keyed.groupBy("key").count().filter(F.col("count") > TILE)
                      .select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "simhash-crowded")
-    n_crowded = crowded.count()
-    side = crowded if n_crowded > BROADCAST_ROWS else F.broadcast(crowded)
-    dealt = keyed.join(side, "key", "left") if n_crowded else keyed.withColumn("tiles", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("sig"), F.coalesce("tiles", F.lit(1))).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
-                         "node", (F.col("own") > F.col("other")).alias("side"), "sig")
-    placed = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    edges = placed.mapInPandas(tidy(lambda it: _links(it, radius, n_words, doubtful)), "u long, v long, sure boolean")
-    if doubtful is not None:
-        edges = landed(edges.distinct(), "near-dup-pairs")
-        unsure = edges.filter("not sure").select("u", "v").join(edges.filter("sure").select("u", "v"), ["u", "v"], "left_anti")
-        # a doubt between two classes that clear links already join, in whatever table, is settled
-        clear = edges.filter("sure").select("u", "v")
-        trees = landed(components(clear), "near-dup-trees")
-        unsure = unsure.join(trees.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(
-            trees.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").filter(
-            F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-        edges = clear.union(shingle_similarity(docs, classes, unsure, width, similarity))
+    placed = tiled(keyed, "key", crowded, F.xxhash64("sig"))
+    edges = placed.mapInPandas(tidy(lambda it: _links(it, radius, n_words)), "u long, v long")
+    if similarity is not None:
+        edges = similar_links(docs, classes, landed(components(edges), "near-dup-trees"), width, radius, similarity)
     roots = components(edges)
     rooted = classes.join(roots, "node", "left").select("sig", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -439,19 +480,19 @@ def jaccard_radius(similarity: float, n_bits: int, margin: float = 0.0) -> int:
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_words: int = 4,
-                       key_bits: int = 16, tables: int = 48, sure: float = -2.0, doubt: float = 3.0) -> DataFrame:
+                       key_bits: int = 16, tables: int = 48, doubt: float = 3.0) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest doc_id stays (nulls last;
     of equal ids, one row).
 
     Pairs meet if their ``64 * n_words``-bit SimHashes over distinct ``width``-word shingles agree on one of
     ``tables`` samples of ``key_bits`` bits: at a Jaccard similarity of 0.8 that misses 3 %, at 0.9 none in
-    ten thousand. A pair links if it differs in clearly fewer bits than ``similarity`` makes likely
-    (``sure`` standard deviations); up to ``doubt`` deviations the shingle sets themselves decide, for the
-    closest pair of each two groups. All columns come back. An empty table gives no rows."""
+    ten thousand. Pairs in up to ``doubt`` standard deviations more bits than ``similarity`` makes likely
+    form groups; in a group, every pair within these bits links if its shingle sets have the ``similarity``,
+    and none by bits alone. All columns come back. An empty table gives no rows."""
     ids = with_row_id(docs, "near-dup-rows", "__row")
-    near, far = (jaccard_radius(similarity, 64 * n_words, m) for m in (sure, doubt))
-    found = clusters(ids.select("doc_id", "__row", "text"), width, n_words, near, sample_masks(n_words, key_bits, tables),
-                     distinct=True, doubtful=far, similarity=similarity)
+    far = jaccard_radius(similarity, 64 * n_words, doubt)
+    found = clusters(ids.select("doc_id", "__row", "text"), width, n_words, far, sample_masks(n_words, key_bits, tables),
+                     distinct=True, similarity=similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
     stays = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
     return ids.join(stays, "__row", "left_semi").select(*docs.columns)

@@ -130,6 +130,40 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert simhash.distinct_documents(docs(spark, [])).count() == 0
 
 
+def brute_distinct(rows, similarity=0.8, width=5):
+    """The smallest id of each component of the pairs whose shingle sets are similar."""
+    sets = []
+    for _, t, *_ in rows:
+        w = t.split()
+        sets.append({tuple(w[p:p + width]) for p in range(len(w) - width + 1)})
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    return sorted(rows[k][0] for k in set(label))
+
+
+def replaced(rng, base, places):
+    out = list(base)
+    for p in places:
+        out[p] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def test_documents_of_a_template_below_the_similarity_all_stay(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(605)]
+    rows = [(k, " ".join(replaced(rng, base, rng.sample(range(5, 600, 10), 9))), "en", "a", 1) for k in range(150)]
+    want = brute_distinct(rows)
+    assert len(want) > 110
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs(spark, rows)).collect()) == want
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 32)  # the group in tiles
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs(spark, rows)).collect()) == want
+
+
 def brute_substring(rows, window=35):
     seen = Counter()
     ws = [WORDS.findall(t or "") for _, t in rows]
