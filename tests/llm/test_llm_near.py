@@ -164,6 +164,17 @@ def test_documents_of_a_template_below_the_similarity_all_stay(spark, monkeypatc
     assert sorted(r.doc_id for r in simhash.distinct_documents(docs(spark, rows)).collect()) == want
 
 
+def test_groups_link_by_any_pair_around_the_similarity(spark):
+    rng, rows = random.Random(3), []
+    for g in range(12):
+        base = [f"g{g}v{rng.randrange(10**6)}" for _ in range(405)]
+        for side in (base, replaced(rng, base, range(5, 85, 10))):
+            rows += [(len(rows) + k, " ".join(replaced(rng, side, rng.sample(range(85, 400, 10), rng.randrange(4)))), "en", "a", 1) for k in range(6)]
+    want = brute_distinct(rows)
+    assert 12 < len(want) < 24  # some of the two groups link, some do not
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs(spark, rows)).collect()) == want
+
+
 def brute_substring(rows, window=35):
     seen = Counter()
     ws = [WORDS.findall(t or "") for _, t in rows]
