@@ -73,6 +73,14 @@ def test_lm_gradient_is_the_slope():
         assert g[name][at] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-5), name
 
 
+def test_lm_trains_on_all_training_documents(spark, monkeypatch):
+    rows = [(i, f"a word w{i % 50}", "en", "a", 1) for i in range(3000)]
+    seen, own_classes = [], lm.own_classes
+    monkeypatch.setattr(lm, "own_classes", lambda counts: seen.append(counts[lm.END]) or own_classes(counts))
+    got = lm.score(docs(spark, rows)).collect()
+    assert len(got) == 3000 and seen == [sum(not r.held_out for r in got)]
+
+
 def brute_kn(texts):
     """Interpolated modified Kneser-Ney as in the papers, by dictionaries."""
     n_max = kneser_ney.ORDER
