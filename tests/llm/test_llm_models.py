@@ -141,6 +141,20 @@ def test_quality_classifier_tells_junk_from_clean_text(spark):
     assert sum(got[i] for i in range(300, 600) if i % 10) >= 0.98 * 270
 
 
+def test_rare_language_keeps_its_own_threshold_under_many_labels(spark):
+    rng = random.Random(4)
+    text = lambda syl: " ".join("".join(rng.choice(syl) for _ in range(rng.randrange(1, 4))) for _ in range(30))
+    main, rare = "ka lo mi ten ra shu ve nor".split(), "ö ßa żu éh ïw ñy çx ûq ðj þz".split()
+    rows = [(i, text(rare if i < 200 else main), "xx" if i < 200 else "en", "a", 1) for i in range(600)]
+    lab = spark.range(400_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    got = kneser_ney.quality_filter(docs(spark, rows), lab).collect()
+    for lang in ("xx", "en"):
+        held = [r.perplexity for r in got if r.lang == lang and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+        assert len(held) >= kneser_ney.LEAST_DOCS
+        want = sorted(held)[math.ceil(kneser_ney.QUANTILE * len(held)) - 1] * kneser_ney.SLACK
+        assert [r.threshold for r in got if r.lang == lang] == pytest.approx([want] * (200 if lang == "xx" else 400))
+
+
 def test_clauses_rise_with_a_target_and_fall_with_negation_and_reports():
     weight = {"idiot": 1.0}.get
     run = lambda t: sum(toxicity.clause_scores(toxicity.tokens(t), lambda x: weight(x, 0.0)))
