@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickcast.session import ensure_checkpoint_dir, shared_dir
@@ -59,6 +60,15 @@ def few_rows_at_once(spark: SparkSession, rows: int = 1500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def few_bytes_at_once(spark: SparkSession, size: int = 1 << 25) -> None:
+    """Lower the session's Arrow batches to ``size`` bytes, for rows that hold whole blocks. Only ever
+    lowers the setting; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = int(spark.conf.get(name, None) or 0)
+    if set_to <= 0 or set_to > size:
+        spark.conf.set(name, str(size))
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost
     executors, and fixes generated row ids. The folder goes when the driver's JVM ends."""
@@ -71,14 +81,28 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str, column: str = "row_id") -> DataFrame:
-    """Add a row id, unique per row even among equal rows. A scan deals its rows out the same
-    way each time it is read, so there the generated id is stable; behind a shuffle it is not,
-    so such a table is landed with its ids first."""
-    out = df.withColumn(column, F.monotonically_increasing_id())
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return landed(out, name)
-    return out
+    """Add a row id, unique per row even among equal rows, that stays the same however often and on
+    however many cores the table is read: the number of the row's file in the order of all paths, and
+    the row's place in the file. The files are counted from their names, one row each, which the driver
+    lists to plan the scan anyway. A table that is no plain scan of Parquet files is landed first."""
+    path, at, number = (free_name(df, c) for c in ("file_path", "file_row", "file_no"))
+    try:
+        meta = df.metadataColumn("_metadata")
+        rows = df.select("*", meta.getField("file_path").alias(path), meta.getField("row_index").alias(at))
+    except AnalysisException:
+        return landed(df.withColumn(column, F.monotonically_increasing_id()), name)
+    order = Window.orderBy(path)
+    files = landed(rows.select(path).distinct().withColumn(number, F.row_number().over(order).cast("long")), f"{name}-files")
+    return rows.join(F.broadcast(files), path).withColumn(column, F.shiftleft(number, 36).bitwiseOR(F.col(at))).select(*df.columns, column)
 
 
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -70,3 +70,58 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
     not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and c10 <= 0.2 * n_words and c101 = 0 as kept from base
 """
+
+ORACLE["op11_secret_scan"] = r"""
+with d as (select row_number() over () as n, doc_id, coalesce(text, '') as text from documents),
+rules(no, kind, rx, grp, least) as (values
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  (1, 'access', '()()AKIA[A-Z0-9]+', 0, 18), (2, 'hex', '()()[0-9a-f]+', 0, 16),
+  (3, 'private', '()()-----BEGIN [A-Z ]*PRIVATE KEY[A-Z ]*-----', 0, 1),
+  (4, 'jwt', '()()eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 0, 1),
+  (5, 'forge', '()()gh[opsu]_[A-Za-z0-9]{36,}', 0, 1), (6, 'chat', '()()xox[abprs]-[A-Za-z0-9-]{20,}', 0, 1),
+  (7, 'cloud', '()()AIza[A-Za-z0-9_-]{35}', 0, 1), (8, 'payment', '()()[rs]k_live_[A-Za-z0-9]{20,}', 0, 1),
+  (9, 'login', '()()://[A-Za-z0-9._%+-]+:[^\x20\x09-\x0D:@/]{6,}@', 0, 1)),
+m as (select n, no, kind, least, unnest(regexp_split_to_array(text, rx)) as gap, unnest(regexp_extract_all(text, rx, 0)) as hit,
+    unnest(case when grp = 2 then regexp_extract_all(text, rx, 2) else regexp_extract_all(text, rx, 0) end) as val,
+    unnest(generate_series(1, len(regexp_split_to_array(text, rx)))) as i from d, rules),
+placed as (select *, sum(length(gap) + length(hit)) over (partition by n, no order by i) as e from m where hit is not null),
+s as (select n, no, kind, (e - length(hit))::bigint as b, e::bigint as e from placed where length(val) >= least),
+l as (select n, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access, count(*) filter (no = 2) as n_hex,
+    string_agg(kind || ':' || b || ':' || e, ',' order by b, no) filter (no < 3) as base, string_agg(kind || ':' || b || ':' || e, ',' order by b, no) as spans from s group by n)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join l using (n)
+"""
+
+ORACLE["op12_phrase_collocations"] = r"""
+with t as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+pc as (select d, lang, row_number() over () as p, piece from (select d, lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) as piece from t)),
+ws as (select lang, p, regexp_extract_all(piece, '[^\x20\x09]+') as w from pc),
+tot as (select lang, sum(len(w))::bigint as n from ws group by lang),
+g as (select lang, k, gram, count(*)::bigint as f from (
+    select lang, k, list_slice(w, i, i + k - 1) as gram from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from ws, (values (1), (2), (3), (4), (5)) as s(k) where len(w) >= k))
+    group by lang, k, gram having count(*) >= 100),
+cuts as (select g.lang, g.gram, g.k, g.f as a, c, x.f as l, y.f as r, n, (1000::hugeint * g.f * n) // (x.f::hugeint * y.f) as score
+    from (select *, unnest(generate_series(1, k - 1)) as c from g where k > 1) g join tot using (lang)
+    join g x on x.lang = g.lang and x.gram = list_slice(g.gram, 1, c) join g y on y.lang = g.lang and y.gram = list_slice(g.gram, c + 1, g.k)),
+weak as (select * from cuts qualify row_number() over (partition by lang, gram order by score, c) = 1),
+inside as (select distinct lang, list_slice(gram, i, i + m - 1) as gram, f from (
+    select lang, gram, f, m, unnest(generate_series(1, k - m + 1)) as i from (select lang, gram, f, k, unnest(generate_series(2, k - 1)) as m from g where k > 2))),
+kept as (select * from weak where not exists (select 1 from inside where inside.lang = weak.lang and inside.gram = weak.gram and 100 * inside.f >= 100 * weak.a)),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(gram, ' ')) as rank,
+    array_to_string(gram, ' ') as phrase, a, l, r, n, score::bigint as score from kept)
+select * from ranked where rank <= 2000
+"""
+
+# Integer components are exact as doubles, and so are their products here.
+ORACLE["op13_hard_negatives"] = r"""
+with e as (select row_number() over () as n, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double) for x in embedding] as v from embeddings
+    where label is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+a as (select * from e where vec_id % 100 = 0),
+s as (select a.n as an, a.vec_id as anchor_id, e.n as cn, e.vec_id, a.label = e.label as same, list_inner_product(a.v, e.v)::bigint as score from a, e where a.n <> e.n),
+p as (select an, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by an order by score desc, vec_id) as k from s where same qualify k <= 5),
+w as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+    (row_number() over (partition by p.an, p.k order by s.score desc, s.vec_id))::int as rank
+    from p join s on p.an = s.an and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score qualify rank <= 10)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from w
+"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from clickcast.llm import fingerprints, kneser_ney, lm, mixing, packing, quality_rules, simhash, substring, toxicity, url_filter
+from clickcast.llm import (collocations, fingerprints, hard_negatives, kneser_ney, lm, mixing, packing, quality_rules, secret_scan, simhash,
+                           substring, toxicity, url_filter)
 from clickcast.llm.common import table
 
 
@@ -47,6 +48,20 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    mined = hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchors="vec_id % 100 = 0",
+                                relabel="if(vec_id % 7 = 0, (label + 1) % 10, label)", positives=5, negatives=10, low=30, high=90)
+    return mined.drop("anchor_row")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -58,4 +73,7 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
