@@ -29,13 +29,13 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 ABSORB = 100             # per cent of a phrase's count that a longer one must reach to absorb it
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 24
 HELD = 1 << 21           # n-grams a task holds before it merges them and sends them out
 RANGE_WORDS = 1 << 21    # words of the corpus per range of quotients
 BREAKS = r"[.,;:!?\x0A-\x0D]+"
 BREAK = "."              # cannot be a word: it is cut out of all of them
 
-BLOCKS = "lang string, words array<string>, counts array<long>, codes binary"
+BLOCKS = "lang string, words array<string>, counts array<long>, n_codes int, codes binary"
 FILTERS = "lang string, section long, entries int, sub int, runs binary, rests binary, counters binary, spilled binary"
 
 
@@ -57,6 +57,16 @@ def coded_block(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return seen.filter(pa.array(is_word)), np.bincount(codes, minlength=is_word.sum() + 1)[1:], codes
 
 
+def squeezed(codes: np.ndarray, n_words: int) -> bytes:
+    """Codes in two bytes where they fit, compressed: blocks meet their ids in a shuffle."""
+    return pa.compress(codes.astype("<u2" if n_words < 1 << 16 else "<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, n_codes: int, n_words: int) -> np.ndarray:
+    kind = np.dtype("<u2" if n_words < 1 << 16 else "<u4")
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n_codes * kind.itemsize, codec="zstd"), kind)
+
+
 def word_blocks(docs: DataFrame) -> DataFrame:
     """Texts by language in blocks of about ``BLOCK_CHARS`` bytes; a text is never cut."""
 
@@ -69,8 +79,8 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                 if len(words):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]), pa.array([words], pa.list_(pa.large_string())).cast(pa.list_(pa.string())),
-                         pa.array([counts], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary())],
-                        ["lang", "words", "counts", "codes"])
+                         pa.array([counts], pa.list_(pa.int64())), pa.array([len(codes)], pa.int32()), pa.array([squeezed(codes, len(words))], pa.binary())],
+                        ["lang", "words", "counts", "n_codes", "codes"])
 
         for rb in batches:
             text, langs = rb.column("text").cast(pa.large_string()), rb.column("lang").dictionary_encode()
@@ -112,21 +122,22 @@ def dense_ids(rows: DataFrame, name: str, column: str) -> DataFrame:
 def encoded_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     """(lang, ids binary): the blocks with vocabulary ids (uint32); 0 for a break or a rare word."""
     own = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
-    known = own.join(ids, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("pos", "id")).alias("known"))
+    there = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))  # collect_list passes over nulls
+    known = own.join(ids, ["lang", "word"], "left").groupBy("block").agg(F.collect_list(there).alias("known"))
 
     def run(batches):
         for rb in batches:
             out = []
-            for codes, size, known in zip(rb.column("codes"), rb.column("size").to_pylist(), rb.column("known")):
+            for codes, n_codes, size, known in zip(rb.column("codes"), rb.column("n_codes").to_pylist(), rb.column("size").to_pylist(), rb.column("known")):
                 table, known = np.zeros(size + 1, "<u4"), known.values
                 table[known.field("pos").to_numpy() + 1] = known.field("id").to_numpy()
-                got = table[np.frombuffer(codes.as_buffer(), "<u4")]
+                got = table[unsqueezed(codes.as_buffer(), n_codes, size)]
                 there = (got != 0) | (np.concatenate(([1], got[:-1])) != 0)  # one 0 is as good as many
                 out.append(got[there].tobytes())
             yield pa.RecordBatch.from_arrays([rb.column("lang"), pa.array(out, pa.binary())], ["lang", "ids"])
 
-    joined = blocks.select("block", "lang", "codes", F.size("words").alias("size")).join(known, "block")
-    return joined.select("lang", "codes", "size", "known").mapInArrow(tidy(run), "lang string, ids binary")
+    joined = blocks.select("block", "lang", "n_codes", "codes", F.size("words").alias("size")).join(known, "block")
+    return joined.select("lang", "n_codes", "codes", "size", "known").mapInArrow(tidy(run), "lang string, ids binary")
 
 
 # ---------------------------------------------------------------- quotient filters
