@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickcast.llm.common import few_rows_at_once, landed, sieve, sifted, tidy, with_row_id, words
+from clickcast.llm.common import few_rows_at_once, free_name, landed, sieve, sifted, tidy, with_row_id, words
 
 SEED = 42
 TILE = 8192                # rows of a bucket that one task compares with as many others
@@ -467,6 +467,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, blocks: in
     return found.select("doc_id", F.lower(F.hex(_big_endian("sig"))).alias("fingerprint"), "component_id")
 
 
+def one_of_each_group(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps: of each component the one with the smallest
+    doc_id (nulls last; of equal ids, one row). All columns come back, whatever their names.
+
+    Texts without words, null ones included, share fingerprint zero, so one of them stays. Equal rows
+    are one group. An empty table gives no rows."""
+    row = free_name(docs, "row_id")
+    ids = with_row_id(docs, "near-dup-rows", row)
+    found = clusters(ids.select("doc_id", F.col(row).alias("__row"), "text"), width, 1, radius, block_masks(radius, blocks), distinct=False)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    stays = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias(row))
+    return ids.join(stays, row, "left_semi").select(*docs.columns)
+
+
 def _big_endian(name: str):
     """Signatures are stored little-endian; hex digits are written from the highest byte."""
     return F.concat(*(F.substring(F.col(name), k, 1) for k in range(8, 0, -1)))

@@ -260,3 +260,16 @@ def test_fingerprints_tell_texts_apart_and_locate_edits():
     gone, new = fingerprints.edits(a, b)
     assert gone and new and set(new) <= set(fingerprints.leaves(lines[20]))
     assert fingerprints.likeness(a, f(PASSAGE)) < 0.1 and fingerprints.likeness(f(""), f("")) == 1.0
+
+
+def test_one_of_each_group_equals_components(spark):
+    """The pipeline's stage: per component of the operator's own links, the least id; whole rows."""
+    d = docs(spark).selectExpr("*", "1 as __row", "'x' as component_id")
+    out = simhash.one_of_each_group(d)
+    want = {r.component_id for r in simhash.near_duplicates(docs(spark)).collect()}
+    assert out.columns == d.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+    small = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {r.component_id for r in simhash.near_duplicates(small).collect()}
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(small).collect()) == sorted(want)
+    assert simhash.one_of_each_group(docs(spark, [])).count() == 0
