@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return simhash.distinct_documents(docs)
+    """One document of each group that SimHash near-dedup links (four-word shingles, 4 bits or fewer).
+    Texts without words share a fingerprint, so one of them stays."""
+    return simhash.one_of_each_group(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
