@@ -11,6 +11,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import (blank_to_null, customer_key, id_type, is_present,
                                parse_event_time, positive_long)
@@ -43,17 +44,32 @@ def decode_events(raw: DataFrame) -> DataFrame:
     return parsed.select("e.*", "kafka_topic").drop("topic").withColumnRenamed("kafka_topic", "topic")
 
 
-def key_events(df: DataFrame) -> DataFrame:
-    """Add event_time/event_date, customer_key and id_type; drop rows without any key.
-    Blank user ids and refund order ids are normalised to NULL."""
+def decode_messages(raw: DataFrame) -> DataFrame:
+    """Like ``decode_events``, with the message itself (``raw_value``) and ``broken``, which says that it
+    does not follow the schema. Nothing is dropped."""
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    value = F.col("value").cast("string")
+    e = F.from_json(value, schema, {"columnNameOfCorruptRecord": "_broken"})
+    rows = raw.select(e.alias("e"), F.col("topic").alias("_topic"), value.alias("raw_value"))
+    broken = F.col("e._broken").isNotNull() | F.col("raw_value").isNull() | F.col("e").isNull()
+    return rows.select("e.*", F.col("_topic"), "raw_value", broken.alias("broken")).drop("topic", "_broken").withColumnRenamed("_topic", "topic")
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """Add event_time/event_date, customer_key and id_type. Blank user ids and refund order ids are
+    normalised to NULL."""
     if "timestamp" in df.columns and "event_time" not in df.columns:
         df = df.withColumn("event_time", parse_event_time("timestamp")).drop("timestamp")
     df = (df.withColumn("user_id", blank_to_null("user_id"))
             .withColumn("order_id_for_refund", blank_to_null("order_id_for_refund")))
-    keyed = (df.withColumn("event_date", F.to_date("event_time"))
-               .withColumn("customer_key", customer_key())
-               .withColumn("id_type", id_type()))
-    return keyed.filter(is_present("customer_key"))
+    return (df.withColumn("event_date", F.to_date("event_time"))
+              .withColumn("customer_key", customer_key())
+              .withColumn("id_type", id_type()))
+
+
+def key_events(df: DataFrame) -> DataFrame:
+    """``with_keys`` without the rows that have no key."""
+    return with_keys(df).filter(is_present("customer_key"))
 
 
 #: What every event must carry.
@@ -88,8 +104,9 @@ def first_copies(df: DataFrame) -> DataFrame:
     """One row per (topic, id): the first by ``COPY_ORDER``; a stream keeps the first arrival."""
     if df.isStreaming:
         return df.dropDuplicates(["topic", "id"])
-    w = Window.partitionBy("topic", "id").orderBy(*COPY_ORDER)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in {"topic", "id", *COPY_ORDER}]
+    first = df.groupBy("topic", "id").agg(F.min(F.struct(*COPY_ORDER, *rest)).alias("f"))
+    return first.select("topic", "id", "f.*").select(df.columns)
 
 
 def known_events(df: DataFrame) -> DataFrame:
@@ -145,6 +162,23 @@ def reject_reasons(keyed: DataFrame) -> DataFrame:
             .groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("rejected")))
 
 
+def judged(rows: DataFrame, landed_ids: DataFrame) -> DataFrame:
+    """Keyed rows, none dropped, with ``reason``: why a row is rejected, NULL if it is accepted.
+
+    Of the complete rows of an id the first by ``COPY_ORDER`` counts, if ``landed_ids`` (topic, id) has
+    not got it; all others are duplicates. The choice is one aggregate that combines before its shuffle
+    and gives back row numbers, so a message sent a million times is no hot group. ``rows`` must be
+    persisted: it is read twice and its row numbers must agree."""
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    whole = numbered.filter(is_present("customer_key") & complete())
+    first = whole.groupBy("topic", "id").agg(F.min(F.struct(*COPY_ORDER, "_row")).alias("f")).select("topic", "id", F.col("f._row").alias("_row"))
+    fresh = first.join(landed_ids, ["topic", "id"], "left_anti").select("_row", F.lit(True).alias("_first"))
+    flagged = numbered.join(fresh, "_row", "left").withColumn("_dup", F.col("_first").isNull())
+    reason = F.when(~is_present("customer_key"), "no_customer_key").otherwise(reject_reason())
+    reason = F.when(F.col("broken") & reason.isNotNull(), "malformed").otherwise(reason) if "broken" in rows.columns else reason
+    return flagged.withColumn("reason", reason).drop("_row", "_first", "_dup")
+
+
 def topic_type_match(df: DataFrame) -> DataFrame:
     """Rows whose event type belongs to the topic they travelled on."""
     return df.filter(type_on_topic())

@@ -20,12 +20,31 @@ def write_raw_events(df: DataFrame, path: str, mode: str = "append") -> None:
        .write.partitionBy("id_type", "event_date").mode(mode).parquet(path))
 
 
+def run_of(batch: DataFrame) -> str:
+    """The id of the streaming query behind a micro-batch. It lives as long as the query's checkpoint:
+    a restart keeps it, a new checkpoint, whose batches count from 0 again, has another."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
+def folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """The folders ``depth`` levels below ``path``; none if there is no such path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path + "/*" * depth)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().toString() for f in found or [] if f.isDirectory())
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_raw_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     """foreachBatch body that survives replays: within each ``id_type``/``event_date`` folder a
-    micro-batch owns one ``batch=<id>`` folder, overwritten if the batch is run again. A filter on
-    the date lists that date's folders only; ``bucketed_compaction`` merges the small files."""
-    (batch.withColumn("batch", F.lit(batch_id)).sortWithinPartitions("customer_key")
-          .write.partitionBy("id_type", "event_date", "batch").mode("overwrite")
+    micro-batch owns one ``run=<query>/batch=<id>`` folder, overwritten if the batch is run again. A
+    filter on the date lists that date's folders only; ``bucketed_compaction`` merges the small files."""
+    (batch.withColumn("run", F.lit(run_of(batch))).withColumn("batch", F.lit(batch_id)).sortWithinPartitions("customer_key")
+          .write.partitionBy("id_type", "event_date", "run", "batch").mode("overwrite")
           .option("partitionOverwriteMode", "dynamic").parquet(path.rstrip("/")))
 
 

@@ -208,12 +208,12 @@ register("validate_common", unclean(q(
     + _in(USER_EVENTS + REC_EVENTS + NOTIF_EVENTS))))
 register("unclean_validated", unclean(q(f"select {KEYED_COLS} from allv")))
 register("malformed_messages", unclean(q(f"select {KEYED_COLS} from allv")))
-register("unclean_stream", unclean(q("select id, topic, event_type from allv")))
+register("unclean_stream", unclean(q(f"select {KEYED_COLS} from allv")))
 register("validate_user_events", q(f"select {KEYED_COLS} from ue"))
 register("validate_recommendation_events", q(f"select {KEYED_COLS} from rec"))
 register("validate_notification_events", q(f"select {KEYED_COLS} from notif"))
 register("union_validated", q(f"select {KEYED_COLS} from allv"))
-register("reject_reasons", unclean(q(f"""
+REJECT_REASONS = f"""
 select topic, reason, count(*) as rejected from (
   select topic,
     case when event_time is null then 'null_event_time'
@@ -237,7 +237,16 @@ select topic, reason, count(*) as rejected from (
                         order by {COPIES}) > 1 else false end as dup
         from (select *, event_time is not null and id is not null and visitor_id is not null
                         and event_type is not null as ok from keyed) a) b
-) c where reason is not null group by topic, reason""")))
+) c where reason is not null group by topic, reason"""
+register("reject_reasons", unclean(q(REJECT_REASONS)))
+register("reject_stream", unclean(q(f"""
+select topic, reason, cast(sum(n) as bigint) as messages from (
+  select topic, reason, rejected as n from ({REJECT_REASONS}) r
+  union all select topic, 'accepted', count(*) from allv group by topic
+  union all select topic, 'no_customer_key', count(*) from se
+    where coalesce(trim(user_id), '') = '' and coalesce(trim(visitor_id), '') = '' group by topic
+  union all select topic, 'malformed', count(*) from se0 where id % 10 = 3 group by topic) x
+group by topic, reason""")))
 register("topic_type_match", unclean(q(f"""
 select {KEYED_COLS} from keyed
 where (case when event_type in {_in(USER_EVENTS)} then 'user-events'
@@ -717,10 +726,16 @@ from allv group by 1, 2, customer_key, id_type"""))
 
 # --- streaming --------------------------------------------------------------------------------
 LAST_WATERMARK = "((select date_trunc('milliseconds', max(event_time)) from keyed) - interval 3 day)"
-register("abandoned_carts_stream", q("select * from ab", CART_CTES.replace(
+LIVE_CTES = CART_CTES.replace(
     "where user_id is not null and trim(user_id) <> ''),\nsnapc as (select max(event_time) as snap from cu)",
     f"where user_id is not null and trim(user_id) <> '' and event_time <= {LAST_WATERMARK}),\n"
-    f"snapc as (select {LAST_WATERMARK} as snap)")))
+    f"snapc as (select {LAST_WATERMARK} as snap)")
+register("abandoned_carts_stream", q("select * from ab", LIVE_CTES))
+register("discount_offers_stream", q("select * from offers", LIVE_CTES))
+register("notifier_gauges_stream", q("""
+select (select count(*) from ue where user_id is not null and trim(user_id) <> '') as events_processed,
+  (select count(*) from ab) as cart_abandonments, (select count(*) from ab) as notifications_sent,
+  (select count(distinct user_id) from cart) as active_carts""", LIVE_CTES))
 register("stream_dedupe", q(f"select {KEYED_COLS} from allv"))
 register("topic_dump_stream", DUMPS)
 register("enriched_stream", ORACLE["enrich_with_products"])

@@ -28,13 +28,14 @@ from ..operators import sinks as SK
 from ..operators import value as V
 from ..operators import value_model as VM
 from ..schema import RECENT_INTERACTIONS, RECOMMEND_LIMIT, TOPICS, USER_TOPIC
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import files as FS
 from ..sources.files import read_message_files
 from ..sources.tables import brand_baskets, shop_categories, shop_events, shop_products, shop_users, unclean_events
 from ..streaming import carts as SCT
 from ..streaming import ingest as SI
 from ..streaming import metrics as SM
+from ..streaming import notifier as SNT
 from . import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,9 +168,12 @@ def _unclean_validated(s, d):
 @query("malformed_messages")
 def _malformed_messages(s, d):
     """Messages of unclean events, a share of them cut short: those decode to no event."""
-    m = IG.to_kafka_rows(unclean_events(s, d).filter("id is not null"))
-    broken = IG.to_kafka_rows(shop_events(s, d).filter("id % 10 = 3")).select("topic", F.expr("left(value, 30)").alias("value"))
-    return IG.validate_all(IG.key_events(IG.decode_events(m.unionByName(broken)))).select(KEYED)
+    m = IG.to_kafka_rows(unclean_events(s, d))
+    return IG.validate_all(IG.key_events(IG.decode_events(m.unionByName(_broken_messages(s, d))))).select(KEYED)
+
+
+def _broken_messages(s, d):
+    return IG.to_kafka_rows(shop_events(s, d).filter("id % 10 = 3")).select("topic", F.expr("left(value, 30)").alias("value"))
 
 
 @query("enrich_with_products")
@@ -767,18 +771,42 @@ def _run(df, root, name, mode="append"):
     return q
 
 
-@query("abandoned_carts_stream")
-def _abandoned_stream(s, d):
-    """Files whose events overlap in time, in shuffled order, under a watermark that covers the
-    disorder: the abandonments known when the last watermark is reached."""
+def _cart_stream(s, d):
+    """Validated user events from files that overlap in time, in shuffled order, under a watermark that
+    covers the disorder."""
     root = scratch(s, "stream")
     SI.write_message_files(shop_events(s, d), f"{root}/messages", shuffled=True)
-    raw = read_message_files(s, f"{root}/messages", max_files_per_trigger=3)
-    br = SI.validated_streams(SI.watermarked_events(raw, CART_WATERMARK))
-    _run(SCT.with_ntz(SCT.abandoned_carts_stream(br[USER_TOPIC])), root, "abandoned")
+    raw = read_message_files(s, f"{root}/messages", max_files_per_trigger=10)
+    return root, SI.validated_streams(SI.watermarked_events(raw, CART_WATERMARK))[USER_TOPIC]
+
+
+@query("abandoned_carts_stream")
+def _abandoned_stream(s, d):
+    """The abandonments known when the last watermark is reached."""
+    root, events = _cart_stream(s, d)
+    _run(SCT.with_ntz(SCT.abandoned_carts_stream(events)), root, "abandoned")
     return s.read.parquet(f"{root}/abandoned")
 
 
+def _notifier(s, d):
+    root, events = _cart_stream(s, d)
+    labels = materialize(V.customer_value(I.all_validated(s, d)).select("user_id", "value_label"))
+    SNT.start_notifier(events, lambda: labels, shop_users(s, d), f"{root}/notifier", f"{root}/_ck", available_now=True).awaitTermination()
+    return f"{root}/notifier"
+
+
+@query("discount_offers_stream")
+def _discount_offers_stream(s, d):
+    """Keyed carts, then stream-static joins with labels and users, up to the last watermark."""
+    return SNT.read_offers(s, _notifier(s, d))
+
+
+@query("notifier_gauges_stream")
+def _notifier_gauges_stream(s, d):
+    """Counters and the gauge of active carts, added up from what each batch left."""
+    return SNT.current_gauges(s, _notifier(s, d))
+
+
 @query("stream_dedupe")
 def _stream_dedupe(s, d):
     root, raw = _message_stream(s, d)
@@ -788,17 +816,33 @@ def _stream_dedupe(s, d):
     return s.read.parquet(f"{root}/raw").select(KEYED)
 
 
-@query("unclean_stream")
-def _unclean_stream(s, d):
-    """The ingest stream over unclean events: what survives, by key (of copies that differ a stream
-    keeps the first to arrive)."""
+def _unclean_ingest(s, d, broken: bool):
+    """Root folder of an ingest over unclean events, null times and ids included."""
     root = scratch(s, "stream")
-    SI.write_message_files(unclean_events(s, d).filter("event_time is not null"), f"{root}/messages")
+    SI.write_message_files(unclean_events(s, d), f"{root}/messages")
+    if broken:
+        _broken_messages(s, d).write.parquet(f"{root}/messages/broken")
     raw = read_message_files(s, f"{root}/messages", max_files_per_trigger=FILES_PER_TRIGGER)
-    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True)
+    cfg = SI.StreamConfig(raw_events_path=f"{root}/raw", checkpoint_dir=f"{root}/_ck", available_now=True, reject_path=f"{root}/rejected")
     for q in SI.start_ingest(s, raw, cfg):
         q.awaitTermination()
-    return s.read.parquet(f"{root}/raw").select("id", "topic", "event_type")
+    return root
+
+
+@query("unclean_stream")
+def _unclean_stream(s, d):
+    """The ingest stream over unclean events: what survives, all columns."""
+    return s.read.parquet(f"{_unclean_ingest(s, d, False)}/raw").select(KEYED)
+
+
+@query("reject_stream")
+def _reject_stream(s, d):
+    """Every message of an ingest over unclean events and broken messages: accepted, or by its reason
+    among the dead letters."""
+    root = _unclean_ingest(s, d, True)
+    kept = s.read.parquet(f"{root}/raw").select("topic", F.lit("accepted").alias("reason"))
+    return (kept.unionByName(s.read.parquet(f"{root}/rejected").select("topic", "reason"))
+            .groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("messages")))
 
 
 @query("enriched_stream")
@@ -818,7 +862,7 @@ def _topic_dump_stream(s, d):
                           dump_path=f"{root}/dumps")
     for q in SI.start_ingest(s, raw, cfg):
         q.awaitTermination()
-    return _stacked({n: s.read.parquet(f"{root}/dumps/{n}") for n in SI.DUMP_NAMES.values()}, "dump")
+    return _stacked({n: s.read.parquet(f"{root}/dumps/{n}").select(KEYED) for n in SI.DUMP_NAMES.values()}, "dump")
 
 
 @query("customer_activity_stream")

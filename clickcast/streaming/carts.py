@@ -1,42 +1,44 @@
 """Cart abandonment as keyed streaming state (one state per logged-in user), in event order.
 
-Events may arrive in any order inside the watermark. Each user's state buffers them until the
-watermark has passed their time, and only then replays them by (event_time, id): the cart sees
-the same sequence whatever the arrival, so a late file cannot move its clock back. An idle
-deadline fires once the watermark is past it. The state is the cart plus the events of the
-watermark's reach. The batch equivalent is ``operators.carts.abandoned_carts`` over the events up
-to the last watermark."""
+Events may arrive in any order inside the watermark. An arriving event is put into the entry of its
+own millisecond; nothing else of the state is read. It sets two timers: for that millisecond, and for
+the moment at which the cart counts as abandoned if nothing follows. (Both at arrival, as a timer that
+is set while timers fire waits for the next batch.) When the watermark passes a millisecond, its events
+go to the cart by (event_time, id): the cart sees the same sequence whatever the arrival, so a late file
+cannot move its clock back. An idle timer that later activity has overtaken changes nothing. Products
+lie in a map of their own, one entry each. The state lives in RocksDB, so a user's events never have to fit a task's memory at once. The
+batch equivalent is ``operators.carts.abandoned_carts`` over the events up to the last watermark."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.exprs import is_present
 from ..schema import ABANDON_MINUTES
 
-OUTPUT_SCHEMA = ("user_id string, episode long, last_activity timestamp, notify_at timestamp, "
-                 "cart_size long")
-STATE_SCHEMA = "cart string, waiting string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OUTPUT_SCHEMA = ("user_id string, kind string, episode long, last_activity timestamp, notify_at timestamp, "
+                 "cart_size long, events long, active long")
+COLUMNS = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
 
 
 class Cart:
     """What is known of one user at a moment of event time (microseconds)."""
 
-    def __init__(self, products=(), seen_at=None, told=False, episode=0):
-        self.products, self.seen_at, self.told, self.episode = set(products), seen_at, told, episode
+    def __init__(self, seen_at=None, told=False, episode=0, size=0):
+        self.seen_at, self.told, self.episode, self.size = seen_at, told, episode, size
 
-    def saved(self) -> str:
-        return json.dumps([sorted(self.products), self.seen_at, self.told, self.episode])
+    def saved(self) -> tuple:
+        return self.seen_at, self.told, self.episode, self.size
 
     def deadline(self, gap: int) -> int | None:
         """When the cart counts as abandoned, if nothing happens; None: never."""
-        return self.seen_at + gap if self.products and not self.told else None
+        return self.seen_at + gap if self.size and not self.told else None
 
     def abandoned_by(self, now: int, gap: int) -> tuple | None:
         """The abandonment that time ``now`` brings about, once per episode."""
@@ -44,68 +46,112 @@ class Cart:
         if due is None or now <= due:
             return None
         self.told = True
-        return self.episode, self.seen_at, due, len(self.products)
-
-    def take(self, at: int, kind: str, product: str | None) -> None:
-        self.seen_at = at
+        return self.episode, self.seen_at, due, self.size
+
+
+class CartKeeper(StatefulProcessor):
+    """State: ``waiting`` (millisecond -> its events), ``products`` (product -> nothing) and ``cart``."""
+
+    def __init__(self, minutes: int):
+        self.gap = minutes * 60_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "at array<long>, id array<long>, kind array<string>, product array<string>")
+        self.products = handle.getMapState("products", "product string", "present boolean")
+        self.cart = handle.getValueState("cart", "seen_at long, told boolean, episode long, size long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = 0
+        for pdf in rows:
+            n += len(pdf)
+            pdf = pdf.assign(at=pdf["event_time"].astype("datetime64[us]").astype("int64"))
+            pdf["product"] = [p.strip() if isinstance(p, str) else "" for p in pdf["product_id"]]
+            for ms, some in pdf.groupby(-(-pdf["at"] // 1000)):  # the millisecond in which the watermark passes it
+                entry = [some[c].tolist() for c in ("at", "id", "event_type", "product")]
+                there = self.waiting.getValue((int(ms),))
+                if there:
+                    entry = [list(old) + new for old, new in zip(there, entry)]
+                self.handle.registerTimer(int(ms))
+                for at in entry[0]:
+                    self.handle.registerTimer((at + self.gap) // 1000 + 1)
+                self.waiting.updateValue((int(ms),), tuple(entry))
+        yield frame(key[0], [("seen", None, None, None, None, n, None)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        before, events = self.cart.get(), self.waiting.getValue((ms,))
+        cart = Cart(*before) if before else Cart()
+        had, found = cart.size > 0, []
+        if events:
+            for at, _, kind, product in sorted(zip(*events)):
+                found.append(cart.abandoned_by(at, self.gap))
+                self.take(cart, at, kind, product)
+            self.waiting.removeKey((ms,))
+        if cart.seen_at is not None:
+            found.append(cart.abandoned_by(ms * 1000, self.gap))
+        if cart.saved() != before:
+            self.cart.update(cart.saved())
+        rows = [("abandoned", *f, None, None) for f in found if f]
+        if had != (cart.size > 0):
+            rows.append(("cart", None, None, None, None, None, -1 if had else 1))
+        if rows:
+            yield frame(key[0], rows)
+
+    def take(self, cart: Cart, at: int, kind: str, product: str) -> None:
+        """An event reaches the cart."""
+        cart.seen_at = at
         if kind == "transaction":
             self.products.clear()
+            cart.size = 0
         elif not product or kind not in ("add_to_cart", "delete_from_cart"):
             return
-        elif kind == "delete_from_cart":
-            self.products.discard(product)
-            return
         else:
-            self.products.add(product)
-        self.told, self.episode = False, self.episode + 1  # a new episode may be told again
-
-
-def replay(cart: Cart, events: list, until: int, gap: int) -> tuple[list[tuple], list]:
-    """Feed the events up to time ``until`` in order, then let time reach ``until``; returns the
-    abandonments and the events still to come."""
-    events = sorted(events)
-    found = []
-    ripe = [e for e in events if e[0] <= until]
-    for at, _, kind, product in ripe:
-        found.append(cart.abandoned_by(at, gap))
-        cart.take(at, kind, product)
-    if cart.seen_at is not None:
-        found.append(cart.abandoned_by(until, gap))
-    return [f for f in found if f], events[len(ripe):]
-
-
-def _keyed_state(minutes: int):
-    gap = minutes * 60_000_000
-
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cart, waiting = Cart(), []
-        if state.exists:
-            saved, later = state.get
-            cart, waiting = Cart(*json.loads(saved)), [tuple(e) for e in json.loads(later)]
-        for pdf in pdfs if not state.hasTimedOut else ():
-            at = pdf["event_time"].astype("datetime64[us]").astype("int64")
-            text = [p.strip() or None if isinstance(p, str) else None for p in pdf["product_id"]]
-            waiting += zip(at.tolist(), pdf["id"].tolist(), pdf["event_type"], text)
-        now_ms = state.getCurrentWatermarkMs()
-        found, waiting = replay(cart, waiting, now_ms * 1000, gap)
-        state.update((cart.saved(), json.dumps(waiting)))
-        next_at = [t for t in (waiting[0][0] if waiting else None, cart.deadline(gap)) if t is not None]
-        if next_at:
-            state.setTimeoutTimestamp(max(min(next_at) // 1000, now_ms + 1))
-        frame = pd.DataFrame([(key[0], *f) for f in found], columns=["user_id", "episode", "last_activity", "notify_at", "cart_size"])
-        for c in ("last_activity", "notify_at"):
-            frame[c] = frame[c].astype("int64").astype("datetime64[us]")
-        yield frame.astype({"user_id": "object", "episode": "int64", "cart_size": "int64"})
-
-    return fn
+            there = self.products.containsKey((product,))
+            if kind == "delete_from_cart":
+                if there:
+                    self.products.removeKey((product,))
+                    cart.size -= 1
+                return
+            if not there:
+                self.products.updateValue((product,), (True,))
+                cart.size += 1
+        cart.told, cart.episode = False, cart.episode + 1  # a new episode may be told again
+
+    def close(self) -> None:
+        pass
+
+
+def frame(user: str, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame([(user, *r) for r in rows], columns=COLUMNS)
+    for c in ("last_activity", "notify_at"):
+        out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us").astype("datetime64[us]")
+    return out.astype({c: "Int64" for c in ("episode", "cart_size", "events", "active")})
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with timers needs the RocksDB store; queries that started with another one keep it
+    (the checkpoint says which)."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def notifier_stream(user_events: DataFrame, minutes: int = ABANDON_MINUTES) -> DataFrame:
+    """Append-mode stream of what the notifier does, from a watermarked stream of user events:
+    ``seen`` (``events`` that arrived), ``cart`` (``active``: +1 a cart got its first product, -1 it is
+    empty again) and ``abandoned`` (episode, last_activity, notify_at, cart_size)."""
+    use_rocksdb(user_events.sparkSession)
+    ev = user_events.filter(is_present("user_id")).select(
+        "user_id", "id", "event_time", "event_type", "product_id")
+    return ev.groupBy("user_id").transformWithStateInPandas(CartKeeper(minutes), OUTPUT_SCHEMA, "Append", "EventTime")
+
+
+def abandoned_only(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'abandoned'").select("user_id", "episode", "last_activity", "notify_at", "cart_size")
 
 
 def abandoned_carts_stream(user_events: DataFrame, minutes: int = ABANDON_MINUTES) -> DataFrame:
     """Append-mode stream of abandonments from a watermarked stream of user events."""
-    ev = user_events.filter(is_present("user_id")).select(
-        "user_id", "id", "event_time", "event_type", "product_id")
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _keyed_state(minutes), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return abandoned_only(notifier_stream(user_events, minutes))
 
 
 def with_ntz(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Structured Streaming ingest: message rows -> decoded, keyed, validated events -> sinks.
 
-One source scan feeds every branch; the watermark is set once, at ingest (event time must
+The ingest query reads the source once and keeps no state: each micro-batch is judged as a whole against
+the ids landed so far, and every message ends up either among the raw events or among the dead letters.
+Windowed activity and carts are queries of their own; the watermark is set once for them (event time must
 be a TIMESTAMP for it, so the NTZ event time is cast and cast back for output)."""
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from ..operators import activity as AC
 from ..operators import enrich as EN
 from ..operators import ingest as IG
 from ..operators import sinks as SK
+from ..functions.exprs import is_present
 from ..schema import (ACTIVITY_WINDOW, NOTIF_TOPIC, REC_TOPIC, TRIGGER_INTERVAL, USER_TOPIC,
                       WATERMARK_DELAY)
+from . import metrics as SM
 
+ID_BUCKETS = 64
+IDS_SCHEMA = "topic string, id long, bucket int, run string, batch long"
 DUMP_NAMES = {USER_TOPIC: "user_events", REC_TOPIC: "recommendation_events",
               NOTIF_TOPIC: "notification_events"}
 
@@ -48,7 +54,10 @@ class StreamConfig:
     window_duration: str = ACTIVITY_WINDOW
     activity_path: str | None = None
     dump_path: str | None = None
-    within_watermark: bool = True
+    metrics_path: str | None = None
+    reject_path: str | None = None
+    ids_path: str | None = None     # default: beside the raw events
+    within_watermark: bool = True   # of the activity query's dedupe state
 
 
 def _trigger(w, cfg: StreamConfig):
@@ -67,36 +76,64 @@ def validated_stream(wm: DataFrame, within_watermark: bool = True) -> DataFrame:
     return once.filter(IG.accepted())
 
 
-def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig") -> None:
-    """One micro-batch of validated events: raw events (partitioned, clustered) and, when
-    configured, the per-topic dumps, each under ``batch=<id>`` (a replay overwrites its own
-    output, so the sink is idempotent)."""
-    batch = batch.persist()
+def id_bucket():
+    return F.pmod(F.xxhash64("topic", "id"), F.lit(ID_BUCKETS)).cast("int")
+
+
+def landed_ids(spark: SparkSession, path: str, low: int | None, high: int | None, run: str, batch_id: int) -> DataFrame:
+    """(topic, id) that earlier batches have used up, between ``low`` and ``high``. The files are sorted
+    by id, so a batch of new ids reads next to nothing, and late copies read the row groups of their
+    range. What this very batch wrote in an earlier attempt does not count."""
+    seen = SK.read_parquet_or_empty(spark, path, IDS_SCHEMA)
+    mine = (F.col("run") == run) & (F.col("batch") == batch_id)
+    return seen.filter(F.col("id").between(low, high) & ~mine).select("topic", "id")
+
+
+def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig", products: DataFrame | None = None) -> None:
+    """One micro-batch of decoded messages -> raw events (partitioned, clustered), dead letters, the ids
+    that are used up, and when configured the per-topic dumps and the metric counts. Each output has a
+    folder ``run=<query>/batch=<id>`` of its own, which a replay overwrites; the ids come last but one's
+    own don't count, so a batch that failed half-way is judged alike when it runs again."""
+    spark, run = batch.sparkSession, SK.run_of(batch)
+    ids_path = cfg.ids_path or cfg.raw_events_path.rstrip("/") + "_ids"
+    rows = batch.persist()
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    judged = IG.judged(rows, landed_ids(spark, ids_path, low, high, run, batch_id)).persist()
+    own = f"run={run}/batch={batch_id}"
     try:
-        SK.write_raw_batch(batch, batch_id, cfg.raw_events_path)
+        accepted = judged.filter("reason is null").drop("reason", "raw_value", "broken")
+        if products is not None:
+            accepted = EN.enrich_with_products(accepted, products)
+        SK.write_raw_batch(accepted, batch_id, cfg.raw_events_path)
+        if cfg.reject_path:
+            (judged.filter("reason is not null").select("topic", "reason", "id", "event_time", "raw_value")
+                   .write.mode("overwrite").parquet(f"{cfg.reject_path}/{own}"))
         if cfg.dump_path:
             for topic, name in DUMP_NAMES.items():
-                (batch.filter(F.col("topic") == topic).write.mode("overwrite")
-                      .parquet(f"{cfg.dump_path}/{name}/batch={batch_id}"))
+                accepted.filter(F.col("topic") == topic).write.mode("overwrite").parquet(f"{cfg.dump_path}/{name}/{own}")
+        if cfg.metrics_path:
+            SM.all_metrics_writer(cfg.metrics_path)(accepted, batch_id)
+        whole = judged.filter(IG.complete() & is_present("customer_key") & ~F.col("reason").eqNullSafe("duplicate_id"))
+        (whole.select("topic", "id", id_bucket().alias("bucket"), F.lit(run).alias("run"), F.lit(batch_id).alias("batch"))
+              .repartition("bucket").sortWithinPartitions("bucket", "id")
+              .write.partitionBy("bucket", "run", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(ids_path))
     finally:
-        batch.unpersist()
+        judged.unpersist()
+        rows.unpersist()
 
 
 def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
                  products: DataFrame | None = None) -> list[StreamingQuery]:
-    """One ingest query (one source read, one dedupe state) landing raw events and topic
-    dumps per micro-batch; the windowed activity, if asked for, is a second query with its own
+    """One ingest query (one source read, no state) landing raw events, dead letters, dumps and metric
+    counts per micro-batch; the windowed activity, if asked for, is a second query with its own
     source read and dedupe state. Returns the queries."""
-    wm = watermarked_events(raw, cfg.watermark_delay)
-    validated = validated_stream(wm, cfg.within_watermark)
-    if products is not None:
-        validated = EN.enrich_with_products(validated, products)
-    queries = []
-    raw_w = (ntz_output(validated).writeStream
-             .foreachBatch(lambda b, i: write_ingest_batch(b, i, cfg))
+    decoded = IG.with_keys(IG.decode_messages(raw))
+    raw_w = (decoded.writeStream
+             .foreachBatch(lambda b, i: write_ingest_batch(b, i, cfg, products))
              .option("checkpointLocation", f"{cfg.checkpoint_dir}/ingest").outputMode("append"))
-    queries.append(_trigger(raw_w, cfg).start())
+    queries = [_trigger(raw_w, cfg).start()]
     if cfg.activity_path:
+        validated = validated_stream(watermarked_events(raw, cfg.watermark_delay), cfg.within_watermark)
         act = AC.customer_activity(validated, cfg.window_duration)
         aw = (act.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
                  .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

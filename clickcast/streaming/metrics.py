@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import sinks as SK
 from ..schema import METRIC_WINDOW, NOTIF_TOPIC, REC_TOPIC, TRIGGER_INTERVAL, USER_TOPIC
 
 
@@ -65,28 +67,49 @@ def metric_frame(df: DataFrame, m: Metric) -> DataFrame:
     return out.orderBy(F.desc(m.column)) if m.mode == "complete" and m.group == "product_id" else out
 
 
-def csv_version_writer(path: str):
-    """foreachBatch body for a metric file: each batch is written as its own ``batch=<id>``
+def csv_version_writer(path: str, schema=None, keys: list[str] | None = None, keep: int | None = None):
+    """foreachBatch body for a metric file: each batch is written as its own ``run=<query>/batch=<id>``
     version and nothing is read back. A replay overwrites only its own version, and a failed
-    write fails the batch, so no earlier version can be lost."""
+    write fails the batch, so no earlier version can be lost.
+
+    With ``keep``, every ``keep``-th version holds the metric's whole current value (``schema`` and
+    ``keys`` as for ``read_metric_csv``), and the versions before it are deleted once it is written."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").option("header", True).csv(f"{path}/batch={batch_id}")
+        own, spark = f"{path}/run={SK.run_of(batch)}/batch={batch_id}", batch.sparkSession
+        stamped = batch.withColumn("written_at", F.current_timestamp())
+        before = SK.folders(spark, path, 2) if keep and batch_id % keep == keep - 1 else []
+        before = [f for f in before if not f.endswith(own.removeprefix(path))]
+        if before and keys:
+            old = spark.read.schema(_versioned(schema)).option("header", True).option("basePath", path).csv(before)
+            stamped = _newest(old.select(*schema.names, "written_at").unionByName(stamped), keys, schema.names).withColumn("written_at", F.current_timestamp())
+        stamped.write.mode("overwrite").option("header", True).csv(own)
+        SK.delete_folders(spark, before)
     return write
 
 
+def _versioned(schema):
+    return T.StructType([f for f in schema.fields if f.name != "batch"] + [
+        T.StructField("written_at", T.TimestampType()), T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+
+
+def _newest(versions: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    values = [c for c in names if c not in keys]
+    return versions.groupBy(*keys).agg(*[F.max_by(c, "written_at").alias(c) for c in values]).select(names)
+
+
 def read_metric_csv(spark, path: str, schema, keys: list[str]) -> DataFrame:
     """A metric from its versions: update mode (``keys``) takes each key's value from the newest
-    version that has it, complete mode the newest version."""
-    v = spark.read.option("header", True).schema(schema).csv(path)
+    version that has it, complete mode the newest version. Versions are told apart by the time they
+    were written, so those of a new checkpoint follow those of the old one."""
+    v = spark.read.option("header", True).schema(_versioned(schema)).csv(path)
     if not keys:
-        return v.filter(F.col("batch") == v.agg(F.max("batch")).scalar()).drop("batch")
-    values = [c for c in schema.names if c not in keys]
-    return v.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values]).select(schema.names)
+        return v.filter(F.col("written_at") == v.agg(F.max("written_at")).scalar()).select(schema.names)
+    return _newest(v, keys, schema.names)
 
 
 def start_metric(df: DataFrame, m: Metric, sink: str = "console", metrics_path: str | None = None,
                  checkpoint_dir: str | None = None, trigger_interval: str | None = TRIGGER_INTERVAL,
-                 available_now: bool = False) -> StreamingQuery:
+                 available_now: bool = False, keep: int | None = None) -> StreamingQuery:
     agg = metric_frame(df, m)
     w = agg.writeStream.queryName(m.name).outputMode(m.mode)
     if sink == "console":
@@ -94,7 +117,8 @@ def start_metric(df: DataFrame, m: Metric, sink: str = "console", metrics_path:
     elif sink == "memory":
         w = w.format("memory")
     else:
-        w = (w.foreachBatch(csv_version_writer(f"{metrics_path}/{m.name}"))
+        keys = metric_keys(m) if m.mode == "update" else None
+        w = (w.foreachBatch(csv_version_writer(f"{metrics_path}/{m.name}", agg.schema, keys, keep))
               .option("checkpointLocation", f"{checkpoint_dir}/metrics_{m.name}"))
     if available_now:
         w = w.trigger(availableNow=True)
@@ -131,11 +155,11 @@ def metric_from_bases(by_product: DataFrame, by_minute: DataFrame, m: Metric) ->
 
 def all_metrics_writer(path: str):
     """foreachBatch body of the count tables: the batch's own counts are appended as
-    ``batch=<id>``. Nothing is read or merged, so work and files grow with the input alone, a
+    ``run=<query>/batch=<id>``. Nothing is read or merged, so work and files grow with the input alone, a
     replay rewrites its own folder, and a failure cannot drop earlier counts. Readers add up."""
     def write(batch: DataFrame, batch_id: int) -> None:
         for name, part in _bases(batch).items():
-            part.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            part.write.mode("overwrite").parquet(f"{path}/{name}/run={SK.run_of(batch)}/batch={batch_id}")
     return write
 
 
@@ -149,8 +173,8 @@ def compact_counts(spark, path: str, out: str) -> None:
     metrics query, or to keep a closed period): the same sums in one folder."""
     for name in ("by_product", "by_minute"):
         t = spark.read.parquet(f"{path}/{name}")
-        keys = [c for c in t.columns if c not in ("n", "batch")]
-        t.groupBy(*keys).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/{name}/batch=0")
+        keys = [c for c in t.columns if c not in ("n", "run", "batch")]
+        t.groupBy(*keys).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/{name}/run=compacted/batch=0")
 
 
 def start_metrics_job(validated: DataFrame, path: str, checkpoint_dir: str,
