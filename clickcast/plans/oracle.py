@@ -177,6 +177,9 @@ register("top_purchased_products", _top("product_id", "purchase_count", "event_t
 register("most_active_users", _top("user_id", "event_count", "user_id is not null"))
 register("most_active_visitors", _top("visitor_id", "event_count", "user_id is null"))
 
+register("daily_summary_incremental", ORACLE["daily_summary"])
+register("most_active_incremental", ORACLE["most_active_users"])
+
 # --- ingest ------------------------------------------------------------------------------
 KEYED_COLS = ("id, topic, session_id, visitor_id, user_id, event_time, event_type, product_id, "
               "order_id_for_refund, is_recommended, recommendation_view, event_date, customer_key, id_type")
