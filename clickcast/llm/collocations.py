@@ -123,7 +123,8 @@ def encoded_blocks(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     """(lang, ids binary): the blocks with vocabulary ids (uint32); 0 for a break or a rare word."""
     own = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
     there = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))  # collect_list passes over nulls
-    known = own.join(ids, ["lang", "word"], "left").groupBy("block").agg(F.collect_list(there).alias("known"))
+    # merged at every size: nothing bounds the vocabulary, so it is never broadcast
+    known = own.join(ids.hint("merge"), ["lang", "word"], "left").groupBy("block").agg(F.collect_list(there).alias("known"))
 
     def run(batches):
         for rb in batches:
