@@ -89,3 +89,9 @@ def session_cart_lists(events: DataFrame) -> DataFrame:
     ev = _prepared(events).withColumn("cp", _cart_product()).filter(F.col("cp").isNotNull())
     lvl1 = ev.groupBy(*keys, "cp").agg(F.min(F.struct("event_time", "id")).alias("first"))
     return lvl1.groupBy(*keys).agg(_ordered_products().alias("cart_product_id_list"))
+
+
+def mining_baskets(events: DataFrame) -> DataFrame:
+    """Non-empty session baskets keyed by (session_id, user_id) -> basket_id text, items."""
+    return session_cart_lists(events).select(
+        F.concat_ws("|", "session_id", "user_id").alias("basket_id"), F.col("cart_product_id_list").alias("items"))

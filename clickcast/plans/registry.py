@@ -441,14 +441,8 @@ def _rules_out(r):
 
 
 def session_mining_baskets(s, d):
-    """Non-empty session baskets keyed by (session_id, user_id) -> basket_id text."""
-    return _mining_baskets(I.user_events(s, d))
-
-
-def _mining_baskets(ue):
-    b = SS.session_cart_lists(ue)
-    return b.select(F.concat_ws("|", "session_id", "user_id").alias("basket_id"),
-                    F.col("cart_product_id_list").alias("items"))
+    """Read by the itemsets and by every match, so validated and built once."""
+    return materialize(SS.mining_baskets(I.user_events(s, d)))
 
 
 @query("basket_split")
@@ -581,7 +575,7 @@ def _co_occurrence(s, d):
 @query("recommend_for_requests")
 def _recommend_requests(s, d):
     ue = I.landed_branches(s, d)[USER_TOPIC]
-    fi = RU.frequent_itemsets(_mining_baskets(ue))
+    fi = RU.frequent_itemsets(SS.mining_baskets(ue))
     r = RC.recommend_for_requests(ue, _requests(ue), shop_products(s, d), RU.association_rules(fi), fi)
     return r.select("actor", "id_type", "product_id", F.col("stage").cast("bigint").alias("stage"), "rank")
 
