@@ -43,15 +43,20 @@ def tidy(run):
 
     def tidied(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Return this process's unused memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def few_rows_at_once(spark: SparkSession, rows: int = 1500) -> None:
     """Lower the session's Arrow batches to ``rows`` rows: a Python worker then holds that many texts,
     whatever their partition's size. Only ever lowers the setting; results do not depend on it."""

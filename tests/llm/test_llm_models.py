@@ -190,3 +190,13 @@ def test_toxicity_learns_words_and_stems_and_ignores_held_out_labels(spark):
         lab.append((i, 1, int(not toxic if held else toxic)))  # held-out labels are wrong on purpose
     got = toxicity.toxicity(docs(spark, rows), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")).collect()
     assert sum(r.predicted == int(r.doc_id % 6 == 0) for r in got) >= 890
+
+
+def test_grams_of_many_characters():
+    """More code points than a packed key has room for: the same n-grams as by hand."""
+    from clickcast.llm import kneser_ney as K
+    texts = ["".join(chr(0x4E00 + k % 20000) + chr(0x20000 + k % 30000) for k in range(40000)), "ab ab", None, ""]
+    found, gram, doc = K.grams(texts)
+    want = [(d, s[i:i + K.ORDER]) for d, s in enumerate(map(K.symbols, texts)) for i in range(len(s) - K.ORDER + 1)]
+    assert [(int(d), found[g]) for g, d in zip(gram, doc)] == want
+    assert len(set(found)) == len(found)
