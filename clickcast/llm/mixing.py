@@ -1,10 +1,11 @@
 """Operator 9: mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
-Each document has a 36-bit hash. Words are summed by source and by the top 12 bits; the bucket in
-which a source's running sum passes its budget is the boundary bucket, and only its documents are
-summed again by the next 12 bits, then by the last 12. The three parts make one threshold per source,
-and choosing documents is a filter ``hash < threshold``: nothing is sorted, and a source is never
-gathered in one task.
+Each document has a 60-bit hash: 36 bits of its id and text, then 24 bits of its row, which part equal
+rows. Words are summed by source and by the top 12 bits; the bucket in which a source's running sum
+passes its budget is the boundary bucket, and only its documents are summed again by the next 12 bits,
+and so on. The five parts make one threshold per source, and choosing documents is a filter
+``hash < threshold``: nothing is sorted, and neither a source nor its repeated rows are gathered in one
+task.
 """
 
 from __future__ import annotations
@@ -12,21 +13,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickcast.llm.common import WORD, landed
+from clickcast.llm.common import WORD, free_name, landed, with_row_id
 
 WEIGHTS = (5, 2, 1)  # by source in code-point order, repeating; null last
 MAX_REPEAT = 3
-LEVEL_BITS, LEVELS = 12, 3
+LEVEL_BITS, LEVELS = 12, 5
+ROW_BITS = 24  # the lowest bits of the hash
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
-def doc_hash(doc_id: Column, text: Column) -> Column:
-    """36 bits of the MD5 of id and text."""
+def doc_hash(doc_id: Column, text: Column, row_id: Column) -> Column:
+    """36 bits of the MD5 of id and text, then 24 bits of the row's own hash."""
     key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, LEVELS * LEVEL_BITS // 4), 16, 10).cast("long")
+    own = F.conv(F.substring(F.md5(key), 1, (LEVELS * LEVEL_BITS - ROW_BITS) // 4), 16, 10).cast("long")
+    return F.shiftleft(own, ROW_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(row_id), 64 - ROW_BITS))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -91,21 +94,25 @@ def hash_thresholds(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights=WEIG
         (F.col("bucket_words") <= 2 * (F.col("budget") - F.col("before"))).alias("take_equal"))
 
 
-def copies(h: Column) -> Column:
-    below = (h < F.col("threshold")) | ((h == F.col("threshold")) & F.col("take_equal"))
-    return F.col("whole") + below.cast("long")
+def copies(h: Column, t: str = "t") -> Column:
+    """How often a document with hash ``h`` is taken by the thresholds of alias ``t``."""
+    limit = F.col(f"{t}.threshold")
+    return F.col(f"{t}.whole") + ((h < limit) | ((h == limit) & F.col(f"{t}.take_equal"))).cast("long")
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    rows = with_row_id(docs.select("doc_id", "source", "text"), "mix-rows")
+    h = doc_hash(F.col("doc_id"), F.col("text"), F.col("row_id"))
+    return rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """``documents`` -> (doc_id, size, source_size, target, taken), one row per document.
 
     A null text has size 0 and is taken as 0 words; a null source is a source of its own, the last.
-    Rows that are equal in id and text share a hash and so a decision. An empty table gives no rows.
-    The threshold depends on the rows alone, so reruns agree.
+    Rows that are equal in id and text are told apart by their row ids, so that as many of them are taken
+    as the budget allows; which of them does not show. An empty table gives no rows. The threshold
+    depends on the rows alone, so reruns agree.
     """
     sizes = landed(sizes_of(docs), "mix-sizes")
     t = hash_thresholds(sizes)
@@ -114,11 +121,13 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns. A document
-    without words counts for nothing and stays once."""
-    sized = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__h", doc_hash(F.col("doc_id"), F.col("text")))
-    t = hash_thresholds(landed(sized.select("source", F.col("__size").alias("size"), F.col("__h").alias("h")), "mix-sizes"))
-    t = t.select(F.col("source").alias("__source"), "threshold", "whole", "take_equal")
-    out = sized.join(t, F.col("source").eqNullSafe(F.col("__source")))
-    n = F.when(F.col("__size") > 0, copies(F.col("__h"))).otherwise(1).cast("int")
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n))).select(*(docs[c] for c in docs.columns))
+    """The mix itself: each document as often as it is taken, with all its columns, whatever else they
+    are called. A document without words (null, empty or blank text) counts for nothing and stays once;
+    repeated rows and null sources are as in ``mix``; an empty table gives no rows."""
+    row, size, h, copy = (free_name(docs, c) for c in ("row_id", "size", "hash", "copy"))
+    ids = with_row_id(docs, "mix-rows", row)
+    sized = ids.withColumn(size, n_words(F.col("text"))).withColumn(h, doc_hash(F.col("doc_id"), F.col("text"), F.col(row)))
+    t = hash_thresholds(landed(sized.select("source", F.col(size).alias("size"), F.col(h).alias("h")), "mix-sizes"))
+    out = sized.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    n = F.when(F.col(f"d.{size}") > 0, copies(F.col(f"d.{h}"))).otherwise(1).cast("int")
+    return out.select("d.*", F.explode(F.array_repeat(F.lit(1), n)).alias(copy)).select(*docs.columns)

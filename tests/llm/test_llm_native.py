@@ -1,5 +1,6 @@
 """URL filters (1) and mixing (9)."""
 
+import pandas as pd
 import pytest
 from llm_cases import DOCS, SCHEMA, SMALL, compare, docs
 
@@ -85,3 +86,25 @@ def test_mixed_documents_repeat_whole_rows(spark):
     out = mixing.mixed_documents(d)
     assert out.columns == d.columns
     assert out.select(mixing.n_words(out["text"]).alias("n")).groupBy().sum("n").first()[0] == taken
+
+
+def test_mix_takes_as_many_repeated_rows_as_the_target_allows(spark):
+    rows = [(7, "one two three four", "en", "a", 1)] * 40 + [(i, "w " * (1 + i % 5), "en", "b", 1) for i in range(60)]
+    rows += [(None, None, "en", "a", 1)] * 3 + [(8, "u v", "en", None, 1)] * 25
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(d)
+    for r in got.groupBy("source_size", "target").sum("taken").collect():
+        assert abs(r["sum(taken)"] - r.target) <= 4
+    frame = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "text": [r[1] for r in rows], "source": [r[3] for r in rows]})
+    compare("op9_mixing", got, {"documents": frame})
+    out = mixing.mixed_documents(d)
+    assert out.filter("text is not null").select(mixing.n_words(out["text"]).alias("n")).groupBy().sum("n").first()[0] == got.groupBy().sum("taken").first()[0]
+    assert out.filter("text is null").count() == 3
+
+
+def test_mixed_documents_with_own_names_of_columns(spark):
+    d = docs(spark, clash=False)
+    for c in ("row_id", "size", "hash", "copy", "threshold", "whole", "take_equal", "__size", "__h", "t", "d"):
+        d = d.selectExpr("*", f"'{c}' as {c}")
+    out = mixing.mixed_documents(d)
+    assert out.columns == d.columns and all(r.threshold == "threshold" and r.row_id == "row_id" for r in out.collect())
