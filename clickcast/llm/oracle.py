@@ -40,15 +40,14 @@ lv as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over
         / (sum(w) over () - coalesce(sum(w) over before, 0))::double as level, row_number() over (order by source_size::double / w, r) as place
     from sw window before as (order by source_size::double / w, r rows between unbounded preceding and 1 preceding)),
 lam as (select arg_min(level, place) as l from lv where level * w <= 3 * source_size),
-t as (select source, source_size, least(coalesce(l * w, 3.0 * source_size), 3.0 * source_size)::double as target from lv, lam),
+t as (select source, r, source_size, least(coalesce(l * w, 3.0 * source_size), 3.0 * source_size)::double as target from lv, lam),
 b as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from t),
-h as (select source, h, sum(size) as hs from d where size > 0 group by source, h),
-run as (select h.source, h, hs, sum(hs) over (partition by h.source order by h) as upto, target - whole * source_size as budget, target
-    from h join b on h.source is not distinct from b.source),
-cut as (select source, arg_min(h, h) as th, arg_min(hs <= 2 * (budget - (upto - hs)), h) as eq from run where upto > budget group by source)
-select doc_id, size, b.source_size, target,
-    (size * (whole + case when d.h < th or (d.h = th and eq) then 1 else 0 end))::bigint as taken
-from d join b on d.source is not distinct from b.source left join cut on d.source is not distinct from cut.source
+run as (select doc_id, size, b.*, row_number() over o as place, sum(size) over (o rows unbounded preceding) as upto, target - whole * b.source_size as budget
+    from d join b on d.source is not distinct from b.source window o as (partition by b.r order by h, size)),
+cut as (select r, min(place) as th, arg_min(size <= 2 * (budget - (upto - size)), place) as eq from run where size > 0 and upto > budget group by r)
+select doc_id, size, source_size, target,
+    (size * (whole + case when place < th or (place = th and eq) then 1 else 0 end))::bigint as taken
+from run left join cut using (r)
 """
 
 # The verdict in terms of windows: words in repeats of 10 words are the words in 10-word windows found
@@ -68,7 +67,7 @@ base as (select doc_id, n, len(ws)::bigint as n_words, length(regexp_replace(tex
     coalesce((select c from cov where cov.n = d.n and k = 101), 0) as c101 from d left join lines using (n))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and c10 <= 0.2 * n_words and c101 = 0 as kept from base
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * c10 <= 15 * n_words and c101 = 0 as kept from base
 """
 
 ORACLE["op11_secret_scan"] = r"""

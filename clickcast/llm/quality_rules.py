@@ -20,7 +20,7 @@ from clickcast.llm.common import words
 
 WINDOW, MAX_WINDOW_PERCENT, MIN_WORDS = 5, 20, 10  # the base rule
 MIN_REPEAT = 10          # words; shorter matches are ordinary phrases
-MAX_COVERED = 0.20       # share of the words inside repeats
+MAX_COVERED_PERCENT = 15  # of the words inside repeats; the base rule implies no more than 20
 MAX_REPEAT = 100         # words of the longest repeat
 BATCH_WORDS = 200_000    # words that share a suffix array, or one longer document
 SYMBOLS = b"#*$%&|<>"
@@ -157,7 +157,7 @@ def quality(docs: DataFrame) -> DataFrame:
             for i, text, (n, rep5, cov, longest) in zip(pdf["doc_id"], pdf["text"], repetition(list(pdf["text"]))):
                 failed = n < MIN_WORDS or 100 * rep5 > MAX_WINDOW_PERCENT * n
                 out.append((i, n, *text_counts(text), rep5, failed,
-                            not failed and cov <= MAX_COVERED * n and longest <= MAX_REPEAT, cov, longest))
+                            not failed and 100 * cov <= MAX_COVERED_PERCENT * n and longest <= MAX_REPEAT, cov, longest))
             out = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.assign(doc_id=pd.array([None if x is None or x != x else int(x) for x in pdf["doc_id"]], dtype="Int64"))
 

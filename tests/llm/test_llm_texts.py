@@ -137,14 +137,36 @@ def test_quality_limits_repeats(spark):
     assert got[4].n_dup_lines == 2
 
 
+def test_quality_covered_share_rejects_by_itself(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+
+    def text(k, total=1000):
+        """``k`` passages of 12 words, each twice, among fresh words."""
+        parts = [fresh(12) for _ in range(k)]
+        ws = [w for p in parts + parts for w in p + fresh(3)]
+        return " ".join(ws + fresh(total - len(ws)))
+
+    rows = [(1, text(7)), (2, text(6))]
+    got = quality_rules.quality(docs(spark, [(*r, "en", "a", 1) for r in rows]))
+    r = {r.doc_id: r for r in got.collect()}
+    assert r[1].n_covered_words == 168 and not r[1].base_failed and r[1].longest_repeat == 12 and not r[1].kept
+    assert r[2].n_covered_words == 144 and r[2].kept
+    compare("op10_quality_rules", got.drop("n_covered_words", "longest_repeat"), {"documents": pd.DataFrame(rows, columns=["doc_id", "text"])})
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "substring dedup", "mixing", "packing"]
     d = docs(spark, clash=False)
+    for c in ("__row", "__score", "score", "row_id", "starts", "n_words", "n_removed__"):
+        d = d.selectExpr("*", f"'{c}' as {c}")
     stage = dict(corpus_pipeline.STAGES)
-    for name, f in corpus_pipeline.STAGES[1:4]:
-        assert f(spark, d, SMALL).columns == d.columns, name
+    for name, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, d, SMALL)
+        assert out.columns == d.columns, name
+        assert all(r["__row"] == "__row" and r.score == "score" and r.row_id == "row_id" for r in out.collect()), name
         assert f(spark, d.limit(0), SMALL).count() == 0
     kept = stage["simhash near-dedup"](spark, d, SMALL).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id in (1, 10, 5)) == [1, 5]
