@@ -502,11 +502,13 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     ``tables`` samples of ``key_bits`` bits: at a Jaccard similarity of 0.8 that misses 3 %, at 0.9 none in
     ten thousand. Pairs in up to ``doubt`` standard deviations more bits than ``similarity`` makes likely
     form groups; in a group, every pair within these bits links if its shingle sets have the ``similarity``,
-    and none by bits alone. All columns come back. An empty table gives no rows."""
-    ids = with_row_id(docs, "near-dup-rows", "__row")
+    and none by bits alone. All columns come back, whatever their names. Texts without words, null ones
+    included, have equal signatures and no shingles, so one of them stays. An empty table gives no rows."""
+    row = free_name(docs, "row_id")
+    ids = with_row_id(docs, "near-dup-rows", row)
     far = jaccard_radius(similarity, 64 * n_words, doubt)
-    found = clusters(ids.select("doc_id", "__row", "text"), width, n_words, far, sample_masks(n_words, key_bits, tables),
+    found = clusters(ids.select("doc_id", F.col(row).alias("__row"), "text"), width, n_words, far, sample_masks(n_words, key_bits, tables),
                      distinct=True, similarity=similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    stays = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    return ids.join(stays, "__row", "left_semi").select(*docs.columns)
+    stays = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.__row").alias(row))
+    return ids.join(stays, row, "left_semi").select(*docs.columns)

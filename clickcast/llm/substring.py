@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickcast.llm.common import coded_words, few_rows_at_once, landed, mixed, passes, sieve, sifted, tidy, with_row_id, words
+from clickcast.llm.common import coded_words, few_rows_at_once, free_name, landed, mixed, passes, sieve, sifted, tidy, with_row_id, words
 
 WINDOW = 35               # words of a repeated window
 KMER = 16                 # words of a node; WINDOW - KMER + 1 k-mers begin in a window
@@ -233,18 +233,21 @@ def kept_words(ws: list[bytes], starts, stops) -> list[bytes]:
     return list(itertools.compress(ws, (np.cumsum(delta[:-1]) == 0).tolist()))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, n_words: str = "n_words__", n_removed: str = "n_removed__") -> DataFrame:
     """``docs`` -> all its columns, with the text without its repeated words (left words joined by one
-    space if any word went, else as it was), and ``n_words__``, ``n_removed__``.
+    space if any word went, else as it was), and its words and removed words in the columns ``n_words`` and
+    ``n_removed``, whose names the caller chooses so that ``docs`` has them not.
 
     Null, empty and short texts have no window and stay. Repeated rows count as further occurrences,
     so both lose their windows. Ids may be null or repeat; an empty table gives no rows."""
     few_rows_at_once(docs.sparkSession)
-    ids = with_row_id(docs, "substring-rows", "__row")
-    spans, rows = repeated_spans(ids.select(F.col("__row").alias("row_id"), "text"))
-    joined = sifted(ids, rows, "__row", True).join(spans.select(F.col("row_id").alias("__row"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops")), "__row", "left").drop("__row")
+    row, first, last = (free_name(docs, c) for c in ("row_id", "starts", "stops"))
+    ids = with_row_id(docs, "substring-rows", row)
+    spans, rows = repeated_spans(ids.select(F.col(row).alias("row_id"), "text"))
+    cut = spans.select(F.col("row_id").alias(row), F.col("starts").alias(first), F.col("stops").alias(last))
+    joined = sifted(ids, rows, row, True).join(cut, row, "left").drop(row)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words__", T.LongType()), T.StructField("n_removed__", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
 
     def strip(batches):
         yield from (out for rb in batches for at in range(0, rb.num_rows, ROWS_AT_ONCE) for out in stripped(rb.slice(at, ROWS_AT_ONCE)))
@@ -254,11 +257,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for rb in batches:
             for at in range(0, rb.num_rows, ROWS_AT_ONCE):
                 part = rb.slice(at, ROWS_AT_ONCE)
-                yield from stripped(part.filter(pa.array(~passes(rows.value, part.column("__row").to_numpy()))))
+                yield from stripped(part.filter(pa.array(~passes(rows.value, part.column(row).to_numpy()))))
 
     def stripped(rb):
         texts, n, gone = rb.column("text").to_pylist(), [], []
-        starts, stops = (rb.column(c) if c in rb.schema.names else None for c in ("__starts", "__stops"))
+        starts, stops = (rb.column(c) if c in rb.schema.names else None for c in (first, last))
         for k, some in enumerate(starts.is_valid().to_pylist() if starts is not None else [False] * len(texts)):
             ws = words(texts[k])
             n.append(len(ws))
@@ -268,7 +271,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 gone[-1] = len(ws) - len(left)
                 texts[k] = b" ".join(left).decode("utf-8", "surrogatepass") if gone[-1] else texts[k]
         cols = [pa.array(texts, pa.string()) if c == "text" else rb.column(c) for c in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_words__", "n_removed__"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, n_words, n_removed])
 
     return joined.mapInArrow(tidy(strip), schema).unionByName(ids.mapInArrow(tidy(outside), schema))
 
