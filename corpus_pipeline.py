@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickcast.llm import mixing, packing, simhash, substring, toxicity
-from clickcast.llm.common import landed, table
+from clickcast.llm.common import free_name, landed, table
 
 #: SimHash, the toxicity model and the tokenizer cannot be written in SQL; tests hold the stages
 #: against brute force.
@@ -19,32 +19,42 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar, fitted to the labels, does not reject (score below 0.5)."""
+    """Documents that the pattern grammar, fitted to the labels, does not reject (score below 0.5).
+
+    A null or empty text has no clause, scores low and stays; repeated rows score alike and share one
+    fate; ids may be null; all columns come back, whatever their names. An empty table gives no rows."""
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, "__score").filter("__score < 0.5").select(*docs.columns)
+    score = free_name(docs, "score")
+    return toxicity.score_documents(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash near-dedup links (four-word shingles, 4 bits or fewer).
-    Texts without words share a fingerprint, so one of them stays."""
+    The smallest doc_id stays (nulls last). Texts without words, null ones included, share a fingerprint,
+    so one of them stays; of repeated rows one stays. An empty table gives no rows."""
     return simhash.one_of_each_group(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 35-word windows that occur elsewhere too; a text of which nothing is
-    left goes, one that had no words stays. ``n_chars`` follows the text."""
-    out = substring.deduplicated(docs).filter("n_removed__ = 0 or n_removed__ < n_words__")
-    changed = F.when(F.col("n_removed__") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    left goes, one that had no words (null, empty, blank) stays. ``n_chars`` follows the text. Repeated
+    rows repeat each other's windows and lose them. An empty table gives no rows."""
+    n, gone = free_name(docs, "n_words"), free_name(docs, "n_removed")
+    out = substring.deduplicated(docs, n, gone).filter((F.col(gone) == 0) | (F.col(gone) < F.col(n)))
+    changed = F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it."""
+    """Each document as often as its source's target takes it; one without words (null, empty, blank)
+    stays once, a null source is the last one, and of repeated rows as many are taken as the target
+    allows. An empty table gives no rows."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: pieces of documents with their ids."""
+    """The training sequences: pieces of documents with their ids. A null or empty text is its end id
+    alone; repeated rows are packed each. An empty table gives no rows."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
