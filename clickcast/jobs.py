@@ -4,8 +4,8 @@
     notify     message stream and labels -> live offers, counters and gauges of carts
     daily      landed raw events -> the daily report as JSON; with --state by day partials
     export     landed raw events -> flat CSV
-    compact    landed raw events -> a table bucketed by customer
-    features   landed raw events -> value features, scores and labels per user (CSV)
+    compact    landed raw events -> a table bucketed by customer; with --changed few files of the days with new ones
+    features   landed raw events -> value features, scores and labels per user (CSV); with --state by day partials
     model      labels -> a fitted value model, its held-out metrics and feature importances
     baskets    landed raw events -> session baskets (CSV)
     rules      landed raw events -> frequent itemsets and association rules (Parquet)
@@ -20,6 +20,7 @@ import argparse
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import compaction as CO
 from .operators import ingest as IG
 from .operators import recommend as RC
 from .operators import rules as RU
@@ -27,7 +28,7 @@ from .operators import sessions as SS
 from .operators import sinks as SK
 from .operators import value as V
 from .operators import value_model as VM
-from .plans import daily, incremental
+from .plans import daily, features_by_day, incremental
 from .schema import (ABANDON_MINUTES, ACTIVITY_WINDOW, MIN_CONFIDENCE, MIN_SUPPORT, NUM_BUCKETS, TEST_FRACTION, TOPICS, TRIGGER_INTERVAL,
                      USER_TOPIC, WATERMARK_DELAY)
 from .session import get_session, materialize
@@ -95,7 +96,14 @@ def user_topic(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_features(spark: SparkSession, a: argparse.Namespace) -> None:
-    labeled = materialize(V.customer_value(raw_events(spark, a.raw)))
+    """With ``--state`` the days from ``--first`` to ``--last`` alone are read, and the features come from the
+    partials of all days run so far."""
+    ev = raw_events(spark, a.raw)
+    if a.state:
+        if not a.first:
+            raise SystemExit("--state needs --first, the first day to run")
+        features_by_day.update_days(ev, a.state, a.first, a.last)
+    labeled = materialize(features_by_day.customer_value(spark, a.state) if a.state else V.customer_value(ev))
     SK.write_csv(labeled, f"{a.out}/csv")
     labeled.write.mode("overwrite").parquet(f"{a.out}/parquet")
 
@@ -138,7 +146,10 @@ def run_recommend(spark: SparkSession, a: argparse.Namespace) -> None:
     RC.recommend_for_all(user_topic(spark, a.raw), spark.read.parquet(a.products), rules, itemsets).write.mode("overwrite").parquet(a.out)
 
 
-def run_compact(spark: SparkSession, a: argparse.Namespace) -> None:
+def run_compact(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, str]] | None:
+    """With ``--changed`` returns the days that were rewritten."""
+    if a.changed:
+        return CO.compact(spark, a.raw, a.out, a.target_mb << 20)
     SK.bucketed_compaction(spark, raw_events(spark, a.raw), a.table, a.buckets, a.out)
 
 
@@ -177,7 +188,12 @@ def parser() -> argparse.ArgumentParser:
     s = job("compact", "raw")
     s.add_argument("--table", default="customer_events")
     s.add_argument("--buckets", type=int, default=NUM_BUCKETS)
-    job("features", "raw")
+    s.add_argument("--changed", action="store_true")
+    s.add_argument("--target-mb", type=int, default=128, help="with --changed: megabytes of a file, about")
+    s = job("features", "raw")
+    s.add_argument("--state", help="folder of day partials")
+    s.add_argument("--first", help="with --state: first day to run")
+    s.add_argument("--last", help="with --state: last day to run, default --first")
     job("model", "labels")
     job("baskets", "raw")
     s = job("rules", "raw")

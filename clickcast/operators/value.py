@@ -25,10 +25,10 @@ def _logged_in(events: DataFrame) -> DataFrame:
     return ev
 
 
-def session_rollup(events: DataFrame) -> DataFrame:
-    """Per (user, session): per-type counts, add/transaction flags, first/last times."""
+def session_rollup(events: DataFrame, *keys: str) -> DataFrame:
+    """Per (user, session) and further ``keys``: per-type counts, add/transaction flags, first/last times."""
     t = F.col("event_type")
-    return _logged_in(events).groupBy("user_id", "session_id").agg(
+    return _logged_in(events).groupBy("user_id", "session_id", *keys).agg(
         F.count(F.lit(1)).alias("n"),
         count_if(t == "view").alias("views"),
         count_if(t == "add_to_cart").alias("adds"),
@@ -43,11 +43,28 @@ def session_rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def merged_sessions(parts: DataFrame) -> DataFrame:
+    """The rollup of all events out of rollups of some of them each: counts add up, times widen."""
+    sums = ("n", "views", "adds", "removes", "txs", "refunds", "shown", "clicked")
+    return parts.groupBy("user_id", "session_id").agg(
+        *(F.sum(c).alias(c) for c in sums), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"), F.max("last_tx").alias("last_tx"))
+
+
+def user_products(events: DataFrame, *keys: str) -> DataFrame:
+    """The distinct (user, product), by further ``keys``."""
+    return _logged_in(events).filter(F.col("product_id").isNotNull()).select("user_id", "product_id", *keys).distinct()
+
+
 def customer_counts(events: DataFrame) -> DataFrame:
     """Per user counts, first/last time, distinct sessions and products, abandoned sessions
     and last transaction time. Two-level aggregation (user-session, then user) instead of
     distinct aggregates, so no row expansion happens before the shuffle."""
-    s = session_rollup(events)
+    return counts_of(session_rollup(events), user_products(events))
+
+
+def counts_of(sessions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``customer_counts`` from one row per (user, session) and one per (user, product)."""
+    s = sessions
     per_user = s.groupBy("user_id").agg(
         F.sum("n").cast("bigint").alias("total_events"),
         F.sum("views").cast("bigint").alias("view_count"),
@@ -63,9 +80,7 @@ def customer_counts(events: DataFrame) -> DataFrame:
         count_if((F.col("adds") > 0) & (F.col("txs") == 0)).alias("abandoned_cart_sessions"),
         F.max("last_tx").alias("last_transaction_time"),
     )
-    products = (_logged_in(events).filter(F.col("product_id").isNotNull())
-                .select("user_id", "product_id").distinct()
-                .groupBy("user_id").agg(F.count(F.lit(1)).cast("bigint").alias("unique_products")))
+    products = pairs.groupBy("user_id").agg(F.count(F.lit(1)).cast("bigint").alias("unique_products"))
     return (per_user.join(products, "user_id", "left")
             .withColumn("unique_products", F.coalesce("unique_products", F.lit(0).cast("bigint"))))
 
@@ -80,8 +95,13 @@ def abandoned_cart_sessions(events: DataFrame) -> DataFrame:
 def customer_value_features(events: DataFrame) -> DataFrame:
     """The 14 model features per user. The snapshot is the latest event time of the input
     (a one-row scalar aggregate, cross joined)."""
+    return features_of(customer_counts(events))
+
+
+def features_of(counts: DataFrame) -> DataFrame:
+    """The features of ``customer_counts`` rows."""
     # per-user rows, read twice (features and the snapshot): one pass over the events
-    c = materialize(customer_counts(events))
+    c = materialize(counts)
     c = c.withColumn("snapshot", c.agg(F.max("last_event_time")).scalar())
     days = F.least(F.coalesce(elapsed_days(F.col("snapshot"), F.col("last_transaction_time")),
                               F.lit(NO_TX_DAYS)), F.lit(NO_TX_DAYS)).cast("bigint")

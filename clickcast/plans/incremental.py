@@ -27,11 +27,11 @@ SCHEMAS = {
 KINDS = {"customer": "k is not null", "registered": "reg", "anonymous": "anon"}
 
 
-def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return SK.read_parquet_or_empty(spark, f"{path}/{name}", SCHEMAS[name])
+def read_partials(spark: SparkSession, path: str, name: str, schemas: dict[str, str] = SCHEMAS) -> DataFrame:
+    return SK.read_parquet_or_empty(spark, f"{path}/{name}", schemas[name])
 
 
-def _replace(df: DataFrame, path: str, name: str, first: str, last: str | None) -> None:
+def replace_days(df: DataFrame, path: str, name: str, first: str, last: str | None) -> None:
     """Write ``df`` in place of the days from ``first`` to ``last``; days without rows are emptied too. A
     run that failed in between is repaired by running it again."""
     spark = df.sparkSession
@@ -54,27 +54,27 @@ def update_days(events: DataFrame, path: str, first: str, last: str | None = Non
     own = days(events, first, last)
     k = F.coalesce("user_id", "visitor_id")
     customers = own.filter(F.col("topic") == USER_TOPIC).groupBy(k.alias("k"), "event_date").agg(*A.rollup_aggs())
-    _replace(customers, path, "customers", first, last)
+    replace_days(customers, path, "customers", first, last)
     counts = own.groupBy("topic", "event_type", "product_id", "event_date").agg(F.count(F.lit(1)).alias("n"))
-    _replace(counts, path, "counts", first, last)
+    replace_days(counts, path, "counts", first, last)
     _refresh_first_seen(events.sparkSession, path, first)
 
 
 def _refresh_first_seen(spark: SparkSession, path: str, first: str) -> None:
     """``first_seen`` from ``first`` on: the first day of each key among the partials of these days, but
     for keys that an earlier day has. One row per kind and key for ever, however many days."""
-    later = _read(spark, path, "customers").filter(F.col("event_date") >= F.lit(first).cast("date"))
+    later = read_partials(spark, path, "customers").filter(F.col("event_date") >= F.lit(first).cast("date"))
     by_key = later.groupBy("k").agg(*(F.min(F.when(F.expr(c), F.col("event_date"))).alias(kind) for kind, c in KINDS.items()))
     rows = by_key.select("k", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("event_date")) for kind in KINDS))).alias("s"))
     rows = rows.select("s.kind", "k", "s.event_date").filter("event_date is not null")
-    before = _read(spark, path, "first_seen").filter(F.col("event_date") < F.lit(first).cast("date"))
-    _replace(rows.join(before.select("kind", "k"), ["kind", "k"], "left_anti"), path, "first_seen", first, None)
+    before = read_partials(spark, path, "first_seen").filter(F.col("event_date") < F.lit(first).cast("date"))
+    replace_days(rows.join(before.select("kind", "k"), ["kind", "k"], "left_anti"), path, "first_seen", first, None)
 
 
 def summary(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
     """The one-row summary as of a day (default: the last one with user events). It reads
     ``first_seen``, one row per customer, and ``counts``; no events."""
-    seen, counts = (A.as_of(_read(spark, path, n), as_of) for n in ("first_seen", "counts"))
+    seen, counts = (A.as_of(read_partials(spark, path, n), as_of) for n in ("first_seen", "counts"))
     user = F.col("topic") == USER_TOPIC
 
     def total(what, name):
@@ -99,7 +99,7 @@ def summary(spark: SparkSession, path: str, as_of: str | None = None) -> DataFra
 def report(spark: SparkSession, path: str, as_of: str | None = None) -> dict[str, DataFrame]:
     """Summary and the eight rankings as of a day, from the partials alone; names and rows as in
     ``daily.build_report``."""
-    customers, counts = (A.as_of(_read(spark, path, n), as_of) for n in ("customers", "counts"))
+    customers, counts = (A.as_of(read_partials(spark, path, n), as_of) for n in ("customers", "counts"))
     of_user = counts.filter(F.col("topic") == USER_TOPIC)
     tpc = of_user.groupBy("event_type", "product_id").agg(F.sum("n").alias("n"))
     whole = customers.groupBy("k").agg(F.bool_or("reg").alias("reg"), F.bool_or("anon").alias("anon"), F.sum("n").alias("n"))

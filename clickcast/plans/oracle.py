@@ -275,6 +275,7 @@ register("flat_event_export", q(
     "select user_id, nullif(visitor_id, '') as visitor_id, session_id, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') as timestamp, event_type, "
     "product_id, is_recommended::varchar as is_recommended, order_id_for_refund from ue"))
 register("bucketed_compaction", q(f"select {KEYED_COLS} from allv"))
+register("incremental_compaction", q(f"select {KEYED_COLS} from allv"))
 DUMPS = q(f"""
 select {KEYED_COLS}, 'user_events' as dump from ue
 union all select {KEYED_COLS}, 'recommendation_events' from rec
@@ -382,6 +383,7 @@ select user_id, transaction_count, add_count, remove_count, view_count, refund_c
   round(cart_abandon_rate, 6) as cart_abandon_rate, round(recommendation_ctr, 6) as recommendation_ctr,
   days_since_last_tx, round(events_per_day, 6) as events_per_day, active_days
 from feat""", VALUE_CTES))
+register("customer_value_features_incremental", ORACLE["customer_value_features"])
 register("customer_value_score", q("select user_id, round(value_score, 6) as value_score from scored", VALUE_CTES))
 register("customer_value_label", q(
     "select user_id, round(value_score, 6) as value_score, cast(value_label as integer) as value_label from labeled",

@@ -16,6 +16,7 @@ from ..functions import exprs as X
 from ..operators import activity as AC
 from ..operators import analytics as A
 from ..operators import carts as CT
+from ..operators import compaction as CO
 from ..operators import catalog as CG
 from ..operators import champion as CH
 from ..operators import enrich as EN
@@ -36,6 +37,7 @@ from ..streaming import carts as SCT
 from ..streaming import ingest as SI
 from ..streaming import metrics as SM
 from ..streaming import notifier as SNT
+from . import features_by_day as FD
 from . import incremental as INC
 from . import inputs as I
 
@@ -97,6 +99,33 @@ def _most_active_incremental(s, d):
     return r["most_active_users"]
 
 
+@query("customer_value_features_incremental")
+def _features_incremental(s, d):
+    """Features from day partials: a first half that lacks a tenth of its events, the second half, then the
+    first half again with its late events."""
+    raw, state = scratch(s, "events_by_day"), scratch(s, "feature_state")
+    SK.write_raw_events(I.all_validated(s, d), raw, mode="overwrite")
+    ev = s.read.parquet(raw)
+    lo, hi = ev.agg(F.min("event_date"), F.max("event_date")).first()
+    half = lo + (hi - lo) / 2
+    FD.update_days(ev.filter("id % 10 < 9"), state, lo, half)
+    FD.update_days(ev, state, half, hi)
+    FD.update_days(ev, state, lo, half)
+    return _round_features(FD.customer_value_features(s, state))
+
+
+@query("incremental_compaction")
+def _incremental_compaction(s, d):
+    """Events landed in two parts, compacted after each: the second run writes the days of the second part."""
+    raw, out = scratch(s, "events_by_day"), scratch(s, "compacted")
+    ev = I.landed(s, d)
+    SK.write_raw_events(ev.filter("id % 3 > 0"), raw)
+    CO.compact(s, raw, out)
+    SK.write_raw_events(ev.filter("not coalesce(id % 3 > 0, false)"), raw)
+    CO.compact(s, raw, out)
+    return s.read.parquet(f"{out}/data").select(KEYED)
+
+
 # --- ingest: decode, key, validate -------------------------------------------------------
 
 
