@@ -200,3 +200,23 @@ def test_grams_of_many_characters():
     want = [(d, s[i:i + K.ORDER]) for d, s in enumerate(map(K.symbols, texts)) for i in range(len(s) - K.ORDER + 1)]
     assert [(int(d), found[g]) for g, d in zip(gram, doc)] == want
     assert len(set(found)) == len(found)
+
+
+def test_counts_without_the_own_document():
+    texts = [["a", "b", "a"], ["a"], [], ["c", "b"]]
+    names = ["a", "b", "c"]
+    word = np.array([names.index(w) for t in texts for w in t])
+    doc = np.repeat(np.arange(4), [len(t) for t in texts])
+    total = np.array([sum(t.count(n) for t in texts) for n in names])
+    want = [sum(t.count(w) for j, t in enumerate(texts) if j != i) for i, own in enumerate(texts) for w in own]
+    assert lm.others(total[word], word, doc, 3).tolist() == want
+    none = lm.mixtures((0.25,), np.array([0.0, 0.5]), np.log([0.1, 0.2]))[0]
+    assert np.exp(none) == pytest.approx([0.075, 0.275])
+
+
+def test_lm_learns_what_held_out_texts_say(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in np.minimum(rng.geometric(0.05, 40), 90)), "en", "a", 1) for i in range(1500)]
+    held = [r for r in lm.score(docs(spark, rows)).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.n_tokens for r in held) * np.log10(1 / 92)
+    assert sum(r.score for r in held) > 1.05 * sum(r.base_score for r in held)
