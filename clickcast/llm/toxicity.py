@@ -1,16 +1,17 @@
 """Operator 8: toxicity by a weighted finite-state pattern grammar.
 
-Tokens of a clause pass through small transducers: one marks insults (a lexicon of words and word
-stems induced from training labels), others threats, targets, negation and reported speech. Their
-composition is one weighted automaton whose state remembers a target seen, a negation in force and
-reported speech; a match scores the clause it is in, raised by a target, lowered by negation or
-quoting. A logistic curve over the clause scores, fitted to the training labels, gives the score.
+Five transducers read a document's tokens one after the other. The insult transducer spells a word
+and writes its class, with the weight of the longest listed stem (a lexicon induced from training
+labels) on the arc. Those of negation, reported speech, threat and target rewrite classes and put
+factors on their arcs. Their composition is one automaton, built once as a table; it scores a clause
+when it reads its end. A logistic curve over the clause scores, fitted to the training labels, gives
+the score.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +24,6 @@ from pyspark.sql import types as T
 from clickcast.llm.common import few_rows_at_once, landed, tidy
 
 MAX_LABELLED = 20_000     # labelled training rows that the lexicon and the curve are fitted to, at most
-MAX_TERMS = 2_000         # terms of the lexicon, at most
 MIN_DOCS, MIN_PRECISION = 3, 0.85
 MIN_EVIDENCE = 9.0        # log-likelihood gain over the toxic share, about the log of the terms tried
 STEMS = (3, 4, 5, 6, 7, 8)  # lengths of word beginnings that may be a stem; whole words up to 8 letters end in $
@@ -36,8 +36,7 @@ NEGATIONS = frozenset("not no never none neither nor dont doesnt isnt arent nich
 REPORTS = frozenset("said says say wrote writes called calls quoted quote reported sagte sagt schrieb dit écrit dijo dice escribió".split())
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,|\n\"“”«»]")
-CLAUSE_END = frozenset(".!?;:,|\n")
-QUOTES = frozenset("\"“”«»")
+PAUSES, ENDS, QUOTES = frozenset(":,"), frozenset(".!?;|\n"), frozenset("\"“”«»")
 
 
 class Lexicon(NamedTuple):
@@ -70,46 +69,136 @@ def terms_of(found: list[str]) -> set[str]:
     return out
 
 
-def clause_scores(found: list[str], weight) -> list[float]:
-    """Runs the composed automaton over a document's tokens; the scores of its matching clauses."""
-    out, score, target, negated, reported, quoted = [], 0.0, False, 0, False, False
-    threat = False
+# ---------------------------------------------------------------- the transducers
+
+#: Classes that the transducers read and write. The last three are ends of clauses, as written by those
+#: of reported speech and threat.
+OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT, QUOTE, PAUSE, END, END_SAID, END_THREAT, END_THREAT_SAID = range(12)
+N_CLASSES = 12
+
+
+class Arc(NamedTuple):
+    """Reads a class, goes to state ``to`` and writes ``out``. A word's weight w counts w * ``gain`` in its
+    clause; an end of a clause turns its sum x into x * ``factor`` + ``bonus``."""
+
+    to: int
+    out: int
+    gain: float = 1.0
+    factor: float = 1.0
+    bonus: float = 0.0
+
+
+Transducer = list[list[Arc]]  # [state][class read]; state 0 is the first
+
+
+def transducer(n_states: int, arc) -> Transducer:
+    return [[arc(s, c) for c in range(N_CLASSES)] for s in range(n_states)]
+
+
+def word_class(token: str, weight) -> tuple[int, float]:
+    """What the insult transducer writes for a whole token, and the weight on its way."""
+    if token in QUOTES:
+        return QUOTE, 0.0
+    if token in PAUSES:
+        return PAUSE, 0.0
+    if token in ENDS:
+        return END, 0.0
+    for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)):
+        if token in words:
+            return c, 0.0
+    w = weight(token)
+    return (INSULT, w) if w else (OTHER, 0.0)
+
+
+def negation_arc(s: int, c: int) -> Arc:
+    """State: tokens that the negation still reaches. A negated threat is none, a negated insult weighs less."""
+    if c in (PAUSE, END):
+        return Arc(0, c)
+    if c == QUOTE:
+        return Arc(s, c)
+    to = NEGATION_REACH if c == NEGATION else max(0, s - 1)
+    return Arc(to, OTHER if s and c == THREAT else c, gain=0.4 if s and c == INSULT else 1.0)
+
+
+def report_arc(s: int, c: int) -> Arc:
+    """State: 1 after a verb of saying, until an end that is no pause; plus 2 inside quotes."""
+    said, quoted = s & 1, s & 2
+    if c == QUOTE:
+        return Arc(said | (2 - quoted), OTHER)
+    if c == REPORT:
+        return Arc(1 | quoted, OTHER)
+    if c in (PAUSE, END):
+        return Arc(quoted | (said if c == PAUSE else 0), END_SAID if s else END)
+    return Arc(s, c, gain=0.5 if c == INSULT and s == 3 else 1.0)
+
+
+def threat_arc(s: int, c: int) -> Arc:
+    """State: 1 after a threat of this clause."""
+    if c == THREAT:
+        return Arc(1, OTHER)
+    if c in (END, END_SAID):
+        return Arc(0, (END_THREAT if c == END else END_THREAT_SAID) if s else c)
+    return Arc(s, c)
+
+
+def target_arc(s: int, c: int) -> Arc:
+    """State: 1 after a target of this clause, which raises it and makes a threat count."""
+    if c == TARGET:
+        return Arc(1, OTHER)
+    if c < END:
+        return Arc(s, c)
+    threat = {END_THREAT: 1.0, END_THREAT_SAID: 0.3}.get(c, 0.0)
+    return Arc(0, END, factor=1.5, bonus=1.5 * threat) if s else Arc(0, END)
+
+
+CASCADE = (transducer(NEGATION_REACH + 1, negation_arc), transducer(4, report_arc), transducer(2, threat_arc), transducer(2, target_arc))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The transducer that reads as ``a`` and writes what ``b`` writes for a's output. Its states are the
+    reachable pairs of states; gains and factors multiply, as sums pass through both."""
+    number, out = {(0, 0): 0}, []
+    for p, q in (pairs := [(0, 0)]):  # grows while it is read
+        row = []
+        for first in a[p]:
+            then = b[q][first.out]
+            pair = (first.to, then.to)
+            if pair not in number:
+                number[pair] = len(pairs)
+                pairs.append(pair)
+            row.append(Arc(number[pair], then.out, first.gain * then.gain, first.factor * then.factor, first.bonus * then.factor + then.bonus))
+        out.append(row)
+    return out
+
+
+GRAMMAR = reduce(compose, CASCADE)
+
+
+def clause_scores(found: list[str], classes) -> list[float]:
+    """Runs the composed automaton over a document's tokens; the scores of its matching clauses.
+    ``classes`` maps a token to (class, weight)."""
+    out, x, state = [], 0.0, GRAMMAR[0]
     for t in found:
-        if t in CLAUSE_END:
-            if threat and target:
-                score += 1.0 * (0.3 if reported or quoted else 1.0)
-            if score:
-                out.append(score * (1.5 if target else 1.0))
-            score, target, negated, threat = 0.0, False, 0, False
-            reported = reported and t in ":,"
-            continue
-        if t in QUOTES:
-            quoted = not quoted
-            continue
-        if t in TARGETS:
-            target = True
-        elif t in NEGATIONS:
-            negated = NEGATION_REACH + 1
-        elif t in REPORTS:
-            reported = True
-        elif t in THREATS:
-            threat = not negated
-        elif w := weight(t):
-            score += w * (0.4 if negated else 1.0) * (0.5 if reported and quoted else 1.0)
-        negated = max(0, negated - 1)
-    if threat and target:
-        score += 1.0 * (0.3 if reported or quoted else 1.0)
-    if score:
-        out.append(score * (1.5 if target else 1.0))
+        c, w = classes(t)
+        to, written, gain, factor, bonus = state[c]
+        state = GRAMMAR[to]
+        if w:
+            x += w * gain
+        elif written == END:
+            if x := x * factor + bonus:
+                out.append(x)
+            x = 0.0
+    if x := x * state[END].factor + state[END].bonus:
+        out.append(x)
     return out
 
 
 N_FEATURES = 3
 
 
-def features(text: str | None, weight) -> list[float]:
+def features(text: str | None, classes) -> list[float]:
     found = tokens(text)
-    scores = clause_scores(found, weight) if found else []
+    scores = clause_scores(found, classes) if found else []
     if not scores:
         return [0.0] * N_FEATURES
     total = sum(scores)
@@ -118,10 +207,7 @@ def features(text: str | None, weight) -> list[float]:
 
 def memo(lexicon: Lexicon):
     """The insult transducer with its last answers kept; most tokens recur."""
-    heads = {k[:STEMS[0]] for k in lexicon.terms if not k.endswith("$")}
-    wholes = {k[:-1] for k in lexicon.terms if k.endswith("$")}
-    slow = lru_cache(1 << 16)(lexicon.weight)
-    return lambda t: slow(t) if t[:STEMS[0]] in heads or t in wholes else 0.0
+    return lru_cache(1 << 17)(lambda token: word_class(token, lexicon.weight))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -153,7 +239,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     gain = F.col("toxic") * F.log(F.col("toxic") / n / F.col("p")) + F.when(F.col("clean") > 0, F.col("clean") * F.log(
         F.col("clean") / n / (1 - F.col("p")))).otherwise(0.0)
     precise = precise.withColumn("p", share.scalar()).filter((F.col("p") < 1) & (gain >= MIN_EVIDENCE))
-    rows = precise.orderBy(F.col("toxic").desc(), F.length("term"), "term").limit(MAX_TERMS).collect()
+    rows = precise.collect()  # bounded by the words of the toxic texts among at most MAX_LABELLED ids
     return Lexicon(chosen({r.term: (r.toxic, r.clean) for r in rows}))
 
 
@@ -202,9 +288,9 @@ def train_model(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -
     lexicon = learn_lexicon(rows)
 
     def measure(batches):
-        weight = memo(lexicon)
+        classes = memo(lexicon)
         for pdf in batches:
-            x = [features(t, weight) for t in pdf["text"]]
+            x = [features(t, classes) for t in pdf["text"]]
             yield pd.DataFrame([(*f, float(y > 0)) for f, y in zip(x, pdf["toxic"])], columns=[*(f"f{k}" for k in range(N_FEATURES)), "y"])
 
     schema = ", ".join(f"f{k} double" for k in range(N_FEATURES)) + ", y double"
@@ -219,10 +305,10 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
     names = docs.columns
 
     def run(batches):
-        weight = memo(model.lexicon)
+        classes = memo(model.lexicon)
         for rb in batches:
             texts = rb.column("text").to_pylist()
-            x = np.array([features(t, weight) for t in texts]).reshape(len(texts), N_FEATURES)
+            x = np.array([features(t, classes) for t in texts]).reshape(len(texts), N_FEATURES)
             z = model.curve[0] + x @ model.curve[1:]
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in names), pa.array(1 / (1 + np.exp(-z)), pa.float64())], [*names, column])
 

@@ -157,7 +157,8 @@ def test_rare_language_keeps_its_own_threshold_under_many_labels(spark):
 
 def test_clauses_rise_with_a_target_and_fall_with_negation_and_reports():
     weight = {"idiot": 1.0}.get
-    run = lambda t: sum(toxicity.clause_scores(toxicity.tokens(t), lambda x: weight(x, 0.0)))
+    classes = lambda t: toxicity.word_class(t, lambda x: weight(x, 0.0))
+    run = lambda t: sum(toxicity.clause_scores(toxicity.tokens(t), classes))
     plain = run("the idiot came")
     assert run("you are an idiot") > plain > run("he is not an idiot") > 0
     assert run('she said "idiot" today') < plain
@@ -166,6 +167,69 @@ def test_clauses_rise_with_a_target_and_fall_with_negation_and_reports():
     assert run("idiot, idiot") > plain
 
 
+def by_hand(found, weight):
+    """The clause scores by the rules of the grammar, without automata."""
+    out, clause, said, quoted = [], [], False, False
+    for t in [*found, "."]:
+        if t in toxicity.PAUSES | toxicity.ENDS:
+            words = [w for w, *_ in clause]
+            negated = lambda i: any(w in toxicity.NEGATIONS for w in words[max(0, i - toxicity.NEGATION_REACH):i])
+            x = sum(weight(w) * (0.4 if negated(i) else 1) * (0.5 if both else 1) for i, (w, both) in enumerate(clause))
+            target = any(w in toxicity.TARGETS for w in words)
+            if target and any(w in toxicity.THREATS and not negated(i) for i, w in enumerate(words)):
+                x += 0.3 if said or quoted else 1.0
+            if x:
+                out.append(x * (1.5 if target else 1))
+            clause, said = [], said and t in toxicity.PAUSES
+        elif t in toxicity.QUOTES:
+            quoted = not quoted
+        else:
+            said = said or t in toxicity.REPORTS
+            clause.append((t, said and quoted))
+    return out
+
+
+def cascade(found, classes):
+    """One transducer after the other, each over all that the one before wrote."""
+    read = [classes(t) for t in found] + [(toxicity.END, 0.0)]
+    arcs = [[] for _ in read]
+    told = [c for c, _ in read]
+    for machine in toxicity.CASCADE:
+        state = 0
+        for i, c in enumerate(told):
+            arc = machine[state][c]
+            arcs[i].append(arc)
+            state, told[i] = arc.to, arc.out
+    out, x = [], 0.0
+    for (_, w), own, c in zip(read, arcs, told):
+        x += w * math.prod(a.gain for a in own)
+        if c == toxicity.END:
+            for a in own:
+                x = x * a.factor + a.bonus
+            out += [x] if x else []
+            x = 0.0
+    return out
+
+
+def test_the_composed_grammar_equals_its_cascade_and_the_rules():
+    weight = lambda t: {"idiot": 1.0, "dolt": 0.7}.get(t, 0.0)
+    classes = lambda t: toxicity.word_class(t, weight)
+    words = ["idiot", "dolt", "you", "not", "never", "said", "kill", "hurt", "house", "tree", ".", ",", ":", '"', "\n"]
+    rng = random.Random(8)
+    for _ in range(3000):
+        found = [rng.choice(words) for _ in range(rng.randrange(25))]
+        got = toxicity.clause_scores(found, classes)
+        assert got == pytest.approx(cascade(found, classes)) and got == pytest.approx(by_hand(found, weight)), found
+    assert len(toxicity.GRAMMAR) <= math.prod(map(len, toxicity.CASCADE))
+
+
+def test_every_precise_term_is_kept(spark):
+    """No limit on the lexicon: 2,500 words that only toxic texts have."""
+    rows = [(" ".join(f"{w}" for w in names), 1) for names in [[chr(97 + k // 676 % 26) + chr(97 + k // 26 % 26) + chr(97 + k % 26) + "zq" for k in range(2500)]] * 20]
+    rows += [(f"plain words {k}", 0) for k in range(400)]
+    assert len(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")).terms) > 2000
+
+
 def test_toxicity_cases(spark):
     got = toxicity.toxicity(docs(spark), labels(spark)).collect()
     assert len(got) == len(DOCS)
