@@ -6,7 +6,9 @@
     export     landed raw events -> flat CSV
     compact    landed raw events -> a table bucketed by customer; with --changed few files of the days with new ones
     features   landed raw events -> value features, scores and labels per user (CSV); with --state by day partials
-    model      labels -> a fitted value model, its held-out metrics and feature importances
+    model      labels -> a fitted value model, its held-out metrics and feature importances; with --runs recorded among the runs
+    score      labels, users and landed raw events -> labels of the other users by the champion of the recorded runs
+    rollback   withdraws a recorded run; prints the champion that the remaining ones give
     baskets    landed raw events -> session baskets (CSV)
     rules      landed raw events -> frequent itemsets and association rules (Parquet)
     predict    landed raw events and rules -> items predicted per basket
@@ -20,8 +22,10 @@ import argparse
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import carts as CT
 from .operators import compaction as CO
 from .operators import ingest as IG
+from .operators import model_runs as MR
 from .operators import recommend as RC
 from .operators import rules as RU
 from .operators import sessions as SS
@@ -110,14 +114,32 @@ def run_features(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_model(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Fits on the labels that ``features`` wrote; returns the held-out metrics."""
-    model, held_out = VM.train_value_model(spark.read.parquet(a.labels))
+    model, held_out = VM.train_value_model(spark.read.parquet(a.labels), num_trees=a.trees, max_depth=a.depth)
     model.write().overwrite().save(f"{a.out}/model")
     metrics = materialize(VM.classification_metrics(held_out))
+    if a.runs:
+        MR.record(spark, a.runs, a.name, model, metrics.first()["macro_f1"], f"trees={a.trees} depth={a.depth}", a.run)
     metrics.write.mode("overwrite").json(f"{a.out}/metrics")
     VM.feature_importance(model).write.mode("overwrite").json(f"{a.out}/importance")
     return metrics.first().asDict()
 
 
+def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
+    labels, users = spark.read.parquet(a.labels), files.read_users_csv(spark, a.users)
+    MR.score_by_champion(users, labels, CT.cart_contents(user_topic(spark, a.raw)), a.runs, a.name).write.mode("overwrite").parquet(a.out)
+
+
+def run_rollback(spark: SparkSession, a: argparse.Namespace) -> str | None:
+    """Returns the run that is champion now, None if there is none."""
+    MR.withdraw(spark, a.runs, a.run)
+    try:
+        now = MR.champion(spark, a.runs, a.name)[0]
+    except LookupError:
+        now = None
+    print(f"champion of {a.name}: {now}")
+    return now
+
+
 def run_baskets(spark: SparkSession, a: argparse.Namespace) -> None:
     SK.write_csv(SS.session_baskets(user_topic(spark, a.raw)), a.out)
 
@@ -194,7 +216,18 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--state", help="folder of day partials")
     s.add_argument("--first", help="with --state: first day to run")
     s.add_argument("--last", help="with --state: last day to run, default --first")
-    job("model", "labels")
+    s = job("model", "labels")
+    s.add_argument("--trees", type=int, default=VM.N_TREES)
+    s.add_argument("--depth", type=int, default=VM.MAX_DEPTH)
+    s.add_argument("--runs", help="folder of recorded runs")
+    s.add_argument("--run", help="with --runs: id of this run")
+    s.add_argument("--name", default="customer_value", help="with --runs: name of the model")
+    s = job("score", "runs", "labels", "users", "raw")
+    s.add_argument("--name", default="customer_value")
+    s = jobs.add_parser("rollback")
+    for n in ("runs", "run"):
+        s.add_argument(f"--{n}", required=True)
+    s.add_argument("--name", default="customer_value")
     job("baskets", "raw")
     s = job("rules", "raw")
     s.add_argument("--support", type=float, default=MIN_SUPPORT)
@@ -206,7 +239,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 RUN = {"ingest": run_ingest, "notify": run_notify, "daily": run_daily, "export": run_export, "compact": run_compact, "features": run_features,
-       "model": run_model, "baskets": run_baskets, "rules": run_rules, "predict": run_predict, "recommend": run_recommend}
+       "model": run_model, "score": run_score, "rollback": run_rollback, "baskets": run_baskets, "rules": run_rules, "predict": run_predict, "recommend": run_recommend}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):

@@ -84,11 +84,16 @@ def classification_metrics(pred: DataFrame, label: str = "value_label",
         (F.sum(F.col("f1") * F.col("support")).over(every) / F.sum("support").over(every)).alias("weighted_f1"))
 
 
+def with_folds(labeled: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
+    """Each row's fold ``_fold``: the folds share out each label's rows evenly."""
+    return with_rank(labeled).withColumn("_fold", F.col("_rank") % folds)
+
+
 def cross_validate(labeled: DataFrame, folds: int = CV_FOLDS, num_trees: int = N_TREES,
                    max_depth: int = MAX_DEPTH) -> DataFrame:
     """k stratified folds; one fit per fold (a distributed fit each); macro F1 per fold, then mean
     and population std (ddof 0) as one row."""
-    d = materialize(with_rank(_prepare(labeled)).withColumn("_fold", F.col("_rank") % folds))
+    d = materialize(with_folds(_prepare(labeled), folds))
     scores = []
     for k in range(folds):
         train = class_weights(d.filter(F.col("_fold") != k))
@@ -111,14 +116,18 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     return s.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
 
-def score_unlabeled(model: PipelineModel, users: DataFrame, labeled: DataFrame, cart: DataFrame) -> DataFrame:
-    """Users without a label get a prediction from a mostly-zero feature row: add_count =
-    their cart size, unique_sessions = 1 (the notifier's fallback)."""
+def unlabeled_rows(users: DataFrame, labeled: DataFrame, cart: DataFrame) -> DataFrame:
+    """A mostly-zero feature row for each user without a label: add_count = their cart size,
+    unique_sessions = 1 (the notifier's fallback)."""
     uid = users.select(F.col("id").cast("string").alias("user_id"))
     missing = uid.join(labeled.select("user_id"), "user_id", "left_anti")
     size = cart.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items"))
-    row = missing.join(size, "user_id", "left").select(
+    return missing.join(size, "user_id", "left").select(
         "user_id", *[(F.coalesce(F.col("n_items"), F.lit(0)) if c == "add_count"
                       else F.lit(1) if c == "unique_sessions" else F.lit(0)).cast("double").alias(c)
                      for c in VALUE_FEATURES])
-    return model.transform(row).select("user_id", F.col("prediction").cast("int").alias("value_label"))
+
+
+def score_unlabeled(model: PipelineModel, users: DataFrame, labeled: DataFrame, cart: DataFrame) -> DataFrame:
+    """Users without a label get a prediction from their fallback row."""
+    return model.transform(unlabeled_rows(users, labeled, cart)).select("user_id", F.col("prediction").cast("int").alias("value_label"))

@@ -683,6 +683,15 @@ register("product_search", q("""
 select id, title, category, price, (select count(*) from sp where title ilike '%RED%') as total,
   cast(ceil((select count(*) from sp where title ilike '%RED%') / 20) as bigint) as pages
 from sp where title ilike '%RED%' order by id limit 20 offset 20"""))
+def _title_pages() -> str:
+    hits = "select id, title, price, row_number() over (order by id) as k, count(*) over () as total from sp where title ilike '%{}%'"
+    page = "select '{}' as page, id, title, price, total from ({}) x where k between {} and {}"
+    pages = [page.format("first", hits.format("RED"), 1, 20), page.format("second", hits.format("RED"), 21, 40)]
+    pages += [page.format(t, hits.format(t), 1, 100) for t in ("b", "Lu", "een l", "%ss%u%", "no such title")]
+    return "\nunion all ".join(pages)
+
+
+register("product_search_indexed", q(_title_pages()))
 register("products_in_category", q("""
 select id, title, category, price, (select count(*) from sp where category = (select category from sp order by id limit 1)) as total,
   cast(ceil((select count(*) from sp where category = (select category from sp order by id limit 1)) / 20) as bigint) as pages
@@ -856,3 +865,24 @@ from (select *, case when tp > 0 then 2 * precision * recall / (precision + reca
             select cast(value_label as integer) as y,
               case when transaction_count >= 19 then 2 when transaction_count >= 15 then 1 else 0 end as p from labeled) x
           group by label) a where support + said > 0) b) d""", VALUE_CTES))
+
+_UNLABELED = """su_ids as (select cast(id as varchar) as user_id from su),
+unlabeled as (
+  select u.user_id, (select count(*) from cart c where c.user_id = u.user_id) as add_count
+  from su_ids u where u.user_id not in (select user_id from labeled))
+"""
+register("value_model_invariants", q("""
+select 'predicted' as kind, user_id as key, cast(value_label as bigint) as value from split where is_test
+union all select 'support', cast(value_label as varchar), count(*) from split where is_test group by value_label
+union all select 'features', 'all', 14
+union all select 'fold', cast(k % 5 as varchar) || '/' || cast(value_label as varchar), count(*) from split group by k % 5, value_label
+union all select 'scored', user_id, add_count from unlabeled""", CART_CTES + """,
+split as (
+  select user_id, cast(value_label as integer) as value_label, k, k < round(n * 0.2) as is_test from (
+    select user_id, value_label, count(*) over (partition by value_label) as n,
+      row_number() over (partition by value_label order by md5('42:' || user_id), user_id) - 1 as k from labeled) r),
+""" + _UNLABELED))
+register("champion_of_fits", q("""
+select state, n_runs, true as best, user_id, true as by_champion, true as labeled
+from unlabeled cross join (values ('fitted', 3::bigint), ('rolled back', 2::bigint)) s(state, n_runs)""", CART_CTES + """,
+""" + _UNLABELED))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +22,13 @@ from ..operators import catalog as CG
 from ..operators import champion as CH
 from ..operators import enrich as EN
 from ..operators import ingest as IG
+from ..operators import model_runs as MR
 from ..operators import recommend as RC
 from ..operators import report as RP
 from ..operators import rules as RU
 from ..operators import sessions as SS
 from ..operators import sinks as SK
+from ..operators import title_index as TI
 from ..operators import value as V
 from ..operators import value_model as VM
 from ..schema import RECENT_INTERACTIONS, RECOMMEND_LIMIT, TOPICS, USER_TOPIC
@@ -758,6 +761,20 @@ def _product_search(s, d):
         "id", "title", "category", "price", "total", "pages")
 
 
+@query("product_search_indexed")
+def _product_search_indexed(s, d):
+    """Two pages of a frequent term, the second by the last id of the first, and whole short, longer
+    and missing terms, from the postings."""
+    path, products = scratch(s, "title-index"), shop_products(s, d)
+    TI.write_title_index(products, path)
+    postings = TI.read_title_index(s, path)
+    first = materialize(TI.indexed_search(postings, products, "RED", limit=20))
+    second = TI.indexed_search(postings, products, "RED", after=first.agg(F.max("id")).scalar(), limit=20)
+    parts = [("first", first), ("second", second), *((t, TI.indexed_search(postings, products, t, limit=100)) for t in ("b", "Lu", "een l", "%ss%u%", "no such title"))]
+    pages = [p.select(F.lit(n).alias("page"), "id", "title", "price", "total") for n, p in parts]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("products_in_category")
 def _products_in_category(s, d):
     p = shop_products(s, d)
@@ -988,6 +1005,52 @@ def _vm_score(s, d):
     return VM.score_unlabeled(model, shop_users(s, d), lab, CT.cart_contents(I.user_events(s, d)))
 
 
+@query("value_model_invariants")
+def _vm_invariants(s, d):
+    """What SQL can say of a fit whatever its trees: who is predicted, with which labels' support; the
+    folds' sizes; that the importances are a share of each feature; who is scored, from which row.
+    A prediction that is no label makes its row's value -1."""
+    ev = I.landed(s, d)
+    lab = materialize(V.customer_value(ev))
+    model, pred = VM.train_value_model(lab)
+    pred = materialize(pred.select("user_id", "value_label", "prediction"))
+    valid = F.col("prediction").isin(0.0, 1.0, 2.0)
+    row = lambda kind, key, value: (F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("bigint").alias("value"))
+    support = VM.classification_metrics(pred).filter("support > 0")
+    shares = VM.feature_importance(model).agg(F.count("feature").alias("n"), (F.abs(F.sum("importance") - 1) < 1e-3).alias("whole"))
+    folds = VM.with_folds(lab.select("user_id", "value_label")).groupBy("_fold", "value_label").agg(F.count(F.lit(1)).alias("n"))
+    scored = model.transform(VM.unlabeled_rows(shop_users(s, d), lab, CT.cart_contents(IG.topic_split(ev)[USER_TOPIC])))
+    return reduce(DataFrame.unionByName, [
+        pred.select(*row("predicted", F.col("user_id"), F.when(valid, F.col("value_label")).otherwise(-1))),
+        support.select(*row("support", F.col("label"), F.col("support"))),
+        shares.select(*row("features", F.lit("all"), F.when(F.col("whole"), F.col("n")).otherwise(-1))),
+        folds.select(*row("fold", F.concat_ws("/", "_fold", "value_label"), F.col("n"))),
+        scored.select(*row("scored", F.col("user_id"), F.when(valid, F.col("add_count")).otherwise(-1)))])
+
+
+@query("champion_of_fits")
+def _champion_of_fits(s, d):
+    """Three fits recorded with their metrics; the champion, the one after its rollback, and the users
+    that each scores. ``best`` says that the champion's metric is the best of the runs that count."""
+    root = scratch(s, "model-runs")
+    ev = I.landed(s, d)
+    lab = materialize(V.customer_value(ev))
+    for trees, depth in ((5, 1), (20, 5), (10, 3)):
+        MR.fit_value_model(lab, root, num_trees=trees, max_depth=depth)
+    users, cart = shop_users(s, d), CT.cart_contents(IG.topic_split(ev)[USER_TOPIC])
+    out = []
+    for when in ("fitted", "rolled back"):
+        runs = materialize(MR.runs(s, root))
+        run_id, _ = MR.champion(s, root, "customer_value")
+        best = runs.agg(F.max("metric")).scalar() == runs.filter(F.col("run_id") == run_id).agg(F.max("metric")).scalar()
+        n_runs = runs.agg(F.count(F.lit(1))).scalar()
+        scored = materialize(MR.score_by_champion(users, lab, cart, root))
+        out.append(scored.select(F.lit(when).alias("state"), n_runs.alias("n_runs"), best.alias("best"), "user_id",
+                                 (F.col("champion_run") == run_id).alias("by_champion"), F.col("value_label").isin(0, 1, 2).alias("labeled")))
+        MR.withdraw(s, root, run_id)
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("kafka_source")
 def _kafka_source(s, d):
     """The message source as a stream (a file stand-in for the broker: same (topic, value)

@@ -61,4 +61,17 @@ def test_jobs_of_features_rules_and_offers(spark, tmp_path):
     jobs.main(["notify", "--messages", f"{root}/messages", "--labels", f"{root}/features/parquet", "--users", f"{root}/users.csv",
                "--out", f"{root}/offers", "--watermark", "3 days", "--once"], spark)
     offers = SN.read_offers(spark, f"{root}/offers").collect()
+    model = ["model", "--labels", f"{root}/features/parquet", "--out", f"{root}/model", "--runs", f"{root}/runs"]
+    for run, depth in (("shallow", "1"), ("deep", "5")):
+        jobs.main([*model, "--run", run, "--trees", "5", "--depth", depth], spark)
+    (tmp_path / "more_users.csv").write_text(users + "1,A,B,a@x.org,+1,E,UK,$2b$,false\n987654321,C,D,c@x.org,+1,E,UK,$2b$,false\n")
+    score = ["score", "--runs", f"{root}/runs", "--labels", f"{root}/features/parquet", "--users", f"{root}/more_users.csv", *raw, "--out", f"{root}/scores"]
+    jobs.main(score, spark)
+    first = spark.read.parquet(f"{root}/scores").collect()
+    assert "987654321" in {r.user_id for r in first} and len({r.champion_run for r in first}) == 1
+    other = jobs.main(["rollback", "--runs", f"{root}/runs", "--run", first[0].champion_run], spark)
+    assert {other, first[0].champion_run} == {"shallow", "deep"}
+    jobs.main(score, spark)
+    assert {r.champion_run for r in spark.read.parquet(f"{root}/scores").collect()} == {other}
+
     assert {r.email for r in offers if r.user_id == "1"} == {"a@x.org"} and all("unknown" in r.email for r in offers if r.user_id != "1")
