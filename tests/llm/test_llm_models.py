@@ -278,6 +278,14 @@ def test_counts_without_the_own_document():
     assert np.exp(none) == pytest.approx([0.075, 0.275])
 
 
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    """The given documents, with many words that no training document has."""
+    held = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    score, base, n = (sum(getattr(r, c) for r in held) for c in ("score", "base_score", "n_tokens"))
+    print("held-out per token", score / n, base / n, sum(r.score < r.base_score for r in held) / len(held))
+    assert score > base
+
+
 def test_lm_learns_what_held_out_texts_say(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{k}" for k in np.minimum(rng.geometric(0.05, 40), 90)), "en", "a", 1) for i in range(1500)]
