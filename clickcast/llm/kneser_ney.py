@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from clickcast.llm.common import give_back, landed, sieve, sifted, tidy, with_row_id
 
 ORDER = 4
-MAX_TRUSTED = 50_000      # trusted (labelled good) rows of a language that the model is fitted to, about, at most
 QUANTILE, SLACK = 0.98, 1.25  # of the perplexity of held-out trusted documents; factor on it
 LEAST_DOCS = 20           # trusted documents a language needs for a quantile of its own
 BLOCK_BITS = 12           # 4,096 neighbouring rows of a file are scored together
@@ -200,13 +199,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def training_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The trusted ``rows`` (row_id, doc_id, text, lang) that are not held out; of a language with more than
-    MAX_TRUSTED a share by the hash of the id."""
-    own = rows.select("row_id", "doc_id", "lang").join(ids.filter("not held_out"), "doc_id", "left_semi")
-    n = own.groupBy(F.col("lang").alias("own_lang")).agg(F.count("*").alias("n"))
-    picked = own.join(n, F.col("lang").eqNullSafe(F.col("own_lang"))).filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(MAX_TRUSTED) / F.col("n") * 1_000_000)
-    picked = landed(picked.select("row_id"), "kn-picked")
+    """The trusted ``rows`` (row_id, doc_id, text, lang) that are not held out: all of them."""
+    picked = landed(rows.select("row_id", "doc_id").join(ids.filter("not held_out"), "doc_id", "left_semi").select("row_id"), "kn-picked")
     return sifted(rows.select("row_id", "text"), sieve(picked, "row_id"), "row_id", True).join(picked, "row_id", "left_semi")
 
 
