@@ -2,7 +2,8 @@
 
 A manifest beside the compacted table lists, by day, the landed files that its files were made of. A run
 compares it with the files that are there now; a day whose files are all in it is left alone. A rewritten
-day holds about one file per ``target_bytes``, sorted by customer. A run that fails between the data and
+day holds about one file per ``target_bytes``, but at least one per ``TASK_BYTES``, which is what a task
+sorts; files are sorted by customer. A run that fails between the data and
 the manifest is repaired by the next, which writes the same days again."""
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from .sinks import delete_folders, folders, read_parquet_or_empty
 
 DAY = ["id_type", "event_date"]
 FILE = ["path", "length", "modified"]
+TASK_BYTES = 32 << 20  # landed bytes that a task sorts: some 10 times as much in memory
 MANIFEST = "path string, length long, modified timestamp, id_type string, event_date date"
 
 
@@ -41,7 +43,8 @@ def compact(spark: SparkSession, raw: str, out: str, target_bytes: int = 128 <<
     events below ``raw``; returns the days written as (id_type, event_date).
 
     The days are few (one row per id type and calendar day), so the driver may list them. Rows are dealt by
-    ranges of day, customer and time, so a customer with much of a day is spread over its files."""
+    ranges of day, customer and time, so a customer with much of a day is spread over its files. The ranges
+    follow the landed bytes, so a task's memory does not grow with what has landed."""
     data, lists = f"{out}/data", f"{out}/manifest"
     files = materialize(landed_files(spark, raw))
     manifest = materialize(read_parquet_or_empty(spark, lists, MANIFEST).select(*DAY, *FILE))
@@ -53,7 +56,7 @@ def compact(spark: SparkSession, raw: str, out: str, target_bytes: int = 128 <<
     for kind in sorted({k for k, _ in wanted}):
         of_kind = [F.lit(day).cast("date") for k, day in wanted if k == kind]
         is_wanted = is_wanted | ((F.col("id_type") == kind) & F.col("event_date").isin(*of_kind))
-    parts = max(1, -(-sum(d.size for d in days) // target_bytes))
+    parts = max(1, -(-sum(d.size for d in days) // min(target_bytes, TASK_BYTES)))
     events = spark.read.parquet(raw).filter(is_wanted).drop("run", "batch")
     order = [*DAY, "customer_key", "event_time"]
     # a day whose files are all gone has no rows that would overwrite it
