@@ -292,3 +292,55 @@ def test_lm_learns_what_held_out_texts_say(spark):
     held = [r for r in lm.score(docs(spark, rows)).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.n_tokens for r in held) * np.log10(1 / 92)
     assert sum(r.score for r in held) > 1.05 * sum(r.base_score for r in held)
+
+
+def test_lm_one_pass_is_the_model_place_by_place():
+    """Probabilities against the model written out, and finite ones and gradients where exponents overflow."""
+    k = lm.OWN_CLASSES + lm.REST_CLASSES
+    rng = np.random.default_rng(3)
+    w = {n: v.astype(np.float64) for n, v in lm.new_weights(np.log(rng.dirichlet(np.ones(k)))).items()}
+    x, y = rng.integers(0, k + 1, (2, lm.CONTEXT + lm.STRIDE)), rng.integers(0, k, (2, lm.STRIDE))
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    want = np.empty(y.shape)
+    for r, t in np.ndindex(y.shape):
+        e = (w["embed"][x[r]] + w["place"])[:lm.CONTEXT + t + 1]
+        share = softmax((e[-1] @ w["wq"]) @ (e @ w["wk"]).T * lm.WIDTH ** -0.5)
+        u = np.maximum((e[-1] + share @ (e @ w["wv"]) @ w["wo"]) @ w["w1"] + w["b1"], 0)
+        want[r, t] = np.log(softmax(u @ w["w2"] + w["b2"])[y[r, t]])
+    assert np.allclose(lm.log_probabilities(w, x, y), want)
+    w["b2"] += 800  # changes nothing but the size of the exponents
+    assert np.isfinite(lm.log_probabilities(w, x, y)).all()
+    assert all(np.isfinite(v).all() for v in lm.gradient(w, x, y).values())
+
+
+def test_lm_spells_each_distinct_word_of_a_block_once(spark, monkeypatch):
+    """One spelling of a block serves training and scoring: no symbols are written beside the blocks."""
+    landed, seen = lm.landed, []
+    monkeypatch.setattr(lm, "landed", lambda df, name: seen.append(name) or landed(df, name))
+    got = lm.score(docs(spark)).collect()
+    assert len(got) == len(DOCS) and sorted(seen) == ["lm-blocks", "lm-scores", "lm-words"]
+
+
+def test_lm_words_spelled_flat_as_one_by_one():
+    from clickcast.llm.tokens import PieceEncoder, default_tokenizer
+    words = ["the", "", "qu1ck", "İstanbul", "日本", "don't", "[UNK]", "\U0001f600", "x\u0085y", *(f"w{k}" for k in range(70_000)), "ǅ"]
+    a, b = PieceEncoder(default_tokenizer()), PieceEncoder(default_tokenizer())
+    lengths, flat = a.spelled(words)
+    one_by_one = b.encode_words(words)
+    assert lengths.tolist() == [len(w) // 2 for w in one_by_one] and flat.tobytes() == b"".join(one_by_one)
+
+
+def test_lm_blocks_are_cut_between_documents(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(i % 40)), "en", "a", 1) for i in range(300)]
+    rows += [(1000, "a b " * 400, "en", "a", 1), (1001, None, "en", "a", 0)]
+    key = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+    whole = sorted(lm.score(docs(spark, rows)).collect(), key=key)
+    frame = docs(spark, rows).selectExpr("doc_id", "coalesce(text, '') text", "doc_id % 7 = 2 held_out").coalesce(1)
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 100)
+    parts = [lm.unpacked(bytes(r.payload)) for r in lm.blocks(frame, lm.default_tokenizer()).filter("payload is not null").collect()]
+    assert [i for b in parts for i in b.ids] == [r[0] for r in rows] and len(parts) > 20
+    assert all(len(np.unique(b.codes)) == len(b.lengths) and len(b.codes) == b.sizes.sum() for b in parts)
+    assert all(b.sizes.sum() - b.sizes.max() <= 100 for b in parts)
+    cut = sorted(lm.score(docs(spark, rows)).collect(), key=key)
+    assert [key(r) for r in cut] == [key(r) for r in whole]
+    assert [r.base_score for r in cut] == pytest.approx([r.base_score for r in whole])
