@@ -7,6 +7,9 @@ be a TIMESTAMP for it, so the NTZ event time is cast and cast back for output)."
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,10 @@ from ..schema import (ACTIVITY_WINDOW, NOTIF_TOPIC, REC_TOPIC, TRIGGER_INTERVAL,
 from . import metrics as SM
 
 ID_BUCKETS = 64
+FEW_IDS = 100_000  # so many (topic, id, row number) are broadcast: a few MB
+ID_BLOCK_BITS = 12
+STATE_PARTITIONS = 24
+MESSAGES_PER_FILE = 250_000
 IDS_SCHEMA = "topic string, id long, bucket int, run string, batch long"
 DUMP_NAMES = {USER_TOPIC: "user_events", REC_TOPIC: "recommendation_events",
               NOTIF_TOPIC: "notification_events"}
@@ -80,25 +87,36 @@ def id_bucket():
     return F.pmod(F.xxhash64("topic", "id"), F.lit(ID_BUCKETS)).cast("int")
 
 
-def landed_ids(spark: SparkSession, path: str, low: int | None, high: int | None, run: str, batch_id: int) -> DataFrame:
-    """(topic, id) that earlier batches have used up, between ``low`` and ``high``. The files are sorted
+def landed_ids(spark: SparkSession, path: str, ids: DataFrame, run: str, batch_id: int) -> DataFrame:
+    """(topic, id) that earlier batches have used up, in the neighbourhood of ``ids``. The files are sorted
     by id, so a batch of new ids reads next to nothing, and late copies read the row groups of their
-    range. What this very batch wrote in an earlier attempt does not count."""
+    range. Ids from several counters have a wide range with gaps: if the batch lies in few blocks of ids,
+    rows of other blocks go no further than the scan. What this very batch wrote in an earlier attempt does
+    not count."""
     seen = SK.read_parquet_or_empty(spark, path, IDS_SCHEMA)
     mine = (F.col("run") == run) & (F.col("batch") == batch_id)
-    return seen.filter(F.col("id").between(low, high) & ~mine).select("topic", "id")
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    seen = seen.filter(F.col("id").between(low, high) & ~mine).select("topic", "id")
+    block = F.shiftright("id", ID_BLOCK_BITS)
+    blocks = ids.select(block.alias("block")).distinct()
+    few = blocks.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return seen.join(F.broadcast(blocks), block == F.col("block"), "left_semi") if few else seen
 
 
 def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig", products: DataFrame | None = None) -> None:
     """One micro-batch of decoded messages -> raw events (partitioned, clustered), dead letters, the ids
     that are used up, and when configured the per-topic dumps and the metric counts. Each output has a
     folder ``run=<query>/batch=<id>`` of its own, which a replay overwrites; the ids come last but one's
-    own don't count, so a batch that failed half-way is judged alike when it runs again."""
+    own don't count, so a batch that failed half-way is judged alike when it runs again. Kept are the decoded
+    rows, without the messages if no dead letters are written, and the ids."""
     spark, run = batch.sparkSession, SK.run_of(batch)
     ids_path = cfg.ids_path or cfg.raw_events_path.rstrip("/") + "_ids"
-    rows = batch.persist()
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    judged = IG.judged(rows, landed_ids(spark, ids_path, low, high, run, batch_id)).persist()
+    rows = (batch if cfg.reject_path else batch.drop("raw_value")).persist()  # the message itself is for dead letters
+    ids = IG.ids_of_batch(rows).persist()
+    known = IG.known_ids(ids, landed_ids(spark, ids_path, ids, run, batch_id)).persist()
+    few = ids.filter("_n > 1").count() + known.count() <= FEW_IDS
+    judged = IG.judged(rows, ids, known, few)
+    judged = judged if few else judged.persist()
     own = f"run={run}/batch={batch_id}"
     try:
         accepted = judged.filter("reason is null").drop("reason", "raw_value", "broken")
@@ -113,13 +131,28 @@ def write_ingest_batch(batch: DataFrame, batch_id: int, cfg: "StreamConfig", pro
                 accepted.filter(F.col("topic") == topic).write.mode("overwrite").parquet(f"{cfg.dump_path}/{name}/{own}")
         if cfg.metrics_path:
             SM.all_metrics_writer(cfg.metrics_path)(accepted, batch_id)
-        whole = judged.filter(IG.complete() & is_present("customer_key") & ~F.col("reason").eqNullSafe("duplicate_id"))
-        (whole.select("topic", "id", id_bucket().alias("bucket"), F.lit(run).alias("run"), F.lit(batch_id).alias("batch"))
-              .repartition("bucket").sortWithinPartitions("bucket", "id")
-              .write.partitionBy("bucket", "run", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(ids_path))
+        used = ids.join(F.broadcast(known) if few else known, ["topic", "id"], "left_anti")
+        (used.select("topic", "id", id_bucket().alias("bucket"), F.lit(run).alias("run"), F.lit(batch_id).alias("batch"))
+             .repartition("bucket").sortWithinPartitions("bucket", "id")
+             .write.partitionBy("bucket", "run", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(ids_path))
     finally:
-        judged.unpersist()
-        rows.unpersist()
+        for kept in (judged, known, ids, rows):
+            kept.unpersist()
+
+
+@contextmanager
+def stream_partitions(spark: SparkSession) -> Iterator[None]:
+    """Shuffle partitions of the queries that are started inside (a query takes along a copy of the session's
+    settings): what the session says, but no more than the cores have use for. A micro-batch is bounded by
+    its source, whatever the stream brings in all, and each partition of a state writes a file per batch.
+    A checkpoint keeps the number it began with."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(was), max(STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
@@ -131,7 +164,8 @@ def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
     raw_w = (decoded.writeStream
              .foreachBatch(lambda b, i: write_ingest_batch(b, i, cfg, products))
              .option("checkpointLocation", f"{cfg.checkpoint_dir}/ingest").outputMode("append"))
-    queries = [_trigger(raw_w, cfg).start()]
+    with stream_partitions(spark):
+        queries = [_trigger(raw_w, cfg).start()]
     if cfg.activity_path:
         validated = validated_stream(watermarked_events(raw, cfg.watermark_delay), cfg.within_watermark)
         act = AC.customer_activity(validated, cfg.window_duration)
@@ -139,24 +173,29 @@ def start_ingest(spark: SparkSession, raw: DataFrame, cfg: StreamConfig,
                  .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
                  .writeStream.format("parquet").option("path", cfg.activity_path)
                  .option("checkpointLocation", f"{cfg.checkpoint_dir}/customer_activity").outputMode("append"))
-        queries.append(_trigger(aw, cfg).start())
+        with stream_partitions(spark):
+            queries.append(_trigger(aw, cfg).start())
     return queries
 
 
 def write_message_files(events: DataFrame, path: str, files: int = 28, shuffled: bool = False) -> int:
     """Kafka-shaped (topic, value) rows as about ``files`` parquet files in one write (a file
     stand-in for the broker): events are range-partitioned by time, and the files' times are set in
-    that order, so a file stream replays them in time order. ``shuffled`` swaps neighbouring ranges, so that files hold
+    that order, so a file stream replays them in time order. A range of more than ``MESSAGES_PER_FILE`` is
+    several files, one after the other in time, so that a micro-batch of so many files is bounded however
+    many events there are. ``shuffled`` swaps neighbouring ranges, so that files hold
     events older than those of the file before. Returns the number of folders (one)."""
     ranged = events.repartitionByRange(files, "event_time").withColumn("_part", F.spark_partition_id())
     if shuffled:
         ranged = ranged.withColumn("_part", F.when(F.col("_part") % 2 == 0, F.col("_part") + 1).otherwise(F.col("_part") - 1))
         ranged = ranged.repartitionByRange(files, "_part")
-    IG.to_kafka_rows(ranged.sortWithinPartitions("_part")).write.mode("overwrite").parquet(f"{path}/00000")
+    (IG.to_kafka_rows(ranged.sortWithinPartitions("_part", "event_time"))
+       .write.option("maxRecordsPerFile", MESSAGES_PER_FILE).mode("overwrite").parquet(f"{path}/00000"))
     spark = events.sparkSession
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(f.getPath().toString() for f in fs.listStatus(path_of(f"{path}/00000")) if f.getPath().getName().startswith("part-"))
-    for i, name in enumerate(names):  # at most ``files`` of them
+    names = [f.getPath().toString() for f in fs.listStatus(path_of(f"{path}/00000")) if f.getPath().getName().startswith("part-")]
+    in_order = lambda name: tuple(map(int, re.search(r"part-(\d+)-.*-c(\d+)\.", name).groups()))
+    for i, name in enumerate(sorted(names, key=in_order)):
         fs.setTimes(path_of(name), 1_600_000_000_000 + 1000 * i, -1)
     return 1
